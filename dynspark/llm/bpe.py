@@ -32,10 +32,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: What str.split() takes for white space and the vocabulary's pattern doesn't.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: Entries that a worker remembers, of words and of pieces each.
-REMEMBERED = 500_000
+#: Words, and pieces, that a worker remembers in each of two generations.
+REMEMBERED = 60_000
 #: Cells of the segment trees that are merged at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 INFINITE = np.int64(1) << 62
 
 
@@ -71,6 +71,8 @@ class Vocabulary:
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -145,19 +147,22 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         return text.split() if not SEPARATORS.search(text) else [w for w in WHITE.split(text) if w]
 
+    @staticmethod
+    def recall(wanted: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """What is in neither generation; what is in the old one alone moves to the new one."""
+        missing = wanted - known.keys()
+        known.update({x: old[x] for x in missing & old.keys()})
+        return missing - old.keys()
+
     def learn(self, words: set[str]) -> None:
         """See to it that self.words has all these words."""
-        new = words - self.words.keys()
-        if not new:
-            return
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-            new = words
+            self.words, self.old_words = {}, self.words
         if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+            self.pieces, self.old_pieces = {}, self.pieces
         parts: dict[str, list[str | int]] = {}
         wanted: set[str] = set()
-        for w in new:
+        for w in self.recall(words, self.words, self.old_words):
             own: list[str | int] = []
             for run in self.split_added.split(w) if self.split_added and "<" in w else (w,):
                 if run in self.added:
@@ -169,8 +174,7 @@ class Vocabulary:
                     own += found
                     wanted.update(found)
             parts[w] = own
-        wanted -= self.pieces.keys()
-        fresh = list(wanted)
+        fresh = list(self.recall(wanted, self.pieces, self.old_pieces))
         self.pieces.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
         whole = lambda x: self.pieces[x] if isinstance(x, str) else np.array([x], self.dtype).tobytes()
         for w, own in parts.items():
@@ -198,10 +202,30 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that memory is bounded by few rows at a time."""
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that memory is bounded by few rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, ids_col: str = "ids") -> Iterator[pa.RecordBatch]:
+    """Batches with ids_col, lists of ids, in place of the last column, the text."""
+    bpe = vocabulary(path)
+    for b in slices(batches):
+        coded = bpe.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+        ends = np.cumsum([0, *map(len, coded)]) // bpe.dtype().itemsize
+        values = np.frombuffer(b"".join(coded), bpe.dtype).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], ids_col])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], path: str, text_col: str = "decoded") -> Iterator[pa.RecordBatch]:
+    """Batches with text_col added: the tokens of the last column, added tokens too, joined by one space."""
+    token = vocabulary(path).tokens.__getitem__
+    for b in slices(batches):
+        texts = [" ".join(map(token, x.values.to_pylist())) if x.is_valid else "" for x in b.column(b.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -209,38 +233,21 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
     path = path or default_path()
     others = [c for c in docs.columns if c not in (text_col, ids_col)]
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
-        for whole in batches:
-            for b in slices(whole):
-                coded = bpe.encode(b.column(b.num_columns - 1).to_pylist())
-                ends = np.cumsum([0, *(len(x) for x in coded)]) // bpe.dtype().itemsize
-                values = np.frombuffer(b"".join(coded), bpe.dtype).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], [*others, ids_col])
-
-    return docs.select(*[F.col(f"`{c}`") for c in others], text_or_empty(text_col).alias("__text")).mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in others], text_or_empty(text_col)).mapInArrow(lambda b: encoded(b, path, ids_col), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """coded with text_col: the tokens of ids_col, added ones too, joined by one space, as a vocabulary without a decoder has it."""
+    """coded with text_col added, as a vocabulary without a decoder of its own has it."""
     path = path or default_path()
     others = [c for c in coded.columns if c not in (ids_col, text_col)]
     schema = T.StructType([*(coded.schema[c] for c in others), coded.schema[ids_col], T.StructField(text_col, T.StringType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).tokens.__getitem__
-        for whole in batches:
-            for b in slices(whole):
-                texts = [" ".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else "" for x in b.column(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*others, ids_col, text_col])
-
-    return coded.select(*[F.col(f"`{c}`") for c in others], ids_col).mapInArrow(work, schema)
+    return coded.select(*[F.col(f"`{c}`") for c in others], ids_col).mapInArrow(lambda b: decoded(b, path, text_col), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs (doc_id, text)."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs (doc_id, text); both ways in one Python worker."""
+    path = path or default_path()
+    both = docs.select("doc_id", text_or_empty("text")).mapInArrow(lambda b: decoded(encoded(b, path), path), "doc_id long, ids array<int>, decoded string")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
