@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dynspark.llm import bpe, exact_dedup, mixing
+from dynspark.llm import bpe, exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op7_bpe": bpe.op7_bpe,
 }
 
