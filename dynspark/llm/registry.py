@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dynspark.llm import bpe, exact_dedup, mixing, simhash
+from dynspark.llm import bpe, byte_cnn, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op6_quality": byte_cnn.op6_quality,
     "op7_bpe": bpe.op7_bpe,
+    "op8_embeddings": embedding_dedup.op8_embeddings,
+    "op9_substrings": substring_dedup.op9_substrings,
 }
 
 ORACLE_SQL = {
