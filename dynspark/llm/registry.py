@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dynspark.llm import bpe, byte_cnn, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup
+from dynspark.llm import bpe, byte_cnn, chat, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,9 +12,11 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_embeddings": embedding_dedup.op8_embeddings,
     "op9_substrings": substring_dedup.op9_substrings,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op10_chat": chat.OP10_SQL,
 }
