@@ -33,7 +33,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Words, and pieces, that a worker remembers in each of two generations.
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 #: Cells of the segment trees that are merged at once.
 BLOCK = 1 << 18
 INFINITE = np.int64(1) << 62
@@ -202,7 +202,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches in parts, so that memory is bounded by few rows at a time."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
