@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dynspark.llm import bpe, byte_cnn, chat, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup
+from dynspark.llm import bpe, byte_cnn, chat, embedding_dedup, exact_dedup, html_extract, mixing, simhash, substring_dedup, token_output
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_token_output": token_output.op3_token_output,
     "op4_simhash": simhash.op4_simhash,
+    "op5_html": html_extract.op5_html,
     "op6_quality": byte_cnn.op6_quality,
     "op7_bpe": bpe.op7_bpe,
     "op8_embeddings": embedding_dedup.op8_embeddings,
