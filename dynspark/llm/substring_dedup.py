@@ -9,7 +9,8 @@
    chunk of documents only a window's smallest document has to be compared with others: the rest are covered already.
    So a passage that a third of all documents share makes one entry a chunk and not one a document. Entries are
    shuffled by hash, and windows of equal 96-bit hash are grouped; all but the smallest document's are covered.
-3. The covered starts are gathered by document, joined to the texts, and the covered words are taken out.
+3. Texts, and the covered starts, go to buckets by a hash of id and text, compressed in blobs. A task reads a
+   bucket's starts first and streams its texts past them, taking the covered words out.
 
 Words are runs of other characters than space and 0x09-0x0D, unchanged. Nulls and texts of fewer words have no window.
 A document doesn't cover itself, and rows that repeat an id don't cover each other. A null id counts as larger than any
@@ -30,10 +31,12 @@ from dynspark.llm.common import table, text_or_empty
 
 WINDOW, DEPTH = 13, 2
 #: Cells in a row of the sketch at most, and for each character of the corpus (about three for each word).
-MOST_CELLS, CELLS_PER_CHAR = 1 << 30, 0.5
+MOST_CELLS, CELLS_PER_CHAR = 1 << 30, 0.4
 SHARD = 1 << 22
 #: Windows that a task keeps before it sends them off, and that a group of the second pass gets on average at most.
 CHUNK, GROUP = 1 << 21, 1 << 22
+#: Characters of text in a bucket of the last step on average, and that a task gathers before it sends them.
+BUCKET, GATHERED = 1 << 24, 1 << 24
 NO_ID = np.iinfo(np.int64).max
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -133,7 +136,7 @@ def sketch(docs: DataFrame, cells: int) -> list[np.ndarray]:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in chunks(batches):
             h = w.arrays()[0]
-            names, blobs = [], []
+            names, sizes, blobs = [], [], []
             for row in range(DEPTH):
                 met = np.sort(cell(h, row, cells))
                 third = np.r_[False, False, met[2:] == met[:-2]]
@@ -141,19 +144,20 @@ def sketch(docs: DataFrame, cells: int) -> list[np.ndarray]:
                 ends = np.searchsorted(met, np.arange(shards + 1) * SHARD)
                 for k in np.flatnonzero(np.diff(ends)).tolist():
                     names.append(row * shards + k)
-                    blobs.append(gaps(met[ends[k] : ends[k + 1]] - k * SHARD))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "met"])
+                    blobs.append(pa.compress(gaps(met[ends[k] : ends[k + 1]] - k * SHARD), codec="zstd", asbytes=True))
+                    sizes.append(int(ends[k + 1] - ends[k]) + int((np.diff(met[ends[k] : ends[k + 1]], prepend=k * SHARD) // 255).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "size", "met"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, counts = None, np.zeros(0, np.uint8)
         done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())], ["shard", "bits"])
         for b in batches:
-            for name, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if name != at:
                     if at is not None:
                         yield done()
                     at, counts = name, np.zeros(SHARD, np.uint8)
-                met = from_gaps(blob.as_buffer().to_pybytes())
+                met = from_gaps(pa.decompress(blob.as_buffer(), size, codec="zstd", asbytes=True))
                 again = np.r_[False, met[1:] == met[:-1]]
                 counts[met[again]] = 2
                 once = met[~again]
@@ -161,17 +165,32 @@ def sketch(docs: DataFrame, cells: int) -> list[np.ndarray]:
         if at is not None:
             yield done()
 
-    partials = docs.mapInArrow(partial, "shard int, met binary")
-    found = partials.repartition("shard").sortWithinPartitions("shard").mapInArrow(merged, "shard int, bits binary").collect()
+    partials = docs.mapInArrow(partial, "shard int, size long, met binary")
+    found = partials.repartition("shard").sortWithinPartitions("shard").mapInArrow(merged, "shard int, bits binary")
     rows = [np.zeros(shards * SHARD // 8, np.uint8) for _ in range(DEPTH)]
-    for r in found:
+    for r in found.toLocalIterator():
         row, k = divmod(r["shard"], shards)
         rows[row][k * SHARD // 8 : (k + 1) * SHARD // 8] = np.frombuffer(r["bits"], np.uint8)
     return rows
 
 
-def covered(docs: DataFrame, cells: int, groups: int) -> DataFrame:
-    """docs: id, text. Rows id, key (XXH64 of the text), starts of covered windows; several rows for a document."""
+def bucket_of(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(ids.view(np.uint64) * np.uint64(ODD[0]) ^ keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+#: kind 0: n documents' (a: ids, b: text hashes, c: numbers of) covered starts, size in all, d. kind 1: n documents, c: bytes of each text, size in all, d: texts.
+BLOB = "bucket long, kind int, n long, size long, a binary, b binary, c binary, d binary"
+BLOB_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+BLOB_NAMES = ("bucket", "kind", "n", "size", "a", "b", "c", "d")
+
+
+def blobs(rows: list[tuple]) -> list[pa.Array]:
+    columns = zip(*rows, strict=True) if rows else [()] * len(BLOB_KINDS)
+    return [pa.array(x, kind) for x, kind in zip(columns, BLOB_KINDS, strict=True)]
+
+
+def covered(docs: DataFrame, cells: int, groups: int, buckets: int) -> DataFrame:
+    """docs: id, text. The starts of covered windows, in blobs of kind 0."""
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,36 +211,76 @@ def covered(docs: DataFrame, cells: int, groups: int) -> DataFrame:
             rows = []
             for g in np.flatnonzero(np.diff(ends)).tolist():
                 own = order[ends[g] : ends[g + 1]]
+                own = own[np.argsort(~known[own], kind="stable")]
+                asked = own[int(known[own].sum()) :]
                 table, of = np.unique(doc[own], return_inverse=True)
-                columns = (ids[table], keys[table], of.astype(np.uint32), start[own], known[own], h[own], check[own])
-                rows.append((g, len(table), len(own), *map(packed, columns)))
+                columns = (ids[table], keys[table], of.astype(np.uint32), start[own], h[asked], check[asked])
+                rows.append((g, len(table), len(own), len(asked), *map(packed, columns)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["group", "docs", "n", *"abcdefg"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["group", "docs", "n", "asked", *"abcdef"])
 
     def grouped(t: pa.Table) -> pa.Table:
-        parts, base = [], 0
+        done, asked = [], []
         for r in t.to_pylist():
             ids, keys = unpacked(r["a"], np.int64, r["docs"]), unpacked(r["b"], np.int64, r["docs"])
-            kinds = (np.uint32, np.int32, bool, np.uint64, np.uint32)
-            of, start, known, h, check = (unpacked(r[c], k, r["n"]) for c, k in zip("cdefg", kinds, strict=True))
-            parts.append((ids[of], keys[of], start, known, h, check))
-            base += r["n"]
-        ids, keys, start, known, h, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, check, h, known))
-        ids, keys, start, known, h, check = (x[order] for x in (ids, keys, start, known, h, check))
-        asked = ~known
-        hit = known.copy()
-        hit[asked] = later(h[asked], check[asked], ids[asked])
-        ids, keys, start = ids[hit], keys[hit], start[hit]
-        order = np.lexsort((start, keys, ids))
-        ids, keys, start = ids[order], keys[order], start[order]
-        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
-        starts = pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)], pa.int32()), pa.array(start, pa.int32()))
-        return pa.table({"id": pa.array(ids[first], pa.int64()), "key": pa.array(keys[first], pa.int64()), "starts": starts})
-
-    blobs = ", ".join(f"{c} binary" for c in "abcdefg")
-    asked = docs.mapInArrow(entries, f"group long, docs long, n long, {blobs}")
-    return asked.groupBy("group").applyInArrow(grouped, "id long, key long, starts array<int>")
+            of, start = unpacked(r["c"], np.uint32, r["n"]), unpacked(r["d"], np.int32, r["n"])
+            h, check, k = unpacked(r["e"], np.uint64, r["asked"]), unpacked(r["f"], np.uint32, r["asked"]), r["n"] - r["asked"]
+            done.append((ids[of[:k]], keys[of[:k]], start[:k]))
+            asked.append((ids[of[k:]], keys[of[k:]], start[k:], h, check))
+        ids, keys, start, h, check = (np.concatenate(x) for x in zip(*asked, strict=True))
+        order = np.lexsort((ids, check, h))
+        hit = order[later(h[order], check[order], ids[order])]
+        done.append((ids[hit], keys[hit], start[hit]))
+        ids, keys, start = (np.concatenate(x) for x in zip(*done, strict=True))
+        bucket = bucket_of(ids, keys, buckets)
+        order = np.lexsort((start, keys, ids, bucket))
+        ids, keys, start, bucket = ids[order], keys[order], start[order], bucket[order]
+        ends, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            i, key, at = (x[ends[k] : ends[k + 1]] for x in (ids, keys, start))
+            first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (key[1:] != key[:-1])])
+            counts = np.diff(np.r_[first, len(i)]).astype(np.int32)
+            rows.append((k, 0, len(first), len(at), packed(i[first]), packed(key[first]), packed(counts), packed(at)))
+        return pa.table(dict(zip(BLOB_NAMES, blobs(rows), strict=True)))
+
+    columns = ", ".join(f"{c} binary" for c in "abcdef")
+    asked = docs.mapInArrow(entries, f"group long, docs long, n long, asked long, {columns}")
+    return asked.groupBy("group").applyInArrow(grouped, BLOB)
+
+
+def gathered(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs: id, text. The texts, in blobs of kind 1."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            i = np.array(ids, np.int64)
+            key = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+            bucket = bucket_of(i, key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                own = order[ends[k] : ends[k + 1]]
+                some = [texts[j] for j in own.tolist()]
+                data = b"".join(some)
+                rows.append((k, 1, len(own), len(data), packed(i[own]), packed(key[own]), packed(np.fromiter(map(len, some), np.int32, len(some))), pa.compress(data, codec="zstd", asbytes=True)))
+            return pa.RecordBatch.from_arrays(blobs(rows), BLOB_NAMES)
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(i)
+                texts.append(t.as_py().encode())
+                size += len(texts[-1])
+                if size >= GATHERED:
+                    yield flush()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield flush()
+
+    return docs.mapInArrow(work, BLOB)
 
 
 def later(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -238,30 +297,43 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     cells = int(min(MOST_CELLS, max(1 << 16, chars * CELLS_PER_CHAR)))
     groups = max(8, int(chars / 6 / GROUP), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marks = covered(own, cells, groups).groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    joined = own.withColumn("key", F.xxhash64("text")).join(marks, ["id", "key"], "left").select("id", "text", "starts")
+    buckets = max(8, chars // BUCKET)
+    both = gathered(own, buckets).unionByName(covered(own, cells, groups, buckets))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, marked = None, {}
         for b in batches:
-            ids = [None if i == NO_ID else i for i in b.column(0).to_pylist()]
-            n, gone, kept = [], [], []
-            for text, starts in zip(b.column(1), b.column(2), strict=True):
-                words = (text.as_py() or "").encode().split()
-                n.append(len(words))
-                out = np.zeros(len(words) + 1, np.int32)
-                if starts.is_valid:
-                    at = starts.values.to_numpy()
-                    np.add.at(out, at, 1)
-                    np.add.at(out, at + WINDOW, -1)
-                bad = np.cumsum(out[:-1]) > 0
-                gone.append(int(bad.sum()))
-                kept.append(b" ".join(words if not gone[-1] else [w for w, x in zip(words, bad.tolist(), strict=True) if not x]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
-
-    out = joined.mapInArrow(cleaned, "id long, n_words long, n_removed long, kept string")
+            for r in b.to_pylist():
+                if r["bucket"] != at:
+                    at, marked = r["bucket"], {}
+                ids, keys = unpacked(r["a"], np.int64, r["n"]).tolist(), unpacked(r["b"], np.int64, r["n"]).tolist()
+                counts = unpacked(r["c"], np.int32, r["n"])
+                ends = np.cumsum(counts, dtype=np.int64).tolist()
+                if r["kind"] == 0:
+                    starts = unpacked(r["d"], np.int32, r["size"])
+                    for i, key, n, end in zip(ids, keys, counts.tolist(), ends, strict=True):
+                        marked.setdefault((i, key), []).append(starts[end - n : end])
+                    continue
+                data = pa.decompress(r["d"], r["size"], codec="zstd", asbytes=True)
+                out = [without(data[end - n : end].split(), marked.get((i, key), ())) for i, key, n, end in zip(ids, keys, counts.tolist(), ends, strict=True)]
+                columns = ([None if i == NO_ID else i for i in ids], *zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "n_words", "n_removed", "kept"])
+
+    out = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(cleaned, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
 
 
+def without(words: list[bytes], starts: list[np.ndarray]) -> tuple[int, int, str]:
+    """Number of words, number of them in windows with these starts, and the others joined."""
+    if not len(starts):
+        return len(words), 0, b" ".join(words).decode()
+    step, at = np.zeros(len(words) + 1, np.int32), np.concatenate(starts)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + WINDOW, -1)
+    bad = np.cumsum(step[:-1]) > 0
+    return len(words), int(bad.sum()), b" ".join([w for w, x in zip(words, bad.tolist(), strict=True) if not x]).decode()
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
