@@ -33,7 +33,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Words, and pieces, that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Cells of the segment trees that are merged at once.
 BLOCK = 1 << 18
 INFINITE = np.int64(1) << 62
@@ -49,6 +49,25 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Known(dict):
+    """The ids of words. A word that only the generation before has moves up; one that none has is noted and counts as nothing."""
+
+    def __init__(self, old: dict[str, bytes]):
+        super().__init__()
+        self.old: dict[str, bytes] = dict(old)
+        self.missing: dict[str, None] = {}
+        self.misses = 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            self.missing[word] = None
+            self.misses += 1
+            return b""
+        self[word] = found
+        return found
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -69,31 +88,54 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([c for *_, c in pairs], np.int64)
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.words: dict[str, bytes] = {}
+        # where a pair's key hashes to, in two tables; what meets in the first is looked up in the second
+        self.bits = 64 - max(16, (64 * len(pairs)).bit_length())
+        self.places = []
+        left = np.arange(len(pairs), dtype=np.int32)
+        for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            table = np.zeros(1 << (64 - self.bits), np.int32)
+            at = self.place(self.keys[left], odd)
+            table[at] = left
+            left = left[table[at] != left]
+            self.places.append((np.uint64(odd), table))
+        self.rest = left  # as good as always none
+        self.words = Known({})
         self.pieces: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
+    def place(self, keys: np.ndarray, odd: int | np.uint64) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(odd)) >> np.uint64(self.bits)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], -1)
+        (odd, table), (other, more) = self.places
+        at = table[self.place(key, odd)]
+        found = self.keys[at] == key
+        lost = np.nonzero(~found)
+        second = more[self.place(key[lost], other)]
+        again = self.keys[second] == key[lost]
+        at[lost] = second
+        found[lost] = again
+        for i in self.rest.tolist():
+            hit = key == self.keys[i]
+            at[hit], found[hit] = i, True
+        return np.where(found & (left >= 0) & (right >= 0), self.ranks[at], -1)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as bytes of self.dtype."""
         out: list[bytes] = [b""] * len(pieces)
-        by_width: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            by_width.setdefault(1 << max(1, (len(p) - 1).bit_length()), []).append(i)
-        for width, members in by_width.items():
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        widths = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 2)))).astype(np.int64)
+        for width in np.unique(widths).tolist():
+            members = np.flatnonzero(widths == width)
             step = max(1, BLOCK // width)
             for k in range(0, len(members), step):
-                part = members[k : k + step]
+                part = members[k : k + step].tolist()
                 for i, ids in zip(part, self._merge_block([pieces[i] for i in part], width), strict=True):
                     out[i] = ids
         return out
 
-    def _merge_block(self, pieces: list[bytes], width: int) -> Iterator[bytes]:
+    def _merge_block(self, pieces: list[bytes], width: int) -> list[bytes]:
         n = len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, n)
         column = np.arange(width)
@@ -137,54 +179,76 @@ class Vocabulary:
                 nodes >>= 1
                 tree[live, nodes] = np.minimum(tree[live, 2 * nodes], tree[live, 2 * nodes + 1])
             live = live[tree[live, 1] < INFINITE]
-        kept = ids[:, :width][alive].astype(self.dtype)
-        ends = np.cumsum(alive.sum(1))
-        start = 0
-        for end in ends.tolist():
-            yield kept[start:end].tobytes()
-            start = end
+        kept = ids[:, :width][alive].astype(self.dtype).tobytes()
+        ends = (np.cumsum(alive.sum(1)) * self.dtype().itemsize).tolist()
+        return [kept[a:b] for a, b in zip([0, *ends], ends)]
 
     def split(self, text: str) -> list[str]:
         return text.split() if not SEPARATORS.search(text) else [w for w in WHITE.split(text) if w]
 
-    @staticmethod
-    def recall(wanted: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
-        """What is in neither generation; what is in the old one alone moves to the new one."""
-        missing = wanted - known.keys()
-        known.update({x: old[x] for x in missing & old.keys()})
-        return missing - old.keys()
-
-    def learn(self, words: set[str]) -> None:
-        """See to it that self.words has all these words."""
-        if len(self.words) > REMEMBERED:
-            self.words, self.old_words = {}, self.words
+    def learn(self, words: list[str]) -> None:
+        """Put words that aren't known into self.words."""
         if len(self.pieces) > REMEMBERED:
             self.pieces, self.old_pieces = {}, self.pieces
-        parts: dict[str, list[str | int]] = {}
-        wanted: set[str] = set()
-        for w in self.recall(words, self.words, self.old_words):
-            own: list[str | int] = []
-            for run in self.split_added.split(w) if self.split_added and "<" in w else (w,):
-                if run in self.added:
-                    own.append(self.added[run])
-                elif run:
-                    if not run.isascii():
-                        run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
-                    found = PIECES.findall(run.lower())
-                    own += found
-                    wanted.update(found)
-            parts[w] = own
-        fresh = list(self.recall(wanted, self.pieces, self.old_pieces))
+        parts: list[list[str | int]] = []
+        wanted: dict[str, None] = {}
+        for w in words:
+            own: list[str | int]
+            if w.isascii() and w.isalpha():
+                own = [w.lower()]
+            else:
+                own = self.cut_up(w)
+            parts.append(own)
+            for p in own:
+                if p not in self.pieces:
+                    wanted[p] = None  # type: ignore[index]
+        fresh = []
+        for p in wanted:
+            if isinstance(p, int):
+                self.pieces[p] = np.array([p], self.dtype).tobytes()
+            elif p in self.old_pieces:
+                self.pieces[p] = self.old_pieces[p]
+            else:
+                fresh.append(p)
         self.pieces.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
-        whole = lambda x: self.pieces[x] if isinstance(x, str) else np.array([x], self.dtype).tobytes()
-        for w, own in parts.items():
-            self.words[w] = self.pieces[own[0]] if len(own) == 1 and isinstance(own[0], str) else b"".join(map(whole, own))
+        get = self.pieces.__getitem__
+        for w, own in zip(words, parts, strict=True):
+            self.words[w] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+
+    def cut_up(self, word: str) -> list[str | int]:
+        """The pieces of a word, and the ids of added tokens in it."""
+        own: list[str | int] = []
+        for run in self.split_added.split(word) if self.split_added and "<" in word else (word,):
+            if run in self.added:
+                own.append(self.added[run])
+            elif run:
+                if not run.isascii():
+                    run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
+                low = run.lower()
+                if low.isalpha():
+                    own.append(low)
+                elif low[:-1].isalpha() and low[-1] in ".,!":
+                    own += (low[:-1], low[-1])
+                else:
+                    own += PIECES.findall(low)
+        return own
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.words) > REMEMBERED:
+            self.words = Known(self.words)
+        known, split = self.words, [self.split(t) for t in texts]
+        get, out, redo = known.__getitem__, [], []
+        for k, words in enumerate(split):
+            before = known.misses
+            out.append(b"".join(map(get, words)))
+            if known.misses != before:
+                redo.append(k)
+        if redo:
+            self.learn(list(known.missing))
+            known.missing.clear()
+            for k in redo:
+                out[k] = b"".join(map(get, split[k]))
+        return out
 
 
 _loaded: dict[str, Vocabulary] = {}

@@ -143,7 +143,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
                 for k in np.flatnonzero(np.diff(ends)).tolist():
                     own = order[ends[k] : ends[k + 1]]
                     h = head[own]
-                    data = np.concatenate([tokens[s : s + n] for s, n in zip(begin[own].tolist(), h["n"].tolist(), strict=True)])
+                    places = begin[own][:, None] + np.arange(length)
+                    data = tokens[places[np.arange(length) < h["n"][:, None]]]
                     rows.append((k, len(h), packed(h.tobytes()), data.nbytes, packed(data.tobytes())))
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "n", "head", "bytes", "tokens"])
@@ -159,7 +160,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
                     out = np.zeros((min(shard, total - k * shard), length), dtype)
                 h = np.frombuffer(unpacked(r["head"], HEAD.itemsize * r["n"]), HEAD)
                 tokens = np.frombuffer(unpacked(r["tokens"], r["bytes"]), dtype)
-                out[np.repeat(h["slot"] - k * shard, h["n"]), np.concatenate([np.arange(n) for n in h["n"].tolist()])] = tokens
+                rows = np.zeros((len(h), length), dtype)
+                rows[np.arange(length) < h["n"][:, None]] = tokens
+                out[h["slot"] - k * shard] = rows
                 heads.append(h)
         if k is None:
             return
