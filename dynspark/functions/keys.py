@@ -7,7 +7,6 @@ has been halved ceil((n - d) / D) times, and its coordinate is made of its own p
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ def halvings(depth: int, dim: int) -> list[int]:
 
 def coordinate(key: Column, depth: int, dim: int, axis: int) -> Column:
     bits = [F.shiftleft(F.shiftright(key, depth - 1 - i).bitwiseAND(F.lit(1).cast("long")), halvings(depth, dim)[axis] - 1 - i // dim) for i in range(axis, depth, dim)]
-    return reduce(add, bits) if bits else F.lit(0).cast("long")
+    return reduce(Column.bitwiseOR, bits) if bits else F.lit(0).cast("long")
 
 
 def coordinates(key: Column, depth: int, dim: int) -> list[Column]:
@@ -33,7 +32,7 @@ def key_of(coords: list[Column], depth: int) -> Column:
     t = halvings(depth, dim)
     one = F.lit(1).cast("long")
     bits = [F.shiftleft(F.shiftright(coords[i % dim].cast("long"), t[i % dim] - 1 - i // dim).bitwiseAND(one), depth - 1 - i) for i in range(depth)]
-    return reduce(add, bits) if bits else F.lit(0).cast("long")
+    return reduce(Column.bitwiseOR, bits) if bits else F.lit(0).cast("long")
 
 
 def parent(key: Column, levels: int = 1) -> Column:
