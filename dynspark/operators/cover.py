@@ -26,14 +26,15 @@ def axis_range(lo: Column, hi: Column, low: float, high: float, t: int) -> tuple
     left = F.greatest(fixed(a) - SLACK, F.lit(0))
     right = F.least(fixed(b) + SLACK, F.lit(1 << WIDTH))
     s = WIDTH - t
-    first = F.greatest(F.shiftright(left + ((1 << s) - 1), s) - 1, F.lit(0))
+    first = F.greatest(F.shiftright(left - 1, s), F.lit(0))  # ceil(left / 2^s) - 1
     last = F.least(F.shiftright(right, s), F.lit((1 << t) - 1))
     return first.cast("long"), last.cast("long"), meets
 
 
 def wrapped(images: DataFrame, domain: Domain, strict: bool) -> DataFrame:
-    """For periodic axes: at most one width long, moved to the domain, and once more a width above it. strict moves a
-    rectangle above the domain down by one width only, else by as many as it takes."""
+    """For periodic axes: at most one width long, moved to the domain, and a second time one width away. strict moves a
+    rectangle whose end is above the domain down by one width and no more, and the second one is above the first; else
+    the lower end comes to lie in the domain, and the second one is below."""
     if not any(domain.periodic):
         return images
     out = images
@@ -42,7 +43,7 @@ def wrapped(images: DataFrame, domain: Domain, strict: bool) -> DataFrame:
         down = F.when(hi > domain.hi[d], F.lit(w)).otherwise(F.lit(0.0)) if strict else F.floor((lo - domain.lo[d]) / w) * w
         out = out.withColumn("__down", down).withColumns({f"fl{d}": lo - F.col("__down"), f"fu{d}": hi - F.col("__down")}).drop("__down")
         out = out.withColumn(f"fu{d}", F.least(hi, lo + w))
-        out = out.withColumn("__up", F.explode(F.array(F.lit(0.0), F.lit(w)))).withColumns({f"fl{d}": lo + F.col("__up"), f"fu{d}": hi + F.col("__up")}).drop("__up")
+        out = out.withColumn("__up", F.explode(F.array(F.lit(0.0), F.lit(w if strict else -w)))).withColumns({f"fl{d}": lo + F.col("__up"), f"fu{d}": hi + F.col("__up")}).drop("__up")
     return out
 
 
@@ -87,9 +88,10 @@ def prism_cover(prisms: DataFrame, depth: int, domain: Domain, keep: list[str])
     dim = domain.dim
     if dim != 2:
         raise ValueError("prisms are supported in two dimensions")
+    prisms = prisms.withColumnsRenamed({f"c{d}": f"m{d}" for d in range(dim)})  # c0 ... are cells below
     reach = [F.abs(F.col(f"a{d}0")) + F.abs(F.col(f"a{d}1")) for d in range(dim)]
-    bounded = prisms.withColumns({f"fl{d}": F.col(f"c{d}") - reach[d] for d in range(dim)} | {f"fu{d}": F.col(f"c{d}") + reach[d] for d in range(dim)})
-    shape = [f"a{i}{j}" for i in range(dim) for j in range(dim)] + [f"c{d}" for d in range(dim)]
+    bounded = prisms.withColumns({f"fl{d}": F.col(f"m{d}") - reach[d] for d in range(dim)} | {f"fu{d}": F.col(f"m{d}") + reach[d] for d in range(dim)})
+    shape = [f"a{i}{j}" for i in range(dim) for j in range(dim)] + [f"m{d}" for d in range(dim)]
     from dynspark.functions.boxes import with_rects
 
     out = with_rects(cover(bounded, depth, domain, [*keep, *shape]), depth, domain, "dst")
@@ -97,8 +99,8 @@ def prism_cover(prisms: DataFrame, depth: int, domain: Domain, keep: list[str])
         n = [F.col(f"a1{j}"), -F.col(f"a0{j}")]
         i = 1 - j
         half = F.abs(n[0] * F.col(f"a0{i}") + n[1] * F.col(f"a1{i}"))
-        at = n[0] * F.col("c0") + n[1] * F.col("c1")
+        at = n[0] * F.col("m0") + n[1] * F.col("m1")
         middle = n[0] * (F.col("l0") + F.col("u0")) / 2 + n[1] * (F.col("l1") + F.col("u1")) / 2
         spread = F.abs(n[0]) * (F.col("u0") - F.col("l0")) / 2 + F.abs(n[1]) * (F.col("u1") - F.col("l1")) / 2
-        out = out.filter(F.abs(middle - at) <= half + spread)
+        out = out.filter(F.abs(middle - at) <= half + spread + 1e-9 * (F.lit(1.0) + half))
     return out.select(*keep, "dst")

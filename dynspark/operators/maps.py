@@ -17,11 +17,18 @@ from dynspark.functions.intervals import Interval
 PointMap = Callable[[list[Column]], Sequence[Column]]
 
 
+def _different(xs: list[Column]) -> list[Column]:
+    """Without repeats of one expression: a component often depends on some axes only."""
+    return list({str(x): x for x in xs}.values())
+
+
 def _least(xs: list[Column]) -> Column:
+    xs = _different(xs)
     return F.least(*xs) if len(xs) > 1 else xs[0]
 
 
 def _greatest(xs: list[Column]) -> Column:
+    xs = _different(xs)
     return F.greatest(*xs) if len(xs) > 1 else xs[0]
 
 
