@@ -150,8 +150,9 @@ def distributed_reach(edges: DataFrame, members: DataFrame) -> DataFrame:
 def recurrence(edges: DataFrame, group_edges: int = GROUP_EDGES) -> tuple[DataFrame, DataFrame]:
     """members (node, comp, key) and reach (node, comp, other) of the graphs of all nodes. comp is the component's least key."""
     edges = cut(edges.select("node", "src", "dst"))
-    large = cut(edges.groupBy("node").count().filter(F.col("count") > group_edges).select("node"))
-    some = not large.isEmpty()
+    counts = edges.groupBy("node").count()
+    some = (counts.agg(F.max("count")).first()[0] or 0) > group_edges
+    large = cut(counts.filter(F.col("count") > group_edges).select("node")) if some else None
     small = edges.join(large, "node", "left_anti") if some else edges
     both = cut(small.groupBy("node").applyInArrow(_one, "kind int, node long, comp long, other long"))
     members = both.filter("kind = 0").select("node", "comp", F.col("other").alias("key"))

@@ -123,50 +123,47 @@ class MorseGraph:
 
 def morse_graph(spark: SparkSession, model: Model) -> MorseGraph:
     least, most = model.min - model.init, model.max - model.init
-    boxes = grid.uniform(spark, model.init).withColumn("node", F.lit(-1).cast("long")).withColumn("size", F.lit(1 << model.init).cast("long"))
+    boxes = grid.uniform(spark, model.init).select(F.lit(-1).cast("long").alias("node"), "key", F.lit(1 << model.init).cast("long").alias("size"), F.lit(None).cast("long").alias("top"))
     levels: list[dict[str, DataFrame]] = []
     for level in range(most + 1):
-        boxes = cut(with_cells(boxes.select("node", "key", "size"), model.init + level, model.domain.dim))
+        boxes = cut(with_cells(boxes, model.init + level, model.domain.dim))
         active = boxes.filter(F.col("size") <= model.limit) if level > least else boxes
-        if boxes.isEmpty():
-            break
         members, reach = graph.recurrence(transitions(model, active, model.init + level), model.group_edges)
-        nodes = boxes.groupBy("node").agg(F.first("size").alias("size"))
+        nodes = boxes.groupBy("node").agg(F.first("size").alias("size"), F.first("top").alias("top"))
         levels.append({"boxes": boxes, "members": members, "reach": reach, "nodes": nodes})
-        sizes = members.groupBy("comp").agg((F.count(F.lit(1)) * 2).alias("size"))
-        boxes = grid.subdivide(members.join(sizes, "comp").select(F.col("comp").alias("node"), "key", "size"))
-    spurious = _spurious(levels, model, least)
-    return _assembled(model, levels, spurious, least)
-
-
-def _spurious(levels: list[dict[str, DataFrame]], model: Model, least: int) -> list[DataFrame]:
-    """For each level: node of those that turn out to have no recurrence, by themselves or in all of their children."""
-    out: list[DataFrame] = []
-    below = None
-    for level in range(len(levels) - 1, -1, -1):
-        own = levels[level]
-        comps = own["members"].select("node", "comp").distinct()
-        tried = own["nodes"].filter(F.col("size") <= model.limit) if level > least else own["nodes"]
-        none = tried.select("node").join(comps, "node", "left_anti")
-        if below is not None:
-            lost = comps.join(below.select(F.col("node").alias("comp")).withColumn("lost", F.lit(True)), "comp", "left")
-            none = none.unionByName(lost.groupBy("node").agg(F.bool_and(F.coalesce("lost", F.lit(False))).alias("all")).filter("all").select("node"))
-        below = cut(none)
-        out.append(below)
-    return out[::-1]
-
-
-def _assembled(model: Model, levels: list[dict[str, DataFrame]], spurious: list[DataFrame], least: int) -> MorseGraph:
+        if level == most or members.isEmpty():
+            break
+        # top: of nodes below depth min, their ancestor one level below it
+        top = F.col("comp") if level == least else F.col("top")
+        sizes = members.groupBy("node", "comp").agg((F.count(F.lit(1)) * 2).alias("size")).join(nodes.select("node", "top"), "node")
+        boxes = grid.subdivide(members.join(sizes.select("comp", "size", top.alias("top")), "comp").select(F.col("comp").alias("node"), "key", "size", "top"))
+    return _assembled(model, levels, _lost(levels, model, least, most), least)
+
+
+def _lost(levels: list[dict[str, DataFrame]], model: Model, least: int, most: int) -> DataFrame | None:
+    """top of the components of depth min that recur no more when refined: none of their parts is left at depth max or
+    was too large to be tried."""
+    if len(levels) <= least + 1:
+        return None
+    alive = []
+    for level in range(least + 1, len(levels)):
+        own = levels[level]["nodes"]
+        alive.append(own.filter(F.col("size") > model.limit).select("top"))
+        if level == most:
+            alive.append(own.join(levels[level]["members"].select("node").distinct(), "node", "left_semi").select("top"))
+    every = levels[least + 1]["nodes"].select("top")
+    return cut(every.join(reduce(DataFrame.unionByName, alive).distinct(), "top", "left_anti"))
+
+
+def _assembled(model: Model, levels: list[dict[str, DataFrame]], lost: DataFrame | None, least: int) -> MorseGraph:
     spark = levels[0]["boxes"].sparkSession
     none = spark.createDataFrame([], "node long, comp long, key long")
     members = levels[least]["members"] if len(levels) > least else none
-    lost = spurious[least + 1].select(F.col("node").alias("comp")) if len(spurious) > least + 1 else None
     if lost is not None:
-        members = members.join(lost, "comp", "left_anti")
+        members = members.join(lost.select(F.col("top").alias("comp")), "comp", "left_anti")
     members = cut(members)
     sets = members.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("least"))
-    numbered = sets.withColumn("v", F.row_number().over(Window.orderBy("least")) - 1)  # a row a set
-    numbered = cut(numbered)
+    numbered = cut(sets.withColumn("v", F.row_number().over(Window.orderBy("least")) - 1))  # a row a set
     # the component of each level that a vertex is in
     above = numbered.select("v", "node", "comp")
     pairs = []
@@ -179,12 +176,8 @@ def _assembled(model: Model, levels: list[dict[str, DataFrame]], spurious: list[
             above = cut(above.select("v", F.col("node").alias("comp")).join(up, "comp").select("v", "node", "comp"))
     edges = cut(reduce(DataFrame.unionByName, pairs).distinct()) if pairs else none.select(F.col("node").alias("u"), F.col("comp").alias("v"))
     grids = [x["boxes"].select(F.lit(model.init + k).alias("depth"), "key") for k, x in enumerate(levels[: least + 1])]
-    kept = spurious[least + 1].select("node") if len(spurious) > least + 1 else None
-    for level in range(least + 1, len(levels)):
-        if kept is None:
-            break
-        grids.append(levels[level]["boxes"].join(kept, "node", "left_semi").select(F.lit(model.init + level).alias("depth"), "key"))
-        kept = levels[level]["members"].join(kept, "node", "left_semi").select(F.col("comp").alias("node")).distinct()
+    if lost is not None:
+        grids += [x["boxes"].join(lost, "top", "left_semi").select(F.lit(model.init + k).alias("depth"), "key") for k, x in enumerate(levels) if k > least]
     phase = cut(grid.ranked(cut(grid.join_grids(*grids))))
     vertices = numbered.select("v", F.lit(model.min).alias("depth"), "size", "least")
     named = members.join(numbered.select("node", "comp", "v"), ["node", "comp"]).select("v", "key")
