@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from dynspark.llm import bpe, byte_cnn, chat, embedding_dedup, exact_dedup, html_extract, mixing, simhash, substring_dedup, token_output
+from dynspark.llm import bpe, byte_cnn, chat, embedding_dedup, exact_dedup, html_extract, mixing, shingle_dedup, simhash, substring_dedup, token_output
 from dynspark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -232,6 +232,77 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def plain_shingles(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def alike_pairs(texts):
+    sets, where = {i: plain_shingles(t) for i, t in texts.items()}, {}
+    for i, own in sets.items():
+        for s in own:
+            where.setdefault(s, []).append(i)
+    pairs = {(a, b) for own in where.values() for a in own for b in own if a < b}
+    return [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def edited_texts():
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{int(rng.integers(3000))}"
+    line, made = " ".join(word() for _ in range(40)), []
+    for k in range(40):
+        base = [word() for _ in range(int(rng.integers(3, 200)))]
+        for n in range(6):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(base) // 25))):
+                own[int(rng.integers(len(own)))] = word()
+            made.append(" ".join(own[: len(own) - int(rng.integers(0, 1 + len(own) // 10))]) + (f" {line}" if k % 2 else ""))
+    return dict(enumerate(["", " \t", *made]))
+
+
+def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
+    import corpus_pipeline as pipeline
+
+    made = edited_texts()
+    pairs = alike_pairs(made)
+    far = [1 for a, b in pairs if (plain_fingerprint(made[a]) ^ plain_fingerprint(made[b])).bit_count() > 3]
+    assert len(far) > 50
+    docs = docs_of(spark, [(i, t, "en", "a", len(t)) for i, t in made.items()])
+    got = pipeline.near_copies(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(union_find(made, pairs).values()))
+    assert pipeline.near_copies(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_copies_of_given_documents(spark):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    made = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert {r["doc_id"] for r in shingle_dedup.drop(docs).collect()} == set(union_find(made, alike_pairs(made)).values())
+
+
+def test_near_copies_in_batches_and_with_frequent_shingles(spark, monkeypatch):
+    made = edited_texts()
+    docs = docs_of(spark, [(i, t, "en", "a", len(t)) for i, t in made.items()])
+    want = sorted(set(union_find(made, alike_pairs(made)).values()))
+    monkeypatch.setattr(shingle_dedup, "FREQUENT", 5)
+    monkeypatch.setattr(shingle_dedup, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(r["doc_id"] for r in shingle_dedup.drop(docs).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    base = [f"word{k}" for k in range(100)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"other{k}" for k in range(80))
+    rows = [(1, " ".join(base), "en", "a", 1), (2, near, "en", "a", 1), (2, other, "en", "a", 1), (None, near + " y", "en", "a", 1), (None, near + " z", "en", "a", 1), (None, "alone", "en", "a", 1), (9, "twice", "en", "a", 1), (9, "twice", "en", "a", 1)]
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in shingle_dedup.drop(docs_of(spark, rows)).collect())
+    assert got == [(-1, "alone"), (1, " ".join(base)), (2, other), (9, "twice")]
+
+
 # --- 5, 6 -------------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header><div>Site name</div></header>
