@@ -12,7 +12,8 @@ parts; their words are drawn from no table. The weights have a fixed size and go
 scored where they lie, without a shuffle, one at a time.
 
 A null or empty page, and one without any content block, gives an empty text. Very long pages need memory in proportion.
-Unclosed tags, stray ends and broken references are taken as browsers take them, nearly. Rows that repeat stay repeated.
+Unclosed tags, stray ends and broken references are taken as browsers take them, nearly;
+a head ends at the first text or tag that can't stand in one. Rows that repeat stay repeated.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from dynspark.llm.common import table, text_or_empty
 #: Names of elements by how they are laid out.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("audio button canvas datalist head iframe math noscript object option script select style svg template textarea title video".split())
+UNSEEN = frozenset("annotation annotation-xml audio button canvas datalist head iframe noscript object option script select style svg template textarea title video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "thead": {"tr"}, "tfoot": {"tbody", "tr", "td"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -86,6 +88,8 @@ def blocks(page: str) -> list[Block]:
 
     def words(raw: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop_to(len(stack) - 1)
         if raw and not hidden:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -111,6 +115,8 @@ def blocks(page: str) -> list[Block]:
                 if k >= 0:
                     del stack[k]
             continue
+        if tag not in HEAD and stack and stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             continue

@@ -328,6 +328,20 @@ def test_main_text_of_pages(spark, field):
     assert html_extract.extract(pages.limit(0), field).count() == 0
 
 
+def test_head_without_its_end_tag_hides_nothing(field):
+    want = html_extract.main_text(PAGE, field)
+    assert want
+    for given in (PAGE.replace("</head>", ""), PAGE.replace("</head><body>", ""), PAGE.replace("</head>", "<meta charset='utf-8'><template><p>no</p></template><link rel='x'>")):
+        assert html_extract.main_text(given, field) == want
+    assert [b.text for b in html_extract.blocks("<head><title>no</title><meta x>Only text <b>here</b>")] == ["Only text here"]
+
+
+def test_formulas_are_text(field):
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='x'>no</annotation></semantics></math>"
+    got = html_extract.main_text(PAGE.replace("<b>bold</b>", formula), field)
+    assert got == html_extract.main_text(PAGE.replace("<b>bold</b>", "E=m"), field) and "E=m text" in got
+
+
 def test_field_on_pages_laid_out_otherwise(field):
     wrong = total = 0
     for page in html_extract.labelled_pages(80, seed=77):
