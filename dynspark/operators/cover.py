@@ -53,10 +53,11 @@ def cover_cells(images: DataFrame, depth: int, domain: Domain, keep: list[str],
     ranges = {}
     for d in range(dim):
         a, b, meets = axis_range(F.col(f"fl{d}"), F.col(f"fu{d}"), domain.lo[d], domain.hi[d], t[d])
-        ranges[f"__r{d}"] = F.when(meets, F.sequence(a, F.greatest(a, b)))  # a touching rectangle has a <= b; null: explodes to nothing
+        ranges[f"__r{d}"] = F.when(meets, F.sequence(a, F.greatest(a, b)))  # a touching rectangle has a <= b; null: outside
     out = wrapped(images, domain, strict).select(*keep, *[c.alias(name) for name, c in ranges.items()])
-    for d in range(dim):
-        out = out.withColumn(f"c{d}", F.explode(f"__r{d}")).drop(f"__r{d}")
+    for d in range(dim):  # outer: of explode() Catalyst infers a filter on the whole range, which it then moves down to the scan
+        out = out.withColumn(f"c{d}", F.explode_outer(f"__r{d}")).drop(f"__r{d}")
+    out = out.filter(reduce(Column.__and__, [F.col(f"c{d}").isNotNull() for d in range(dim)]))
     return out.distinct() if any(domain.periodic) else out
 
 
