@@ -8,7 +8,8 @@ task fills its shard in place, whatever order its parts come in, and writes it u
 does no harm. A slot's place in the files is arithmetic: reading can begin or go on at any slot.
 
 Between the tasks that encode and those that write, sequences for one shard travel together, compressed. The encoded
-chunks are persisted between counting and placing, in memory as far as there is, else on disk; a lost part is made again.
+chunks are persisted between counting and placing, in memory as far as there is, else on disk, and given up when the
+shards are written; a lost part is made again from the input.
 
 A null or empty text makes one sequence that is an end token alone. Null ids are kept. Repeated rows are sequences of
 their own. An empty table gives no shard and an empty result. Slots follow from how the table is partitioned: runs over the
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dynspark.llm.bpe import default_path, slices, vocabulary
-from dynspark.llm.common import shared_dir, table, text_or_empty
+from dynspark.llm.common import mixed, shared_dir, table, text_or_empty
 
 #: Ids in a sequence; sequences in a shard (16 MB of 2-byte ids); sequences' bytes that a task gathers before it sends them.
 SEQUENCE, SHARD, CHUNK = 512, 1 << 14, 1 << 24
@@ -48,23 +49,17 @@ class Layout(NamedTuple):
         return f"{self.folder}/shard-{k:08d}.bin"
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     """A permutation of 0 .. n - 1: a balanced Feistel network over an even number of bits, applied until the result is below n."""
     half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
-    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+    keys = mixed(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF))
     out = numbers.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> half, out[todo] & mask
         for k in keys:
-            left, right = right, left ^ (mix(right + k) & mask)
+            left, right = right, left ^ (mixed(right + k) & mask)
         out[todo] = left << half | right
         todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
@@ -84,24 +79,31 @@ def encoded_chunks(docs: DataFrame, path: str, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         wide = bpe.dtype().itemsize
-        end = np.array([max(bpe.added.values(), default=bpe.size - 1)], bpe.dtype).tobytes()
+        end = max(bpe.added.values(), default=bpe.size - 1)
         ids: list[int] = []
-        texts: list[bytes] = []
+        counts: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
         size = 0
 
         def chunk() -> pa.RecordBatch:
-            counts = np.fromiter((len(t) // wide for t in texts), np.int64, len(texts))
-            row = (len(ids), int((-(-counts // length)).sum()), packed(np.array(ids, np.int64).tobytes()), packed(counts.tobytes()), int(counts.sum()) * wide, packed(b"".join(texts)))
+            own, all_tokens = np.concatenate(counts), np.concatenate(tokens)
+            row = (len(ids), int((-(-own // length)).sum()), packed(np.array(ids, np.int64).tobytes()), packed(own.tobytes()), all_tokens.nbytes, packed(all_tokens.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["n", "sequences", "ids", "counts", "bytes", "tokens"])
 
         for b in slices(batches):
             ids += [NO_ID if i is None else i for i in b.column(0).to_pylist()]
-            new = [t + end for t in bpe.encode(b.column(1).to_pylist())]
-            texts += new
-            size += sum(map(len, new))
+            new, n = bpe.encode(b.column(1).to_pylist())
+            last = np.cumsum(n + 1) - 1
+            out = np.full(len(new) + len(n), end, bpe.dtype)
+            own = np.ones(len(out), bool)
+            own[last] = False
+            out[own] = new
+            counts.append(n + 1)
+            tokens.append(out)
+            size += len(out) * wide
             if size >= CHUNK:
                 yield chunk()
-                ids, texts, size = [], [], 0
+                ids, counts, tokens, size = [], [], [], 0
         if ids:
             yield chunk()
 
@@ -109,7 +111,7 @@ def encoded_chunks(docs: DataFrame, path: str, length: int) -> DataFrame:
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, shard: int = SHARD, key: int = KEY) -> tuple[DataFrame, Layout]:
-    """The manifest and the layout. Shards are written when the manifest is evaluated: doc_id, part, n_tokens, slot, shard, offset (bytes) of each sequence."""
+    """Writes the shards and, beside them, the manifest; returns it and the layout. Manifest: doc_id, part, n_tokens, slot, shard, offset (bytes) of each sequence."""
     path = path or default_path()
     dtype = np.dtype(vocabulary(path).dtype)
     chunks = encoded_chunks(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), path, length)
@@ -174,7 +176,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
 
     dealt = chunks.select("n", "ids", "counts", "bytes", "tokens").mapInArrow(placed, "shard int, n long, head binary, bytes long, tokens binary")
     dealt = dealt.repartitionById(shards, F.col("shard"))
-    return dealt.mapInArrow(written, "doc_id long, part int, n_tokens int, slot long, shard int, offset long"), layout
+    try:
+        dealt.mapInArrow(written, "doc_id long, part int, n_tokens int, slot long, shard int, offset long").write.parquet(f"{folder}/manifest")
+    finally:
+        chunks.unpersist()
+    return docs.sparkSession.read.parquet(f"{folder}/manifest"), layout
 
 
 def put(name: str, data: bytes) -> None:
