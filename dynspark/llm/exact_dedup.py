@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dynspark.llm.common import cut, table, text_or_empty
+from dynspark.llm.common import cut, table, text_or_empty, without
 
 #: Digests proposed as heavy, and items that the sketch tracks.
 HEAVY, TRACKED = 256, 8192
@@ -48,16 +48,10 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without its duplicates: of equal texts the row with the largest id. Columns stay as they are."""
-    marked = cut(marks(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"), "kept"))
-    own = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256))
-    same = lambda other: own[id_col].eqNullSafe(other["__id"]) & (own["__sha"] == other["__digest"])
-    losers = marked.filter(~F.col("kept")).select("__id", "__digest").distinct()
-    repeats = cut(marked.filter("kept").groupBy("__id", "__digest").count().filter("count > 1").drop("count"))
-    left = own.join(losers, same(losers), "left_anti")
-    if not repeats.isEmpty():
-        once = left.join(repeats, same(repeats), "left_semi").dropDuplicates(["__sha"])
-        left = left.join(repeats, same(repeats), "left_anti").unionByName(once)
-    return left.drop("__sha")
+    marked = cut(marks(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"), "kept"))
+    losers = marked.filter(~F.col("kept")).select("id", "digest").distinct()
+    repeats = cut(marked.filter("kept").groupBy("id", "digest").count().filter("count > 1").drop("count"))
+    return without(docs, id_col, F.sha2(text_or_empty(text_col), 256), losers, repeats)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,11 @@ away than a home may be, summed over the blocks of the code. Homes and visitors
 Per anchor no pairs are emitted. The homes are held, in slices of at most about SLICE, visitors stream past; a visitor
 gives one link for each group of homes that it is the first to join. So a large group of near copies yields as many
 links as it has members and not their square, and all links together connect what the pairs would connect. An anchor
-with more homes than SLICE is split by a hash of the home; its visitors go to all slices.
+with more homes than SLICE is split by a hash of the home, its visitors into parts by a hash of theirs; each part meets each slice.
 
-Equal fingerprints are one node (the least id). Nulls count as empty texts; a text without words has fingerprint zero
-and links like any other. Rows that repeat an id are one node. A null id keeps its fingerprint and has the component of its
-fingerprint. An empty table gives an empty result.
+Nodes are fingerprints. Nulls count as empty texts; a text without words has fingerprint zero and links like any other.
+Rows that repeat an id each have the component of their fingerprint, and so has a null id, which is no component's name
+while others are there. An empty table gives an empty result. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dynspark.llm.common import cut, table, text_or_empty
+from dynspark.llm.common import cut, survivors, table, text_or_empty
 from dynspark.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
-#: Homes of an anchor that one task compares with at a time.
-SLICE = 4096
+#: Homes of an anchor that one task compares with at a time; parts that a hot anchor's visitors are dealt into at most.
+SLICE, PARTS = 4096, 16
 #: Rows of a table of hot anchors that may be broadcast.
 BROADCAST_ROWS = 100_000
 UPPER = bytes(range(65, 91))
@@ -61,14 +61,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (the 64 bits as a long) of each row."""
+    """id, digest (of the text), fp (the 64 bits as a long) of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(work, "id long, fp long")
+    text, kind = text_or_empty(text_col), docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(work, f"id {kind}, digest long, fp long")
 
 
 # --- the covering code ------------------------------------------------------------------------------------------------
@@ -195,16 +196,20 @@ def links(distinct: DataFrame, bits: int = BITS, slice_rows: int = SLICE) -> Dat
                 yield pd.DataFrame({"anchor": anchors, "fp": fps[rows]})
 
     homes = cut(distinct.mapInPandas(homes_of, "anchor long, fp long"))
-    hot = cut(homes.groupBy("anchor").count().filter(F.col("count") > slice_rows).select("anchor", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")))
+    hot = homes.groupBy("anchor").count().filter(F.col("count") > slice_rows).select("anchor", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+    hot = cut(hot.withColumn("parts", F.least("slices", F.lit(PARTS))))
     visits = distinct.mapInPandas(visits_of, "anchor long, fp long")
     many = hot.count()
     small = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
     if many:
-        homes = homes.join(small, "anchor", "left").withColumn("slice", F.coalesce(F.pmod(F.hash("fp"), F.col("slices")), F.lit(0))).drop("slices")
-        visits = visits.join(small, "anchor", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1))).drop("slices")
+        homes, visits = (x.join(small, "anchor", "left").fillna(1, ["slices", "parts"]) for x in (homes, visits))
+        own, every = (lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+        homes = homes.withColumn("slice", own("slices")).withColumn("part", every("parts")).drop("slices", "parts")
+        visits = visits.withColumn("part", own("parts")).withColumn("slice", every("slices")).drop("slices", "parts")
     else:
-        homes, visits = homes.withColumn("slice", F.lit(0)), visits.withColumn("slice", F.lit(0))
+        homes, visits = (x.withColumn("slice", F.lit(0)).withColumn("part", F.lit(0)) for x in (homes, visits))
     dealt = homes.withColumn("visits", F.lit(False)).unionByName(visits.withColumn("visits", F.lit(True)))
+    dealt = dealt.withColumn("slice", F.col("slice") * PARTS + F.col("part")).select("anchor", "fp", "slice", "visits")
     dealt = dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice", "visits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,25 +231,30 @@ def links(distinct: DataFrame, bits: int = BITS, slice_rows: int = SLICE) -> Dat
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], ["u", "v"])
 
-    return dealt.select("anchor", "fp", "slice", "visits").mapInArrow(compare, "u long, v long").distinct()
+    return dealt.mapInArrow(compare, "u long, v long").distinct()
+
+
+def joined(fps: DataFrame, bits: int) -> DataFrame:
+    """fps: fp. Returns fp, component (one of its fingerprints) of the fingerprints that are linked to others."""
+    return components(links(fps.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hexadecimal digits), component_id (the least id reachable by links)."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    fps = cut(fingerprints(docs, id_col, text_col, shingle).drop("digest"))
     least = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    joined = components(links(least.select("fp"), bits))
-    named = least.join(joined, least["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = least.join(joined(least, bits), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ends = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ends, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the least id."""
-    near = near_duplicates(docs, id_col, text_col)
-    losers = near.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(losers, docs[id_col] == losers["__id"], "left_anti")
+def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """docs with one document of each component: the one with the least id; null ids come last. Rows are told apart by id
+    and text, so of rows that share an id each may stay or go; of equal rows one stays. Columns stay as they are."""
+    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    named = fps.join(joined(fps, bits), "fp", "left").select("id", "digest", F.coalesce("component", "fp").alias("component"))
+    return survivors(docs, id_col, F.xxhash64(text_or_empty(text_col)), named)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
