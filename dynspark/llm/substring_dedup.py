@@ -1,20 +1,23 @@
 """Removal of passages that repeat across documents: every run of WINDOW words that also starts in a smaller document.
 
-1. A count-min sketch. Each task hashes the windows of its documents to one cell in each of DEPTH rows and keeps how
-   often a cell was met, up to two. These partial sketches are sparse, sorted, cut into shards of the cells and merged
-   shard by shard. A merged count is never below the count of any window in the cell, so a window that repeats is never
-   missed. What is sent out again is one bit a cell (met twice or more): at most DEPTH x MOST_CELLS / 8 bytes, 256 MB.
-   The number of cells follows the size of the corpus up to that bound; above it more windows pass, none is lost.
-2. The second pass reads the texts again and takes the windows whose cells were all met twice or more. Within a task's
-   chunk of documents only a window's smallest document has to be compared with others: the rest are covered already.
-   So a passage that a third of all documents share makes one entry a chunk and not one a document. Entries are
-   shuffled by hash, and windows of equal 96-bit hash are grouped; all but the smallest document's are covered.
-3. Texts, and the covered starts, go to buckets by a hash of id and text, compressed in blobs. A task reads a
-   bucket's starts first and streams its texts past them, taking the covered words out.
+Documents are taken in chunks of CHUNK bytes of text, numbered in each partition of the input. Nothing here is held whole by the driver or sent to all
+tasks: what a chunk has to know comes to it by a shuffle.
+
+1. A count-min sketch. A chunk's windows are hashed to one cell in each of DEPTH rows; per row its distinct cells, and
+   whether it met them more than once, go as sorted gaps, compressed, to the shards of the row. A shard merges the partial sketches of all
+   chunks; a merged count is never below the count of any window in the cell, so a window that repeats is never missed.
+   Back to each chunk goes one bit for each of its cells: met twice or more. Cells are CELLS times the number of windows
+   at any size, so a window that doesn't repeat passes all rows with (1 - exp(-1 / CELLS))^DEPTH, 5 %, at most.
+2. A chunk and its bits meet; windows all of whose cells were met twice or more are kept, and grouped exactly. Within a
+   chunk only a window's smallest document has to be compared with others: the rest are covered already. So a passage that
+   a third of all documents share makes one entry a chunk and not one a document. Entries are shuffled by hash, and windows of equal
+   96 bits, from two independent hashes of each word, are grouped; all but the smallest document's are covered.
+3. A chunk and its covered starts meet, and the covered words are taken out.
 
 Words are runs of other characters than space and 0x09-0x0D, unchanged. Nulls and texts of fewer words have no window.
 A document doesn't cover itself, and rows that repeat an id don't cover each other. A null id counts as larger than any
-other. Different texts under one id are kept apart. An empty table gives an empty result.
+other. Different texts under one id are kept apart. A text longer than CHUNK is a chunk of its own and needs memory in
+proportion. An empty table gives an empty result. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -27,260 +30,74 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dynspark.llm.common import table, text_or_empty
+from dynspark.llm.common import SHORT, mixed, packed, short_keys, table, text_or_empty, unpacked
 
-WINDOW, DEPTH = 13, 2
-#: Cells in a row of the sketch at most, and for each character of the corpus (about three for each word).
-MOST_CELLS, CELLS_PER_CHAR = 1 << 30, 0.4
-SHARD = 1 << 22
-#: Windows that a task keeps before it sends them off, and that a group of the second pass gets on average at most.
-CHUNK, GROUP = 1 << 21, 1 << 22
-#: Characters of text in a bucket of the last step on average, and that a task gathers before it sends them.
-BUCKET, GATHERED = 1 << 24, 1 << 24
+WINDOW = 13
+#: Rows of the sketch; cells in a row for each window at least; windows for each character, about as many as words.
+DEPTH, CELLS, PER_CHAR = 2, 4, 1 / 6
+#: Bytes of text in a chunk; windows in a shard of the sketch, and in a group of the second pass, on average at most.
+CHUNK, SHARD, GROUP = 12 << 20, 1 << 22, 1 << 22
 NO_ID = np.iinfo(np.int64).max
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def packed(a: np.ndarray) -> bytes:
-    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+# --- windows ----------------------------------------------------------------------------------------------------------
 
 
-def unpacked(blob: bytes, kind: type, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of data, which ends in white space."""
+    white = np.r_[True, WHITE[data]]
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    return edges[0::2], edges[1::2]
 
 
-def gaps(values: np.ndarray) -> bytes:
-    """Sorted numbers as bytes: each gap as often 255 as it goes, then the rest."""
-    gap = np.diff(values, prepend=0)
-    over = gap // 255
-    out = np.full(int(over.sum()) + len(gap), 255, np.uint8)
-    out[np.cumsum(over + 1) - 1] = gap % 255
-    return out.tobytes()
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word."""
+    lengths = ends - starts
+    short = lengths <= SHORT
+    low, high = short_keys(data, starts[short], lengths[short])
+    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    one[short] = mixed(mixed(low) + high)
+    two[short] = mixed(mixed(high ^ np.uint64(ODD[1])) ^ low)
+    for i in np.flatnonzero(~short).tolist():
+        word = data[starts[i] : ends[i]].tobytes()
+        one[i], two[i] = xxhash.xxh64_intdigest(word, 1), xxhash.xxh64_intdigest(word, 2)
+    return one, two
 
 
-def from_gaps(blob: bytes) -> np.ndarray:
-    data = np.frombuffer(blob, np.uint8)
-    return np.cumsum(data, dtype=np.int64)[data < 255]
+def rolled(h: np.ndarray, odd: int) -> np.ndarray:
+    """A hash of each WINDOW (13 = 8 + 4 + 1) successive numbers."""
+    p = lambda k: np.uint64(pow(odd, k, 1 << 64))
+    two = h[:-1] + h[1:] * p(1)
+    four = two[:-2] + two[2:] * p(2)
+    eight = four[:-4] + four[4:] * p(4)
+    n = len(h) - WINDOW + 1
+    return mixed(eight[:n] + four[8 : 8 + n] * p(8) + h[12 : 12 + n] * p(12))
 
 
 class Windows:
-    """The windows of one document after another: two hashes, document and start of each."""
-
-    def __init__(self) -> None:
-        self.ids: list[int] = []
-        self.keys: list[int] = []
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
-
-    def add(self, ids: list[int | None], texts: list[str]) -> None:
-        split, raw = [], [t.encode() for t in texts]
-        for i, data in zip(ids, raw, strict=True):
-            words = data.split()
-            if len(words) >= WINDOW:
-                self.ids.append(NO_ID if i is None else i)
-                self.keys.append(xxhash.xxh64_intdigest(data, 42))
-                split.append(words)
-        if not split:
+    """The windows of a chunk: two hashes, number of the document and number of the first word in it."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        """data: texts, each followed by a line feed; sizes: their bytes with it."""
+        starts, ends = words_of(data)
+        n = len(starts) - WINDOW + 1
+        if n <= 0:
+            self.h, self.check, self.doc, self.start = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
             return
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((xxhash.xxh64_intdigest(w) for words in split for w in words), np.uint64, int(lengths.sum()))
-        n = len(flat) - WINDOW + 1
-        hashes = []
-        for odd in ODD:
-            h, power = np.zeros(n, np.uint64), np.uint64(1)
-            for k in range(WINDOW):
-                h += flat[k : k + n] * power
-                power = np.uint64(int(power) * odd & 0xFFFFFFFFFFFFFFFF)
-            hashes.append(h)
-        first = np.cumsum(lengths) - lengths
-        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[:n]
-        start = (np.arange(n) - first[doc]).astype(np.int32)
-        whole = start <= lengths[doc] - WINDOW
-        base = len(self.ids) - len(split)
-        h, check = mixed(hashes[0][whole]), (mixed(hashes[1][whole]) >> np.uint64(32)).astype(np.uint32)
-        self.parts.append((h, check, doc[whole] + np.int32(base), start[whole]))
-        self.n += len(h)
-
-    def arrays(self) -> list[np.ndarray]:
-        return [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return ((h if row == 0 else mixed(h + np.uint64(row))) % np.uint64(cells)).astype(np.int64)
-
-
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
-    """batches: id, text."""
-    now = Windows()
-    for b in batches:
-        for k in range(0, b.num_rows, 200):
-            part = b.slice(k, 200)
-            now.add(part.column(0).to_pylist(), part.column(1).to_pylist())
-            if now.n >= CHUNK:
-                yield now
-                now = Windows()
-    if now.n:
-        yield now
-
-
-def sketch(docs: DataFrame, cells: int) -> list[np.ndarray]:
-    """docs: id, text. One packed bit a cell for each row of the merged sketch: met twice or more."""
-    shards = -(-cells // SHARD)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w in chunks(batches):
-            h = w.arrays()[0]
-            names, sizes, blobs = [], [], []
-            for row in range(DEPTH):
-                met = np.sort(cell(h, row, cells))
-                third = np.r_[False, False, met[2:] == met[:-2]]
-                met = met[~third]
-                ends = np.searchsorted(met, np.arange(shards + 1) * SHARD)
-                for k in np.flatnonzero(np.diff(ends)).tolist():
-                    names.append(row * shards + k)
-                    blobs.append(pa.compress(gaps(met[ends[k] : ends[k + 1]] - k * SHARD), codec="zstd", asbytes=True))
-                    sizes.append(int(ends[k + 1] - ends[k]) + int((np.diff(met[ends[k] : ends[k + 1]], prepend=k * SHARD) // 255).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "size", "met"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, np.zeros(0, np.uint8)
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())], ["shard", "bits"])
-        for b in batches:
-            for name, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if name != at:
-                    if at is not None:
-                        yield done()
-                    at, counts = name, np.zeros(SHARD, np.uint8)
-                met = from_gaps(pa.decompress(blob.as_buffer(), size, codec="zstd", asbytes=True))
-                again = np.r_[False, met[1:] == met[:-1]]
-                counts[met[again]] = 2
-                once = met[~again]
-                counts[once] = np.minimum(counts[once] + 1, 2)
-        if at is not None:
-            yield done()
-
-    partials = docs.mapInArrow(partial, "shard int, size long, met binary")
-    found = partials.repartition("shard").sortWithinPartitions("shard").mapInArrow(merged, "shard int, bits binary")
-    rows = [np.zeros(shards * SHARD // 8, np.uint8) for _ in range(DEPTH)]
-    for r in found.toLocalIterator():
-        row, k = divmod(r["shard"], shards)
-        rows[row][k * SHARD // 8 : (k + 1) * SHARD // 8] = np.frombuffer(r["bits"], np.uint8)
-    return rows
-
-
-def bucket_of(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(ids.view(np.uint64) * np.uint64(ODD[0]) ^ keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-#: kind 0: n documents' (a: ids, b: text hashes, c: numbers of) covered starts, size in all, d. kind 1: n documents, c: bytes of each text, size in all, d: texts.
-BLOB = "bucket long, kind int, n long, size long, a binary, b binary, c binary, d binary"
-BLOB_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-BLOB_NAMES = ("bucket", "kind", "n", "size", "a", "b", "c", "d")
-
-
-def blobs(rows: list[tuple]) -> list[pa.Array]:
-    columns = zip(*rows, strict=True) if rows else [()] * len(BLOB_KINDS)
-    return [pa.array(x, kind) for x, kind in zip(columns, BLOB_KINDS, strict=True)]
-
-
-def covered(docs: DataFrame, cells: int, groups: int, buckets: int) -> DataFrame:
-    """docs: id, text. The starts of covered windows, in blobs of kind 0."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w in chunks(batches):
-            h, check, doc, start = w.arrays()
-            take = np.ones(len(h), bool)
-            for row, packed_bits in enumerate(bits.value):
-                c = cell(h, row, cells)
-                take &= (packed_bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-            h, check, doc, start = (x[take] for x in (h, check, doc, start))
-            ids, keys = np.array(w.ids, np.int64), np.array(w.keys, np.uint64).view(np.int64)
-            order = np.lexsort((ids[doc], check, h))
-            h, check, doc, start = (x[order] for x in (h, check, doc, start))
-            known = later(h, check, ids[doc])
-            group = np.where(known, ids[doc].view(np.uint64) * np.uint64(ODD[0]) >> np.uint64(33), h >> np.uint64(1)) % np.uint64(groups)
-            order = np.argsort(group, kind="stable")
-            ends = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
-            rows = []
-            for g in np.flatnonzero(np.diff(ends)).tolist():
-                own = order[ends[g] : ends[g + 1]]
-                own = own[np.argsort(~known[own], kind="stable")]
-                asked = own[int(known[own].sum()) :]
-                table, of = np.unique(doc[own], return_inverse=True)
-                columns = (ids[table], keys[table], of.astype(np.uint32), start[own], h[asked], check[asked])
-                rows.append((g, len(table), len(own), len(asked), *map(packed, columns)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["group", "docs", "n", "asked", *"abcdef"])
-
-    def grouped(t: pa.Table) -> pa.Table:
-        done, asked = [], []
-        for r in t.to_pylist():
-            ids, keys = unpacked(r["a"], np.int64, r["docs"]), unpacked(r["b"], np.int64, r["docs"])
-            of, start = unpacked(r["c"], np.uint32, r["n"]), unpacked(r["d"], np.int32, r["n"])
-            h, check, k = unpacked(r["e"], np.uint64, r["asked"]), unpacked(r["f"], np.uint32, r["asked"]), r["n"] - r["asked"]
-            done.append((ids[of[:k]], keys[of[:k]], start[:k]))
-            asked.append((ids[of[k:]], keys[of[k:]], start[k:], h, check))
-        ids, keys, start, h, check = (np.concatenate(x) for x in zip(*asked, strict=True))
-        order = np.lexsort((ids, check, h))
-        hit = order[later(h[order], check[order], ids[order])]
-        done.append((ids[hit], keys[hit], start[hit]))
-        ids, keys, start = (np.concatenate(x) for x in zip(*done, strict=True))
-        bucket = bucket_of(ids, keys, buckets)
-        order = np.lexsort((start, keys, ids, bucket))
-        ids, keys, start, bucket = ids[order], keys[order], start[order], bucket[order]
-        ends, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            i, key, at = (x[ends[k] : ends[k + 1]] for x in (ids, keys, start))
-            first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (key[1:] != key[:-1])])
-            counts = np.diff(np.r_[first, len(i)]).astype(np.int32)
-            rows.append((k, 0, len(first), len(at), packed(i[first]), packed(key[first]), packed(counts), packed(at)))
-        return pa.table(dict(zip(BLOB_NAMES, blobs(rows), strict=True)))
-
-    columns = ", ".join(f"{c} binary" for c in "abcdef")
-    asked = docs.mapInArrow(entries, f"group long, docs long, n long, asked long, {columns}")
-    return asked.groupBy("group").applyInArrow(grouped, BLOB)
-
-
-def gathered(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: id, text. The texts, in blobs of kind 1."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        texts: list[bytes] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            i = np.array(ids, np.int64)
-            key = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
-            bucket = bucket_of(i, key, buckets)
-            order = np.argsort(bucket, kind="stable")
-            ends, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
-            for k in np.flatnonzero(np.diff(ends)).tolist():
-                own = order[ends[k] : ends[k + 1]]
-                some = [texts[j] for j in own.tolist()]
-                data = b"".join(some)
-                rows.append((k, 1, len(own), len(data), packed(i[own]), packed(key[own]), packed(np.fromiter(map(len, some), np.int32, len(some))), pa.compress(data, codec="zstd", asbytes=True)))
-            return pa.RecordBatch.from_arrays(blobs(rows), BLOB_NAMES)
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(i)
-                texts.append(t.as_py().encode())
-                size += len(texts[-1])
-                if size >= GATHERED:
-                    yield flush()
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield flush()
-
-    return docs.mapInArrow(work, BLOB)
+        one, two = word_hashes(data, starts, ends)
+        upto = np.cumsum(sizes)
+        doc = np.searchsorted(upto, starts, "right").astype(np.int32)
+        first = np.searchsorted(starts, upto - sizes)
+        whole = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
+        self.h = rolled(one, ODD[0])[whole]
+        self.check = (rolled(two, ODD[1])[whole] >> np.uint64(32)).astype(np.uint32)
+        self.doc = doc[whole]
+        self.start = (whole - first[self.doc]).astype(np.int32)
+
+    def cells(self, row: int, bits: int) -> np.ndarray:
+        return (self.h if row == 0 else mixed(self.h + np.uint64(row))) >> np.uint64(64 - bits)
 
 
 def later(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -291,49 +108,223 @@ def later(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids != np.repeat(ids[first], np.diff(np.r_[first, len(h)]))
 
 
-def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), text_or_empty(text_col).alias("text"))
-    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    cells = int(min(MOST_CELLS, max(1 << 16, chars * CELLS_PER_CHAR)))
-    groups = max(8, int(chars / 6 / GROUP), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(8, chars // BUCKET)
-    both = gathered(own, buckets).unionByName(covered(own, cells, groups, buckets))
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, marked = None, {}
-        for b in batches:
-            for r in b.to_pylist():
-                if r["bucket"] != at:
-                    at, marked = r["bucket"], {}
-                ids, keys = unpacked(r["a"], np.int64, r["n"]).tolist(), unpacked(r["b"], np.int64, r["n"]).tolist()
-                counts = unpacked(r["c"], np.int32, r["n"])
-                ends = np.cumsum(counts, dtype=np.int64).tolist()
-                if r["kind"] == 0:
-                    starts = unpacked(r["d"], np.int32, r["size"])
-                    for i, key, n, end in zip(ids, keys, counts.tolist(), ends, strict=True):
-                        marked.setdefault((i, key), []).append(starts[end - n : end])
-                    continue
-                data = pa.decompress(r["d"], r["size"], codec="zstd", asbytes=True)
-                out = [without(data[end - n : end].split(), marked.get((i, key), ())) for i, key, n, end in zip(ids, keys, counts.tolist(), ends, strict=True)]
-                columns = ([None if i == NO_ID else i for i in ids], *zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "n_words", "n_removed", "kept"])
-
-    out = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(cleaned, "id long, n_words long, n_removed long, kept string")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
+# --- chunks -----------------------------------------------------------------------------------------------------------
+
+
+def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """batches: part, id, text of one partition. Number, ids and texts of each chunk, the same whatever the batches are."""
+    ids: list[int] = []
+    texts: list[bytes] = []
+    size = done = part = 0
+    for b in batches:
+        for p, i, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            part = p.as_py()
+            ids.append(i.as_py())
+            texts.append(t.as_py().encode() + b"\n")
+            size += len(texts[-1])
+            if size >= least:
+                yield part << 32 | done, ids, texts
+                ids, texts, size, done = [], [], 0, done + 1
+    if ids:
+        yield part << 32 | done, ids, texts
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk."""
+    for chunk, ids, texts in chunks(batches, least):
+        data = b"".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        row = (chunk, len(ids), len(data), packed(np.array(ids, np.int64)), packed(sizes), pa.compress(data, codec="zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "n", "size", "ids", "sizes", "data"])
+
 
+TEXTS = "chunk long, n long, size long, ids binary, sizes binary, data binary"
 
-def without(words: list[bytes], starts: list[np.ndarray]) -> tuple[int, int, str]:
+
+def opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sizes and data of the chunk in a row of texts_of()."""
+    r = {c: t.column(c)[0] for c in t.column_names}
+    n, size = r["n"].as_py(), r["size"].as_py()
+    return unpacked(r["ids"].as_buffer(), np.int64, n), unpacked(r["sizes"].as_buffer(), np.int64, n), unpacked(r["data"].as_buffer(), np.uint8, size)
+
+
+# --- the sketch -------------------------------------------------------------------------------------------------------
+
+
+def gaps(values: np.ndarray) -> bytes:
+    """Ascending numbers as bytes: the gaps, first the lowest byte of all, then the next, as many as the largest needs."""
+    gap = np.diff(values, prepend=values[:1]).astype("<u8")
+    wide = max(1, -(-int(gap.max()).bit_length() // 8)) if len(gap) else 1
+    planes = gap.view(np.uint8).reshape(-1, 8)[:, :wide].T
+    return np.r_[np.frombuffer(np.array(values[:1], "<u8").tobytes(), np.uint8), planes.reshape(-1)].tobytes()
+
+
+def from_gaps(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    planes = raw[8:].reshape(-1, n)
+    gap = np.zeros((n, 8), np.uint8)
+    gap[:, : len(planes)] = planes.T
+    out = np.cumsum(gap.view("<u8").ravel(), dtype=np.uint64)
+    return out + raw[:8].view("<u8")[0]
+
+
+class Sketch:
+    """2^bits cells in each of DEPTH rows, 2^shard_bits shards of a row."""
+
+    def __init__(self, windows: float, parts: int):
+        self.bits = min(63, max(16, int(np.ceil(np.log2(max(1.0, windows) * CELLS)))))
+        self.shard_bits = min(self.bits, int(np.ceil(np.log2(max(parts, windows / SHARD)))))
+
+    def partial(self, batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+        """batches: part, id, text. Rows shard, chunk, n, size, cells, more: the distinct cells of a chunk, and a bit for each if it was met again."""
+        for chunk, _, texts in chunks(batches, least):
+            w = Windows(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)))
+            rows = []
+            for row in range(DEPTH):
+                met = np.sort(w.cells(row, self.bits))
+                first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]]) if len(met) else np.zeros(0, np.int64)
+                more = np.diff(np.r_[first, len(met)]) > 1
+                met = met[first]
+                ends = np.searchsorted(met, np.arange((1 << self.shard_bits) + 1, dtype=np.uint64) << np.uint64(self.bits - self.shard_bits))
+                for k in np.flatnonzero(np.diff(ends)).tolist():
+                    own, blob = slice(ends[k], ends[k + 1]), gaps(met[ends[k] : ends[k + 1]])
+                    rows.append((row << self.shard_bits | k, chunk, int(ends[k + 1] - ends[k]), len(blob), pa.compress(blob, codec="zstd", asbytes=True), np.packbits(more[own]).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["shard", "chunk", "n", "size", "cells", "more"])
+
+    @staticmethod
+    def merged(t: pa.Table) -> pa.Table:
+        """The rows of one shard. For each: a bit for each of its cells, met twice or more by all chunks together."""
+        n = t.column("n").to_numpy()
+        cells = [from_gaps(pa.decompress(c.as_buffer(), s, codec="zstd", asbytes=True), k) for c, s, k in zip(t.column("cells"), t.column("size").to_pylist(), n.tolist(), strict=True)]
+        more = [np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=k).astype(bool) for m, k in zip(t.column("more"), n.tolist(), strict=True)]
+        every, again = np.concatenate(cells), np.concatenate(more)
+        order = np.argsort(every)
+        at = every[order]
+        same = at[1:] == at[:-1]
+        often = again.copy()
+        often[order[1:][same]] = True
+        often[order[:-1][same]] = True
+        # a cell that one chunk alone met more than once
+        bits = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum(n)[:-1])]
+        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "n": t.column("n"), "often": pa.array(bits, pa.binary())})
+
+
+# --- the second pass --------------------------------------------------------------------------------------------------
+
+ENTRIES = "group long, chunk long, docs long, n long, asked long, " + ", ".join(f"{c} binary" for c in "abcdef")
+
+
+def entries(t: pa.Table, bits: pa.Table, sketch: Sketch, groups: int) -> pa.Table:
+    """A chunk (of texts_of()) and its bits (of merged()). Rows for each group, of the windows that may repeat: a (of docs: ids), c, d (of n windows:
+    document in a, start), b (of the documents in a: number in the chunk), e, f (of the last asked windows: hashes); the others are covered already."""
+    rows = []
+    if t.num_rows:
+        ids, sizes, data = opened(t)
+        w = Windows(data, sizes)
+        take = np.ones(len(w.h), bool)
+        bits = bits.sort_by("shard")
+        row_of, n = bits.column("shard").to_numpy() >> sketch.shard_bits, bits.column("n").to_numpy()
+        for row in range(DEPTH if len(w.h) else 0):
+            own = np.flatnonzero(row_of == row).tolist()
+            often = np.concatenate([np.unpackbits(np.frombuffer(bits.column("often")[k].as_buffer(), np.uint8), count=int(n[k])) for k in own]).astype(bool)
+            cells = w.cells(row, sketch.bits)
+            order = np.argsort(cells)
+            which = np.cumsum(np.r_[False, cells[order][1:] != cells[order][:-1]])
+            if which[-1] + 1 != len(often):
+                raise RuntimeError("a chunk isn't what was counted; write the table first")
+            take[order] &= often[which]
+        h, check, doc, start = (x[take] for x in (w.h, w.check, w.doc, w.start))
+        order = np.lexsort((ids[doc], check, h))
+        h, check, doc, start = (x[order] for x in (h, check, doc, start))
+        known = later(h, check, ids[doc])
+        chunk = t.column("chunk")[0].as_py()
+        group = np.where(known, mixed(np.full(1, chunk, np.int64).view(np.uint64)), h) % np.uint64(groups)
+        order = np.lexsort((~known, group))
+        group, known = group[order], known[order]
+        ends = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+        for g in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[g] : ends[g + 1]]
+            asked = own[int(known[ends[g] : ends[g + 1]].sum()) :]
+            docs, of = np.unique(doc[own], return_inverse=True)
+            rows.append((g, chunk, len(docs), len(own), len(asked), *map(packed, (ids[docs], docs, of.astype(np.uint32), start[own], h[asked], check[asked]))))
+    names = ["group", "chunk", "docs", "n", "asked", *"abcdef"]
+    columns = zip(*rows, strict=True) if rows else [()] * 11
+    return pa.table({name: pa.array(x, pa.int64() if k < 5 else pa.binary()) for k, (name, x) in enumerate(zip(names, columns, strict=True))})
+
+
+STARTS = "chunk long, n long, docs binary, starts binary"
+
+
+def covered(t: pa.Table) -> pa.Table:
+    """The rows of one group. For each chunk: document (number in the chunk) and start of each covered window."""
+    done, asked = [], []
+    for r in t.to_pylist():
+        ids, docs = unpacked(r["a"], np.int64, r["docs"]), unpacked(r["b"], np.int32, r["docs"])
+        of, start = unpacked(r["c"], np.uint32, r["n"]), unpacked(r["d"], np.int32, r["n"])
+        h, check, k = unpacked(r["e"], np.uint64, r["asked"]), unpacked(r["f"], np.uint32, r["asked"]), r["n"] - r["asked"]
+        chunk = np.full(r["n"], r["chunk"])
+        done.append((chunk[:k], docs[of[:k]], start[:k]))
+        asked.append((chunk[k:], docs[of[k:]], start[k:], ids[of[k:]], h, check))
+    chunk, doc, start, ids, h, check = (np.concatenate(x) for x in zip(*asked, strict=True))
+    order = np.lexsort((ids, check, h))
+    hit = order[later(h[order], check[order], ids[order])]
+    done.append((chunk[hit], doc[hit], start[hit]))
+    chunk, doc, start = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.lexsort((start, doc, chunk))
+    chunk, doc, start = chunk[order], doc[order], start[order]
+    first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64)
+    rows = [(int(chunk[a]), int(b - a), packed(doc[a:b]), packed(start[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunk)], strict=False)]
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.table({name: pa.array(x, pa.int64() if k < 2 else pa.binary()) for k, (name, x) in enumerate(zip(("chunk", "n", "docs", "starts"), columns, strict=True))})
+
+
+CLEANED = "id long, n_words long, n_removed long, kept string"
+
+
+def cleaned(t: pa.Table, starts: pa.Table) -> pa.Table:
+    """A chunk and its covered starts. A row for each of its documents."""
+    out = []
+    if t.num_rows:
+        ids, sizes, data = opened(t)
+        n = starts.column("n").to_pylist()
+        doc, start = (np.concatenate([np.zeros(0, np.int32), *(unpacked(x.as_buffer(), np.int32, k) for x, k in zip(starts.column(c), n, strict=True))]) for c in ("docs", "starts"))
+        order = np.argsort(doc, kind="stable")
+        start, of = start[order], np.searchsorted(doc[order], np.arange(len(ids) + 1)).tolist()
+        upto, text = np.cumsum(sizes).tolist(), data.tobytes()
+        for k, (i, a, b) in enumerate(zip(ids.tolist(), [0, *upto], upto, strict=False)):
+            out.append((None if i == NO_ID else i, *without(text[a:b].split(), start[of[k] : of[k + 1]])))
+    columns = zip(*out, strict=True) if out else [()] * 4
+    return pa.table({name: pa.array(x, pa.int64() if k < 3 else pa.string()) for k, (name, x) in enumerate(zip(("id", "n_words", "n_removed", "kept"), columns, strict=True))})
+
+
+def without(words: list[bytes], starts: np.ndarray) -> tuple[int, int, str]:
     """Number of words, number of them in windows with these starts, and the others joined."""
     if not len(starts):
         return len(words), 0, b" ".join(words).decode()
-    step, at = np.zeros(len(words) + 1, np.int32), np.concatenate(starts)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + WINDOW, -1)
+    step = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + WINDOW, minlength=len(words) + 1)
     bad = np.cumsum(step[:-1]) > 0
     return len(words), int(bad.sum()), b" ".join([w for w, x in zip(words, bad.tolist(), strict=True) if not x]).decode()
 
 
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One row per row of docs: id_col, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    own = docs.select(F.spark_partition_id().alias("part"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), text_or_empty(text_col).alias("text"))
+    windows = (own.agg(F.sum(F.length("text"))).first()[0] or 0) * PER_CHAR
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketch, groups = Sketch(windows, tasks), max(tasks, int(windows / GROUP))
+    texts = own.mapInArrow(lambda b: texts_of(b, chunk), TEXTS)
+    bits = own.mapInArrow(lambda b: sketch.partial(b, chunk), "shard long, chunk long, n long, size long, cells binary, more binary")
+    bits = bits.groupBy("shard").applyInArrow(Sketch.merged, "chunk long, shard long, n long, often binary")
+    asked = texts.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lambda t, b: entries(t, b, sketch, groups), ENTRIES)
+    starts = asked.groupBy("group").applyInArrow(covered, STARTS)
+    out = texts.groupBy("chunk").cogroup(starts.groupBy("chunk")).applyInArrow(cleaned, CLEANED)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
