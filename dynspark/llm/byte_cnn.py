@@ -1,16 +1,17 @@
 """Quality classifier: a convolutional network over the bytes of a text, in numpy.
 
-WIDTH successive bytes go through FILTERS learned filters (a table of a weight for each offset, byte and filter, which
-is a convolution of one-hot bytes), a rectifier, and the maximum over all positions of the text. A second input channel
-says of each byte whether the four bytes from it on stood LAGS bytes or less before, too; ECHO filters look at its mean
-over SPAN bytes and are pooled in the same way, for text that repeats itself word by word has no byte pattern of its own.
-A logistic unit makes one probability of all maxima. A text is read in chunks of CHUNK bytes that overlap by
-what a filter or the channel looks back or ahead, so the whole of it counts and memory doesn't depend on its length. An empty or null text has all maxima zero and gets the
-probability of the bias. A null label is no label.
-
-The network is fitted by Adam on at most FIT_ROWS labelled rows (those with the least hash of their id, so that any
-cluster picks the same ones); of these rows that crc32 of the id puts aside none is used. It is a few hundred
-kilobytes whatever the input is, and scoring is one pass over the texts without a shuffle.
+Two banks of learned filters read the text. FILTERS filters see WIDTH successive bytes (a table of a weight for each
+offset, byte and filter, which is a convolution of one-hot bytes). ECHOES filters see how a text repeats itself, which no
+filter of single bytes can: their LAGS input channels say of each byte whether the byte so many before is the same, and
+a filter weighs the channels' means over SPAN bytes. All are pooled by their maximum over the whole text, and a logistic unit
+makes one probability of the rectified maxima. A text is read in chunks of CHUNK bytes that overlap by what a filter
+looks back or ahead, so the whole of it counts and memory doesn't depend on its length. An empty or null text has all
+maxima zero and gets the probability of the bias. A null label is no label.
+
+The network is fitted by Adam, on whole texts, on a bounded sample of the labelled rows: those with the least hash of their id, at most FIT_ROWS, one for
+each id (of rows that repeat it the largest text), as long as their texts together have at most FIT_BYTES characters, so any cluster picks the same ones; of
+rows that crc32 of the id puts aside none is used. It is a few hundred kilobytes whatever the input is, and scoring is
+one pass over the texts without a shuffle. Rows that repeat are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dynspark.llm.common import table, text_or_empty
+from dynspark.llm.common import cut, table, text_or_empty
 
 WIDTH, FILTERS, CHUNK = 5, 16, 1 << 14
-ECHO, LAGS, SPAN = 4, 32, 64
-#: Labelled rows that the network is fitted on at most, and bytes of one of them that one step of fitting looks at (a window at random places).
-FIT_ROWS, FIT_BYTES = 4000, 1 << 14
+ECHOES, LAGS, SPAN, CELL = 4, 32, 64, 16
+#: Labelled rows that the network is fitted on at most, and characters of all of them together.
+FIT_ROWS, FIT_BYTES = 4000, 1 << 25
 EPOCHS, BATCH, RATE, DECAY, DROP = 6, 32, 0.02, 1e-3, 0.2
 THRESHOLD = 0.3
 
@@ -36,33 +38,39 @@ class Network:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.table = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
-        self.echo = np.ones(ECHO, np.float32)
-        self.bias = np.zeros(FILTERS + ECHO, np.float32)
-        self.bias[FILTERS:] = -np.linspace(2, 8, ECHO)  # open from a fifth of a window on
-        self.out = rng.normal(0, 0.3, FILTERS + ECHO).astype(np.float32)
-        self.out[FILTERS:] = -0.5
+        self.echo = rng.normal(1, 0.3, (LAGS, ECHOES)).astype(np.float32)
+        self.bias = np.zeros(FILTERS + ECHOES, np.float32)
+        self.bias[FILTERS:] = -np.linspace(2, 8, ECHOES)
+        self.out = rng.normal(0, 0.3, FILTERS + ECHOES).astype(np.float32)
         self.base = np.zeros(1, np.float32)
 
-    def maxima(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """The largest response of each filter over the bytes and where it is; the largest mean of the channel of repeats."""
+    def maxima(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The largest response of each filter; where it is, for the first bank; the channels there, for the second."""
         if len(data) < WIDTH:
             data = np.r_[data, np.zeros(WIDTH - len(data), np.uint8)]
-        best, where, repeats = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS, np.int64), 0.0
-        for k in range(0, len(data) - WIDTH + 1, CHUNK):
+        best, where, seen = np.full(FILTERS + ECHOES, -np.inf, np.float32), np.zeros(FILTERS, np.int64), np.zeros((ECHOES, LAGS), np.float32)
+        top, echo = best[:FILTERS], best[FILTERS:]
+        for k in range(0, len(data), CHUNK):
             part = data[k : k + CHUNK + WIDTH - 1]
             n = len(part) - WIDTH + 1
-            got = self.table[0].take(part[:n], axis=0)
-            for j in range(1, WIDTH):
-                got += self.table[j].take(part[j : j + n], axis=0)
+            if n > 0:
+                got = self.table[0].take(part[:n], axis=0)
+                for j in range(1, WIDTH):
+                    got += self.table[j].take(part[j : j + n], axis=0)
+                at = got.argmax(0)
+                own = got[at, np.arange(FILTERS)]
+                where = np.where(own > top, at + k, where)
+                np.maximum(top, own, out=top)
+            means = repeats(data, k, k + CHUNK)
+            got = means @ self.echo
             at = got.argmax(0)
-            top = got[at, np.arange(FILTERS)]
-            where = np.where(top > best, at + k, where)
-            np.maximum(best, top, out=best)
-            repeats = max(repeats, repeated(data[max(0, k - LAGS - SPAN) : k + CHUNK + WIDTH - 1]))
-        return best, where, repeats
+            own = got[at, np.arange(ECHOES)]
+            seen = np.where((own > echo)[:, None], means[at], seen)
+            np.maximum(echo, own, out=echo)
+        return best, where, seen
 
-    def hidden(self, best: np.ndarray, repeats: float) -> np.ndarray:
-        return np.maximum(np.r_[best, self.echo * np.float32(repeats)] + self.bias, 0)
+    def hidden(self, best: np.ndarray) -> np.ndarray:
+        return np.maximum(best + self.bias, 0)
 
     def logit(self, hidden: np.ndarray) -> float:
         return float(hidden.astype(np.float64) @ self.out.astype(np.float64)) + float(self.base[0])
@@ -70,26 +78,31 @@ class Network:
     def score(self, text: str) -> float:
         if not text:
             return logistic(float(self.base[0]))
-        best, _, repeats = self.maxima(np.frombuffer(text.encode(), np.uint8))
-        return logistic(self.logit(self.hidden(best, repeats)))
+        return logistic(self.logit(self.hidden(self.maxima(np.frombuffer(text.encode(), np.uint8))[0])))
+
+
+def repeats(data: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """For each cell of CELL bytes from begin on: the share of the SPAN bytes up to its end that equal the byte 1, 2 ... LAGS
+    before. Begin and CHUNK are multiples of CELL."""
+    end = min(end, len(data))
+    back = min(begin, SPAN - CELL)
+    first, cells = begin - back, -(-(end - begin + back) // CELL)
+    same, counts = np.zeros(cells * CELL, bool), np.zeros((cells, LAGS), np.float32)
+    for lag in range(1, LAGS + 1):
+        since = max(first, lag)
+        if since < end:
+            same[: since - first] = False
+            same[since - first : end - first] = data[since:end] == data[since - lag : end - lag]
+            counts[:, lag - 1] = np.bitwise_count(np.packbits(same).view(np.uint16))
+    n = SPAN // CELL
+    total = np.r_[np.zeros((n, LAGS), np.float32), np.cumsum(counts, axis=0)]
+    return (total[n:] - total[:-n])[back // CELL :] / SPAN
 
 
 def logistic(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def repeated(data: np.ndarray) -> float:
-    """Ten times the largest mean, over SPAN successive bytes, of: the four bytes from here on also stood 2 to LAGS bytes before."""
-    if len(data) < SPAN + 3:
-        return 0.0
-    four = data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16 | data[2:-1].astype(np.uint32) << 8 | data[3:]
-    seen = np.zeros(len(four), bool)
-    for lag in range(2, min(LAGS, len(four) - 1) + 1):
-        seen[lag:] |= four[lag:] == four[:-lag]
-    total = np.cumsum(np.r_[0, seen])
-    return 10.0 * float((total[SPAN:] - total[:-SPAN]).max()) / SPAN
-
-
 def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = EPOCHS) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed + 1)
     data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
@@ -108,20 +121,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = EPOCHS
             grads = [np.zeros_like(p) for p in params]
             for i in order[k : k + BATCH].tolist():
                 d = data[i]
-                if len(d) > FIT_BYTES:
-                    at = int(rng.integers(0, len(d) - FIT_BYTES + 1))
-                    d = d[at : at + FIT_BYTES]
                 if not len(d):
                     grads[3] += weight[i] * (logistic(float(net.base[0])) - y[i]) / BATCH
                     continue
-                best, where, repeats = net.maxima(d)
-                h = net.hidden(best, repeats) * np.r_[(rng.random(FILTERS) >= DROP) / (1 - DROP), np.ones(ECHO)].astype(np.float32)
+                best, where, seen = net.maxima(d)
+                h = net.hidden(best) * np.r_[(rng.random(FILTERS) >= DROP) / (1 - DROP), np.ones(ECHOES)].astype(np.float32)
                 error = weight[i] * (logistic(net.logit(h)) - y[i]) / BATCH
                 grads[2] += error * h
                 grads[3] += error
                 back = error * net.out * (h > 0)
                 grads[1] += back
-                grads[4] += back[FILTERS:] * np.float32(repeats)
+                grads[4] += (back[FILTERS:, None] * seen).T
                 padded = np.r_[d, np.zeros(max(0, WIDTH - len(d)), np.uint8)]
                 for j in range(WIDTH):
                     np.add.at(grads[0][j], (padded[where + j], np.arange(FILTERS)), back[:FILTERS])
@@ -137,15 +147,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """text and quality of at most rows labelled documents that aren't held out, those with the least hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> DataFrame:
+    """doc_id, text, quality of the sample. The running sum goes over at most so many rows of lengths."""
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id")
+    texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = cut(texts.groupBy("doc_id", "quality").agg(F.max("text").alias("text")))
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = texts.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= size).select("doc_id")
+    return texts.join(F.broadcast(within), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 0) -> Network:
-    found = sorted(labelled(docs, labels, rows).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    found = sorted(labelled(docs, labels, rows).collect(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in found], [r["quality"] for r in found], seed)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from dynspark.llm.common import table
 
 LOSS_ROLE = "assistant"
-#: Names of roles in the layouts and what they are called in turns.
+#: Names of roles in records of several turns and what they are called in turns; rows of one turn keep theirs.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant", "prompter": "user"}
 
 
@@ -111,7 +111,7 @@ def canonical(df: DataFrame, id_col: str) -> DataFrame:
         raise ValueError(f"no layout has the fields {sorted(set(schema_paths(df.schema)) & NAMED)}")
     string = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     if layout.rows:
-        return df.select(F.col(id_col).alias("conv"), F.col("turn").cast("long").alias("turn"), role_of(string(F.col(layout.role))).alias("role"), string(F.col(layout.text)).alias("text"))
+        return df.select(F.col(id_col).alias("conv"), F.col("turn").cast("long").alias("turn"), string(F.col(layout.role)).alias("role"), string(F.col(layout.text)).alias("text"))
     turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
     if layout.items:
         turns = F.transform(F.coalesce(F.col(layout.items), F.array()), lambda x: turn(role_of(string(x[layout.role])), string(x[layout.text])))
