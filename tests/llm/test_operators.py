@@ -342,6 +342,18 @@ def test_near_copies_in_batches_and_with_frequent_shingles(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_fingerprints_of_alike_sets_are_near():
+    rng = np.random.default_rng(12)
+    for n in (4, 5, 9, 20, 100, 1000):
+        for _ in range(60):
+            a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+            gone = int(rng.integers(0, n // 9 + 1)) if n > 5 else int(n == 5)
+            b = np.r_[a[gone:], rng.integers(-(1 << 62), 1 << 62, gone if n > 5 else 0)]
+            assert shingle_dedup.alike(np.sort(a), np.sort(b))
+            x, y = shingle_dedup.simhash128(np.sort(a)), shingle_dedup.simhash128(np.sort(b))
+            assert sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) <= shingle_dedup.BITS
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
     base = [f"word{k}" for k in range(100)]
     near, other = " ".join([*base[:-1], "x"]), " ".join(f"other{k}" for k in range(80))
