@@ -1,8 +1,9 @@
 """Recurrence of digraphs held as edges (node, src, dst): many graphs at once, one for each node.
 
-A graph of at most GROUP_EDGES edges is a task of its own, and thousands of them run side by side. Larger ones, found by
-a count, are never gathered: their strong components come from trimming and from forward and backward colouring, their
-reachability from a growing relation, all of it joins whose lineage is cut every round.
+recurrence() is made of joins and aggregations on vertices, whatever the number and size of the graphs: trimming, colours
+in both directions, and reachability on the condensed graph; lineage is cut every round, and a hub is rows like others.
+recurrence_of_many() is for refinement, where most nodes are small: a graph of at most GROUP_EDGES edges, found by a count, is a task of its own, and
+thousands of them run side by side; larger ones take the way of joins.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from dynspark.plans.cutting import cut
 
-GROUP_EDGES = 2_000_000
+#: Edges, and components, of a graph that a task takes by itself at most.
+GROUP_EDGES, GROUP_COMPONENTS = 100_000, 2000
 
 
 def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, int]:
@@ -60,8 +62,9 @@ def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndar
     return np.array(comp, np.int64), done
 
 
-def _one(key: tuple, t: pa.Table) -> pa.Table:
-    """Recurrent components of one graph and what they reach. kind 0: node, comp, key; kind 1: node, comp, reached comp."""
+def _one(key: tuple, t: pa.Table, most: int) -> pa.Table:
+    """Recurrent components of one graph and what they reach. kind 0: node, comp, key; kind 1: node, comp, reached comp; kind 2: node has
+    more than most components, and what they reach is left to joins."""
     s, d = t.column("src").to_numpy(), t.column("dst").to_numpy()
     keys, flat = np.unique(np.concatenate([s, d]), return_inverse=True)
     src, dst = flat[: len(s)], flat[len(s) :]
@@ -73,94 +76,126 @@ def _one(key: tuple, t: pa.Table) -> pa.Table:
     np.minimum.at(least, comp, keys)
     member = recurrent[comp]
     named = np.flatnonzero(recurrent)
-    between = np.unique(np.stack([comp[src], comp[dst]], 1), axis=0)
-    between = between[between[:, 0] != between[:, 1]]
-    bit = {c: 1 << k for k, c in enumerate(named.tolist())}
-    reach = [bit.get(c, 0) for c in range(n)]
-    for a, b in between[np.argsort(between[:, 0], kind="stable")].tolist():  # lower numbers are complete
-        reach[a] |= reach[b]
-    pairs = [(c, named[k]) for c in named.tolist() for k in range(len(named)) if reach[c] >> k & 1]
-    a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-    rows = int(member.sum())
+    a = b = np.zeros(0, np.int64)
+    if few := len(named) <= most:
+        between = np.unique(np.stack([comp[src], comp[dst]], 1), axis=0)
+        between = between[between[:, 0] != between[:, 1]]
+        bit = {c: 1 << k for k, c in enumerate(named.tolist())}
+        reach = [bit.get(c, 0) for c in range(n)]
+        for x, y in between[np.argsort(between[:, 0], kind="stable")].tolist():  # lower numbers are complete
+            reach[x] |= reach[y]
+        wide = -(-len(named) // 8)
+        seen = [np.flatnonzero(np.unpackbits(np.frombuffer(reach[c].to_bytes(wide, "little"), np.uint8), bitorder="little")) for c in named.tolist()]
+        a, b = np.repeat(named, [len(x) for x in seen]), named[np.concatenate(seen)] if seen else named
+    rows, more = int(member.sum()), 0 if few else 1
+    none = np.zeros(more, np.int64)
     return pa.table({
-        "kind": pa.array(np.r_[np.zeros(rows, np.int32), np.ones(len(pairs), np.int32)]),
-        "node": pa.array([key[0].as_py()] * (rows + len(pairs)), pa.int64()),
-        "comp": pa.array(np.r_[least[comp[member]], least[a]].astype(np.int64)),
-        "other": pa.array(np.r_[keys[member], least[b]].astype(np.int64)),
+        "kind": pa.array(np.repeat([0, 1, 2], [rows, len(a), more]).astype(np.int32)),
+        "node": pa.array([key[0].as_py()] * (rows + len(a) + more), pa.int64()),
+        "comp": pa.array(np.r_[least[comp[member]], least[a], none].astype(np.int64)),
+        "other": pa.array(np.r_[keys[member], least[b], none].astype(np.int64)),
     })
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Without vertices that have no way in or no way out, again and again."""
-    before = -1
-    while (n := edges.count()) != before:
-        before = n
+    before, n = None, edges.count()
+    while n and n != before:
         ins = edges.select("node", F.col("dst").alias("src")).distinct()
         outs = edges.select("node", F.col("src").alias("dst")).distinct()
         edges = cut(edges.join(ins, ["node", "src"], "left_semi").join(outs, ["node", "dst"], "left_semi").select("node", "src", "dst"))
+        before, n = n, edges.count()
     return edges
 
 
-def distributed_components(edges: DataFrame) -> DataFrame:
-    """node, comp (least key), key of the recurrent components, by joins only."""
-    rest, found = cut(edges.select("node", "src", "dst").distinct()), []
-    while True:
-        rest = _trimmed(rest)
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (least key), key of the recurrent components, by joins only.
+
+    Each round gives vertices priorities and sends them both ways until nothing changes: a vertex knows the highest one that
+    reaches it and the highest one that it reaches. Where both are the same, the vertex is in that one's component;
+    vertices that differ in either aren't in one component, so edges between them go. What is left is given other priorities.
+    """
+    edges, found = cut(edges.select("node", "src", "dst").distinct()), []
+    loops = edges.filter("src = dst").select("node", F.col("src").alias("key"))
+    rest = _trimmed(edges)
+    for turn in range(64):
         if rest.isEmpty():
             break
-        color = cut(rest.select("node", F.col("src").alias("key")).union(rest.select("node", "dst")).distinct().withColumn("color", F.col("key")))
+        first = F.struct(F.xxhash64("key", F.lit(turn)).alias("p"), "key")
+        ends = rest.select("node", F.explode(F.array("src", "dst")).alias("key")).distinct()
+        color = cut(ends.select("node", "key", first.alias("above"), first.alias("below")))
         total = None
-        while (now := color.agg(F.sum(F.col("color").cast("decimal(38,0)"))).first()[0]) != total:
+        while (now := color.agg(F.sum(F.xxhash64("above", "below", "key").cast("decimal(38,0)"))).first()[0]) != total:
             total = now
-            arriving = rest.join(color.withColumnRenamed("key", "src"), ["node", "src"]).select("node", F.col("dst").alias("key"), "color")
-            color = cut(color.union(arriving).groupBy("node", "key").agg(F.max("color").alias("color")))
-        inner = rest.join(color.select("node", F.col("key").alias("src"), F.col("color").alias("a")), ["node", "src"])
-        inner = inner.join(color.select("node", F.col("key").alias("dst"), F.col("color").alias("b")), ["node", "dst"]).filter("a = b")
-        inner = cut(inner.select("node", "src", "dst", F.col("a").alias("color")))
-        front = cut(color.filter("key = color"))
-        group = front
-        while not front.isEmpty():
-            back = inner.join(front.select("node", F.col("key").alias("dst")), ["node", "dst"]).select("node", F.col("src").alias("key"), "color").distinct()
-            front = cut(back.join(group.select("node", "key"), ["node", "key"], "left_anti"))
-            group = cut(group.unionByName(front))
-        loops = rest.filter("src = dst").select("node", F.col("src").alias("key")).distinct()
-        sizes = group.groupBy("node", "color").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("comp"))
-        named = group.join(sizes, ["node", "color"]).join(loops.withColumn("loop", F.lit(True)), ["node", "key"], "left")
+            down = rest.join(color.select("node", F.col("key").alias("src"), "above"), ["node", "src"]).select("node", F.col("dst").alias("key"), "above", F.lit(None).alias("below"))
+            up = rest.join(color.select("node", F.col("key").alias("dst"), "below"), ["node", "dst"]).select("node", F.col("src").alias("key"), F.lit(None).alias("above"), "below")
+            color = cut(color.unionByName(down).unionByName(up).groupBy("node", "key").agg(F.max("above").alias("above"), F.max("below").alias("below")))
+        mine = color.select("node", "key", F.xxhash64("above", "below").alias("kind"), (F.col("above") == F.col("below")).alias("done"), F.col("above.key").alias("root"))
+        group = mine.filter("done")
+        sizes = group.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("comp"))
+        named = group.join(sizes, ["node", "root"]).join(loops.withColumn("loop", F.lit(True)), ["node", "key"], "left")
         found.append(cut(named.filter("n > 1 or loop").select("node", "comp", "key")))
-        gone = group.select("node", "key")
-        rest = inner.select("node", "src", "dst").join(gone.withColumnRenamed("key", "src"), ["node", "src"], "left_anti")
-        rest = cut(rest.join(gone.withColumnRenamed("key", "dst"), ["node", "dst"], "left_anti").select("node", "src", "dst"))
+        left = mine.filter(~F.col("done"))
+        side = lambda name: left.select("node", F.col("key").alias(name), "kind")  # noqa: B023, E731
+        rest = cut(rest.join(side("src"), ["node", "src"]).join(side("dst"), ["node", "dst", "kind"]).select("node", "src", "dst"))
+    else:
+        raise RuntimeError("the components didn't settle")
     out = found[0] if found else edges.select("node", F.col("src").alias("comp"), F.col("src").alias("key")).limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def distributed_reach(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """node, comp, other: which components are reached from which, each from itself too; by joins only."""
-    seen = cut(members.select("node", "comp", "key"))
-    front = seen
-    while not front.isEmpty():
-        step = front.join(edges.withColumnRenamed("src", "key"), ["node", "key"]).select("node", "comp", F.col("dst").alias("key")).distinct()
-        front = cut(step.join(seen, ["node", "comp", "key"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen.join(members.select("node", F.col("comp").alias("other"), "key"), ["node", "key"]).select("node", "comp", "other").distinct()
+def reached(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """node, comp, other: which components are reached from which, each from itself too; by joins only.
+
+    Components are single vertices. Ways are followed from a component through vertices of none up to the next components;
+    the relation among components that this gives is closed by doubling.
+    """
+    named = members.select("node", "key", "comp")
+    ends = edges.join(named.select("node", F.col("key").alias("src"), F.col("comp").alias("s")), ["node", "src"], "left").join(named.select("node", F.col("key").alias("dst"), F.col("comp").alias("d")), ["node", "dst"], "left")
+    every = cut(ends.select("node", F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), F.col("s").isNotNull().alias("leaves"), F.col("d").isNotNull().alias("arrives")).filter("src != dst").distinct())
+    comps = named.select("node", "comp").distinct()
+    between = every.filter("not leaves").select("node", F.col("src").alias("key"), F.col("dst").alias("to"), F.col("arrives").alias("ends"))
+    seen = cut(every.filter("leaves").select("node", F.col("src").alias("comp"), F.col("dst").alias("key"), "arrives", F.lit(0).alias("turn")))
+    turn = 0
+    while not seen.filter(f"turn = {turn}").isEmpty():
+        front = seen.filter(f"turn = {turn} and not arrives")
+        step = front.join(between, ["node", "key"]).select("node", "comp", F.col("to").alias("key"), F.col("ends").alias("arrives")).distinct()
+        turn += 1
+        seen = cut(seen.unionByName(step.join(seen.select("node", "comp", "key"), ["node", "comp", "key"], "left_anti").withColumn("turn", F.lit(turn))))
+    pairs = cut(seen.filter("arrives").select("node", "comp", F.col("key").alias("other")).unionByName(comps.select("node", "comp", F.col("comp").alias("other"))).distinct())
+    before, n = None, pairs.count()
+    while n != before:
+        further = pairs.join(pairs.select("node", F.col("comp").alias("other"), F.col("other").alias("last")), ["node", "other"])
+        pairs = cut(further.select("node", "comp", F.col("last").alias("other")).distinct())
+        before, n = n, pairs.count()
+    return pairs
+
+
+def recurrence(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (node, comp, key) and reach (node, comp, other) of the graphs of all nodes. comp is the component's least key."""
+    edges = cut(edges.select("node", "src", "dst").distinct())
+    members = cut(components(edges))
+    return members, reached(edges, members)
 
 
-def recurrence(edges: DataFrame, group_edges: int = GROUP_EDGES) -> tuple[DataFrame, DataFrame]:
-    """members (node, comp, key) and reach (node, comp, other) of the graphs of all nodes. comp is the component's least key."""
+def recurrence_of_many(edges: DataFrame, group_edges: int = GROUP_EDGES, group_components: int = GROUP_COMPONENTS) -> tuple[DataFrame, DataFrame]:
+    """The same, with graphs of at most so many edges in a task each, and what so many components at most reach."""
     edges = cut(edges.select("node", "src", "dst"))
     counts = edges.groupBy("node").count()
-    some = (counts.agg(F.max("count")).first()[0] or 0) > group_edges
-    large = cut(counts.filter(F.col("count") > group_edges).select("node")) if some else None
-    small = edges.join(large, "node", "left_anti") if some else edges
-    both = cut(small.groupBy("node").applyInArrow(_one, "kind int, node long, comp long, other long"))
+    most = counts.agg(F.max("count")).first()[0] or 0
+    large = cut(counts.filter(F.col("count") > group_edges).select("node")) if most > group_edges else None
+    small = edges.join(large, "node", "left_anti") if large else edges
+    both = cut(small.groupBy("node").applyInArrow(lambda key, t: _one(key, t, group_components), "kind int, node long, comp long, other long"))
     members = both.filter("kind = 0").select("node", "comp", F.col("other").alias("key"))
     reach = both.filter("kind = 1").select("node", "comp", "other")
-    if some:
-        big = cut(edges.join(large, "node", "left_semi"))
-        own = cut(distributed_components(big))
-        members, reach = members.unionByName(own), reach.unionByName(distributed_reach(big, own))
+    open_ = both.filter("kind = 2").select("node")
+    if not open_.isEmpty():
+        reach = reach.unionByName(reached(edges.join(open_, "node", "left_semi"), members.join(open_, "node", "left_semi")))
+    if large:
+        own, further = recurrence(edges.join(large, "node", "left_semi"))
+        members, reach = members.unionByName(own), reach.unionByName(further)
     return members, reach
 
 

@@ -128,7 +128,7 @@ def morse_graph(spark: SparkSession, model: Model) -> MorseGraph:
     for level in range(most + 1):
         boxes = cut(with_cells(boxes, model.init + level, model.domain.dim))
         active = boxes.filter(F.col("size") <= model.limit) if level > least else boxes
-        members, reach = graph.recurrence(transitions(model, active, model.init + level), model.group_edges)
+        members, reach = graph.recurrence_of_many(transitions(model, active, model.init + level), model.group_edges)
         nodes = boxes.groupBy("node").agg(F.first("size").alias("size"), F.first("top").alias("top"))
         levels.append({"boxes": boxes, "members": members, "reach": reach, "nodes": nodes})
         if level == most or members.isEmpty():
