@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op8_embeddings": embedding_dedup.OP8_SQL,
+    "op9_substrings": substring_dedup.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
 }

@@ -328,3 +328,20 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH split AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, k, array_to_string(w[k:k + 12], chr(10)) AS passage FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM split WHERE len(w) >= 13)),
+firsts AS (SELECT passage, min(doc_id) AS least FROM windows GROUP BY passage),
+covered AS (SELECT doc_id, k FROM windows JOIN firsts USING (passage) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM split),
+marked AS (
+  SELECT doc_id, word, k, max(CASE WHEN c.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN covered c USING (doc_id, k)),
+kept AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone = 0), '') AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
