@@ -39,6 +39,15 @@ def parent(key: Column, levels: int = 1) -> Column:
     return F.shiftright(key, levels)
 
 
+def child(key: Column, side: int) -> Column:
+    """The lower (0) or upper (1) half of a box."""
+    return F.shiftleft(key, 1) + side
+
+
+def is_upper(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def left_aligned(key: Column, depth: Column | int) -> Column:
     """Orders boxes of mixed depth as a walk of the tree does."""
     shift = (F.lit(DEEPEST) - (F.lit(depth) if isinstance(depth, int) else depth)).cast("int")

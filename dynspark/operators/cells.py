@@ -11,6 +11,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dynspark.functions.boxes import Domain
+
 P = 5
 
 
@@ -28,6 +30,21 @@ def cells(cubes: DataFrame, dim: int, sizes: list[int] | None = None, keep: list
     return out.select(*(keep or []), *[f"e{d}" for d in range(dim)]).distinct().withColumn("dim", extent(dim))
 
 
+def cover(images: DataFrame, sizes: list[int], domain: Domain, keep: list[str], cubes: DataFrame | None = None) -> DataFrame:
+    """keep and the cubes c0 ... (of so many along each axis) from the floor of an image's lower end to that of its upper
+    one, within the lattice; if cubes are given, only those."""
+    out = images
+    for d, n in enumerate(sizes):
+        at = lambda x: F.floor(F.lit(float(n)) * (F.col(x) - domain.lo[d]) / (domain.hi[d] - domain.lo[d]))  # noqa: B023, E731
+        a, b = F.greatest(at(f"fl{d}"), F.lit(0)), F.least(at(f"fu{d}"), F.lit(n - 1))
+        out = out.withColumn(f"__r{d}", F.when(a <= b, F.sequence(a, F.greatest(a, b))))
+    for d in range(len(sizes)):
+        out = out.withColumn(f"c{d}", F.explode_outer(f"__r{d}")).drop(f"__r{d}")
+    names = [f"c{d}" for d in range(len(sizes))]
+    out = out.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in names])).select(*keep, *names)
+    return out if cubes is None else out.join(cubes.select(*names), names, "left_semi").select(*keep, *names)
+
+
 def boundary(chains: DataFrame, dim: int, keep: list[str] | None = None, p: int = P) -> DataFrame:
     """chains: e0 ..., coef. The boundary, like terms together, modulo p; terms that vanish go."""
     sides, before = [], F.lit(0)

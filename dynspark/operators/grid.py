@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dynspark.functions.boxes import Domain
 from dynspark.functions.keys import DEEPEST, coordinates, halvings, key_of, left_aligned
+from dynspark.plans.cutting import cut
 
 
 def uniform(spark: SparkSession, depth: int) -> DataFrame:
@@ -59,17 +60,18 @@ def subset(grid: DataFrame, other: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct() if found else grid.limit(0)
 
 
-def ranked(grid: DataFrame) -> DataFrame:
-    """grid with ge, the rank of each leaf in a walk of the tree. Ranks come from a range sort and a count for each of its
-    partitions, so no task sees all leaves."""
+def ranked(grid: DataFrame, first: list[str] | None = None) -> DataFrame:
+    """grid (depth, key) with ge, the rank of each leaf in a walk of the tree; first: columns to order by before, such as a
+    chart. Ranks come from a range sort and a count for each of its partitions, so no task sees all leaves."""
+    order = [*(first or []), "__at"]
     ordered = grid.withColumn("__at", left_aligned(F.col("key"), F.col("depth")))
-    ordered = ordered.repartitionByRange("__at").sortWithinPartitions("__at").withColumn("__id", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("__part", F.shiftright("__id", 33)).persist()
+    ordered = cut(ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("__part", F.shiftright("__id", 33))
     counts = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}
-    first, total = {}, 0
+    before, total = {}, 0
     for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    base = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.col("__part")] if first else F.lit(0)
+        before[p], total = total, total + counts[p]
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__part")] if before else F.lit(0)
     within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     return ordered.withColumn("ge", (base + within).cast("long")).drop("__at", "__id", "__part")
 
@@ -122,6 +124,13 @@ def lattice_cover(rects: DataFrame, sizes: list[int], domain: Domain, name: str
     return out.drop(*[f"__{x}{d}" for d in every for x in "abc"])
 
 
+def lattice_search(points: DataFrame, sizes: list[int], domain: Domain, name: str = "id") -> DataFrame:
+    """points (x0 ...) with the cell that each lies in; points outside have none. The upper ends belong to the last cells."""
+    inside = reduce(Column.__and__, [(F.col(f"x{d}") >= domain.lo[d]) & (F.col(f"x{d}") <= domain.hi[d]) for d in range(len(sizes))])
+    at = [F.least(F.floor((F.col(f"x{d}") - domain.lo[d]) / domain.widths()[d] * float(n)), F.lit(n - 1)) for d, n in enumerate(sizes)]
+    return points.filter(inside).withColumn(name, lattice_id(at, sizes))
+
+
 def lattice_edges(spark: SparkSession, sizes: list[int]) -> DataFrame:
     """The 1-cells between neighbouring nodes of a lattice with so many cells along each axis: axis, c0, c1 ... of the lower end."""
     parts = []

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dynspark.functions import intervals as iv
-from dynspark.functions.boxes import Domain, rects_of, with_cells, with_rects
-from dynspark.functions.keys import halvings, key_of
+from dynspark.functions.boxes import Domain, meet, rects_of, with_cells, with_rects
+from dynspark.functions.keys import child, halvings, is_upper, key_of, parent
 from dynspark.operators import cells as cubical
 from dynspark.operators import cover as covers
 from dynspark.operators import graph, grid, maps
@@ -67,11 +67,15 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[d].cast("double").alias(f"x{d}") for d in range(2)])
 
 
+def cell_of(depth: int, domain: Domain) -> list[Column]:
+    """The coordinates of the box at depth that the point x0, x1 ... lies in."""
+    t = halvings(depth, domain.dim)
+    return [F.least(F.greatest(F.floor((F.col(f"x{d}") - domain.lo[d]) / domain.widths()[d] * float(1 << t[d])), F.lit(0)), F.lit((1 << t[d]) - 1)) for d in range(domain.dim)]
+
+
 def occupied(points: DataFrame, depth: int, domain: Domain) -> DataFrame:
     """key, c0, c1, points: the boxes at depth that hold points."""
-    t = halvings(depth, domain.dim)
-    place = lambda d: F.least(F.greatest(F.floor((F.col(f"x{d}") - domain.lo[d]) / domain.widths()[d] * float(1 << t[d])), F.lit(0)), F.lit((1 << t[d]) - 1))
-    counted = points.groupBy(*[place(d).alias(f"c{d}") for d in range(domain.dim)]).agg(F.count(F.lit(1)).alias("points"))
+    counted = points.groupBy(*[c.alias(f"c{d}") for d, c in enumerate(cell_of(depth, domain))]).agg(F.count(F.lit(1)).alias("points"))
     return counted.select(key_of([F.col(f"c{d}") for d in range(domain.dim)], depth).alias("key"), *[f"c{d}" for d in range(domain.dim)], "points")
 
 
@@ -308,7 +312,15 @@ def q16_data_map_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.select("key", "fl0", "fu0", "fl1", "fu1")
 
 
-@query()
+SQL_ALL12 = sql_rects(f"SELECT {sql_key(['a.range', 'b.range'], 12)} AS key, a.range AS c0, b.range AS c1 FROM range(64) a, range(64) b", 12, VALUES)
+_GROWN = ", ".join(f"(l{d} + u{d}) / 2 {sign} (u{d} - l{d}) AS {e}{d}" for d in range(2) for e, sign in (("l", "-"), ("u", "+")))
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED ({SQL_P2}), b AS MATERIALIZED (SELECT key, l0, u0, l1, u1 FROM ({SQL_ALL12})),
+tried(turn, key, l0, u0, l1, u1, hit) AS (
+  SELECT 0, key, l0, u0, l1, u1, EXISTS (SELECT 1 FROM p WHERE {_INSIDE}) FROM b
+  UNION ALL SELECT turn + 1, key, l0, u0, l1, u1, EXISTS (SELECT 1 FROM p WHERE {_INSIDE}) FROM (SELECT turn, key, {_GROWN} FROM tried WHERE NOT hit AND turn < 20))
+SELECT key, min(y0) AS fl0, max(y0) AS fu0, min(y1) AS fl1, max(y1) AS fu1 FROM (SELECT * FROM tried WHERE hit) t JOIN p ON {_INSIDE} GROUP BY key""")
 def q17_data_map_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = with_rects(grid.uniform(spark, 12), 12, VALUES)
     return maps.DataMap(p2(spark, sf_dir), VALUES).image(boxes, 2).select("key", "fl0", "fu0", "fl1", "fu1")
@@ -406,6 +418,215 @@ def q25_chain_boundary_mod5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubical.boundary(chain, 2)
 
 
+# --- navigation, ranks, lattices --------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT DISTINCT key >> 4 AS key, 'coarse' AS kind, ({{c0}}) AS c0, ({{c1}}) AS c1 FROM ({BOX1})
+UNION ALL SELECT key * 4 + p.range, 'fine', c0 * 2 + (p.range >> 1), c1 * 2 + (p.range & 1) FROM ({BOX1}), range(4) p""".format(c0="c0 >> 2", c1="c1 >> 2"))
+def q32_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes at depth 12 as cubes at depth 8 and at depth 14."""
+    boxes = occupied(p1(spark, sf_dir), 12, UNIT).select("key")
+    at = lambda depth, kind: grid.cubes(boxes, 12, depth, 2).select("key", F.lit(kind).alias("kind"), "c0", "c1")
+    return at(8, "coarse").unionByName(at(14, "fine"))
+
+
+_PARENT = sql_occupied(SQL_P1, 12, UNIT)
+
+
+@query(f"""SELECT key, key >> 1 AS up, key >> 3 AS up3, key * 2 AS lower, key * 2 + 1 AS upper, key % 2 = 1 AS is_upper FROM ({_PARENT})""")
+def q33_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("key")
+    boxes = occupied(p1(spark, sf_dir), 12, UNIT).select("key")
+    return boxes.select("key", parent(key).alias("up"), parent(key, 3).alias("up3"), child(key, 0).alias("lower"), child(key, 1).alias("upper"), is_upper(key).alias("is_upper"))
+
+
+@query(f"""WITH a AS (SELECT 8 AS depth, key FROM ({_G3})), b AS (SELECT 6 AS depth, key FROM ({_G1})),
+joined AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key >> 2 FROM a))
+SELECT depth, key, row_number() OVER (ORDER BY key << (62 - depth)) - 1 AS ge FROM joined""")
+def q34_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of each leaf of a grid of mixed depth in a walk of its tree."""
+    fine = occupied(p3(spark, sf_dir), 8, SIGNED).select(F.lit(8).alias("depth"), "key")
+    coarse = occupied(p1(spark, sf_dir), 6, UNIT).select(F.lit(6).alias("depth"), "key")
+    return grid.ranked(grid.join_grids(fine, coarse)).select("depth", "key", "ge")
+
+
+_LATTICE = [37, 23]
+_CELL = " AND ".join(f"c{d} >= greatest(ceil({n}e0 * (l{d} - 0e0) / (1.2e0 - 0e0) - 1e0), 0) AND c{d} < least(floor({n}e0 * (u{d} - 0e0) / (1.2e0 - 0e0) + 1e0), {n})" for d, n in enumerate(_LATTICE))
+
+
+@query(f"""SELECT key, c0 + 37 * c1 AS id FROM ({sql_rects(f"SELECT key, c0 AS b0, c1 AS b1, c0, c1 FROM ({BOX1_8})", 8, UNIT).replace("SELECT *,", "SELECT key,", 1)}), (SELECT range AS c0 FROM range(37)), (SELECT range AS c1 FROM range(23)) WHERE {_CELL}""")
+def q35_lattice_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cells of a lattice of 37 x 23 do the boxes meet or touch."""
+    boxes = rects(occupied(p1(spark, sf_dir), 8, UNIT), 8, UNIT).drop("c0", "c1")
+    return grid.lattice_cover(boxes, _LATTICE, UNIT).select("key", F.col("id").cast("long").alias("id"))
+
+
+@query(f"""SELECT b.c0 + 16 * b.c1 AS id, p.l0, p.u0, p.l1, p.u1 FROM ({BOX1_8}) b JOIN (SELECT c0, c1,
+  0e0 + CAST(c0 AS DOUBLE) / 16 * (1.2e0 - 0e0) AS l0, 0e0 + (CAST(c0 AS DOUBLE) + 1e0) / 16 * (1.2e0 - 0e0) AS u0,
+  0e0 + CAST(c1 AS DOUBLE) / 16 * (1.2e0 - 0e0) AS l1, 0e0 + (CAST(c1 AS DOUBLE) + 1e0) / 16 * (1.2e0 - 0e0) AS u1
+  FROM (SELECT range AS c0 FROM range(16)), (SELECT range AS c1 FROM range(16))) p USING (c0, c1)""")
+def q36_lattice_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid.lattice_rects(grid.lattice(spark, [16, 16]), [16, 16], UNIT)
+    boxes = occupied(p1(spark, sf_dir), 8, UNIT).select((F.col("c0") + 16 * F.col("c1")).alias("id"))
+    return cells.join(boxes, "id").select("id", "l0", "u0", "l1", "u1")
+
+
+@query(f"""SELECT c0 + 64 * c1 AS id, (c0 + s.range - 1) // 4 + 16 * ((c1 + t.range - 1) // 4) AS patch FROM ({BOX1}), range(3) s, range(3) t
+WHERE c0 + s.range >= 1 AND c0 + s.range - 1 < 64 AND c1 + t.range >= 1 AND c1 + t.range - 1 < 64 GROUP BY ALL""")
+def q37_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlapping patches of a lattice of 64 x 64 that each occupied cell is in."""
+    boxes = occupied(p1(spark, sf_dir), 12, UNIT).select((F.col("c0") + 64 * F.col("c1")).alias("id"))
+    return grid.patches(spark, [64, 64]).join(boxes, "id", "left_semi").select("id", F.col("patch").cast("long").alias("patch"))
+
+
+@query("""SELECT id, count(*) AS points FROM (SELECT CAST(least(floor(value / 500e0 * 40e0), 39) AS BIGINT) + 40 * CAST(least(floor(CAST(user_id AS DOUBLE) % 30e0 / 30e0 * 25e0), 24) AS BIGINT) AS id
+FROM events WHERE value BETWEEN 0 AND 500) GROUP BY id""")
+def q38_parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell of a parameter lattice that each event's point lies in, and how many lie there."""
+    space = Domain((0.0, 0.0), (500.0, 30.0))
+    points = _table(spark, sf_dir, "events").select(F.col("value").alias("x0"), (F.col("user_id").cast("double") % 30.0).alias("x1"))
+    return grid.lattice_search(points, [40, 25], space).groupBy("id").agg(F.count(F.lit(1)).alias("points"))
+
+
+# --- more maps and intervals ------------------------------------------------------------------------------------------
+
+
+def _numpy_product(x):
+    return x / (2.0 - x)
+
+
+@query(f"SELECT key, fl0, fu0, fl1, fu1 FROM ({sql_product(sql_rects(BOX1, 12, UNIT))})")
+def q39_batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point map in numpy at the corners of all boxes of an Arrow batch."""
+    return maps.point_batch(_numpy_product).image(rects(occupied(p1(spark, sf_dir), 12, UNIT), 12, UNIT), 2).select("key", "fl0", "fu0", "fl1", "fu1")
+
+
+@query(f"SELECT key, l0 / (2e0 - l0) AS fl0, u0 / (2e0 - u0) AS fu0, l1 / (2e0 - l1) AS fl1, u1 / (2e0 - u1) AS fu1 FROM ({sql_rects(BOX1_8, 8, UNIT)})")
+def q40_scalar_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function of one rectangle, on few boxes."""
+    image = maps.scalar_map(lambda r: [x / (2.0 - x) for x in r]).image(rects(occupied(p1(spark, sf_dir), 8, UNIT), 8, UNIT), 2)
+    return image.select("key", "fl0", "fu0", "fl1", "fu1")
+
+
+@query(f"""SELECT key, round((19.6e0 * l0 + 23.68e0 * l1) * exp(u0 * -0.1e0 + u1 * -0.1e0), 9) AS fl0, round((19.6e0 * u0 + 23.68e0 * u1) * exp(l0 * -0.1e0 + l1 * -0.1e0), 9) AS fu0,
+  round(l0 * 0.7e0, 9) AS fl1, round(u0 * 0.7e0, 9) AS fu1 FROM ({sql_rects(BOX1, 12, UNIT)})""")
+def q41_interval_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A population model of two ages in interval arithmetic."""
+    model = maps.IntervalMap(lambda x: [(x[0] * 19.6 + x[1] * 23.68) * iv.exp(x[0] * -0.1 + x[1] * -0.1), x[0] * 0.7])
+    image = model.image(rects(occupied(p1(spark, sf_dir), 12, UNIT), 12, UNIT), 2)
+    return image.select("key", *[F.round(c, 9).alias(c) for c in ("fl0", "fu0", "fl1", "fu1")])
+
+
+def _decay(x):
+    return -x
+
+
+_STEP = "(1e0 - 0.1e0 + 0.1e0 * 0.1e0 / 2 - 0.1e0 * 0.1e0 * 0.1e0 / 6 + 0.1e0 * 0.1e0 * 0.1e0 * 0.1e0 / 24)"
+_DECAYED = ", ".join(f"round({e}{d} * pow({_STEP}, 10), 9) AS f{e}{d}" for d in range(2) for e in "lu")
+
+
+@query(f"SELECT key, {_DECAYED} FROM ({sql_rects(BOX1, 12, UNIT)})")
+def q42_time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time-1 map of x' = -x by ten Runge-Kutta steps."""
+    image = maps.point_batch(maps.rk4(_decay, 1.0, 10)).image(rects(occupied(p1(spark, sf_dir), 12, UNIT), 12, UNIT), 2)
+    return image.select("key", *[F.round(c, 9).alias(c) for c in ("fl0", "fu0", "fl1", "fu1")])
+
+
+_WITHIN = "floor(({b} - {at}) / {period}) >= ceil(({a} - {at}) / {period})"
+_TWO_PI, _PI = "6.283185307179586e0", "3.141592653589793e0"
+
+
+def _sql_cos(a: str, b: str) -> tuple[str, str]:
+    low, high = _WITHIN.format(a=a, b=b, at=_PI, period=_TWO_PI), _WITHIN.format(a=a, b=b, at="0e0", period=_TWO_PI)
+    return f"CASE WHEN {low} THEN -1e0 ELSE least(cos({a}), cos({b})) END", f"CASE WHEN {high} THEN 1e0 ELSE greatest(cos({a}), cos({b})) END"
+
+
+_SIN = _sql_cos("(a - 1.5707963267948966e0)", "(b - 1.5707963267948966e0)")
+_COS = _sql_cos("a", "b")
+_POLE = _WITHIN.format(a="a", b="b", at="1.5707963267948966e0", period=_PI)
+_NAMED_SQL = {
+    "exp": ("exp(a / 20e0)", "exp(b / 20e0)"), "log": ("ln(a)", "ln(b)"), "cos": _COS, "sin": _SIN,
+    "tan": (f"CASE WHEN {_POLE} THEN -1e9 ELSE tan(a) END", f"CASE WHEN {_POLE} THEN 1e9 ELSE tan(b) END"),
+    "tanh": ("(exp(a * 0.2e0) - 1) / (exp(a * 0.2e0) + 1)", "(exp(b * 0.2e0) - 1) / (exp(b * 0.2e0) + 1)"),
+    "cube": ("a * a * a", "b * b * b"), "root": ("sqrt(a)", "sqrt(b)"), "ratio": ("1e0 / b", "b / a * 1e0"),
+    "mid": ("(a + b) / 2", "(b - a) / 2"),
+}
+
+
+@query("WITH h AS (SELECT l_orderkey AS k, min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem GROUP BY l_orderkey) SELECT k, "
+       + ", ".join(f"round({e}, 6) AS {n}_{side}" for n, ends in _NAMED_SQL.items() if n != "ratio" for e, side in zip(ends, ("lo", "hi"), strict=True))
+       + ", round(a / b, 6) AS ratio_lo, round(b / a, 6) AS ratio_hi FROM h")
+def q43_interval_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of the interval of an order's quantities; ends at a pole are written as 1e9."""
+    h = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"))
+    x = iv.Interval(F.col("a"), F.col("b"))
+    finite = lambda c: F.when(c == float("inf"), 1e9).when(c == float("-inf"), -1e9).otherwise(c)
+    tan = iv.tan(x)
+    named = {"exp": iv.exp(x * 0.05), "log": iv.log(x), "cos": iv.cos(x), "sin": iv.sin(x), "tan": iv.Interval(finite(tan.lo), finite(tan.hi)), "tanh": iv.tanh(x * 0.1), "cube": iv.power(x, 3), "root": iv.power(x, 0.5), "ratio": x / x, "mid": iv.Interval(x.mid(), x.radius())}
+    return h.select("k", *[F.round(c, 6).alias(f"{n}_{e}") for n, i in named.items() for e, c in (("lo", i.lo), ("hi", i.hi))])
+
+
+# --- cubes, graphs and files as rows ----------------------------------------------------------------------------------
+
+_CUBED = ", ".join(f"greatest(CAST(floor({_n}e0 * (fl{_d} - 0e0) / (1.2e0 - 0e0)) AS BIGINT), 0) AS a{_d}, least(CAST(floor({_n}e0 * (fu{_d} - 0e0) / (1.2e0 - 0e0)) AS BIGINT), {_n - 1}) AS b{_d}" for _d, _n in ((0, 64), (1, 64)))
+
+
+@query(f"""WITH r AS (SELECT key, {_CUBED} FROM ({sql_product(sql_rects(BOX1_8, 8, UNIT))})), top AS (SELECT c0, c1 FROM ({BOX1}))
+SELECT key, c0, c1 FROM r JOIN top ON c0 BETWEEN a0 AND b0 AND c1 BETWEEN a1 AND b1""")
+def q44_cubical_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cubes of a complex that images meet: floors of their ends, without slack and without touching from below."""
+    image = PRODUCT.image(rects(occupied(p1(spark, sf_dir), 8, UNIT).drop("points"), 8, UNIT).drop("c0", "c1"), 2)
+    cubes = occupied(p1(spark, sf_dir), 12, UNIT).select("c0", "c1")
+    return cubical.cover(image, [64, 64], UNIT, ["key"], cubes)
+
+
+@query(f"""SELECT DISTINCT c0, c1 FROM (SELECT {_CUBED} FROM ({sql_product(sql_rects(BOX1_8, 8, UNIT))})), (SELECT range AS c0 FROM range(64)), (SELECT range AS c1 FROM range(64))
+WHERE c0 BETWEEN a0 AND b0 AND c1 BETWEEN a1 AND b1""")
+def q45_inserted_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complex that is made of all cubes which some image meets."""
+    image = PRODUCT.image(rects(occupied(p1(spark, sf_dir), 8, UNIT).drop("points"), 8, UNIT).drop("c0", "c1"), 2)
+    return cubical.cover(image, [64, 64], UNIT, []).distinct()
+
+
+@query(sql_edges1(12, True).join(("SELECT CAST(src AS VARCHAR) || ' ' || count(*) || ' ' || string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS value FROM (", ") GROUP BY src")))
+def q46_adjacency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.adjacency_lines(edges1(spark, sf_dir, 12, True))
+
+
+@query(f"""WITH chart AS (SELECT n_nationkey % 5 AS chart, c_acctbal, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+b AS (SELECT chart, CAST(least(greatest(floor((c_acctbal + 1000e0) / 12000e0 * 16e0), 0), 15) AS BIGINT) AS c0, CAST(least(greatest(floor(CAST(c_custkey % 997 AS DOUBLE) / 997e0 * 16e0), 0), 15) AS BIGINT) AS c1 FROM chart)
+SELECT chart, key, row_number() OVER (ORDER BY chart, key) - 1 AS ge FROM (SELECT DISTINCT chart, {sql_key(["c0", "c1"], 8)} AS key FROM b)""")
+def q47_atlas_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of several charts, a chart for each remainder of the nation, numbered chart by chart."""
+    rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    points = rows.select((F.col("n_nationkey") % 5).alias("chart"), F.col("c_acctbal").alias("x0"), (F.col("c_custkey") % 997).cast("double").alias("x1"))
+    charts = Domain((-1000.0, 0.0), (11000.0, 997.0))
+    cells = points.select("chart", *[c.alias(f"c{d}") for d, c in enumerate(cell_of(8, charts))]).distinct()
+    boxes = cells.select("chart", F.lit(8).alias("depth"), key_of([F.col("c0"), F.col("c1")], 8).alias("key"))
+    return grid.ranked(boxes, first=["chart"]).select("chart", "key", "ge")
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT key, l0, u0, l1, u1 FROM ({sql_rects(sql_occupied(SQL_P2, 8, VALUES), 8, VALUES)}))
+SELECT a.key AS key, count(*) AS meets FROM b a JOIN b ON a.l0 <= b.u0 + 1e-8 AND b.l0 <= a.u0 + 1e-8 AND a.l1 <= b.u1 + 1e-8 AND b.l1 <= a.u1 + 1e-8 GROUP BY a.key""")
+def q48_rectangles_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many boxes each box meets: candidates by the cells that they touch, then the closed test."""
+    boxes = rects(occupied(p2(spark, sf_dir), 8, VALUES), 8, VALUES).select("key", "l0", "u0", "l1", "u1")
+    near = covers.cover(boxes.select("key", *[F.col(f"{e}{d}").alias(f"f{e}{d}") for d in range(2) for e in "lu"]), 8, VALUES, ["key"])
+    other = boxes.select(F.col("key").alias("dst"), *[F.col(f"{e}{d}").alias(f"o{e}{d}") for d in range(2) for e in "lu"])
+    ends = lambda p: [(F.col(f"{p}l{d}"), F.col(f"{p}u{d}")) for d in range(2)]
+    return near.join(boxes, "key").join(other, "dst").filter(meet(ends(""), ends("o"))).groupBy("key").agg(F.count(F.lit(1)).alias("meets"))
+
+
+@query(f"""WITH p AS MATERIALIZED ({SQL_P2}), b AS MATERIALIZED ({sql_rects(sql_occupied(SQL_P2, 12, VALUES), 12, VALUES)})
+SELECT key, c.range AS corner, CASE WHEN c.range % 2 = 1 THEN u0 ELSE l0 END AS x0, CASE WHEN c.range >= 2 THEN u1 ELSE l1 END AS x1, l0 + (u0 - l0) / 2 AS m0, l1 + (u1 - l1) / 2 AS m1 FROM b, range(4) c""")
+def q49_corners_and_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = rects(occupied(p2(spark, sf_dir), 12, VALUES), 12, VALUES)
+    centre = maps.center_point(2)
+    corners = sorted(maps.corner_points(2), key=lambda p: ("u1" in str(p[1]), "u0" in str(p[0])))
+    points = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("corner"), p[0].alias("x0"), p[1].alias("x1")) for k, p in enumerate(corners)])).alias("p")
+    return boxes.select("key", centre[0].alias("m0"), centre[1].alias("m1"), points).select("key", "p.corner", "p.x0", "p.x1", "m0", "m1")
+
+
 # --- whole Morse graphs -----------------------------------------------------------------------------------------------
 
 
