@@ -1,7 +1,7 @@
 """Recurrence of digraphs held as edges (node, src, dst): many graphs at once, one for each node.
 
-recurrence() is made of joins and aggregations on vertices, whatever the number and size of the graphs: trimming, colours
-in both directions, and reachability on the condensed graph; lineage is cut every round, and a hub is rows like others.
+recurrence() takes graphs of any number and size: colours in both directions over parts of the edges, met by joins and
+aggregations on vertices, and reachability on the condensed graph; lineage is cut every round, and a hub is rows like others.
 recurrence_of_many() is for refinement, where most nodes are small: a graph of at most GROUP_EDGES edges, found by a count, is a task of its own, and
 thousands of them run side by side; larger ones take the way of joins.
 """
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from dynspark.plans.cutting import cut
 
-#: Edges, and components, of a graph that a task takes by itself at most.
+#: Steps along edges between two cuts of reachability.
+STEPS = 3
+#: Edges of a part, and of a graph that a task takes by itself, at most about; components of such a graph at most.
 GROUP_EDGES, GROUP_COMPONENTS = 100_000, 2000
 
 
@@ -97,47 +99,81 @@ def _one(key: tuple, t: pa.Table, most: int) -> pa.Table:
     })
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Without vertices that have no way in or no way out, again and again."""
-    before, n = None, edges.count()
-    while n and n != before:
-        ins = edges.select("node", F.col("dst").alias("src")).distinct()
-        outs = edges.select("node", F.col("src").alias("dst")).distinct()
-        edges = cut(edges.join(ins, ["node", "src"], "left_semi").join(outs, ["node", "dst"], "left_semi").select("node", "src", "dst"))
-        before, n = n, edges.count()
-    return edges
+def _priorities(keys: np.ndarray, turn: int) -> np.ndarray:
+    """A number for each key, all different (each step is a bijection), in another order each turn."""
+    h = keys.astype(np.int64).view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def _colored(t: pa.Table, turn: int) -> pa.Table:
+    """A part of the edges, perhaps with colours of their ends (as, bs, ad, bd). node, key, above, below: the highest colours that reach
+    a vertex and that it reaches, as far as these edges lead."""
+    node, src, dst = (t.column(c).to_numpy() for c in ("node", "src", "dst"))
+    ends = np.stack([np.r_[node, node], np.r_[src, dst]], 1)
+    vertices, flat = np.unique(ends, axis=0, return_inverse=True)
+    flat = flat.reshape(-1)
+    s, d = flat[: len(src)], flat[len(src) :]
+    if "as" in t.column_names:
+        above, below = (np.full(len(vertices), np.iinfo(np.int64).min) for _ in range(2))
+        for at, x, y in ((s, "as", "bs"), (d, "ad", "bd")):
+            above[at], below[at] = t.column(x).to_numpy(), t.column(y).to_numpy()
+    else:
+        above = _priorities(vertices[:, 1], turn)
+        below = above.copy()
+    for color, into, out in ((above, d, s), (below, s, d)):
+        order = np.argsort(into, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(into[order]) != 0])
+        to, of = into[order][starts], out[order]
+        while True:
+            best = np.maximum.reduceat(color[of], starts)
+            if not (best > color[to]).any():
+                break
+            color[to] = np.maximum(color[to], best)
+    return pa.table({"node": vertices[:, 0], "key": vertices[:, 1], "above": above, "below": below})
+
+
+def _colors(rest: DataFrame, parts: int, turn: int) -> DataFrame:
+    """rest: node, src, dst, part. node, key, above, below at which nothing changes any more."""
+    kind = "node long, key long, above long, below long"
+    color = rest.groupBy("part").applyInArrow(lambda t: _colored(t, turn), kind)
+    total = None
+    while parts > 1:
+        color = cut(color.groupBy("node", "key").agg(F.max("above").alias("above"), F.max("below").alias("below")))
+        now = color.agg(F.sum(F.xxhash64("above", "below", "node", "key").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            break
+        total = now
+        end = lambda name: color.select("node", F.col("key").alias(name), F.col("above").alias(f"a{name[0]}"), F.col("below").alias(f"b{name[0]}"))  # noqa: B023, E731
+        color = rest.join(end("src"), ["node", "src"]).join(end("dst"), ["node", "dst"]).groupBy("part").applyInArrow(lambda t: _colored(t, turn), kind)
+    return color if parts > 1 else cut(color)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (least key), key of the recurrent components, by joins only.
+def components(edges: DataFrame, part_edges: int = GROUP_EDGES) -> DataFrame:
+    """node, comp (least key), key of the recurrent components.
 
-    Each round gives vertices priorities and sends them both ways until nothing changes: a vertex knows the highest one that
+    Each turn gives vertices priorities and sends them both ways until nothing changes: a vertex knows the highest one that
     reaches it and the highest one that it reaches. Where both are the same, the vertex is in that one's component;
     vertices that differ in either aren't in one component, so edges between them go. What is left is given other priorities.
+    Edges lie in parts of about part_edges by a hash. A task sends colours along its part's edges as far as they lead; between
+    such rounds vertices take the highest colours of all parts, by an aggregation and joins.
     """
-    edges, found = cut(edges.select("node", "src", "dst").distinct()), []
-    loops = edges.filter("src = dst").select("node", F.col("src").alias("key"))
-    rest = _trimmed(edges)
+    edges = edges.select("node", "src", "dst").distinct()
+    parts = max(1, -(-edges.count() // part_edges))
+    rest = edges = cut(edges.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(parts)).cast("int")))
+    loops, found = edges.filter("src = dst").select("node", F.col("src").alias("key")), []
     for turn in range(64):
         if rest.isEmpty():
             break
-        first = F.struct(F.xxhash64("key", F.lit(turn)).alias("p"), "key")
-        ends = rest.select("node", F.explode(F.array("src", "dst")).alias("key")).distinct()
-        color = cut(ends.select("node", "key", first.alias("above"), first.alias("below")))
-        total = None
-        while (now := color.agg(F.sum(F.xxhash64("above", "below", "key").cast("decimal(38,0)"))).first()[0]) != total:
-            total = now
-            down = rest.join(color.select("node", F.col("key").alias("src"), "above"), ["node", "src"]).select("node", F.col("dst").alias("key"), "above", F.lit(None).alias("below"))
-            up = rest.join(color.select("node", F.col("key").alias("dst"), "below"), ["node", "dst"]).select("node", F.col("src").alias("key"), F.lit(None).alias("above"), "below")
-            color = cut(color.unionByName(down).unionByName(up).groupBy("node", "key").agg(F.max("above").alias("above"), F.max("below").alias("below")))
-        mine = color.select("node", "key", F.xxhash64("above", "below").alias("kind"), (F.col("above") == F.col("below")).alias("done"), F.col("above.key").alias("root"))
+        mine = _colors(rest, parts, turn).withColumn("done", F.col("above") == F.col("below"))
         group = mine.filter("done")
-        sizes = group.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("comp"))
-        named = group.join(sizes, ["node", "root"]).join(loops.withColumn("loop", F.lit(True)), ["node", "key"], "left")
-        found.append(cut(named.filter("n > 1 or loop").select("node", "comp", "key")))
+        sizes = group.groupBy("node", "above").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("comp"))
+        named = group.join(sizes, ["node", "above"]).join(loops.withColumn("loop", F.lit(True)), ["node", "key"], "left")
+        found.append(named.filter("n > 1 or loop").select("node", "comp", "key"))
         left = mine.filter(~F.col("done"))
-        side = lambda name: left.select("node", F.col("key").alias(name), "kind")  # noqa: B023, E731
-        rest = cut(rest.join(side("src"), ["node", "src"]).join(side("dst"), ["node", "dst", "kind"]).select("node", "src", "dst"))
+        side = lambda name: left.select("node", F.col("key").alias(name), "above", "below")  # noqa: B023, E731
+        rest = cut(rest.join(side("src"), ["node", "src"]).join(side("dst"), ["node", "dst", "above", "below"]).select("node", "src", "dst", "part"))
     else:
         raise RuntimeError("the components didn't settle")
     out = found[0] if found else edges.select("node", F.col("src").alias("comp"), F.col("src").alias("key")).limit(0)
@@ -160,8 +196,10 @@ def reached(edges: DataFrame, members: DataFrame) -> DataFrame:
     seen = cut(every.filter("leaves").select("node", F.col("src").alias("comp"), F.col("dst").alias("key"), "arrives", F.lit(0).alias("turn")))
     turn = 0
     while not seen.filter(f"turn = {turn}").isEmpty():
-        front = seen.filter(f"turn = {turn} and not arrives")
-        step = front.join(between, ["node", "key"]).select("node", "comp", F.col("to").alias("key"), F.col("ends").alias("arrives")).distinct()
+        front, step = seen.filter(f"turn = {turn} and not arrives"), None
+        for _ in range(STEPS):
+            front = front.join(between, ["node", "key"]).select("node", "comp", F.col("to").alias("key"), F.col("ends").alias("arrives")).distinct()
+            step, front = front if step is None else step.unionByName(front).distinct(), front.filter("not arrives")
         turn += 1
         seen = cut(seen.unionByName(step.join(seen.select("node", "comp", "key"), ["node", "comp", "key"], "left_anti").withColumn("turn", F.lit(turn))))
     pairs = cut(seen.filter("arrives").select("node", "comp", F.col("key").alias("other")).unionByName(comps.select("node", "comp", F.col("comp").alias("other"))).distinct())
@@ -173,10 +211,10 @@ def reached(edges: DataFrame, members: DataFrame) -> DataFrame:
     return pairs
 
 
-def recurrence(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def recurrence(edges: DataFrame, part_edges: int = GROUP_EDGES) -> tuple[DataFrame, DataFrame]:
     """members (node, comp, key) and reach (node, comp, other) of the graphs of all nodes. comp is the component's least key."""
     edges = cut(edges.select("node", "src", "dst").distinct())
-    members = cut(components(edges))
+    members = cut(components(edges, part_edges))
     return members, reached(edges, members)
 
 

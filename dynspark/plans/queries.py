@@ -20,6 +20,7 @@ from dynspark.operators import cells as cubical
 from dynspark.operators import cover as covers
 from dynspark.operators import graph, grid, maps
 from dynspark.plans import morse
+from dynspark.plans.cutting import cut
 from dynspark.sources import files
 
 UNIT = Domain((0.0, 0.0), (1.2, 1.2))
@@ -229,19 +230,21 @@ reach AS (SELECT DISTINCT m.comp, n.comp AS other FROM closure JOIN members m ON
 """
 
 
-def recurrence1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = edges1(spark, sf_dir, 8, True).withColumn("node", F.lit(0).cast("long"))
-    return (edges, *graph.recurrence(edges))
+def recurrent1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and members of the recurrent components of the product map on P1's boxes at depth 8."""
+    edges = cut(edges1(spark, sf_dir, 8, True).withColumn("node", F.lit(0).cast("long")))
+    return edges, graph.components(edges)
 
 
 @query(SQL_RECURRENCE + "SELECT comp, key FROM members")
 def q10_morse_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrence1(spark, sf_dir)[1].select("comp", "key")
+    return recurrent1(spark, sf_dir)[1].select("comp", "key")
 
 
 @query(SQL_RECURRENCE + "SELECT comp, other FROM reach")
 def q11_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrence1(spark, sf_dir)[2].select("comp", "other")
+    edges = edges1(spark, sf_dir, 8, True).withColumn("node", F.lit(0).cast("long"))
+    return graph.recurrence(edges)[1].select("comp", "other")
 
 
 SQL_ORDER = """
@@ -276,7 +279,7 @@ def q13_attractors_repellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL_RECURRENCE + "SELECT comp AS min_box, count(*) AS size FROM members GROUP BY comp")
 def q14_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurrence1(spark, sf_dir)[1].groupBy(F.col("comp").alias("min_box")).agg(F.count(F.lit(1)).alias("size"))
+    return recurrent1(spark, sf_dir)[1].groupBy(F.col("comp").alias("min_box")).agg(F.count(F.lit(1)).alias("size"))
 
 
 # --- sampled and tabulated maps ---------------------------------------------------------------------------------------
@@ -642,14 +645,14 @@ def q26_morse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL_RECURRENCE + f"""SELECT l0, l1, u0, u1, CAST(comp AS DOUBLE) AS v FROM members JOIN ({_SHIFT}) USING (key)""")
 def q28_morse_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = recurrence1(spark, sf_dir)[1].select("key", F.col("comp").alias("v"))
+    members = recurrent1(spark, sf_dir)[1].select("key", F.col("comp").alias("v"))
     return files.box_rows(with_rects(members, 8, UNIT), 2)
 
 
 @query(SQL_RECURRENCE + """, image AS (SELECT DISTINCT comp, dst AS key FROM e JOIN members ON src = members.key)
 SELECT i.comp, i.key, m.key IS NULL AS exit FROM image i LEFT JOIN members m ON i.comp = m.comp AND i.key = m.key""")
 def q29_index_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, members, _ = recurrence1(spark, sf_dir)
+    edges, members = recurrent1(spark, sf_dir)
     return graph.index_pair(edges, members).select("comp", "key", "exit")
 
 
@@ -668,7 +671,7 @@ gone AS (SELECT DISTINCT comp, 2 * c0 + i AS e0, 2 * c1 + j AS e1 FROM cube, (VA
 SELECT comp, CAST(sum(CASE WHEN (e0 + e1) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS euler FROM (SELECT * FROM face EXCEPT SELECT * FROM gone) GROUP BY comp""")
 def q31_relative_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Euler characteristic of each set's index pair."""
-    edges, members, _ = recurrence1(spark, sf_dir)
+    edges, members = recurrent1(spark, sf_dir)
     pair = with_cells(graph.index_pair(edges, members), 8, 2)
     return cubical.euler_characteristic(cubical.relative(pair, 2, ["comp"]), ["comp"])
 

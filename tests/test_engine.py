@@ -108,14 +108,15 @@ def brute_recurrence(edges):
     return {(c, k) for k, c in comp.items()}, pairs
 
 
-@pytest.mark.parametrize("way", ["joins", "groups", "groups of few edges", "groups of few components"])
+@pytest.mark.parametrize("way", ["one part", "many parts", "groups", "groups of few edges", "groups of few components"])
 def test_recurrence(spark, way):
     rng = np.random.default_rng(9)
     graphs = {n: {tuple(map(int, e)) for e in rng.integers(0, 14, (16, 2))} for n in range(3)} | {9: {(1, 2), (2, 3)}}
     graphs[4] = {(k, k) for k in range(0, 9, 2)} | {(k, k + 1) for k in range(8)} | {(8, 20), (20, 21), (21, 20), (21, 8)}
     df = spark.createDataFrame([(n, a, b) for n, es in graphs.items() for a, b in es], "node long, src long, dst long")
     bounds = {"groups": (), "groups of few edges": (14,), "groups of few components": (graph.GROUP_EDGES, 1)}
-    members, reach = graph.recurrence(df) if way == "joins" else graph.recurrence_of_many(df, *bounds[way])
+    parts = {"one part": 10**6, "many parts": 40}
+    members, reach = graph.recurrence(df, parts[way]) if way in parts else graph.recurrence_of_many(df, *bounds[way])
     got, pairs = rows(members.select("node", "comp", "key")), rows(reach.select("node", "comp", "other"))
     for n, es in graphs.items():
         want, wanted = brute_recurrence(es)
@@ -126,7 +127,7 @@ def test_recurrence(spark, way):
 
 def test_recurrence_of_a_cycle_and_a_way(spark):
     edges = spark.range(20).selectExpr("0L AS node", "id AS src", "CASE WHEN id = 13 THEN 0 ELSE id + 1 END AS dst").union(spark.createDataFrame([(0, 5, 14), (0, 20, 20)], "node long, src long, dst long"))
-    members, reach = graph.recurrence(edges)
+    members, reach = graph.recurrence(edges, 12)
     assert rows(members.groupBy("comp").count()) == [(0, 14), (20, 1)]
     assert rows(reach.select("comp", "other")) == [(0, 0), (0, 20), (20, 20)]
 
