@@ -255,6 +255,12 @@ def repellers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(edges.filter("u != v").select("v").distinct(), "v", "left_anti")
 
 
+def annotated(vertices: DataFrame, notes: DataFrame) -> DataFrame:
+    """vertices with notes: the set of each vertex's notes (v, note), ascending; none: an empty array."""
+    own = notes.filter("note is not null").groupBy("v").agg(F.sort_array(F.collect_set(F.col("note").cast("string"))).alias("notes"))
+    return vertices.drop("notes").join(own, "v", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, key, out_degree, in_degree of all vertices; one shuffle with map-side combine."""
     ends = edges.select("node", F.col("src").alias("key"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("node", "dst", F.lit(0), F.lit(1)))

@@ -83,6 +83,10 @@ class MorseGraph:
     def repellers(self) -> DataFrame:
         return graph.repellers(self.vertices.select("v"), self.edges_unreduced)
 
+    def annotated(self, notes: DataFrame) -> MorseGraph:
+        """The same graph whose vertices have notes (v, note), which show in its DOT text."""
+        return MorseGraph(self.model, graph.annotated(self.vertices, notes), self.members, self.edges_unreduced, self.phase)
+
     def morse_sets(self) -> DataFrame:
         """v, depth, key, ge: the boxes of the phase grid in each set. Leaves that were refined below a set's box count for it."""
         out = []

@@ -663,6 +663,14 @@ def q30_dot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.dot_lines(vertices, graph.transitive_reduction(nations_order(spark, sf_dir)))
 
 
+@query("""SELECT n_nationkey AS v, n_name || coalesce((SELECT string_agg('\\n' || s, '' ORDER BY s) FROM (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000)), '') AS label FROM nation""")
+def q50_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as vertices, the segments of their rich customers as notes, in the labels of a DOT text."""
+    vertices = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("v"), "n_name")
+    notes = _table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("v"), F.col("c_mktsegment").alias("note"))
+    return files.labels(graph.annotated(vertices, notes), "n_name").select("v", "label")
+
+
 @query(SQL_RECURRENCE + """, image AS (SELECT DISTINCT comp, dst AS key FROM e JOIN members ON src = members.key),
 pair AS (SELECT i.comp, i.key, m.key IS NULL AS exit FROM image i LEFT JOIN members m ON i.comp = m.comp AND i.key = m.key),
 cube AS (SELECT comp, exit, c0, c1 FROM pair JOIN (""" + BOX1_8 + """) USING (key)),

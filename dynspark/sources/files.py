@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dynspark.functions.boxes import Domain
+from dynspark.plans.morse import BoxMap, Model, MorseGraph
 
 #: Colours of vertices, in turn.
 COLORS = ("#1f77b4", "#e6550d", "#31a354", "#756bb1", "#636363", "#e377c2", "#bcbd22", "#17becf")
@@ -36,11 +37,23 @@ def read_sets(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return spark.read.schema(", ".join(f"{n} double" for n in names)).csv(path).withColumn("v", F.col("v").cast("long"))
 
 
-def save(graph, path: str) -> None:
-    """A Morse graph as Parquet tables; load_tables() reads back what was saved."""
+def save(graph: MorseGraph, path: str) -> None:
+    """A Morse graph as Parquet tables, its model's domain and depths with it; load() makes it again."""
     for name in ("vertices", "members", "phase"):
         getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
     graph.edges_unreduced.write.mode("overwrite").parquet(f"{path}/edges")
+    m = graph.model
+    row = (list(m.domain.lo), list(m.domain.hi), list(m.domain.periodic), m.min, m.max, m.init, m.limit, m.strict_periodic)
+    kinds = "lo array<double>, hi array<double>, periodic array<boolean>, min int, max int, init int, limit long, strict boolean"
+    graph.vertices.sparkSession.createDataFrame([row], kinds).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load(spark: SparkSession, path: str, map: BoxMap | None = None) -> MorseGraph:
+    """The Morse graph that was saved. A map isn't saved; map_graph() alone needs it."""
+    tables = load_tables(spark, path)
+    r = spark.read.parquet(f"{path}/model").first()
+    model = Model(Domain(r["lo"], r["hi"], r["periodic"]), map, r["min"], r["max"], r["init"], r["limit"], r["strict"])
+    return MorseGraph(model, tables["vertices"], tables["members"], tables["edges"], tables["phase"])
 
 
 def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -61,10 +74,16 @@ def dot_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.concat(F.col("u").cast("string"), F.lit(" -> "), F.col("v").cast("string"), F.lit(";")).alias("line")))
 
 
-def dot_text(graph) -> str:
+def labels(vertices: DataFrame, name: str) -> DataFrame:
+    """vertices with label: their name and, if they have notes, those, a line each."""
+    notes = F.col("notes") if "notes" in vertices.columns else F.array().cast("array<string>")
+    return vertices.withColumn("label", F.array_join(F.concat(F.array(F.col(name).cast("string")), notes), "\\n"))
+
+
+def dot_text(graph: MorseGraph) -> str:
     """The whole of a Morse graph in DOT. A Morse graph is small: its vertices are recurrent sets."""
     edges = graph.edges()
-    lines = [r["line"] for r in dot_lines(graph.vertices.withColumn("label", F.col("v").cast("string")), edges).collect()]
+    lines = [r["line"] for r in dot_lines(labels(graph.vertices, "v"), edges).collect()]
     rank = lambda df: "{rank=same; " + " ".join(str(r["v"]) for r in df.orderBy("v").collect()) + " };"
     return "\n".join(["digraph {", *sorted(lines, key=lambda x: ("->" in x, x)), rank(graph.attractors()), rank(graph.repellers()), "}"])
 

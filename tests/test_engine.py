@@ -78,12 +78,17 @@ def test_union_intersection_and_prism(spark):
     assert hit <= {cells[k] for k in got} and len(got) < 80
 
 
-def test_published_morse_graph(spark):
+def test_published_morse_graph(spark, tmp_path):
     g = morse.morse_graph(spark, morse.Model(UNIT, PRODUCT, 6, 10, 4))
     assert g.signature() == {"sizes": [1, 1, 1, 1], "min_box": [0, 29, 58, 105], "edges": [[1, 0], [2, 0], [3, 0], [3, 1], [3, 2]], "phase_size": 124}
     assert rows(g.edges()) == [(1, 0), (2, 0), (3, 1), (3, 2)]
     assert rows(g.attractors()) == [(0,)] and rows(g.repellers()) == [(3,)]
     assert "3 -> 1;" in files.dot_text(g)
+    files.save(g, str(tmp_path / "saved"))
+    again = files.load(spark, str(tmp_path / "saved"), PRODUCT)
+    assert again.signature() == g.signature() and again.model.domain == g.model.domain and rows(again.edges()) == rows(g.edges())
+    noted = again.annotated(spark.createDataFrame([(1, "x - 1"), (1, "0"), (1, "0"), (2, None)], "v int, note string"))
+    assert '1 [label="1\\n0\\nx - 1"' in files.dot_text(noted) and '2 [label="2"' in files.dot_text(noted)
 
 
 def test_models_are_checked():
