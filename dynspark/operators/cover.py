@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dynspark.functions.boxes import Domain
+from dynspark.functions.boxes import Domain, with_rects
 from dynspark.functions.keys import halvings, key_of
 
 WIDTH, SLACK = 60, 1 << 10
@@ -83,25 +83,28 @@ def intersection_cover(covers: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged).groupBy(*covers[0].columns).agg(F.count("__of").alias("__n")).filter(F.col("__n") == len(covers)).drop("__n")
 
 
+def _determinant(rows: list[int], columns: list[int]) -> Column:
+    """Of the rows and columns of the matrix a00, a01 ... that are named, by expansion."""
+    if not rows:
+        return F.lit(1.0)
+    terms = [F.col(f"a{rows[0]}{c}") * _determinant(rows[1:], [x for x in columns if x != c]) * (-1.0 if k % 2 else 1.0) for k, c in enumerate(columns)]
+    return reduce(Column.__add__, terms)
+
+
 def prism_cover(prisms: DataFrame, depth: int, domain: Domain, keep: list[str]) -> DataFrame:
     """prisms: {A x + c : -1 <= x <= 1}, a00 ... and c0 ... Boxes that aren't separated from the prism along the axes of the
-    box or the normals of the prism's faces (two dimensions); candidates come from the bounding rectangle."""
+    box or the normals of the prism's faces; candidates come from the bounding rectangle. A flat prism is as good as its rectangle along what it lacks."""
     dim = domain.dim
-    if dim != 2:
-        raise ValueError("prisms are supported in two dimensions")
-    prisms = prisms.withColumnsRenamed({f"c{d}": f"m{d}" for d in range(dim)})  # c0 ... are cells below
-    reach = [F.abs(F.col(f"a{d}0")) + F.abs(F.col(f"a{d}1")) for d in range(dim)]
-    bounded = prisms.withColumns({f"fl{d}": F.col(f"m{d}") - reach[d] for d in range(dim)} | {f"fu{d}": F.col(f"m{d}") + reach[d] for d in range(dim)})
-    shape = [f"a{i}{j}" for i in range(dim) for j in range(dim)] + [f"m{d}" for d in range(dim)]
-    from dynspark.functions.boxes import with_rects
-
+    every = list(range(dim))
+    prisms = prisms.withColumnsRenamed({f"c{d}": f"m{d}" for d in every})  # c0 ... are cells below
+    reach = [reduce(Column.__add__, [F.abs(F.col(f"a{d}{j}")) for j in every]) for d in every]
+    bounded = prisms.withColumns({f"fl{d}": F.col(f"m{d}") - reach[d] for d in every} | {f"fu{d}": F.col(f"m{d}") + reach[d] for d in every})
+    shape = [f"a{i}{j}" for i in every for j in every] + [f"m{d}" for d in every]
     out = with_rects(cover(bounded, depth, domain, [*keep, *shape]), depth, domain, "dst")
-    for j in range(dim):  # the normal of the faces spanned by column j
-        n = [F.col(f"a1{j}"), -F.col(f"a0{j}")]
-        i = 1 - j
-        half = F.abs(n[0] * F.col(f"a0{i}") + n[1] * F.col(f"a1{i}"))
-        at = n[0] * F.col("m0") + n[1] * F.col("m1")
-        middle = n[0] * (F.col("l0") + F.col("u0")) / 2 + n[1] * (F.col("l1") + F.col("u1")) / 2
-        spread = F.abs(n[0]) * (F.col("u0") - F.col("l0")) / 2 + F.abs(n[1]) * (F.col("u1") - F.col("l1")) / 2
-        out = out.filter(F.abs(middle - at) <= half + spread + 1e-9 * (F.lit(1.0) + half))
+    half = F.abs(_determinant(every, every))
+    for j in every:  # the normal of the faces that all columns but j span: cofactors
+        normal = [_determinant([r for r in every if r != i], [c for c in every if c != j]) * (-1.0 if (i + j) % 2 else 1.0) for i in every]
+        apart = reduce(Column.__add__, [n * ((F.col(f"l{d}") + F.col(f"u{d}")) / 2 - F.col(f"m{d}")) for d, n in enumerate(normal)])
+        spread = reduce(Column.__add__, [F.abs(n) * (F.col(f"u{d}") - F.col(f"l{d}")) / 2 for d, n in enumerate(normal)])
+        out = out.filter(F.abs(apart) <= half + spread + 1e-9 * (F.lit(1.0) + half))
     return out.select(*keep, "dst")

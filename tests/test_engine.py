@@ -78,6 +78,19 @@ def test_union_intersection_and_prism(spark):
     assert hit <= {cells[k] for k in got} and len(got) < 80
 
 
+def test_prism_in_three_dimensions(spark):
+    cube = Domain((0, 0, 0), (1, 1, 1))
+    matrix = np.array([[0.25, 0.02, 0.0], [0.25, -0.02, 0.01], [0.25, 0.0, -0.01]])
+    centre = np.array([0.5, 0.5, 0.5])
+    names = [f"a{i}{j} double" for i in range(3) for j in range(3)] + [f"c{d} double" for d in range(3)]
+    prism = spark.createDataFrame([(0, *matrix.ravel().tolist(), *centre.tolist())], "src long, " + ", ".join(names))
+    got = {r["dst"] for r in covers.prism_cover(prism, 9, cube, ["src"]).collect()}
+    cells = {(r["c0"], r["c1"], r["c2"]): r["key"] for r in grid.cubes(grid.uniform(spark, 9), 9, 9, 3).collect()}
+    points = centre + np.random.default_rng(1).uniform(-1, 1, (20000, 3)) @ matrix.T
+    hit = {cells[tuple(x)] for x in np.unique(np.floor(points * 8).astype(int), axis=0).tolist()}
+    assert hit <= got and len(got) < 3 * len(hit) < 300
+
+
 def test_published_morse_graph(spark, tmp_path):
     g = morse.morse_graph(spark, morse.Model(UNIT, PRODUCT, 6, 10, 4))
     assert g.signature() == {"sizes": [1, 1, 1, 1], "min_box": [0, 29, 58, 105], "edges": [[1, 0], [2, 0], [3, 0], [3, 1], [3, 2]], "phase_size": 124}
