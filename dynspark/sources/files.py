@@ -97,6 +97,35 @@ def cubes_from_text(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return rows.join(least, F.lit(True)).select(*[(F.col(f"c{d}") - F.col(f"m{d}")).alias(f"c{d}") for d in range(dim)])
 
 
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """index, tile from text: two numbers a line, such as where a retraction sends each box."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter(F.size(parts) >= 2).select(parts[0].cast("long").alias("index"), parts[1].cast("long").alias("tile"))
+
+
+def read_charts(text: str) -> dict[int, Domain]:
+    """The charts of an atlas, by their numbers, from its XML; the box of a chart is its domain."""
+    charts, numbers = {}, lambda node, name: tuple(map(float, node.findtext(name, "").split()))
+    root = ET.fromstring(text)
+    dim = int(root.findtext("dimension", "0"))
+    for node in root.find("listcharts"):  # type: ignore[union-attr]
+        lower, upper = numbers(node, "lbounds"), numbers(node, "ubounds")
+        if not len(lower) == len(upper) == dim:
+            raise ValueError(f"chart {node.findtext('id')} hasn't {dim} dimensions")
+        charts[int(node.findtext("id", "0"))] = Domain(lower, upper)
+    return charts
+
+
+def statistics(graph: MorseGraph, seconds: float) -> DataFrame:
+    """One row on a run: boxes of the final grid, sets, boxes in sets, pairs of the order, seconds."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = (count(graph.phase, "boxes"), count(graph.vertices, "sets"), count(graph.members, "boxes_in_sets"), count(graph.edges_unreduced, "pairs"))
+    out = parts[0].withColumn("seconds", F.lit(float(seconds)))
+    for one_row in parts[1:]:
+        out = out.join(F.broadcast(one_row), F.lit(True))
+    return out.select("boxes", "sets", "boxes_in_sets", "pairs", "seconds")
+
+
 @dataclass(frozen=True)
 class Settings:
     """A run's settings as an XML file has them."""

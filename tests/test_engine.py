@@ -100,10 +100,20 @@ def test_published_morse_graph(spark, tmp_path):
     files.save(g, str(tmp_path / "saved"))
     again = files.load(spark, str(tmp_path / "saved"), PRODUCT)
     assert again.signature() == g.signature() and again.model.domain == g.model.domain and rows(again.edges()) == rows(g.edges())
+    assert rows(files.statistics(again, 2.5)) == [(124, 4, 4, 5, 2.5)]
     noted = again.annotated(spark.createDataFrame([(1, "x - 1"), (1, "0"), (1, "0"), (2, None)], "v int, note string"))
     assert '1 [label="1\\n0\\nx - 1"' in files.dot_text(noted) and '2 [label="2"' in files.dot_text(noted)
 
 
+def test_charts_and_tiles_are_read(spark, tmp_path):
+    xml = "<atlas><dimension>2</dimension><listcharts><chart><id>4</id><lbounds>0 1</lbounds><ubounds>2 3.5</ubounds></chart></listcharts></atlas>"
+    assert files.read_charts(xml) == {4: Domain((0, 1), (2, 3.5))}
+    with pytest.raises(ValueError):
+        files.read_charts(xml.replace(">2</dimension>", ">3</dimension>"))
+    (tmp_path / "tiles.txt").write_text("0 5\n 1   5 \n\n2 7\n")
+    assert rows(files.read_tiles(spark, str(tmp_path / "tiles.txt"))) == [(0, 5), (1, 5), (2, 7)]
+
+
 def test_models_are_checked():
     with pytest.raises(ValueError):
         morse.Model(UNIT, PRODUCT, 4, 6, 5)
