@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dynspark.llm.common import SHORT, short_keys, table, text_or_empty
+from dynspark.llm.common import SHORT, short_keys, spans, table, text_or_empty
 
 #: Kinds of characters.
 OTHER, LETTER, DIGIT, SPACE, CAPITAL = range(5)
@@ -420,12 +420,6 @@ class Vocabulary:
         return text[last], np.r_[0, ends - np.cumsum(counts > 0)]
 
 
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1 ... (lengths[0] numbers), starts[1] ..."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 _loaded: dict[str, Vocabulary] = {}
 
 

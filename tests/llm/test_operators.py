@@ -335,6 +335,7 @@ def test_near_copies_in_batches_and_with_frequent_shingles(spark, monkeypatch):
     want = sorted(set(union_find(made, alike_pairs(made)).values()))
     monkeypatch.setattr(shingle_dedup, "FREQUENT", 5)
     monkeypatch.setattr(shingle_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shingle_dedup.links, "__defaults__", (shingle_dedup.BITS, 3))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
         assert sorted(r["doc_id"] for r in shingle_dedup.drop(docs).collect()) == want
