@@ -677,7 +677,7 @@ def test_pipeline_stages_on_odd_tables(spark):
     import corpus_pipeline as pipeline
 
     odd = docs_of(spark).selectExpr("*", "1 AS id", "2 AS digest", "3 AS size", "4 AS row", "5 AS __sha")
-    for (name, stage), least in zip(pipeline.STAGES, (1, 6, 6, 1, 9), strict=True):
+    for (name, stage), least in zip(pipeline.STAGES, (1, 6, 5, 1, 9), strict=True):  # 6 different texts, two of them without words
         got, none = stage(spark, odd, SMALL), stage(spark, odd.limit(0), SMALL)
         assert got.count() >= least and none.count() == 0, name
         if stage is not pipeline.STAGES[-1][1]:
