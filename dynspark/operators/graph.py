@@ -1,25 +1,30 @@
 """Recurrence of digraphs held as edges (node, src, dst): many graphs at once, one for each node.
 
-recurrence() takes graphs of any number and size: colours in both directions over parts of the edges, met by joins and
-aggregations on vertices, and reachability on the condensed graph; lineage is cut every round, and a hub is rows like others.
-recurrence_of_many() is for refinement, where most nodes are small: a graph of at most GROUP_EDGES edges, found by a count, is a task of its own, and
-thousands of them run side by side; larger ones take the way of joins.
+A graph of at most GROUP_EDGES edges is a task's own, and thousands of them run side by side. A larger one is trimmed (a
+vertex without edges in or out is in no cycle), then its vertices get colours, which go both ways over parts of the edges that
+are ranges of keys, so that near boxes share a part; what isn't settled shrinks every turn, and from GROUP_EDGES on a task ends it.
+Reachability among components goes backwards over the condensed graph as bits, 64 components to a word and a row for each vertex and word that
+isn't zero. Lineage is cut every round; a hub is rows like others.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dynspark.plans.cutting import cut
 
-#: Steps along edges between two cuts of reachability.
-STEPS = 3
-#: Edges of a part, and of a graph that a task takes by itself, at most about; components of such a graph at most.
-GROUP_EDGES, GROUP_COMPONENTS = 100_000, 2000
+#: Edges of a part, and of a graph that a task takes by itself, at most about (a million take about {MB} MB in Python);
+#: components of such a graph at most, above which what they reach is found from the condensed graph.
+GROUP_EDGES, GROUP_COMPONENTS = 1_000_000, 2000
+#: Trimming goes on while a round takes away at least this share of the edges.
+TRIM_SHARE, TRIM_ROUNDS = 0.1, 4
+#: Words of 64 components that a task of reachability holds of each vertex.
+BLOCK_WORDS = 64
 
 
 def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, int]:
@@ -134,6 +139,14 @@ def _colored(t: pa.Table, turn: int) -> pa.Table:
     return pa.table({"node": vertices[:, 0], "key": vertices[:, 1], "above": above, "below": below})
 
 
+def _in_parts(edges: DataFrame, parts: int) -> DataFrame:
+    """edges (node, src, dst) with part, a range of keys of about as many edges as the others; a hub may lie in several."""
+    names = ["node", "src", "dst"]
+    if parts == 1:
+        return cut(edges.select(*names, F.lit(0).alias("part")))
+    return cut(edges.select(*names).repartitionByRange(parts, *names).withColumn("part", F.spark_partition_id()))
+
+
 def _colors(rest: DataFrame, parts: int, turn: int) -> DataFrame:
     """rest: node, src, dst, part. node, key, above, below at which nothing changes any more."""
     kind = "node long, key long, above long, below long"
@@ -150,72 +163,136 @@ def _colors(rest: DataFrame, parts: int, turn: int) -> DataFrame:
     return color if parts > 1 else cut(color)
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges without loops (node, src, dst) without those at a vertex that none leads to or from."""
+    into = edges.select("node", F.col("dst").alias("src")).distinct()
+    out_of = edges.select("node", F.col("src").alias("dst")).distinct()
+    return edges.join(into, ["node", "src"], "left_semi").join(out_of, ["node", "dst"], "left_semi").select("node", "src", "dst")
+
+
+def _trim(rest: DataFrame, n: int, rounds: int) -> tuple[DataFrame, int]:
+    for _ in range(rounds):
+        less = cut(trimmed(rest))
+        before, n, rest = n, less.count(), less
+        if n > (1 - TRIM_SHARE) * before:
+            break
+    return rest, n
+
+
+def _members_alone(key: tuple, t: pa.Table) -> pa.Table:
+    """node, comp, key of one graph's components."""
+    found = _one(key, t, 0)
+    return found.filter(pa.compute.equal(found.column("kind"), 0)).select(["node", "comp", "other"]).rename_columns(["node", "comp", "key"])
+
+
 def components(edges: DataFrame, part_edges: int = GROUP_EDGES) -> DataFrame:
     """node, comp (least key), key of the recurrent components.
 
-    Each turn gives vertices priorities and sends them both ways until nothing changes: a vertex knows the highest one that
+    Each turn trims, ends graphs of which at most part_edges edges are left, and gives the other vertices priorities and sends them both ways until nothing changes: a vertex knows the highest one that
     reaches it and the highest one that it reaches. Where both are the same, the vertex is in that one's component;
     vertices that differ in either aren't in one component, so edges between them go. What is left is given other priorities.
-    Edges lie in parts of about part_edges by a hash. A task sends colours along its part's edges as far as they lead; between
-    such rounds vertices take the highest colours of all parts, by an aggregation and joins.
+    A task sends colours along its part's edges as far as they lead; between such rounds vertices take the highest colours of all
+    parts, by an aggregation and joins.
     """
-    edges = edges.select("node", "src", "dst").distinct()
-    parts = max(1, -(-edges.count() // part_edges))
-    rest = edges = cut(edges.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(parts)).cast("int")))
-    loops, found = edges.filter("src = dst").select("node", F.col("src").alias("key")), []
+    edges = cut(edges.select("node", "src", "dst").distinct())
+    loops = edges.filter("src = dst").select("node", F.col("src").alias("comp"), F.col("src").alias("key"))
+    rest, found = edges.filter("src != dst"), []
+    n = rest.count()
     for turn in range(64):
-        if rest.isEmpty():
+        rest, n = _trim(rest, n, TRIM_ROUNDS if turn == 0 else 1) if n > part_edges else (rest, n)
+        sizes = rest.groupBy("node").count()
+        most = sizes.agg(F.max("count")).first()[0] or 0
+        large = cut(sizes.filter(F.col("count") > part_edges).select("node")) if most > part_edges else None
+        small = rest.join(large, "node", "left_anti") if large else rest
+        found.append(cut(small.groupBy("node").applyInArrow(_members_alone, "node long, comp long, key long")))
+        if large is None:
             break
+        rest = rest.join(large, "node", "left_semi")
+        parts = -(-n // part_edges)
+        rest = _in_parts(rest, parts)
         mine = _colors(rest, parts, turn).withColumn("done", F.col("above") == F.col("below"))
         group = mine.filter("done")
-        sizes = group.groupBy("node", "above").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("comp"))
-        named = group.join(sizes, ["node", "above"]).join(loops.withColumn("loop", F.lit(True)), ["node", "key"], "left")
-        found.append(named.filter("n > 1 or loop").select("node", "comp", "key"))
+        named = group.groupBy("node", "above").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("comp")).filter("n > 1")
+        found.append(cut(group.join(named, ["node", "above"]).select("node", "comp", "key")))
         left = mine.filter(~F.col("done"))
         side = lambda name: left.select("node", F.col("key").alias(name), "above", "below")  # noqa: B023, E731
-        rest = cut(rest.join(side("src"), ["node", "src"]).join(side("dst"), ["node", "dst", "above", "below"]).select("node", "src", "dst", "part"))
+        rest = cut(rest.join(side("src"), ["node", "src"]).join(side("dst"), ["node", "dst", "above", "below"]).select("node", "src", "dst"))
+        n = rest.count()
     else:
         raise RuntimeError("the components didn't settle")
-    out = found[0] if found else edges.select("node", F.col("src").alias("comp"), F.col("src").alias("key")).limit(0)
+    out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
-
+    return out.unionByName(loops.join(out.select("node", "key"), ["node", "key"], "left_anti").select("node", "comp", "key"))
 
-def reached(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """node, comp, other: which components are reached from which, each from itself too; by joins only.
 
-    Components are single vertices. Ways are followed from a component through vertices of none up to the next components;
-    the relation among components that this gives is closed by doubling.
+def _words(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part's edges (node, src, dst) and the words known of their ends (node, key, word, bits). The words of vertices that got further bits, as far as
+    these edges lead."""
+    node, src, dst = (left.column(c).to_numpy() for c in ("node", "src", "dst"))
+    ends = np.stack([np.r_[node, node, right.column("node").to_numpy()], np.r_[src, dst, right.column("key").to_numpy()]], 1)
+    vertices, flat = np.unique(ends, axis=0, return_inverse=True)
+    flat = flat.reshape(-1)
+    s, d, of = flat[: len(src)], flat[len(src) : 2 * len(src)], flat[2 * len(src) :]
+    words, place = np.unique(right.column("word").to_numpy(), return_inverse=True)
+    held = np.zeros((len(vertices), len(words)), np.uint64)
+    held[of, place] = right.column("bits").to_numpy().view(np.uint64)
+    given, order = held.copy(), np.argsort(s, kind="stable")
+    s, d, changed = s[order], d[order], held.any(1)
+    while changed.any():
+        own, to = s[changed[d]], d[changed[d]]
+        starts = np.flatnonzero(np.r_[True, np.diff(own) != 0]) if len(own) else np.zeros(0, np.int64)
+        changed = np.zeros(len(vertices), bool)
+        if len(starts):
+            at = own[starts]
+            best = held[at] | np.bitwise_or.reduceat(held[to], starts, axis=0)
+            changed[at] = (best != held[at]).any(1)
+            held[at] = best
+    row, word = np.nonzero(held != given)
+    return pa.table({"node": vertices[row, 0], "key": vertices[row, 1], "word": words[word].astype(np.int32), "bits": held[row, word].view(np.int64)})
+
+
+def reached(edges: DataFrame, members: DataFrame, part_edges: int = GROUP_EDGES) -> DataFrame:
+    """node, comp, other: which components are reached from which, each from itself too.
+
+    Components are single vertices of the condensed graph and have a bit each. A vertex's words are the bits that its edges lead to; a task takes
+    a part of the edges, a range of keys, and a block of words, and goes on as far as its edges lead. Words of all parts are joined
+    by an aggregate (bit_or) until none changes, so there are as many rounds as a way crosses parts.
     """
-    named = members.select("node", "key", "comp")
+    named = cut(members.select("node", "key", "comp"))
+    comps = named.select("node", "comp").distinct().withColumn("bit", F.row_number().over(Window.partitionBy("node").orderBy("comp")) - 1)
+    comps = cut(comps.withColumn("word", F.shiftright("bit", 6)).withColumn("bits", F.expr("shiftleft(1L, bit & 63)")))
     ends = edges.join(named.select("node", F.col("key").alias("src"), F.col("comp").alias("s")), ["node", "src"], "left").join(named.select("node", F.col("key").alias("dst"), F.col("comp").alias("d")), ["node", "dst"], "left")
-    every = cut(ends.select("node", F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), F.col("s").isNotNull().alias("leaves"), F.col("d").isNotNull().alias("arrives")).filter("src != dst").distinct())
-    comps = named.select("node", "comp").distinct()
-    between = every.filter("not leaves").select("node", F.col("src").alias("key"), F.col("dst").alias("to"), F.col("arrives").alias("ends"))
-    seen = cut(every.filter("leaves").select("node", F.col("src").alias("comp"), F.col("dst").alias("key"), "arrives", F.lit(0).alias("turn")))
-    turn = 0
-    while not seen.filter(f"turn = {turn}").isEmpty():
-        front, step = seen.filter(f"turn = {turn} and not arrives"), None
-        for _ in range(STEPS):
-            front = front.join(between, ["node", "key"]).select("node", "comp", F.col("to").alias("key"), F.col("ends").alias("arrives")).distinct()
-            step, front = front if step is None else step.unionByName(front).distinct(), front.filter("not arrives")
-        turn += 1
-        seen = cut(seen.unionByName(step.join(seen.select("node", "comp", "key"), ["node", "comp", "key"], "left_anti").withColumn("turn", F.lit(turn))))
-    pairs = cut(seen.filter("arrives").select("node", "comp", F.col("key").alias("other")).unionByName(comps.select("node", "comp", F.col("comp").alias("other"))).distinct())
-    before, n = None, pairs.count()
-    while n != before:
-        further = pairs.join(pairs.select("node", F.col("comp").alias("other"), F.col("other").alias("last")), ["node", "other"])
-        pairs = cut(further.select("node", "comp", F.col("last").alias("other")).distinct())
-        before, n = n, pairs.count()
-    return pairs
+    every = cut(ends.select("node", F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst")).filter("src != dst").distinct())
+    parts = max(1, -(-every.count() // part_edges))
+    rest = _in_parts(every, parts)
+    most = comps.agg(F.max("word")).first()[0]
+    blocks = int(most or 0) // BLOCK_WORDS + 1
+    there = cut(rest.select("node", F.explode(F.array("src", "dst")).alias("key"), "part").distinct())
+    asked = rest if blocks == 1 else rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    by = ["part"] if blocks == 1 else ["part", "block"]
+    state, total = comps.select("node", F.col("comp").alias("key"), "word", "bits"), None
+    while most is not None:
+        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "key", "word", "bits").cast("decimal(38,0)"))).first()
+        if now == total:
+            break
+        total = now
+        known = state.join(there, ["node", "key"]).withColumn("block", F.floor(F.col("word") / BLOCK_WORDS).cast("int"))
+        further = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(lambda left, right: _words(left, right), "node long, key long, word int, bits long")
+        state = cut(state.unionByName(further).groupBy("node", "key", "word").agg(F.bit_or("bits").alias("bits")))
+        if parts == 1:
+            break
+    own = state.join(comps.select("node", F.col("comp").alias("key")), ["node", "key"], "left_semi")
+    one = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1).cast("long")) == 1))
+    pairs = own.select("node", F.col("key").alias("comp"), "word", one.alias("at")).withColumn("bit", F.col("word") * 64 + F.col("at"))
+    return pairs.join(comps.select("node", "bit", F.col("comp").alias("other")), ["node", "bit"]).select("node", "comp", "other")
 
 
 def recurrence(edges: DataFrame, part_edges: int = GROUP_EDGES) -> tuple[DataFrame, DataFrame]:
     """members (node, comp, key) and reach (node, comp, other) of the graphs of all nodes. comp is the component's least key."""
     edges = cut(edges.select("node", "src", "dst").distinct())
     members = cut(components(edges, part_edges))
-    return members, reached(edges, members)
+    return members, cut(reached(edges, members, part_edges))
 
 
 def recurrence_of_many(edges: DataFrame, group_edges: int = GROUP_EDGES, group_components: int = GROUP_COMPONENTS) -> tuple[DataFrame, DataFrame]:
@@ -230,9 +307,9 @@ def recurrence_of_many(edges: DataFrame, group_edges: int = GROUP_EDGES, group_c
     reach = both.filter("kind = 1").select("node", "comp", "other")
     open_ = both.filter("kind = 2").select("node")
     if not open_.isEmpty():
-        reach = reach.unionByName(reached(edges.join(open_, "node", "left_semi"), members.join(open_, "node", "left_semi")))
+        reach = reach.unionByName(reached(edges.join(open_, "node", "left_semi"), members.join(open_, "node", "left_semi"), group_edges))
     if large:
-        own, further = recurrence(edges.join(large, "node", "left_semi"))
+        own, further = recurrence(edges.join(large, "node", "left_semi"), group_edges)
         members, reach = members.unionByName(own), reach.unionByName(further)
     return members, reach
 

@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share (spark.checkpoint.dir) and go on from there."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only in local mode."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(found)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to a table in the shared folder and go on from there.
+
+    Unlike a checkpoint, a table that is read has the size of its files. A checkpoint keeps the estimate of the plan that
+    made it, and in a loop of joins with itself that estimate is multiplied every round, until the driver does nothing but multiply numbers of
+    millions of digits and no small table is broadcast any more.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
