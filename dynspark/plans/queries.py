@@ -247,6 +247,48 @@ def q11_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recurrence(edges)[1].select("comp", "other")
 
 
+# --- recurrence of digraphs in several parts --------------------------------------------------------------------------
+
+#: Lines spread over both axes; edges of a part, so that the digraph has several.
+SQL_P4 = """SELECT CAST((l_partkey * 7919 + l_suppkey * 104729 + l_orderkey * 1299709 + l_linenumber * 15485863) % 1000003 AS DOUBLE) * 1.2e0 / 1000003e0 AS x0,
+  l_extendedprice * 1.2e0 / 110000e0 AS x1 FROM lineitem"""
+PART_EDGES = 50_000
+
+
+def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = F.expr("(l_partkey * 7919L + l_suppkey * 104729L + l_orderkey * 1299709L + l_linenumber * 15485863L) % 1000003L").cast("double")
+    return _table(spark, sf_dir, "lineitem").select((mixed * 1.2 / 1000003.0).alias("x0"), (F.col("l_extendedprice") * 1.2 / 110000.0).alias("x1"))
+
+
+def edges4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product map at the centres of P4's boxes at depth 16, padded by a box's width: some 10^5 edges at 60,000 lines."""
+    boxes = occupied(p4(spark, sf_dir), 16, UNIT)
+    image = maps.ExpressionMap(product_map, "center").image(rects(boxes.select(F.col("key").alias("src"), "c0", "c1"), 16, UNIT).drop("c0", "c1"), 2)
+    met = covers.cover_cells(image, 16, UNIT, ["src"])
+    return met.join(boxes.select("c0", "c1", F.col("key").alias("dst")), ["c0", "c1"]).select(F.lit(0).cast("long").alias("node"), "src", "dst")
+
+
+_BOX4 = sql_occupied(SQL_P4, 16, UNIT)
+_EDGES4 = sql_cover(f"SELECT src, {_CENTER} FROM ({sql_rects(f'SELECT key AS src, c0, c1 FROM ({_BOX4})', 16, UNIT)})", 16, UNIT, "src")
+SQL_RECURRENCE4 = f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_EDGES4}) WHERE dst IN (SELECT key FROM ({_BOX4}))),
+closure(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM closure JOIN e ON b = src),
+mutual AS (SELECT x.a, x.b FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a),
+members AS MATERIALIZED (SELECT a AS key, min(b) AS comp FROM mutual GROUP BY a),
+reach AS (SELECT DISTINCT m.comp, n.comp AS other FROM closure JOIN members m ON m.key = a JOIN members n ON n.key = b)
+"""
+
+
+@query(SQL_RECURRENCE4 + "SELECT comp, key FROM members")
+def q51_components_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(edges4(spark, sf_dir), PART_EDGES).select("comp", "key")
+
+
+@query(SQL_RECURRENCE4 + "SELECT comp, other FROM reach")
+def q52_reachability_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.recurrence(edges4(spark, sf_dir), PART_EDGES)[1].select("comp", "other")
+
+
 SQL_ORDER = """
 WITH flow AS (SELECT c.c_nationkey AS a, s.s_nationkey AS b, count(*) AS n FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY ALL),
