@@ -2,9 +2,9 @@
 
 A page is cut into tags and text. Elements that browsers close by themselves are closed likewise; a leaf block is the
 text between two boundaries of block elements, its character references decoded, its white space made single spaces.
-Head, scripts, styles, comments and what else isn't shown or is a form's control makes no block. Each block has features of its ancestors (tags,
-words of class, id and role of the NEAR innermost ones), of its own element and of its text (length, links, signs, place in the page), hashed to a
-fixed number. The field scores blocks and successive pairs of labels; Viterbi decoding labels a page's blocks together,
+Head, scripts, styles, comments and what else isn't shown or is a form's control makes no block. Each block has features of all its ancestors (tags that mean
+something, known words of class, id and role; how many plain wrappers there are between doesn't matter), of its own element and of its text (length, links, signs,
+place in the page), hashed to a fixed number. The field scores blocks and successive pairs of labels; Viterbi decoding labels a page's blocks together,
 and the text is the blocks labelled as content in page order, joined by line feeds.
 
 The field is fitted here by gradient steps on the likelihood, over labelled pages that labelled_pages() lays out by a grammar of page
@@ -20,6 +20,7 @@ the rest of the page, and a "<" inside a tag's name or between its attributes ma
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from bisect import bisect_right
@@ -51,15 +52,26 @@ WORDS = re.compile(r"[a-z]+")
 HUMP = re.compile(r"([a-z])([A-Z])")
 RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
-FEATURES, NEAR = 1 << 14, 48
+FEATURES = 1 << 14
+#: Elements that only hold others together, and elements that features know, with what is close to the text in them.
+WRAPPERS = frozenset("body center div section".split())
+TAGS = (BLOCKS - WRAPPERS) | frozenset("a b em i label small strong".split())
+#: Words of class, id and role that features know.
+NAMES = frozenset("""ad ads advert advertisement alert article aside author banner bar body bottom box breadcrumb breadcrumbs byline card categories comment comments complementary
+consent container content contentinfo cookie copyright crumbs date discussion disclaimer dialog entry featured footer form gdpr grid group head header hentry hero inner layout lead left legal links list login main
+masthead menu meta modal nav navbar navigation news newsletter notice outer overlay page paid pagination panel policy popular popup post posts privacy promo rail read reader recommended
+related replies responses right row search section share sharing side sidebar signup site social sponsor sponsored stories story subscribe tabs tags teaser text toc toolbar topnav trending
+widget wrap wrapper""".split())
 #: Labelled pages to fit on, passes over them, step.
-FIT_PAGES, PASSES, STEP = 320, 6, 0.1
+FIT_PAGES, PASSES, STEP = 600, 5, 0.1
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # the innermost elements
-    names: frozenset[str]  # words of class, id and role of all of them
+    own: tuple[str, str]  # the innermost element that is no wrapper, and the next one
+    tags: frozenset[str]  # of TAGS, all that are open
+    inside: frozenset[str] | None  # those of them that are open inside the outermost article or main; None: there is none
+    names: frozenset[str]  # of NAMES, in class, id and role of all open elements
     linked: int  # characters inside links
 
 
@@ -103,7 +115,7 @@ def tag_at(page: str, at: int) -> Tag | None:
 
 
 def names_of(attributes: list[tuple[str, str]]) -> tuple[str, ...]:
-    return tuple(w for name, value in attributes if name in ("class", "id", "role") for w in WORDS.findall(HUMP.sub(r"\1 \2", value).lower()))
+    return tuple(w for name, value in attributes if name in ("class", "id", "role") for w in WORDS.findall(HUMP.sub(r"\1 \2", value).lower()) if w in NAMES)
 
 
 class Open:
@@ -113,6 +125,8 @@ class Open:
         self.stack: list[tuple[str, tuple[str, ...]] | None] = []
         self.at: dict[str, list[int]] = {}  # places of each name
         self.blocks: list[int] = []  # places of block elements
+        self.kinds: list[int] = []  # those of them that are no wrappers
+        self.names: dict[str, int] = {}  # how often each is open
         self.hidden = 0
 
     def top(self) -> str:
@@ -122,22 +136,30 @@ class Open:
         self.at.setdefault(name, []).append(len(self.stack))
         if name in BLOCKS:
             self.blocks.append(len(self.stack))
+            if name not in WRAPPERS:
+                self.kinds.append(len(self.stack))
         self.hidden += name in UNSEEN
+        for w in names:
+            self.names[w] = self.names.get(w, 0) + 1
         self.stack.append((name, names))
 
+    def _gone(self, gone: tuple[str, tuple[str, ...]]) -> None:
+        self.at[gone[0]].pop()
+        self.hidden -= gone[0] in UNSEEN
+        for w in gone[1]:
+            self.names[w] -= 1
+
     def pop_to(self, place: int) -> None:
         while len(self.stack) > place:
             if gone := self.stack.pop():
-                self.at[gone[0]].pop()
-                self.hidden -= gone[0] in UNSEEN
-        while self.blocks and self.blocks[-1] >= place:
-            self.blocks.pop()
+                self._gone(gone)
+        for own in (self.blocks, self.kinds):
+            while own and own[-1] >= place:
+                own.pop()
 
     def remove(self, place: int) -> None:
         """The innermost of its name, no block."""
-        name = self.stack[place][0]
-        self.at[name].pop()
-        self.hidden -= name in UNSEEN
+        self._gone(self.stack[place])
         self.stack[place] = None
         while self.stack and self.stack[-1] is None:
             self.stack.pop()
@@ -145,9 +167,13 @@ class Open:
     def last(self, *names: str) -> int:
         return max((own[-1] for n in names if (own := self.at.get(n))), default=-1)
 
-    def near(self) -> tuple[tuple[str, ...], frozenset[str]]:
-        own = [x for x in self.stack[-NEAR:] if x]
-        return tuple(t for t, _ in own), frozenset(w for _, n in own for w in n)
+    def around(self) -> tuple[tuple[str, str], frozenset[str], frozenset[str] | None, frozenset[str]]:
+        """own, tags, inside and names of a block."""
+        own = [self.stack[k][0] for k in self.kinds[:-3:-1]] + ["-", "-"]
+        tags = {t: at[-1] for t in TAGS if (at := self.at.get(t))}
+        since = min((at[0] for t in ("article", "main") if (at := self.at.get(t))), default=-1)
+        inside = frozenset(t for t, k in tags.items() if k > since) if since >= 0 else None
+        return (own[0], own[1]), frozenset(tags), inside, frozenset(w for w, n in self.names.items() if n)
 
 
 def blocks(page: str) -> list[Block]:
@@ -162,7 +188,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, *open_.near(), linked))
+                out.append(Block(text, *open_.around(), linked))
             parts.clear()
         linked = 0
 
@@ -240,19 +266,18 @@ def slot(feature: str) -> int:
 def features(page: list[Block]) -> list[list[int]]:
     out = []
     for k, b in enumerate(page):
-        n = len(b.text)
-        inner = [t for t in b.path if t in BLOCKS]
-        own = inner[-1] if inner else "-"
-        found = [f"in {t}" for t in set(b.path)]
+        n, (own, above) = len(b.text), b.own
+        long = f"long {min(9, n.bit_length())}"
+        found = [f"in {t}" for t in b.tags if t != own]
         found += [f"named {w}" for w in b.names]
-        found += [f"own {own}", f"own {'/'.join(inner[-2:])}", f"long {min(9, n.bit_length())}", f"own {own} long {min(9, n.bit_length())}"]
-        found.append(f"links {round(4 * min(1.0, b.linked / n))}")
+        found += [f"own {own}", f"own {above}/{own}", long, f"own {own} {long}"]
+        links = f"links {round(4 * min(1.0, b.linked / n))}"
+        found += [links, f"own {own} {links}"]
         found.append(f"ends {b.text[-1] if not b.text[-1].isalnum() else 'a'}")
         found.append(f"signs {'c' if '©' in b.text or '(c)' in b.text.lower() else ''}{'|' if ' | ' in b.text or '·' in b.text else ''}")
         found.append(f"third {3 * k // len(page)}")
-        if "article" in b.path:
-            found += [f"article in {t}" for t in set(b.path[b.path.index("article") + 1 :])]
-            found += [f"article named {w}" for w in b.names]
+        if b.inside is not None:
+            found += ["inside", *(f"inside {t}" for t in b.inside), *(f"inside named {w}" for w in b.names)]
         if k == 0 or k == len(page) - 1:
             found.append(f"edge {k == 0}")
         found.append("always")
@@ -268,7 +293,9 @@ class Field:
         self.pairs = np.zeros((2, 2))
 
     def unary(self, feats: list[list[int]]) -> list[float]:
-        return [float(self.weights[f].sum()) for f in feats]
+        ends = np.cumsum([len(f) for f in feats])
+        upto = np.r_[0.0, np.cumsum(self.weights[np.concatenate(feats)])] if feats else np.zeros(1)
+        return np.diff(upto[np.r_[0, ends].astype(np.int64)]).tolist()
 
     def decode(self, feats: list[list[int]]) -> list[int]:
         """Viterbi."""
@@ -288,22 +315,28 @@ class Field:
         return labels[::-1] if feats else []
 
     def marginals(self, feats: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of label 1 for each block; expected number of each pair of labels."""
-        n = len(feats)
-        scores = np.zeros((n, 2))
-        scores[:, 1] = self.unary(feats)
-        fore, aft = np.zeros((n, 2)), np.zeros((n, 2))
-        fore[0] = scores[0]
-        for k in range(1, n):
-            fore[k] = scores[k] + np.logaddexp(fore[k - 1, 0] + self.pairs[0], fore[k - 1, 1] + self.pairs[1])
-        for k in range(n - 2, -1, -1):
-            later = aft[k + 1] + scores[k + 1]
-            aft[k] = np.logaddexp(self.pairs[:, 0] + later[0], self.pairs[:, 1] + later[1])
-        total = np.logaddexp(*fore[-1])
+        """Probability of label 1 for each block; expected number of each pair of labels. Messages are scaled to sum to one."""
+        n, pair = len(feats), np.exp(self.pairs)
+        (p00, p01), (p10, p11) = pair.tolist()
+        odds = np.exp(np.clip(self.unary(feats), -200, 200)).tolist()
+        one = odds[0] / (1 + odds[0])
+        fore, aft = [(1 - one, one)], [(0.5, 0.5)]
+        for u in odds[1:]:
+            zero, one = fore[-1]
+            a, b = zero * p00 + one * p10, (zero * p01 + one * p11) * u
+            fore.append((a / (a + b), b / (a + b)))
+        for u in odds[:0:-1]:
+            zero, one = aft[-1]
+            one *= u
+            a, b = p00 * zero + p01 * one, p10 * zero + p11 * one
+            aft.append((a / (a + b), b / (a + b)))
+        f, g = np.array(fore), np.array(aft[::-1])
+        share = f * g
         both = np.zeros((2, 2))
         if n > 1:
-            both = np.exp(fore[:-1, :, None] + self.pairs + (scores[1:] + aft[1:])[:, None, :] - total).sum(0)
-        return np.exp(fore[:, 1] + aft[:, 1] - total), both
+            met = f[:-1, :, None] * pair * (g[1:] * np.c_[np.ones(n - 1), odds[1:]])[:, None, :]
+            both = (met / met.sum((1, 2), keepdims=True)).sum(0)
+        return share[:, 1] / share.sum(1), both
 
 
 def fit(pages: list[tuple[list[list[int]], list[int]]], passes: int = PASSES) -> Field:
@@ -316,13 +349,11 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], passes: int = PASSES) ->
             if not feats:
                 continue
             share, both = field.marginals(feats)
-            grad = np.zeros(FEATURES)
-            for f, d in zip(feats, (np.array(labels) - share).tolist(), strict=True):
-                np.add.at(grad, f, d)
+            touched, place = np.unique(np.concatenate(feats), return_inverse=True)
+            grad = np.bincount(place, np.repeat(np.array(labels) - share, [len(f) for f in feats]))
             seen = np.zeros((2, 2))
             np.add.at(seen, (labels[:-1], labels[1:]), 1)
-            touched = np.flatnonzero(grad)
-            step = grad[touched] - 1e-3 * field.weights[touched]
+            step = grad - 1e-3 * field.weights[touched]
             past[touched] += step**2
             field.weights[touched] += STEP * step / np.sqrt(past[touched])
             past_pairs += (seen - both) ** 2
@@ -334,106 +365,129 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], passes: int = PASSES) ->
 
 
 #: How the grammar sets off the article.
-KINDS = ("article", "main and article", "main", "div", "named article")
+KINDS = ("article", "main and article", "main", "div", "named article", "section", "main and section", "plain")
 
 
 def labelled_pages(n: int = FIT_PAGES, seed: int = 3, only: tuple[str, ...] = KINDS) -> Iterator[str]:
-    """Pages in which each piece of content stands between the control characters 0x02 and 0x03. only: the kinds of articles."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *x: x[int(rng.integers(len(x)))]
+    """Pages in which each piece of content stands between the control characters 0x02 and 0x03. only: the kinds of articles.
+
+    Content and all else are made of the same elements, in wrappers of any depth; what tells them apart is what elements
+    they are in, how those are named, links, and where they stand.
+    """
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
     maybe = lambda p, f: f() if rng.random() < p else ""
+    times = lambda low, high, f: "".join(f() for _ in range(rng.randint(low, high)))
     syllables = "ta re mi so la ne ka du el or an is the con ver ing est ou eau ción keit von da".split()
 
     def say(low: int, high: int, end: str = ".") -> str:
-        words = ["".join(pick(*syllables) for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(low, high + 1)))]
+        words = ["".join(pick(*syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(low, high))]
         words = [w + pick(",", "", "", "", "", "") for w in words]
         return " ".join(words).capitalize() + end
 
     def yes(text: str) -> str:
         return f"\x02{text}\x03"
 
+    def link(low: int, high: int) -> str:
+        return f'<a href="/{rng.randrange(99)}">{say(low, high, "")}</a>'
+
     def links(low: int, high: int) -> str:
-        return "".join(f'<li><a href="/{k}">{say(1, 3, "")}</a></li>' for k in range(int(rng.integers(low, high))))
+        return times(low, high, lambda: f"<li>{link(1, 3)}</li>")
 
     def named(tag: str, names: str, body: str) -> str:
-        return f'<{tag} {pick("class", "id")}="{pick(*names.split())}">{body}</{tag}>'
+        return f'<{tag} {pick("class", "class", "id")}="{pick(*names.split())}">{body}</{tag}>'
+
+    def wrapped(body: str, most: int) -> str:
+        """In some wrappers that mean nothing."""
+        for _ in range(rng.randint(0, most)):
+            tag = pick("div", "div", "div", "section")
+            body = f"<{tag}>{body}</{tag}>" if rng.random() < 0.7 else named(tag, "wrapper container row inner outer layout wrap box grid group page", body)
+        return body
 
     def menu() -> str:
-        return pick(f"<nav><ul>{links(3, 9)}</ul></nav>", named("div", "nav menu navbar topnav navigation", f"<ul>{links(3, 9)}</ul>"), named("ul", "menu nav nav-list", links(3, 9)))
+        many = pick(f"<ul>{links(3, 9)}</ul>", f"<ol>{links(3, 6)}</ol>", times(3, 8, lambda: link(1, 2)), times(3, 8, lambda: f"<div>{link(1, 2)}</div>"))
+        return wrapped(pick(f"<nav>{wrapped(many, 2)}</nav>", named("div", "nav menu navbar topnav navigation site-nav toolbar tabs", many), named("ul", "menu nav nav-list", links(3, 9)), f'<div role="navigation">{many}</div>', f"<ul>{links(4, 9)}</ul>"), 1)
 
     def header() -> str:
-        return pick(f"<header>{pick('<h1>', '<div>')}{say(1, 4, '')}</{'h1' if False else 'div'}>{maybe(0.6, menu)}</header>", named("div", "header site-header banner masthead", f"<p>{say(1, 6, '')}</p>{maybe(0.5, menu)}"))
+        title = pick(f"<h1>{say(1, 4, '')}</h1>", f"<div>{say(1, 4, '')}</div>", f"<p>{say(1, 6, '')}</p>", f"<h2>{link(1, 3)}</h2>")
+        return pick(f"<header>{wrapped(title, 2)}{maybe(0.6, menu)}</header>", named("div", "header site-header banner masthead page-header", wrapped(title, 2) + maybe(0.5, menu)))
 
     def advert() -> str:
-        return named("div", "ad ads advert advertisement sponsored banner-ad promo", pick(say(3, 12), f"<p>{say(3, 14)}</p>", f'<a href="/x">{say(2, 8)}</a>'))
+        body = pick(say(3, 12), f"<p>{say(3, 14)}</p>", f'<a href="/x">{say(2, 8)}</a>', f"<h3>{say(1, 4, '')}</h3><p>{say(4, 30)}</p>")
+        return named(pick("div", "div", "section", "aside"), "ad ads advert advertisement sponsored sponsor banner-ad promo paid-content", wrapped(body, 2))
 
     def notice() -> str:
-        return named(pick("div", "section", "aside"), "cookie cookie-notice notice consent gdpr alert cookie-banner", f"<p>{say(6, 25)}</p><button>{say(1, 2, '')}</button>")
+        return named(pick("div", "section", "aside", "dialog"), "cookie cookie-notice notice consent gdpr alert cookie-banner popup modal overlay privacy", wrapped(times(1, 2, lambda: f"<p>{say(6, 25)}</p>") + f"<button>{say(1, 2, '')}</button>", 1))
 
     def sidebar() -> str:
-        body = f"<h3>{say(1, 3, '')}</h3>" + pick(f"<ul>{links(3, 8)}</ul>", f"<p>{say(5, 30)}</p>", f"<p>{say(4, 12)}</p><p>{say(4, 25)}</p>")
-        return pick(f"<aside>{body}</aside>", named("div", "sidebar side widget rail sidebar-right", body), named("aside", "sidebar related widget", body))
+        body = maybe(0.8, lambda: f"<h{pick(2, 3, 4)}>{say(1, 3, '')}</h{3}>") + pick(f"<ul>{links(3, 8)}</ul>", f"<p>{say(5, 30)}</p>", times(1, 3, lambda: f"<p>{say(4, 40)}</p>"), f"<ul>{times(2, 4, lambda: f'<li>{say(2, 9)}</li>')}</ul>", f"<dl><dt>{say(1, 2, '')}<dd>{say(2, 8)}</dl>")
+        body = wrapped(body, 3)
+        return pick(f"<aside>{body}</aside>", named("div", "sidebar side widget rail sidebar-right side-bar panel", body), named("aside", "sidebar related widget", body), f'<div role="complementary">{body}</div>')
 
     def form() -> str:
-        return pick("<form>", '<form class="newsletter">', '<form id="search">') + f"<label>{say(1, 5, '')}</label><input type='text'><p>{say(3, 12)}</p><button>{say(1, 1, '')}</button></form>"
+        return wrapped(pick("<form>", '<form class="newsletter">', '<form id="search">', '<form class="signup">') + f"<label>{say(1, 5, '')}</label><input type='text'>{wrapped(times(1, 2, lambda: f'<p>{say(3, 20)}</p>'), 1)}<button>{say(1, 1, '')}</button></form>", 1)
 
     def comments() -> str:
-        one = lambda: pick(f"<li><b>{say(1, 2, '')}</b> <p>{say(4, 40)}</p></li>", f'<div class="comment"><p>{say(4, 45)}</p></div>', f'<div class="comment-body">{say(3, 30)}</div>')
-        return named(pick("section", "div", "ol"), "comments comment-list discussion responses replies reader-comments", maybe(0.7, lambda: f"<h3>{say(1, 3, '')}</h3>") + "".join(one() for _ in range(int(rng.integers(1, 6)))))
+        text = lambda: pick(f"<p>{say(4, 60)}</p>", f"<p>{say(4, 40)}</p><p>{say(4, 40)}</p>", say(3, 30))
+        one = lambda: pick(f"<li><b>{say(1, 2, '')}</b> {text()}</li>", f'<div class="comment">{text()}</div>', f'<div class="comment-body">{text()}</div>', f"<article>{text()}</article>", f"<div>{text()}</div>", f"<blockquote>{text()}</blockquote>")
+        return named(pick("section", "div", "ol", "ul"), "comments comment-list discussion responses replies reader-comments user-comments", wrapped(maybe(0.7, lambda: f"<h3>{say(1, 3, '')}</h3>") + times(1, 5, one), 2))
 
     def related() -> str:
-        return named(pick("div", "section"), "related more recommended share social tags breadcrumb breadcrumbs", f"<ul>{links(2, 6)}</ul>" if rng.random() < 0.6 else f"<p>{say(2, 7, '')}</p>")
+        body = pick(f"<ul>{links(2, 6)}</ul>", f"<p>{say(2, 7, '')}</p>", times(2, 4, lambda: f"<div><h4>{link(2, 6)}</h4><p>{say(4, 15)}</p></div>"))
+        return named(pick("div", "section", "ul"), "related more-stories recommended share social tags breadcrumb breadcrumbs read-more popular trending teaser-list pagination related-posts", wrapped(maybe(0.4, lambda: f"<h3>{say(1, 3, '')}</h3>") + body, 2))
 
     def footer() -> str:
-        inside = pick(f"&copy; {say(1, 4, '')} &middot; {say(3, 9)}", f"<p>{say(3, 14)}</p>", f"<ul>{links(2, 6)}</ul><p>&copy; 2020 {say(1, 4)}</p>")
-        return pick(f"<footer>{inside}</footer>", named("div", "footer site-footer bottom copyright", inside))
+        inside = pick(f"&copy; {say(1, 4, '')} &middot; {say(3, 9)}", f"<p>{say(3, 14)}</p>", f"<ul>{links(2, 6)}</ul><p>&copy; 2020 {say(1, 4)}</p>", f"<section><h4>{say(1, 2, '')}</h4><p>{say(4, 30)}</p></section><div><p>&copy; {say(2, 4)}</p></div>", times(2, 3, lambda: f"<div><h4>{say(1, 2, '')}</h4><ul>{links(2, 4)}</ul></div>"))
+        return pick(f"<footer>{wrapped(inside, 2)}</footer>", f"<footer>{wrapped(inside, 2)}</footer>", named("div", "footer site-footer bottom copyright legal page-footer", wrapped(inside, 2)), f'<div role="contentinfo">{inside}</div>')
+
+    def title() -> str:
+        head = lambda low, high: yes(say(low, high, pick("", "", ".")))
+        return pick(f"<h1>{head(1, 12)}</h1>", f"<h1>{head(3, 12)}</h1>", f"<header>{wrapped(f'<h1>{head(2, 9)}</h1>', 1)}</header>", f"<h2>{head(2, 9)}</h2>", f"<div><h1>{head(2, 9)}</h1></div>", f"<hgroup><h1>{head(2, 7)}</h1><p>{yes(say(4, 20))}</p></hgroup>", "")
+
+    def piece() -> str:
+        text = yes(say(1, pick(2, 8, 40, 90)))
+        other = lambda: f"<p>{yes(f'{say(1, 9, '')}<br>{say(2, 12)}')}</p>"
+        linking = lambda: f"<p>{yes(f'{say(1, 60)} {link(1, 3)}')}</p>"
+        many = lambda low, high: times(2, 5, lambda: f"<li>{pick(yes(say(low, high)), f'<p>{yes(say(low, high))}</p>')}</li>")
+        kinds = [
+            (50, lambda: f"<p>{text}</p>"), (4, lambda: f"<p>{text}"), (4, other), (5, linking), (7, lambda: f"<h{pick(2, 3, 4)}>{yes(say(1, 6, ''))}</h{2}>"), (5, lambda: f"<ul>{many(1, 14)}</ul>"), (5, lambda: f"<ol>{many(1, 14)}</ol>"),
+            (3, lambda: f"<dl>{times(1, 3, lambda: f'<dt>{yes(say(1, 3, ""))}</dt><dd>{yes(say(2, 15))}</dd>')}</dl>"), (3, lambda: f"<pre>{text}</pre>"), (3, lambda: f"<blockquote>{pick(text, f'<p>{text}</p>')}</blockquote>"),
+            (3, lambda: f"<figure><img src='x'><figcaption>{yes(say(2, 9))}</figcaption></figure>"), (5, lambda: f"<div>{text}</div>"),
+            (3, lambda: f"<table>{times(1, 3, lambda: f'<tr><td>{yes(say(1, 4, ""))}</td><td>{yes(say(1, 4, ""))}</td></tr>')}</table>"), (2, lambda: f"<details><summary>{yes(say(1, 4, ''))}</summary><p>{text}</p></details>"),
+        ]
+        return rng.choices([make for _, make in kinds], [share for share, _ in kinds])[0]()
 
     def content() -> str:
-        out = pick(f"<h1>{yes(say(3, 12, pick('', '.')))}</h1>", f"<h1>{yes(say(3, 12, pick('', '.')))}</h1>", f"<header><h1>{yes(say(2, 9, ''))}</h1></header>", f"<h2>{yes(say(2, 9, ''))}</h2>", "")
-        for _ in range(int(rng.integers(1, 12))):
-            kind = rng.random()
-            text = yes(say(1, pick(2, 8, 40, 90)))
-            if kind < 0.62:
-                out += f"<p>{text}</p>"
-            elif kind < 0.66:
-                out += f"<p>{text}"
-            elif kind < 0.70:
-                out += f"<p>{yes(say(1, 9, ''))}<br>{yes(say(2, 12))}</p>".replace("\x03<br>\x02", "<br>")
-            elif kind < 0.78:
-                out += f"<h{pick(2, 3)}>{yes(say(1, 6, ''))}</h{2}>"
-            elif kind < 0.84:
-                out += f"<ul>{''.join(f'<li>{yes(say(1, 12))}</li>' for _ in range(int(rng.integers(2, 6))))}</ul>"
-            elif kind < 0.88:
-                out += f"<blockquote>{text}</blockquote>"
-            elif kind < 0.92:
-                out += f"<figure><img src='x'><figcaption>{yes(say(2, 9))}</figcaption></figure>"
-            elif kind < 0.95:
-                out += f"<div>{text}</div>"
-            elif kind < 0.97:
-                out += f"<table><tr><td>{yes(say(1, 4, ''))}</td><td>{yes(say(1, 4, ''))}</td></tr></table>"
-            else:
-                out += f"<p>{text} <a href='/z'>{say(1, 3, '')}</a></p>".replace(f"\x03 <a href='/z'>", " <a href='/z'>").replace("</a></p>", "</a>\x03</p>")
-            out += maybe(0.05, advert) + maybe(0.03, related) + maybe(0.02, sidebar) + maybe(0.02, form)
+        def part() -> str:
+            return "".join(piece() + maybe(0.03, advert) + maybe(0.02, related) + maybe(0.01, sidebar) + maybe(0.01, form) for _ in range(rng.randint(1, 5)))
+
+        out = title()
+        for _ in range(rng.randint(1, 3)):
+            head = maybe(0.5, lambda: f"<h{pick(2, 3)}>{yes(say(1, 6, ''))}</h{2}>")
+            out += pick(part(), part(), f"<section>{wrapped(head + part(), 1)}</section>", wrapped(head + part(), 3))
         return out
 
     for _ in range(n):
-        body = content()
-        inner = maybe(0.15, comments) + maybe(0.1, related) + maybe(0.06, form)
-        inside = body + inner
+        body = wrapped(content(), pick(0, 1, 3, 10))
+        inside = body + maybe(0.12, comments) + maybe(0.1, related) + maybe(0.06, form) + maybe(0.06, lambda: f"<footer>{say(2, 9)}</footer>")
         kinds = {
-            "article": f"<article>{inside}</article>",
-            "main and article": f"<main><article>{inside}</article></main>",
-            "main": f"<main>{inside}</main>",
-            "div": named("div", "content main article post entry-content post-body story article-body", inside),
-            "named article": named("article", "post entry hentry story", inside),
+            "article": lambda: f"<article>{inside}</article>",  # noqa: B023
+            "main and article": lambda: f"<main>{wrapped(f'<article>{inside}</article>', 1)}</main>",  # noqa: B023
+            "main": lambda: f"<main>{inside}</main>",  # noqa: B023
+            "div": lambda: named("div", "content main article post entry-content post-body story article-body text page-content main-content", inside),  # noqa: B023
+            "named article": lambda: named("article", "post entry hentry story", inside),  # noqa: B023
+            "section": lambda: f"<section>{inside}</section>",  # noqa: B023
+            "main and section": lambda: f"<main><section>{inside}</section></main>",  # noqa: B023
+            "plain": lambda: pick(f"<div>{inside}</div>", inside),  # noqa: B023
         }
-        body = kinds[pick(*(k for k in ("article", *kinds) if k in only))]
+        body = kinds[pick(*(k for k in ("article", *kinds) if k in only))]()
         top = maybe(0.2, notice) + maybe(0.5, header) + maybe(0.8, menu) + maybe(0.5, advert)
         low = maybe(0.25, sidebar) + maybe(0.25, comments) + maybe(0.2, related) + maybe(0.2, form) + maybe(0.2, advert) + maybe(0.9, footer) + maybe(0.1, notice)
-        body = maybe(0.15, sidebar) + body
+        body = wrapped(maybe(0.15, sidebar) + body + maybe(0.15, sidebar), pick(0, 0, 2))
+        page = top + body + low
         if rng.random() < 0.3:
-            body = named("div", "wrapper container page row", body + maybe(0.3, sidebar))
-        yield f"<!DOCTYPE html><html><head><title>{say(2, 6, '')}</title><style>p{{}}</style></head><body>{top}{body}{low}{pick('</body></html>', '')}"
+            page = wrapped(page, 3)
+        yield f"<!DOCTYPE html><html><head><title>{say(2, 6, '')}</title><style>p{{}}</style></head><body>{page}{pick('</body></html>', '')}"
 
 
 def examples(pages: Iterator[str]) -> list[tuple[list[list[int]], list[int]]]:
