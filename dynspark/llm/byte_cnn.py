@@ -9,8 +9,8 @@ looks back or ahead, so the whole of it counts and memory doesn't depend on its
 maxima zero and gets the probability of the bias. A null label is no label.
 
 The network is fitted by Adam, on whole texts, on a bounded sample of the labelled rows: those with the least hash of their id, at most FIT_ROWS, one for
-each id (of rows that repeat it the largest text), as long as their texts together have at most FIT_BYTES characters, so any cluster picks the same ones; of
-rows that crc32 of the id puts aside none is used. It is a few hundred kilobytes whatever the input is, and scoring is
+each id (of rows that repeat it the largest text). If their texts together have more than FIT_BYTES characters, the longest go until they don't, so a few giant
+texts put none of the others out; the shortest one stays in any case. Any cluster picks the same ones; of rows that crc32 of the id puts aside none is used. It is a few hundred kilobytes whatever the input is, and scoring is
 one pass over the texts without a shuffle. Rows that repeat are scored each; an empty table gives an empty result.
 """
 
@@ -154,8 +154,9 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = cut(texts.groupBy("doc_id", "quality").agg(F.max("text").alias("text")))
-    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    within = texts.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= size).select("doc_id")
+    w = Window.orderBy(F.length("text"), F.xxhash64("doc_id"), "doc_id")
+    upto = texts.select("doc_id", F.sum(F.length("text")).over(w).alias("upto"), F.row_number().over(w).alias("place"))
+    within = upto.filter((F.col("upto") <= size) | (F.col("place") == 1)).select("doc_id")
     return texts.join(F.broadcast(within), "doc_id")
 
 
