@@ -1,6 +1,8 @@
 """Removal of passages that repeat across documents: every run of WINDOW words that also starts in a smaller document.
 
-Documents are taken in chunks of CHUNK bytes of text, numbered in each partition of the input. Nothing here is held whole by the driver or sent to all
+Documents are taken in chunks of CHUNK bytes of text, which are cut from the input in each step. A chunk's name is a hash of its contents and place, so steps meet only
+if they saw the same chunk; an input whose rows or partitions come out differently when they are computed again (by chance, not by a lost executor alone)
+is an error in every step, never another result: write such a table first. Nothing here is held whole by the driver or sent to all
 tasks: what a chunk has to know comes to it by a shuffle.
 
 1. A count-min sketch. A chunk's windows are hashed to one cell in each of DEPTH rows; per row its distinct cells, and
@@ -112,7 +114,7 @@ def later(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int, list[int], list[bytes]]]:
-    """batches: part, id, text of one partition. Number, ids and texts of each chunk, the same whatever the batches are."""
+    """batches: part, id, text of one partition. Name, ids and texts of each chunk, the same whatever the batches are."""
     ids: list[int] = []
     texts: list[bytes] = []
     size = done = part = 0
@@ -123,10 +125,22 @@ def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int,
             texts.append(t.as_py().encode() + b"\n")
             size += len(texts[-1])
             if size >= least:
-                yield part << 32 | done, ids, texts
+                yield name_of(part << 32 | done, ids, texts), ids, texts
                 ids, texts, size, done = [], [], 0, done + 1
     if ids:
-        yield part << 32 | done, ids, texts
+        yield name_of(part << 32 | done, ids, texts), ids, texts
+
+
+def name_of(place: int, ids: list[int], texts: list[bytes]) -> int:
+    """A hash of a chunk's place, ids and texts (each ends in a line feed, and their lengths go with the ids)."""
+    digest = xxhash.xxh64(np.array([place, *ids, *map(len, texts)], np.int64).tobytes())
+    for t in texts:
+        digest.update(t)
+    return int(np.uint64(digest.intdigest()).view(np.int64))
+
+
+def unlike() -> RuntimeError:
+    return RuntimeError("a chunk isn't what an earlier step saw: the input changes when it is computed again; write the table first")
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -222,9 +236,13 @@ def entries(t: pa.Table, bits: pa.Table, sketch: Sketch, groups: int) -> pa.Tabl
     """A chunk (of texts_of()) and its bits (of merged()). Rows for each group, of the windows that may repeat: a (of docs: ids), c, d (of n windows:
     document in a, start), b (of the documents in a: number in the chunk), e, f (of the last asked windows: hashes); the others are covered already."""
     rows = []
+    if bits.num_rows and not t.num_rows:
+        raise unlike()
     if t.num_rows:
         ids, sizes, data = opened(t)
         w = Windows(data, sizes)
+        if len(w.h) and not bits.num_rows:
+            raise unlike()
         take = np.ones(len(w.h), bool)
         bits = bits.sort_by("shard")
         row_of, n = bits.column("shard").to_numpy() >> sketch.shard_bits, bits.column("n").to_numpy()
@@ -235,7 +253,7 @@ def entries(t: pa.Table, bits: pa.Table, sketch: Sketch, groups: int) -> pa.Tabl
             order = np.argsort(cells)
             which = np.cumsum(np.r_[False, cells[order][1:] != cells[order][:-1]])
             if which[-1] + 1 != len(often):
-                raise RuntimeError("a chunk isn't what was counted; write the table first")
+                raise unlike()
             take[order] &= often[which]
         h, check, doc, start = (x[take] for x in (w.h, w.check, w.doc, w.start))
         order = np.lexsort((ids[doc], check, h))
@@ -288,6 +306,8 @@ CLEANED = "id long, n_words long, n_removed long, kept string"
 def cleaned(t: pa.Table, starts: pa.Table) -> pa.Table:
     """A chunk and its covered starts. A row for each of its documents."""
     out = []
+    if starts.num_rows and not t.num_rows:
+        raise unlike()
     if t.num_rows:
         ids, sizes, data = opened(t)
         n = starts.column("n").to_pylist()

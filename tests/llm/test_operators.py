@@ -439,6 +439,40 @@ def test_field_on_kinds_of_articles_that_it_has_not_seen(kind, least):
     assert html_extract.accuracy(html_extract.trained(160, only=others), html_extract.labelled_pages(60, 77, (kind,))) > least
 
 
+@pytest.mark.parametrize("kind", [k for k in html_extract.KINDS if k != "div"])
+def test_field_on_layouts_that_it_has_not_seen(kind):
+    others = tuple(k for k in html_extract.KINDS if k != kind)
+    assert html_extract.accuracy(html_extract.trained(300, only=others), html_extract.labelled_pages(60, 77, (kind,))) >= 0.97
+
+
+NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About us</a></li></ul></nav>'
+FOOT = "<footer>&copy; Example &middot; all rights reserved.</footer>"
+T, P, Q = "A title of some words", "The first paragraph has words enough to be one, and it goes on for a while.", "The second one says more about it, and then it ends."
+TOP, BODY = f"<h1>{T}</h1>", f"<p>{P}</p><p>{Q}</p>"
+LAYOUTS = {
+    "article with a div": (f"<article><div>{TOP}{BODY}</div></article>", [T, P, Q]),
+    "article with a section": (f"<article>{TOP}<section>{BODY}</section></article>", [T, P, Q]),
+    "three plain divs": (f"{'<div>' * 3}{TOP}{BODY}{'</div>' * 3}", [T, P, Q]),
+    "ten plain divs": (f"{'<div>' * 10}{TOP}{BODY}{'</div>' * 10}", [T, P, Q]),
+    "article with sixty divs": (f"<article>{'<div>' * 60}{TOP}{BODY}{'</div>' * 60}</article>", [T, P, Q]),
+    "main with a section": (f"<main><section><h2>{T}</h2>{BODY}</section></main>", [T, P, Q]),
+    "main with two sections": (f"<main>{TOP}<section><h2>Part one</h2><p>{P}</p></section><section><h2>Part two</h2><p>{Q}</p></section></main>", [T, "Part one", P, "Part two", Q]),
+    "a plain div": (f"<div>{TOP}{BODY}</div>", [T, P, Q]),
+    "nothing around it": (f"{TOP}{BODY}", [T, P, Q]),
+    "a numbered list": (f"<article>{TOP}<p>{P}</p><ol><li>One thing</li><li>Two things</li></ol><p>{Q}</p></article>", [T, P, "One thing", "Two things", Q]),
+    "terms": (f"<article>{TOP}<dl><dt>Term</dt><dd>What it means here.</dd></dl><p>{Q}</p></article>", [T, "Term", "What it means here.", Q]),
+    "preformatted": (f"<article>{TOP}<p>{P}</p><pre>x = 1; y = 2</pre></article>", [T, P, "x = 1; y = 2"]),
+    "a deep sidebar after it": (f"<article>{TOP}{BODY}</article><aside>{'<div>' * 60}<p>Some words in a sidebar here.</p>{'</div>' * 60}</aside>", [T, P, Q]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_ordinary_layouts(field, name):
+    body, want = LAYOUTS[name]
+    for top, low in ((NAV, FOOT), (f"{NAV}<div class='ad'>Buy this now, it is cheap.</div>", FOOT), (f"<header><h1>Site</h1>{NAV}</header>", f"<aside><h3>More</h3><p>Some words here.</p></aside>{FOOT}")):
+        assert html_extract.main_text(f"<!DOCTYPE html><html><head><title>x</title></head><body>{top}{body}{low}</body></html>", field).split("\n") == want
+
+
 def test_given_pages_give_their_articles(spark, field):
     import html
     import re
@@ -497,6 +531,21 @@ def test_sample_to_fit_on_is_bounded(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in got)
 
 
+def test_a_giant_labelled_text_puts_no_other_out(spark):
+    docs = [(k, f"{'clean words only ' if k % 2 else 'bad!!! $$$ *** '}{k}") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(k, 1) for k in range(200, 260)], "doc_id long, quality int")
+    plain = spark.createDataFrame(docs, "doc_id long, text string")
+    giants = spark.createDataFrame(docs + [(k, "word " * 1200) for k in range(200, 260)], "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in byte_cnn.labelled(plain, labels, size=5000).collect())
+    assert len(want) > 100 and sorted(r["doc_id"] for r in byte_cnn.labelled(giants, labels, size=5000).collect()) == want
+    assert len(byte_cnn.labelled(giants.filter("doc_id >= 200"), labels, size=5000).collect()) == 1
+    got = {}
+    for name, df in (("plain", plain), ("giants", giants)):
+        net = byte_cnn.fit(*map(list, zip(*sorted((r["text"], r["quality"]) for r in byte_cnn.labelled(df, labels, size=5000).collect()), strict=True)))
+        got[name] = sorted(r["doc_id"] for r in byte_cnn.keep(plain, net).collect())
+    assert got["plain"] == got["giants"] and 80 < len(got["plain"]) < 120
+
+
 def test_chunks_don_t_change_a_score(monkeypatch):
     net = byte_cnn.Network(3)
     rng = np.random.default_rng(8)
@@ -607,6 +656,27 @@ def test_passages_in_many_chunks(spark, texts, documents, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.strip(documents, chunk=3000).collect()} == want
 
 
+def test_passages_of_a_table_from_a_shuffle(spark, texts, documents):
+    again = documents.repartition(5)
+    rows = lambda df: sorted(map(tuple, substring_dedup.strip(df, chunk=20_000).collect()), key=str)
+    assert rows(again) == rows(documents)
+
+
+def test_an_input_that_changes_is_an_error(spark):
+    import os
+
+    import pyarrow as pa
+
+    def turned(batches):  # other rows come first each time
+        for b in batches:
+            k = int.from_bytes(os.urandom(4)) % len(b)
+            yield pa.RecordBatch.from_struct_array(pa.concat_arrays([b.slice(k).to_struct_array(), b.slice(0, k).to_struct_array()]))
+
+    docs = spark.range(0, 3000, 1, 2).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), x -> cast(x + id % 7 AS string))) AS text").mapInArrow(turned, "doc_id long, text string")
+    with pytest.raises(Exception, match="write the table first"):
+        substring_dedup.strip(docs, chunk=20_000).collect()
+
+
 def test_words_that_look_alike_are_told_apart():
     data = np.frombuffer(b"a a\0 a\0\0 abcdefghijklmno abcdefghijklmnop abcdefghijklmnoq \x0f a\n", np.uint8)
     one, two = substring_dedup.word_hashes(data, *substring_dedup.words_of(data))
