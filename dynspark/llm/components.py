@@ -4,7 +4,7 @@ Each round hangs every node's larger neighbours (large star) and then its smalle
 that it sees. Both keep components and end when each component is one star around its least node. A round is two
 aggregations with map-side combine and two joins on a node; nothing is gathered by node, so the centre of a large star
 costs no more than its rows, and the joins are ones whose skewed partitions Spark splits. Links stay distributed, and
-each round is cut into the shared checkpoint folder. The driver sees two numbers a round.
+each round is written to the shared checkpoint folder. The driver sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dynspark.llm.common import cut
+from dynspark.llm.common import written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -30,12 +30,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: u, v (longs). Returns node, component (the least node reachable) for each node that has a link to another."""
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    links, before = cut(links), None
+    links, before = written(links), None
     for _ in range(most_rounds):
         found = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == before:
             break
-        before, links = found, cut(_small_star(_large_star(links)))
+        before, links = found, written(_small_star(_large_star(links)))
     else:
         raise RuntimeError("the components didn't settle")
     ends = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
