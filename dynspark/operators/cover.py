@@ -11,20 +11,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dynspark.functions.boxes import Domain, with_rects
+from dynspark.functions.boxes import Domain, rects_of
 from dynspark.functions.keys import halvings, key_of
 
 WIDTH, SLACK = 60, 1 << 10
 
 
-def axis_range(lo: Column, hi: Column, low: float, high: float, t: int) -> tuple[Column, Column, Column]:
-    """First and last coordinate among 2^t that [lo, hi] meets, and whether it meets the axis at all."""
+def _fixed(lo: Column, hi: Column, low: float, high: float) -> tuple[Column, Column, Column]:
+    """Both ends in fixed point with the slack, and whether [lo, hi] meets the axis at all."""
     a, b = (lo - low) / (high - low), (hi - low) / (high - low)
-    meets = (b >= 0.0) & (a <= 1.0)
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     fixed = lambda x: (F.lit(float(1 << WIDTH)) * clip(x)).cast("long")
-    left = F.greatest(fixed(a) - SLACK, F.lit(0))
-    right = F.least(fixed(b) + SLACK, F.lit(1 << WIDTH))
+    return F.greatest(fixed(a) - SLACK, F.lit(0)), F.least(fixed(b) + SLACK, F.lit(1 << WIDTH)), (b >= 0.0) & (a <= 1.0)
+
+
+def axis_range(lo: Column, hi: Column, low: float, high: float, t: int) -> tuple[Column, Column, Column]:
+    """First and last coordinate among 2^t that [lo, hi] meets, and whether it meets the axis at all."""
+    left, right, meets = _fixed(lo, hi, low, high)
     s = WIDTH - t
     first = F.greatest(F.shiftright(left - 1, s), F.lit(0))  # ceil(left / 2^s) - 1
     last = F.least(F.shiftright(right, s), F.lit((1 << t) - 1))
@@ -67,6 +70,55 @@ def cover(images: DataFrame, depth: int, domain: Domain, keep: list[str], strict
     return out.select(*keep, key_of([F.col(f"c{d}") for d in range(domain.dim)], depth).alias("dst"))
 
 
+def tree(boxes: DataFrame, depths: list[int], dim: int) -> list[DataFrame]:
+    """boxes (depth, key) of depths (ascending) as the nodes of their tree at depths[0], and from there on dim halvings deeper each time: at, key, whether it is
+    a leaf, depth and key of the leaf, and the node above."""
+    levels = list(range(depths[0], depths[-1], dim)) + [depths[-1]]
+    out, before = [], None
+    for level in levels:
+        own = boxes.filter((F.col("depth") <= level) & (F.col("depth") > (before if before is not None else -1)))
+        over = boxes.filter(F.col("depth") > level).select(F.call_function("shiftright", F.col("key"), F.col("depth") - level).alias("key")).distinct()
+        nodes = own.select(F.col("depth").cast("int").alias("depth"), "key", F.lit(True).alias("leaf")).unionByName(over.select(F.lit(level).alias("depth"), "key", F.lit(False).alias("leaf")))
+        up = F.call_function("shiftright", F.col("key"), F.col("depth") - (before if before is not None else level))
+        out.append(nodes.withColumn("above", up))
+        before = level
+    return out
+
+
+def cover_mixed(images: DataFrame, boxes: DataFrame, depths: list[int], domain: Domain, keep: list[str], strict: bool = True) -> DataFrame:
+    """keep, depth, dst of the boxes (depth, key; leaves of a grid whose depths are among the ascending ones given) that a rectangle fl0, fu0 ... meets.
+
+    A descent of the boxes' tree: from the nodes at the least depth that a rectangle meets to those of their parts that
+    there are and that it meets, all axes halved once in a step, by equi-joins on the node above. Where the grid is coarse nothing is made that isn't in it.
+    """
+    dim = domain.dim
+    nodes = tree(boxes, depths, dim)
+    ends = [f"f{e}{d}" for d in range(dim) for e in "lu"]
+    moved = wrapped(images, domain, strict).select(*keep, *ends)
+    top = cover_cells(moved, depths[0], Domain(domain.lo, domain.hi), [*keep, *ends])
+    front = top.select(*keep, *ends, key_of([F.col(f"c{d}") for d in range(dim)], depths[0]).alias("above"))
+    found = []
+    for level, own in enumerate(nodes):
+        met = front.join(own, "above")
+        if level:
+            met = met.filter(reduce(Column.__and__, [_on_axis(d, depths[-1], domain) for d in range(dim)]))
+        found.append(met.filter("leaf").select(*keep, "depth", F.col("key").alias("dst")))
+        front = met.filter("not leaf").select(*keep, *ends, F.col("key").alias("above"))
+    out = reduce(DataFrame.unionByName, found)
+    return out.distinct() if any(domain.periodic) else out
+
+
+def _on_axis(d: int, deepest: int, domain: Domain) -> Column:
+    """The node (depth, key) is among those of its depth that the rectangle meets along axis d."""
+    depth, dim = F.col("depth"), domain.dim
+    halved = F.floor((depth - d + dim - 1) / dim)  # of axis d, at the node's depth
+    bit = lambda i: F.call_function("shiftright", F.col("key"), F.greatest(depth - 1 - i, F.lit(0))).bitwiseAND(F.lit(1).cast("long"))
+    place = reduce(Column.__add__, [F.when(depth > i, F.call_function("shiftleft", bit(i), (halved - 1 - i // dim).cast("int"))).otherwise(F.lit(0).cast("long")) for i in range(d, deepest, dim)])
+    left, right, _ = _fixed(F.col(f"fl{d}"), F.col(f"fu{d}"), domain.lo[d], domain.hi[d])
+    s = (F.lit(WIDTH) - halved).cast("int")
+    return (place >= F.call_function("shiftright", left - 1, s)) & (place <= F.call_function("shiftright", right, s))
+
+
 def within(covered: DataFrame, boxes: DataFrame, on: list[str] | None = None) -> DataFrame:
     """covered (dst and on, perhaps a node) restricted to boxes (key and on)."""
     on = on or []
@@ -100,11 +152,11 @@ def prism_cover(prisms: DataFrame, depth: int, domain: Domain, keep: list[str])
     reach = [reduce(Column.__add__, [F.abs(F.col(f"a{d}{j}")) for j in every]) for d in every]
     bounded = prisms.withColumns({f"fl{d}": F.col(f"m{d}") - reach[d] for d in every} | {f"fu{d}": F.col(f"m{d}") + reach[d] for d in every})
     shape = [f"a{i}{j}" for i in every for j in every] + [f"m{d}" for d in every]
-    out = with_rects(cover(bounded, depth, domain, [*keep, *shape]), depth, domain, "dst")
+    out = rects_of(cover_cells(bounded, depth, domain, [*keep, *shape]), halvings(depth, dim), domain)
     half = F.abs(_determinant(every, every))
     for j in every:  # the normal of the faces that all columns but j span: cofactors
         normal = [_determinant([r for r in every if r != i], [c for c in every if c != j]) * (-1.0 if (i + j) % 2 else 1.0) for i in every]
         apart = reduce(Column.__add__, [n * ((F.col(f"l{d}") + F.col(f"u{d}")) / 2 - F.col(f"m{d}")) for d, n in enumerate(normal)])
         spread = reduce(Column.__add__, [F.abs(n) * (F.col(f"u{d}") - F.col(f"l{d}")) / 2 for d, n in enumerate(normal)])
         out = out.filter(F.abs(apart) <= half + spread + 1e-9 * (F.lit(1.0) + half))
-    return out.select(*keep, "dst")
+    return out.select(*keep, key_of([F.col(f"c{d}") for d in every], depth).alias("dst"))

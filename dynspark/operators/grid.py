@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dynspark.functions.boxes import Domain
 from dynspark.functions.keys import DEEPEST, coordinates, halvings, key_of, left_aligned
@@ -29,51 +30,108 @@ def subgrid(boxes: DataFrame, chosen: DataFrame, on: list[str] | None = None) ->
     return boxes.join(chosen, on or ["key"], "left_semi")
 
 
-def _depths(*grids: DataFrame) -> list[int]:
-    return sorted({r["depth"] for g in grids for r in g.select("depth").distinct().collect()})
+class Sweep:
+    """Boxes (depth, key) in the order of a walk of their tree, in which the boxes below a box follow it at once.
+
+    They are dealt to partitions by ranges of left-aligned keys, once; windows work inside these, and what goes from one
+    partition to others - the first key of a later one, the furthest end of an earlier one - is a row a partition, which the driver
+    passes on. first: columns that come before in the order, such as a chart.
+    """
+
+    def __init__(self, boxes: DataFrame, first: list[str] | None = None):
+        at = left_aligned(F.col("key"), F.col("depth"))
+        boxes = boxes.withColumns({"__at": at, "__end": at + F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(DEEPEST) - F.col("depth")).cast("int"))})
+        order = [*(first or []), "__at"]
+        self.rows = cut(boxes.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+        self.order = [*order, "depth"]
+
+    def window(self, *more: str) -> Window:
+        return Window.partitionBy("__part").orderBy(*self.order, *more)
+
+    def per_part(self, agg: Column) -> dict[int, int]:
+        """agg of each partition, in order; partitions where it is null are left out."""
+        found = self.rows.groupBy("__part").agg(agg.alias("x")).collect()
+        return {r["__part"]: r["x"] for r in sorted(found) if r["x"] is not None}
+
+    @staticmethod
+    def known(values: dict[int, int]) -> Column:
+        """values of the row's partition; null where there is none."""
+        return F.create_map(*[F.lit(x).cast("long") for kv in values.items() for x in kv])[F.col("__part").cast("long")] if values else F.lit(None).cast("long")
+
+
+def _following(values: dict[int, int], parts: list[int]) -> dict[int, int]:
+    """For each of parts the first value of a later one."""
+    out, ahead = {}, None
+    for p in sorted(parts, reverse=True):
+        if ahead is not None:
+            out[p] = ahead
+        ahead = values.get(p, ahead)
+    return out
+
+
+def _preceding(values: dict[int, int], parts: list[int]) -> dict[int, int]:
+    """For each of parts the largest value of earlier ones."""
+    out, most = {}, None
+    for p in sorted(parts):
+        if most is not None:
+            out[p] = most
+        most = max(x for x in (most, values.get(p)) if x is not None) if p in values or most is not None else None
+    return out
+
+
+def _leaves(*grids: DataFrame) -> tuple[Sweep, DataFrame]:
+    sweep = Sweep(reduce(DataFrame.unionByName, [g.select(F.col("depth").cast("int").alias("depth"), "key") for g in grids]))
+    heads = sweep.per_part(F.min("__at"))
+    after = F.coalesce(F.lead("__at").over(sweep.window()), sweep.known(_following(heads, list(heads))))
+    return sweep, sweep.rows.withColumn("__after", after).filter(F.col("__after").isNull() | (F.col("__after") >= F.col("__end")))
 
 
 def join_grids(*grids: DataFrame) -> DataFrame:
-    """depth, key of the leaves of the least tree that has all grids (depth, key): a leaf with deeper ones below it goes."""
-    every = reduce(DataFrame.unionByName, [g.select(F.col("depth").cast("int").alias("depth"), "key") for g in grids]).distinct()
-    depths = _depths(*grids)
-    up = [F.when(F.col("depth") > d, F.struct(F.lit(d).alias("depth"), F.call_function("shiftright", F.col("key"), F.col("depth") - d).alias("key"))) for d in depths[:-1]]
-    if not up:
-        return every
-    above = every.select(F.explode(F.filter(F.array(*up), lambda x: x.isNotNull())).alias("a")).select("a.depth", "a.key").distinct()
-    return every.join(above, ["depth", "key"], "left_anti")
+    """depth, key of the leaves of the least tree that has all grids (depth, key): a leaf with deeper ones below it goes, and
+    so do repeats. In the order of the walk that is a box before whose end the next one begins."""
+    return _leaves(*grids)[1].select("depth", "key")
+
+
+def joined_and_ranked(*grids: DataFrame) -> DataFrame:
+    """The same with ge, as ranked() gives it, by the same sort."""
+    sweep, leaves = _leaves(*grids)
+    return _numbered(cut(leaves.withColumn("__n", F.row_number().over(sweep.window())))).select("depth", "key", "ge")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with ge from __part and the place __n in it."""
+    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    return rows.withColumn("ge", F.coalesce(Sweep.known(before), F.lit(0)) + F.col("__n") - 1)
 
 
 def subset(grid: DataFrame, other: DataFrame) -> DataFrame:
-    """The boxes of grid (depth, key) that lie inside a box of other or contain one."""
-    mine, theirs = _depths(grid), _depths(other)
-    found = []
-    for a in mine:
-        own = grid.filter(F.col("depth") == a)
-        for b in theirs:
-            at = other.filter(F.col("depth") == b)
-            if b >= a:
-                found.append(own.join(at.select(F.shiftright("key", b - a).alias("key")).distinct(), "key", "left_semi").select(*grid.columns))
-            else:
-                keys = at.select(F.col("key").alias("__up")).distinct()
-                found.append(own.join(keys, F.shiftright(own["key"], a - b) == keys["__up"], "left_semi"))
-    return reduce(DataFrame.unionByName, found).distinct() if found else grid.limit(0)
+    """The boxes of grid (depth, key and more) that lie inside a box of other or contain one, by one sort of both: in the order of the walk a box lies
+    inside one of other if the furthest end of those so far is after it, and contains one if the next of those begins before its end."""
+    tagged = lambda df, row, mine: df.select(F.col("depth").cast("int").alias("depth"), "key", row.alias("__row"), F.lit(mine).alias("__mine"))
+    kind = grid.select(F.struct("*").alias("x")).schema["x"].dataType
+    sweep = Sweep(tagged(grid, F.struct("*"), 1).unionByName(tagged(other, F.lit(None).cast(kind), 0)))
+    theirs = lambda c: F.when(F.col("__mine") == 0, F.col(c))
+    ends, heads, parts = sweep.per_part(F.max(theirs("__end"))), sweep.per_part(F.min(theirs("__at"))), list(sweep.per_part(F.count(F.lit(1))))
+    w = sweep.window("__mine")
+    rows = sweep.rows.withColumn("__head", theirs("__at"))
+    order = ", ".join([*sweep.order, "__mine"])
+    rows = rows.withColumns({
+        "__far": F.greatest(F.max(theirs("__end")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), sweep.known(_preceding(ends, parts))),
+        "__near": F.coalesce(F.expr(f"lead(__head) IGNORE NULLS OVER (PARTITION BY __part ORDER BY {order})"), sweep.known(_following(heads, parts))),
+    })
+    found = rows.filter((F.col("__mine") == 1) & ((F.col("__far") > F.col("__at")) | (F.col("__near") < F.col("__end"))))
+    return found.select("__row.*")
 
 
 def ranked(grid: DataFrame, first: list[str] | None = None) -> DataFrame:
     """grid (depth, key) with ge, the rank of each leaf in a walk of the tree; first: columns to order by before, such as a
     chart. Ranks come from a range sort and a count for each of its partitions, so no task sees all leaves."""
-    order = [*(first or []), "__at"]
-    ordered = grid.withColumn("__at", left_aligned(F.col("key"), F.col("depth")))
-    ordered = cut(ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
-    ordered = ordered.withColumn("__part", F.shiftright("__id", 33))
-    counts = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__part")] if before else F.lit(0)
-    within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn("ge", (base + within).cast("long")).drop("__at", "__id", "__part")
+    sweep = Sweep(grid, first)
+    rows = cut(sweep.rows.withColumn("__n", F.row_number().over(sweep.window())))
+    return _numbered(rows).select(*grid.columns, "ge")
 
 
 def cubes(boxes: DataFrame, depth: int, at: int, dim: int, key: str = "key") -> DataFrame:

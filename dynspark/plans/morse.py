@@ -105,17 +105,8 @@ class MorseGraph:
         return reduce(DataFrame.unionByName, [with_rects(self.phase.filter(F.col("depth") == d), d, self.model.domain) for d in depths])
 
     def map_graph(self) -> DataFrame:
-        """src, dst (ranks) of the transitions of the final, mixed grid, one equi-join for each pair of depths."""
-        depths = sorted(r["depth"] for r in self.phase.select("depth").distinct().collect())
-        out = []
-        for a in depths:
-            own = with_rects(self.phase.filter(F.col("depth") == a).select(F.col("ge").alias("src"), "key"), a, self.model.domain)
-            image = self.model.map.image(own, self.model.domain.dim)
-            for b in depths:
-                met = covers.cover(image, b, self.model.domain, ["src"], self.model.strict_periodic)
-                target = self.phase.filter(F.col("depth") == b).select(F.col("key").alias("dst"), F.col("ge").alias("to"))
-                out.append(met.join(target, "dst").select("src", F.col("to").alias("dst")))
-        return reduce(DataFrame.unionByName, out)
+        """src, dst (ranks) of the transitions of the final, mixed grid, by a descent of its tree."""
+        return map_graph(self.phase, self.model.map, self.model.domain, self.model.strict_periodic)
 
     def signature(self) -> dict:
         """What doesn't depend on names: sizes, least ranks and edges in order of least rank, and the size of the grid."""
@@ -125,6 +116,15 @@ class MorseGraph:
         return {"sizes": [s for _, s, _ in rows], "min_box": [b for b, _, _ in rows], "edges": sorted([name[r["u"]], name[r["v"]]] for r in self.edges_unreduced.collect()), "phase_size": self.phase.count()}
 
 
+def map_graph(phase: DataFrame, f: BoxMap, domain: Domain, strict: bool = True) -> DataFrame:
+    """src, dst (ranks) of the transitions among the boxes of a grid of mixed depth (depth, key, ge): one pass over images of all depths."""
+    depths = sorted(r["depth"] for r in phase.select("depth").distinct().collect())
+    rects = reduce(DataFrame.unionByName, [with_rects(phase.filter(F.col("depth") == d), d, domain) for d in depths])
+    images = f.image(rects.withColumnRenamed("ge", "src").drop("depth", "key"), domain.dim)
+    met = covers.cover_mixed(images, phase, depths, domain, ["src"], strict)
+    return met.join(phase.select("depth", F.col("key").alias("dst"), "ge"), ["depth", "dst"]).select("src", F.col("ge").alias("dst"))
+
+
 def morse_graph(spark: SparkSession, model: Model) -> MorseGraph:
     least, most = model.min - model.init, model.max - model.init
     boxes = grid.uniform(spark, model.init).select(F.lit(-1).cast("long").alias("node"), "key", F.lit(1 << model.init).cast("long").alias("size"), F.lit(None).cast("long").alias("top"))
@@ -165,7 +165,7 @@ def _assembled(model: Model, levels: list[dict[str, DataFrame]], lost: DataFrame
     members = levels[least]["members"] if len(levels) > least else none
     if lost is not None:
         members = members.join(lost.select(F.col("top").alias("comp")), "comp", "left_anti")
-    members = cut(members)
+    members = cut(members) if lost is not None else members
     sets = members.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("least"))
     numbered = cut(sets.withColumn("v", F.row_number().over(Window.orderBy("least")) - 1))  # a row a set
     # the component of each level that a vertex is in
@@ -177,12 +177,13 @@ def _assembled(model: Model, levels: list[dict[str, DataFrame]], lost: DataFrame
         pairs.append(left.join(reach, ["node", "comp"]).join(right, ["node", "other"]).select("u", "v"))
         if level:
             up = levels[level - 1]["members"].select("node", "comp").distinct()
-            above = cut(above.select("v", F.col("node").alias("comp")).join(up, "comp").select("v", "node", "comp"))
+            above = above.select("v", F.col("node").alias("comp")).join(up, "comp").select("v", "node", "comp")
+            above = cut(above) if level % 4 == 0 else above
     edges = cut(reduce(DataFrame.unionByName, pairs).distinct()) if pairs else none.select(F.col("node").alias("u"), F.col("comp").alias("v"))
     grids = [x["boxes"].select(F.lit(model.init + k).alias("depth"), "key") for k, x in enumerate(levels[: least + 1])]
     if lost is not None:
         grids += [x["boxes"].join(lost, "top", "left_semi").select(F.lit(model.init + k).alias("depth"), "key") for k, x in enumerate(levels) if k > least]
-    phase = cut(grid.ranked(cut(grid.join_grids(*grids))))
+    phase = grid.joined_and_ranked(*grids)
     vertices = numbered.select("v", F.lit(model.min).alias("depth"), "size", "least")
     named = members.join(numbered.select("node", "comp", "v"), ["node", "comp"]).select("v", "key")
     return MorseGraph(model, vertices, named, edges, phase)

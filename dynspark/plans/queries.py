@@ -8,6 +8,7 @@ those that points lie in, so all work follows the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem")
+def p1(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").filter(where)
     return rows.select(((F.col("l_quantity") - 1.0) * 1.2 / 49.0).alias("x0"), (F.col("l_extendedprice") * 1.2 / 110000.0).alias("x1"))
 
 
@@ -428,6 +429,76 @@ def q21_grid_join_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(inside, ["depth", "key"], "left").select("depth", "key", F.coalesce("below", F.lit(False)).alias("below"))
 
 
+# --- grids of mixed depth ---------------------------------------------------------------------------------------------
+
+#: Boxes of all lines, finer where some kinds of them lie; another grid to compare with.
+_MIXED = ((6, "true"), (8, "l_discount > 0.05"), (11, "l_tax < 0.02"))
+_OTHER = ((7, "l_quantity < 10"), (10, "l_quantity > 45"), (4, "l_extendedprice > 100000"))
+
+
+def grids1(spark: SparkSession, sf_dir: str, parts: tuple[tuple[int, str], ...]) -> list[DataFrame]:
+    return [occupied(p1(spark, sf_dir, where), depth, UNIT).select(F.lit(depth).alias("depth"), "key") for depth, where in parts]
+
+
+def _sql_grids1(parts: tuple[tuple[int, str], ...]) -> str:
+    return " UNION ALL ".join(f"SELECT {depth} AS depth, key, c0, c1 FROM ({sql_occupied(f'{SQL_P1} WHERE {where}', depth, UNIT)})" for depth, where in parts)
+
+
+SQL_MIXED = f"""g AS MATERIALIZED ({_sql_grids1(_MIXED)}),
+leaf AS MATERIALIZED (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.depth > g.depth AND h.key >> (h.depth - g.depth) = g.key)),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY key << (62 - depth)) - 1 AS ge FROM leaf)"""
+
+
+@query(f"""WITH {SQL_MIXED}, o AS MATERIALIZED ({_sql_grids1(_OTHER)})
+SELECT depth, key, EXISTS (SELECT 1 FROM o WHERE (o.depth <= leaf.depth AND leaf.key >> (leaf.depth - o.depth) = o.key) OR (o.depth > leaf.depth AND o.key >> (o.depth - leaf.depth) = leaf.key)) AS near, ge
+FROM leaf JOIN numbered USING (depth, key)""")
+def q53_mixed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of three grids, their ranks, and which of them lie in a box of another mixed grid or hold one."""
+    leaves = grid.joined_and_ranked(*grids1(spark, sf_dir, _MIXED))
+    near = grid.subset(leaves, reduce(DataFrame.unionByName, grids1(spark, sf_dir, _OTHER))).select("ge", F.lit(True).alias("near"))
+    return leaves.join(near, "ge", "left").select("depth", "key", F.coalesce("near", F.lit(False)).alias("near"), "ge")
+
+
+def _sql_met(d: int) -> str:
+    r = lambda x: f"(({x}{d} - 0.0) / (1.2 - 0.0))"
+    fixed = lambda x: f"CAST(trunc(1152921504606846976e0 * greatest(least({r(x)}, 1e0), 0e0)) AS BIGINT)"
+    return f"greatest({fixed('fl')} - 1024, 0) AS lb{d}, least({fixed('fu')} + 1024, 1152921504606846976) AS ub{d}, ({r('fu')} >= 0e0 AND {r('fl')} <= 1e0) AS in{d}"
+
+
+_PLACED = " UNION ALL ".join(
+    f"SELECT ge, l0, u0, l1, u1, c0 << {60 - halvings(depth, 2)[0]} AS a0, (c0 + 1) << {60 - halvings(depth, 2)[0]} AS b0, c1 << {60 - halvings(depth, 2)[1]} AS a1, (c1 + 1) << {60 - halvings(depth, 2)[1]} AS b1 "
+    f"FROM ({sql_rects(f'SELECT * FROM numbered WHERE depth = {depth}', depth, UNIT)})"
+    for depth, _ in _MIXED
+)
+
+
+@query(f"""WITH {SQL_MIXED}, placed AS MATERIALIZED ({_PLACED}),
+asked AS MATERIALIZED (SELECT ge AS src, {_sql_met(0)}, {_sql_met(1)} FROM ({sql_product("SELECT * FROM placed")}))
+SELECT src, ge AS dst FROM asked JOIN placed ON in0 AND in1 AND a0 <= ub0 AND b0 >= lb0 AND a1 <= ub1 AND b1 >= lb1""")
+def q54_mixed_map_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of the product map among the leaves of a grid of three depths, by their ranks."""
+    leaves = cut(grid.joined_and_ranked(*grids1(spark, sf_dir, _MIXED)))
+    return morse.map_graph(leaves, PRODUCT, UNIT)
+
+
+_PRISMS = f"SELECT key AS src, (l0 + u0) / 2 AS m0, (l1 + u1) / 2 AS m1, (u0 - l0) / 2 AS a00, (u1 - l1) / 4 AS a01, (l0 - u0) / 4 AS a10, (u1 - l1) * 0.7e0 AS a11 FROM ({_SHIFT})"
+_BOUNDED = f"SELECT *, m0 - (abs(a00) + abs(a01)) AS fl0, m0 + (abs(a00) + abs(a01)) AS fu0, m1 - (abs(a10) + abs(a11)) AS fl1, m1 + (abs(a10) + abs(a11)) AS fu1 FROM ({_PRISMS})"
+_ALL8 = sql_rects(f"SELECT {sql_key(['a.range', 'b.range'], 8)} AS dst, a.range AS c0, b.range AS c1 FROM range(16) a, range(16) b", 8, UNIT)
+_FACES_APART = " AND ".join(
+    f"abs(({x}) * ((l0 + u0) / 2 - m0) + ({y}) * ((l1 + u1) / 2 - m1)) <= half + abs({x}) * (u0 - l0) / 2 + abs({y}) * (u1 - l1) / 2 + 1e-9 * (1e0 + half)" for x, y in (("a11", "-a01"), ("-a10", "a00"))
+)
+
+
+@query(f"""SELECT src, dst FROM (SELECT *, abs(a00 * a11 - a01 * a10) AS half FROM ({sql_cover(_BOUNDED, 8, UNIT, 'src, m0, m1, a00, a01, a10, a11')}) JOIN ({_ALL8}) USING (dst)) WHERE {_FACES_APART}""")
+def q55_prism_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes that skew prisms about boxes meet."""
+    boxes = rects(occupied(p1(spark, sf_dir), 8, UNIT).drop("points"), 8, UNIT)
+    wide = lambda d: F.col(f"u{d}") - F.col(f"l{d}")
+    shape = {"a00": wide(0) / 2, "a01": wide(1) / 4, "a10": -wide(0) / 4, "a11": wide(1) * 0.7}
+    prisms = boxes.select(F.col("key").alias("src"), *[((F.col(f"l{d}") + F.col(f"u{d}")) / 2).alias(f"c{d}") for d in range(2)], *[c.alias(name) for name, c in shape.items()])
+    return covers.prism_cover(prisms, 8, UNIT, ["src"])
+
+
 @query(f"""WITH b AS (SELECT c0, c1 FROM ({BOX1}))
 SELECT a.c0 + 64 * a.c1 AS src, b.c0 + 64 * b.c1 AS dst FROM b a JOIN b ON abs(a.c0 - b.c0) <= 1 AND abs(a.c1 - b.c1) <= 1""")
 def q22_param_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
