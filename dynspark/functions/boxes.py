@@ -70,3 +70,34 @@ def meet(a: list[tuple[Column, Column]], b: list[tuple[Column, Column]], slack:
     for (al, au), (bl, bu) in zip(a, b, strict=True):
         out = out & (al <= bu + slack) & (bl <= au + slack)
     return out
+
+
+# --- arithmetic of rectangles -----------------------------------------------------------------------------------------
+
+
+def centroid(dim: int) -> dict[str, Column]:
+    """Both ends become the middle."""
+    return {x: (F.col(f"l{d}") + F.col(f"u{d}")) / 2.0 for d in range(dim) for x in (f"l{d}", f"u{d}")}
+
+
+def scaled(by: Column | float, dim: int) -> dict[str, Column]:
+    """Each end times a number; a negative one doesn't swap ends."""
+    return {x: F.col(x) * by for x in rect_columns(dim)}
+
+
+def added(dim: int, lo: str = "ol", hi: str = "ou") -> dict[str, Column]:
+    """End by end the sum with the rectangle in the columns lo0, hi0 ..."""
+    return {x: F.col(x) + F.col(y) for x, y in zip(rect_columns(dim), rect_columns(dim, lo, hi), strict=True)}
+
+
+def same_rect(dim: int, lo: str = "ol", hi: str = "ou") -> Column:
+    """Equal ends in single precision, in which rectangles are compared and hashed."""
+    out = F.lit(True)
+    for x, y in zip(rect_columns(dim), rect_columns(dim, lo, hi), strict=True):
+        out = out & (F.col(x).cast("float") == F.col(y).cast("float"))
+    return out
+
+
+def rect_hash(dim: int) -> Column:
+    """A hash under which same_rect() rectangles agree, to join or group by."""
+    return F.xxhash64(*[F.col(x).cast("float") for x in rect_columns(dim)])

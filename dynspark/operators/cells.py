@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dynspark.functions.boxes import Domain
+from dynspark.functions.keys import coordinates, halvings
+from dynspark.operators.cover import meets_prism
 
 P = 5
 
@@ -45,14 +47,17 @@ def cover(images: DataFrame, sizes: list[int], domain: Domain, keep: list[str],
     return out if cubes is None else out.join(cubes.select(*names), names, "left_semi").select(*keep, *names)
 
 
-def boundary(chains: DataFrame, dim: int, keep: list[str] | None = None, p: int = P) -> DataFrame:
-    """chains: e0 ..., coef. The boundary, like terms together, modulo p; terms that vanish go."""
+def boundary(chains: DataFrame, dim: int, keep: list[str] | None = None, p: int = P, sizes: list[int] | None = None) -> DataFrame:
+    """chains: e0 ..., coef. The boundary, like terms together, modulo p; terms that vanish go. sizes wraps axes that are circles (0: not one): the
+    far side of the last cube is the near side of the first."""
     sides, before = [], F.lit(0)
     for d in range(dim):
         odd = F.pmod(F.col(f"e{d}"), F.lit(2)) == 1
         sign = F.when(F.pmod(before, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
         for step in (1, -1):
             place = [F.col(f"e{k}") + (step if k == d else 0) for k in range(dim)]
+            if sizes and sizes[d]:
+                place[d] = F.pmod(place[d], F.lit(2 * sizes[d]))
             sides.append(F.when(odd, F.struct(*[x.alias(f"e{k}") for k, x in enumerate(place)], (F.col("coef") * sign * step).alias("coef"))))
         before = before + F.pmod(F.col(f"e{d}"), F.lit(2))
     out = chains.select(*(keep or []), F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("s")).select(*(keep or []), "s.*")
@@ -64,11 +69,11 @@ def combined(chains: DataFrame, dim: int, keep: list[str] | None = None, p: int
     return out.filter("coef != 0")
 
 
-def coboundary(chains: DataFrame, all_cells: DataFrame, dim: int, p: int = P) -> DataFrame:
-    """chains on cells of all_cells: the coboundary, by a join of the cells' boundaries."""
+def coboundary(chains: DataFrame, all_cells: DataFrame, dim: int, p: int = P, sizes: list[int] | None = None) -> DataFrame:
+    """chains on cells of all_cells: the coboundary, by a join of the cells' boundaries; sizes as in boundary()."""
     names = [f"e{d}" for d in range(dim)]
     up = all_cells.select(*[F.col(x).alias(f"up{x}") for x in names], *names).withColumn("coef", F.lit(1))
-    faces = boundary(up, dim, [f"up{x}" for x in names], p).withColumnRenamed("coef", "sign")
+    faces = boundary(up, dim, [f"up{x}" for x in names], p, sizes).withColumnRenamed("coef", "sign")
     out = faces.join(chains, names).select(*[F.col(f"up{x}").alias(x) for x in names], (F.col("sign") * F.col("coef")).alias("coef"))
     return combined(out, dim, None, p)
 
@@ -87,3 +92,66 @@ def relative(pair: DataFrame, dim: int, keep: list[str]) -> DataFrame:
     inside = cells(pair, dim, keep=keep)
     exits = cells(pair.filter("exit"), dim, keep=keep)
     return inside.join(exits, [*keep, *[f"e{d}" for d in range(dim)]], "left_anti")
+
+
+def relative_complex(x: DataFrame, a: DataFrame, at: int, domain: Domain, keep: list[str]) -> DataFrame:
+    """x and a: keep, depth, key. The cells (keep, e0 ..., dim) of the boxes x that aren't cells of the boxes a, as cubes of the depth `at`.
+
+    Coarser boxes become all their cubes, finer ones the cube that they are in. Coordinates count from the least cube of x (of each keep). A periodic axis
+    wraps if x spans it from end to end, and only then.
+    """
+    dim = domain.dim
+    every, total = range(dim), halvings(at, dim)
+    cubes = {name: _cubes_at(df, at, dim, keep) for name, df in (("x", x), ("a", a))}
+    corner = [c for d in every for c in (F.min(f"c{d}").alias(f"__min{d}"), F.max(f"c{d}").alias(f"__max{d}"))]
+    spans = cubes["x"].groupBy(*keep).agg(*corner)
+    whole = lambda d: (F.col(f"__min{d}") == 0) & (F.col(f"__max{d}") == (1 << total[d]) - 1) if domain.periodic[d] else F.lit(False)
+
+    def faces(cubes: DataFrame) -> DataFrame:
+        out = cubes.join(spans, keep)
+        for d in every:
+            out = out.withColumn(f"e{d}", F.explode(F.array(*[(F.col(f"c{d}") - F.col(f"__min{d}")) * 2 + k for k in (0, 1, 2)])))
+            out = out.withColumn(f"e{d}", F.when(whole(d), F.pmod(f"e{d}", F.lit(2 << total[d]))).otherwise(F.col(f"e{d}")))
+        return out.select(*keep, *[f"e{d}" for d in every]).distinct()
+
+    return faces(cubes["x"]).join(faces(cubes["a"]), [*keep, *[f"e{d}" for d in every]], "left_anti").withColumn("dim", extent(dim))
+
+
+def _cubes_at(boxes: DataFrame, at: int, dim: int, keep: list[str]) -> DataFrame:
+    """keep, c0 ... of boxes (keep, depth, key) of any depths."""
+    shift = lambda name, x, by: F.call_function(name, x, by.cast("int"))
+    less, more = F.greatest(F.lit(at) - F.col("depth"), F.lit(0)), F.greatest(F.col("depth") - F.lit(at), F.lit(0))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), shift("shiftleft", F.lit(1).cast("long"), less) - 1))
+    key = shift("shiftright", shift("shiftleft", F.col("key").cast("long"), less) + F.col("__part"), more)
+    out = boxes.withColumn("__part", part).select(*keep, key.alias("key")).distinct()
+    return out.select(*keep, *[c.alias(f"c{d}") for d, c in enumerate(coordinates(F.col("key"), at, dim))])
+
+
+def geometry(all_cells: DataFrame, sizes: list[int], domain: Domain) -> DataFrame:
+    """Cells e0 ... of a complex with so many cubes along each axis, with l0, u0 ...: along an axis in which a cell doesn't extend both are its place."""
+    ends = {}
+    for d, n in enumerate(sizes):
+        step = (domain.hi[d] - domain.lo[d]) / float(n)
+        ends[f"l{d}"] = domain.lo[d] + step * F.shiftright(f"e{d}", 1).cast("double")
+    out = all_cells.withColumns(ends)
+    return out.withColumns({f"u{d}": F.when(F.pmod(F.col(f"e{d}"), F.lit(2)) == 1, F.col(f"l{d}") + (domain.hi[d] - domain.lo[d]) / float(n)).otherwise(F.col(f"l{d}")) for d, n in enumerate(sizes)})
+
+
+def prism_cover(prisms: DataFrame, sizes: list[int], domain: Domain, keep: list[str], cubes: DataFrame | None = None) -> DataFrame:
+    """keep and the cubes c0 ... that a prism (a00 ..., m0 ...: {A x + m : -1 <= x <= 1}) meets or touches; if cubes are given, only those."""
+    dim, names = len(sizes), [f"c{d}" for d in range(len(sizes))]
+    shape = [f"a{i}{j}" for i in range(dim) for j in range(dim)] + [f"m{d}" for d in range(dim)]
+    out = prisms
+    for d, n in enumerate(sizes):
+        reach = reduce(add, [F.abs(F.col(f"a{d}{j}")) for j in range(dim)])
+        at = lambda x: F.lit(float(n)) * (x - domain.lo[d]) / (domain.hi[d] - domain.lo[d])  # noqa: B023, E731
+        a, b = F.greatest(F.ceil(at(F.col(f"m{d}") - reach)) - 1, F.lit(0)), F.least(F.floor(at(F.col(f"m{d}") + reach)), F.lit(n - 1))
+        out = out.withColumn(f"__r{d}", F.when(a <= b, F.sequence(a, F.greatest(a, b))))
+    for d in range(dim):
+        out = out.withColumn(f"c{d}", F.explode_outer(f"__r{d}")).drop(f"__r{d}")
+    out = out.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in names])).select(*keep, *shape, *names)
+    if cubes is not None:
+        out = out.join(cubes.select(*names), names, "left_semi")
+    step = [(domain.hi[d] - domain.lo[d]) / float(n) for d, n in enumerate(sizes)]
+    out = out.withColumns({f"{e}{d}": domain.lo[d] + (F.col(f"c{d}") + k).cast("double") * step[d] for d in range(dim) for e, k in (("l", 0), ("u", 1))})
+    return out.filter(meets_prism(dim)).select(*keep, *names)

@@ -143,6 +143,18 @@ def _determinant(rows: list[int], columns: list[int]) -> Column:
     return reduce(Column.__add__, terms)
 
 
+def meets_prism(dim: int) -> Column:
+    """The rectangle l0, u0 ... isn't separated from the prism a00 ..., m0 ... along a normal of the prism's faces."""
+    every, tests = list(range(dim)), []
+    half = F.abs(_determinant(every, every))
+    for j in every:  # the normal of the faces that all columns but j span: cofactors
+        normal = [_determinant([r for r in every if r != i], [c for c in every if c != j]) * (-1.0 if (i + j) % 2 else 1.0) for i in every]
+        apart = reduce(Column.__add__, [n * ((F.col(f"l{d}") + F.col(f"u{d}")) / 2 - F.col(f"m{d}")) for d, n in enumerate(normal)])
+        spread = reduce(Column.__add__, [F.abs(n) * (F.col(f"u{d}") - F.col(f"l{d}")) / 2 for d, n in enumerate(normal)])
+        tests.append(F.abs(apart) <= half + spread + 1e-9 * (F.lit(1.0) + half))
+    return reduce(Column.__and__, tests)
+
+
 def prism_cover(prisms: DataFrame, depth: int, domain: Domain, keep: list[str]) -> DataFrame:
     """prisms: {A x + c : -1 <= x <= 1}, a00 ... and c0 ... Boxes that aren't separated from the prism along the axes of the
     box or the normals of the prism's faces; candidates come from the bounding rectangle. A flat prism is as good as its rectangle along what it lacks."""
@@ -153,10 +165,4 @@ def prism_cover(prisms: DataFrame, depth: int, domain: Domain, keep: list[str])
     bounded = prisms.withColumns({f"fl{d}": F.col(f"m{d}") - reach[d] for d in every} | {f"fu{d}": F.col(f"m{d}") + reach[d] for d in every})
     shape = [f"a{i}{j}" for i in every for j in every] + [f"m{d}" for d in every]
     out = rects_of(cover_cells(bounded, depth, domain, [*keep, *shape]), halvings(depth, dim), domain)
-    half = F.abs(_determinant(every, every))
-    for j in every:  # the normal of the faces that all columns but j span: cofactors
-        normal = [_determinant([r for r in every if r != i], [c for c in every if c != j]) * (-1.0 if (i + j) % 2 else 1.0) for i in every]
-        apart = reduce(Column.__add__, [n * ((F.col(f"l{d}") + F.col(f"u{d}")) / 2 - F.col(f"m{d}")) for d, n in enumerate(normal)])
-        spread = reduce(Column.__add__, [F.abs(n) * (F.col(f"u{d}") - F.col(f"l{d}")) / 2 for d, n in enumerate(normal)])
-        out = out.filter(F.abs(apart) <= half + spread + 1e-9 * (F.lit(1.0) + half))
-    return out.select(*keep, key_of([F.col(f"c{d}") for d in every], depth).alias("dst"))
+    return out.filter(meets_prism(dim)).select(*keep, key_of([F.col(f"c{d}") for d in every], depth).alias("dst"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,32 +199,113 @@ def lattice_edges(spark: SparkSession, sizes: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def adjacent(spark: SparkSession, sizes: list[int], periodic: tuple[bool, ...] = ()) -> DataFrame:
-    """src, dst of cells that share a point, each with itself too."""
-    cells = lattice(spark, sizes)
-    step = F.array(*[F.lit(x) for x in (-1, 0, 1)])
+def edges_of(cells: DataFrame, dim: int) -> DataFrame:
+    """axis, c0, c1 ... (of the lower end) of the edges of cells c0, c1 ..., each once."""
+    corners = [c for c in product((0, 1), repeat=dim)]
+    ends = [F.struct(F.lit(axis).alias("axis"), *[(F.col(f"c{d}") + c[d]).alias(f"c{d}") for d in range(dim)]) for axis in range(dim) for c in corners if not c[axis]]
+    return cells.select(F.explode(F.array(*ends)).alias("e")).select("e.*").distinct()
+
+
+def _edge_starts(sizes: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Of the edges along each axis: how many there are along all axes, and the number of the first one."""
+    shapes = [[n if d == axis else n + 1 for d, n in enumerate(sizes)] for axis in range(len(sizes))]
+    counts = [reduce(int.__mul__, shape, 1) for shape in shapes]
+    return shapes, [sum(counts[:axis]) for axis in range(len(sizes))]
+
+
+def edge_id(sizes: list[int], axis: str = "axis") -> Column:
+    """The number of the edge (axis, c0 ...): all edges along axis 0 come first, axis 0 fastest. Null for an edge that isn't in the lattice."""
+    shapes, starts = _edge_starts(sizes)
+    out = F.lit(None).cast("long")
+    for k, (shape, start) in enumerate(zip(shapes, starts, strict=True)):
+        inside = reduce(Column.__and__, [F.col(f"c{d}").between(0, n - 1) for d, n in enumerate(shape)])
+        out = F.when((F.col(axis) == k) & inside, lattice_id([F.col(f"c{d}") for d in range(len(sizes))], shape) + start).otherwise(out)
+    return out
+
+
+def edge_place(sizes: list[int], name: str = "id") -> dict[str, Column]:
+    """axis, c0, c1 ... of the edge of a number."""
+    shapes, starts = _edge_starts(sizes)
+    last = len(sizes) - 1
+    pick = lambda xs: reduce(lambda out, k: F.when(F.col(name) >= starts[k], xs[k]).otherwise(out), range(1, last + 1), xs[0])
+    places = []
+    for shape, start in zip(shapes, starts, strict=True):
+        rest, own = F.col(name) - start, []
+        for n in shape:
+            own.append(F.pmod(rest, F.lit(n)))
+            rest = F.floor(rest / n)
+        places.append(own)
+    return {"axis": pick([F.lit(k) for k in range(last + 1)])} | {f"c{d}": pick([p[d] for p in places]).cast("long") for d in range(last + 1)}
+
+
+def edge_rects(edges: DataFrame, sizes: list[int], domain: Domain) -> DataFrame:
+    """edges (axis, c0 ...) with l0, u0 ...: flat but for the axis."""
+    ends = {}
+    for d, n in enumerate(sizes):
+        c, (a, b) = F.col(f"c{d}").cast("double"), (domain.lo[d], domain.hi[d])
+        ends[f"l{d}"] = a + c / n * (b - a)
+        ends[f"u{d}"] = F.when(F.col("axis") == d, a + (c + 1.0) / n * (b - a)).otherwise(ends[f"l{d}"])
+    return edges.withColumns(ends)
+
+
+def edge_cover(rects: DataFrame, sizes: list[int], domain: Domain) -> DataFrame:
+    """rects (l0, u0 ...) with axis, c0, c1 ... of the lattice's edges that they meet or touch: of a node before the rectangle along one axis the
+    edge along that axis alone, of one before it along several none, of all others every edge."""
+    dim = len(sizes)
+    out, kept = rects, rects.columns
+    for d, n in enumerate(sizes):
+        scale = lambda x: F.lit(float(n)) * (F.col(x) - domain.lo[d]) / (domain.hi[d] - domain.lo[d])  # noqa: B023, E731
+        out = out.withColumns({f"__a{d}": F.ceil(scale(f"l{d}") - 1.0), f"__b{d}": F.least(F.floor(scale(f"u{d}") + 1.0), F.lit(n + 1)) - 1})
+    ranges = [F.sequence(F.greatest(F.col(f"__a{d}"), F.lit(0)), F.col(f"__b{d}")) for d in range(dim)]
+    out = out.filter(reduce(Column.__and__, [F.greatest(F.col(f"__a{d}"), F.lit(0)) <= F.col(f"__b{d}") for d in range(dim)]))
+    for d in range(dim):
+        out = out.withColumn(f"c{d}", F.explode(ranges[d]))
+    before = [F.col(f"c{d}") == F.col(f"__a{d}") for d in range(dim)]  # a lower end below the lattice is no node's
+    many = reduce(Column.__add__, [x.cast("int") for x in before])
+    own = [F.when(((many == 0) | ((many == 1) & before[d])) & (F.col(f"c{d}") < sizes[d]), F.lit(d)) for d in range(dim)]
+    return out.withColumn("axis", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull()))).select(*kept, "axis", *[f"c{d}" for d in range(dim)])
+
+
+def neighbours(cells: DataFrame, sizes: list[int], periodic: tuple[bool, ...] = ()) -> DataFrame:
+    """cells (c0 ... and more) with n0, n1 ...: all cells of the lattice that share a point with them, themselves too."""
     out = cells
-    for d in range(len(sizes)):
-        out = out.withColumn(f"s{d}", F.explode(step))
-    ends = [F.col(f"c{d}") + F.col(f"s{d}") for d in range(len(sizes))]
     for d, n in enumerate(sizes):
+        near = F.array(*[F.col(f"c{d}") + k for k in (-1, 0, 1)])
         if periodic and periodic[d]:
-            ends[d] = F.pmod(ends[d], F.lit(n))
+            near = F.array_distinct(F.transform(near, lambda x: F.pmod(x, F.lit(n))))  # noqa: B023
         else:
-            out = out.filter((ends[d] >= 0) & (ends[d] < n))
-    return out.select(F.col("id").alias("src"), lattice_id(ends, sizes).alias("dst")).distinct()
+            near = F.filter(near, lambda x: (x >= 0) & (x < n))  # noqa: B023
+        out = out.withColumn(f"n{d}", F.explode(near))
+    return out
 
 
-def patches(spark: SparkSession, sizes: list[int], width: int = 4) -> DataFrame:
-    """patch, id: overlapping blocks of a lattice, width cells wide and a cell more on each side; every pair of neighbours is in one."""
-    cells = lattice(spark, sizes)
-    out, blocks = cells, []
+def adjacent(spark: SparkSession, sizes: list[int], periodic: tuple[bool, ...] = ()) -> DataFrame:
+    """src, dst of all cells of a lattice that share a point, each with itself too."""
+    return neighbours(lattice(spark, sizes), sizes, periodic).select(F.col("id").alias("src"), lattice_id([F.col(f"n{d}") for d in range(len(sizes))], sizes).alias("dst"))
+
+
+def adjacent_cells(cells: DataFrame, sizes: list[int], periodic: tuple[bool, ...] = ()) -> DataFrame:
+    """The same among given cells c0, c1 ..., from their neighbours; no lattice is made."""
+    every = range(len(sizes))
+    ids = lambda name: lattice_id([F.col(f"{name}{d}") for d in every], sizes)
+    pairs = neighbours(cells.select(*[f"c{d}" for d in every]), sizes, periodic).select(ids("c").alias("src"), ids("n").alias("dst"))
+    return pairs.join(cells.select(ids("c").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def patches_of(cells: DataFrame, sizes: list[int], width: int = 4) -> DataFrame:
+    """patch, id of given cells c0, c1 ...: overlapping blocks of a lattice, width cells wide and a cell more on each side; every pair of neighbours is in one."""
+    out, blocks, every = cells, [], range(len(sizes))
     for d, n in enumerate(sizes):
         count = -(-n // width)
         near = F.array_distinct(F.array(*[F.floor((F.col(f"c{d}") + k) / width) for k in (-1, 0, 1)]))
         out = out.withColumn(f"b{d}", F.explode(F.filter(near, lambda x: (x >= 0) & (x < count))))  # noqa: B023
         blocks.append(count)
-    return out.select(lattice_id([F.col(f"b{d}") for d in range(len(sizes))], blocks).alias("patch"), "id")
+    return out.select(lattice_id([F.col(f"b{d}") for d in every], blocks).alias("patch"), lattice_id([F.col(f"c{d}") for d in every], sizes).alias("id"))
+
+
+def patches(spark: SparkSession, sizes: list[int], width: int = 4) -> DataFrame:
+    """patch, id of all cells of a lattice."""
+    return patches_of(lattice(spark, sizes), sizes, width)
 
 
 def key_from_cube(depth: int, dim: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import product
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -143,18 +144,23 @@ def rk4(field: Callable[[np.ndarray], np.ndarray], time: float, steps: int) -> C
 # --- sampled maps -----------------------------------------------------------------------------------------------------
 
 
-def bins_per_axis(n: int, dim: int) -> int:
-    """About eight samples a bin."""
-    return max(1, round((n / 8) ** (1 / dim)))
+#: Halvings of each axis at most, and samples in a finest bin, about.
+MOST_HALVINGS, IN_BIN = 20, 8
 
 
 class DataMap:
     """A map known from samples x0 ... y0 ...: the hull of the values whose x lies in a rectangle.
 
-    Rectangles and samples meet by bins: a rectangle goes to the bins that it overlaps, an equi-join finds candidates,
-    an exact filter follows, and the hull is a min/max aggregate with map-side combine. empty says what a rectangle
-    without samples gets: "interp" doubles it about its centre until it has some, "outside" a rectangle one to two
-    units above the domain, "terminate" an error. domain_padding takes, instead of the rectangle's own samples, those of
+    Samples lie in dyadic bins, about IN_BIN in a finest one, and a pyramid has the hull and number of the samples of each bin of each
+    size. A rectangle is taken apart: bins that it holds wholly, as large ones as there are, answer from the pyramid, and only the
+    finest bins along its border are looked up among the samples, with an exact filter. Both are equi-joins, and hulls are min/max aggregates
+    with map-side combine. A rectangle over all samples costs one row. Bins are compared by their numbers alone, and
+    a bin strictly between those of both ends is inside whatever rounding did.
+
+    empty says what a rectangle without samples gets: "interp" doubles it about its centre until it has some, "outside" a rectangle one to two
+    units above the domain, "terminate" an error. How often it is doubled comes from one search in the pyramid: the least number of
+    doublings at which it meets a bin with samples, of about its own size, and the number at which it is sure to hold that bin, bound the
+    few that are tried, all at once. domain_padding takes, instead of the rectangle's own samples, those of
     the rectangle padded by its width, once it has any.
     """
 
@@ -163,22 +169,115 @@ class DataMap:
             raise ValueError(f"no such policy: {empty}")
         self.samples, self.domain, self.padding, self.domain_padding, self.empty = samples, domain, padding, domain_padding, empty
         self.count = samples.count() if count is None else count
-        self.bins = bins_per_axis(self.count, domain.dim)
+        self.halvings = max(0, min(MOST_HALVINGS, int(log2(max(1, self.count / IN_BIN)) / domain.dim)))
+        self._tables: tuple[DataFrame, DataFrame, dict[str, float]] | None = None
 
     def _bin(self, x: Column, d: int) -> Column:
-        width = (self.domain.hi[d] - self.domain.lo[d]) / self.bins
-        return F.greatest(F.lit(0), F.least(F.lit(self.bins - 1), F.floor((x - self.domain.lo[d]) / width))).cast("int")
-
-    def hulls(self, rects: DataFrame, dim: int) -> DataFrame:
-        """row, fl0, fu0 ... for those rects (row, l0, u0 ...) that hold samples."""
-        own = rects
-        for d in range(dim):
-            own = own.withColumn(f"b{d}", F.explode(F.sequence(self._bin(F.col(f"l{d}"), d), self._bin(F.col(f"u{d}"), d))))
-        points = self.samples.withColumns({f"b{d}": self._bin(F.col(f"x{d}"), d) for d in range(dim)})
-        found = own.join(points, [f"b{d}" for d in range(dim)])
-        found = found.filter(reduce(Column.__and__, [(F.col(f"x{d}") >= F.col(f"l{d}")) & (F.col(f"x{d}") <= F.col(f"u{d}")) for d in range(dim)]))
-        hull = [x for d in range(dim) for x in (F.min(f"y{d}").alias(f"fl{d}"), F.max(f"y{d}").alias(f"fu{d}"))]
-        return found.groupBy("row").agg(*hull, F.count(F.lit(1)).alias("points"))
+        n = 1 << self.halvings
+        return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((x - self.domain.lo[d]) / self.domain.widths()[d] * n))).cast("int")
+
+    def tables(self) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+        """Samples with their bins b0 ...; the pyramid (level, b0 ..., fl0, fu0 ..., points); the least and largest x along each axis. Made once."""
+        if self._tables is None:
+            from dynspark.plans.cutting import cut
+
+            every = range(self.domain.dim)
+            names = [f"b{d}" for d in every]
+            binned = cut(self.samples.withColumns({f"b{d}": self._bin(F.col(f"x{d}"), d) for d in every}))
+            ends = binned.agg(*[f(f"x{d}").alias(f"{n}{d}") for d in every for n, f in (("min", F.min), ("max", F.max))]).first().asDict()
+            finest = binned.groupBy(*names).agg(*[x for d in every for x in (F.min(f"y{d}").alias(f"fl{d}"), F.max(f"y{d}").alias(f"fu{d}"))], F.count(F.lit(1)).alias("points"))
+            up = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.halvings))))
+            up = up.withColumns({b: F.call_function("shiftright", F.col(b), F.lit(self.halvings) - F.col("level")) for b in names})
+            self._tables = binned, cut(up.groupBy("level", *names).agg(*self._hull(), F.sum("points").alias("points"))), ends
+        return self._tables
+
+    def _hull(self) -> list[Column]:
+        return [x for d in range(self.domain.dim) for x in (F.min(f"fl{d}").alias(f"fl{d}"), F.max(f"fu{d}").alias(f"fu{d}"))]
+
+    def _inner(self, d: int) -> tuple[Column, Column]:
+        """The finest bins along an axis between which those lie that [l, u] holds wholly: of its ends, -1 and one after the last where no sample is beyond."""
+        ends, n = self.tables()[2], 1 << self.halvings
+        lo, hi = F.col(f"l{d}"), F.col(f"u{d}")
+        return F.when(lo <= ends[f"min{d}"], -1).otherwise(self._bin(lo, d)), F.when(hi >= ends[f"max{d}"], n).otherwise(self._bin(hi, d))
+
+    @staticmethod
+    def _without(level: Column, outer: list[tuple[Column, Column]], inner: list[tuple[Column, Column]]) -> Column:
+        """The boxes of integers, as structs of a level and ranges by axis, that make up outer without inner, which lies in it if it isn't empty."""
+        some = reduce(Column.__and__, [a <= b for a, b in inner])
+        box = lambda ranges: F.struct(level.alias("level"), *[x.alias(f"{e}{d}") for d, r in enumerate(ranges) for x, e in zip(r, "ab", strict=True)])
+        out = [F.when(~some, box(outer))]
+        for d, ((a, b), (ia, ib)) in enumerate(zip(outer, inner, strict=True)):
+            out += [F.when(some, box([*inner[:d], side, *outer[d + 1 :]])) for side in ((a, ia - 1), (ib + 1, b))]
+        full = lambda x: x.isNotNull() & reduce(Column.__and__, [x[f"a{d}"] <= x[f"b{d}"] for d in range(len(outer))])
+        return F.filter(F.array(*out), full)
+
+    def _bins(self, rects: DataFrame, pieces: Column, keep: list[str]) -> DataFrame:
+        """keep, level, b0 ... of the bins in pieces (ranges by axis)."""
+        out = rects.select(*keep, F.explode(pieces).alias("p"))
+        for d in range(self.domain.dim):
+            out = out.withColumn(f"b{d}", F.explode(F.sequence(F.col(f"p.a{d}"), F.col(f"p.b{d}"))))
+        return out.select(*keep, F.col("p.level").alias("level"), *[f"b{d}" for d in range(self.domain.dim)])
+
+    def hulls(self, rects: DataFrame, dim: int, by: list[str] | None = None) -> DataFrame:
+        """by (row), fl0, fu0 ..., points for those rects (by, l0, u0 ...) that hold samples."""
+        by, binned, pyramid = by or ["row"], *self.tables()[:2]
+        deep, names, ends = self.halvings, [f"b{d}" for d in range(dim)], rect_columns(dim)
+        rects = rects.select(*by, *ends).withColumns({f"{e}{d}": x.cast("int") for d in range(dim) for e, x in zip(("__a", "__b"), self._inner(d), strict=True)})
+        shift = lambda name, x, s: F.call_function(name, x, s.cast("int"))
+
+        def held(level: Column) -> list[tuple[Column, Column]]:
+            """Ranges of the bins of a level that are held wholly."""
+            s = F.lit(deep) - level
+            up = lambda d: F.col(f"__a{d}") + shift("shiftleft", F.lit(1), s)
+            return [(shift("shiftright", up(d), s), shift("shiftright", F.col(f"__b{d}"), s) - 1) for d in range(dim)]
+
+        def of_level(level: Column) -> Column:
+            before = [(a * 2, b * 2 + 1) for a, b in held(level - 1)]
+            never = [(F.lit(1), F.lit(0))] * dim
+            return self._without(level, held(level), [(F.when(level > 0, a).otherwise(x), F.when(level > 0, b).otherwise(y)) for (a, b), (x, y) in zip(before, never, strict=True)])
+
+        whole = self._bins(rects, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(deep)), of_level)), by).join(pyramid, ["level", *names])
+        met = [(F.greatest(F.col(f"__a{d}"), F.lit(0)), F.least(F.col(f"__b{d}"), F.lit((1 << deep) - 1))) for d in range(dim)]
+        inside = [(F.col(f"__a{d}") + 1, F.col(f"__b{d}") - 1) for d in range(dim)]
+        border = self._bins(rects, self._without(F.lit(deep), met, inside), [*by, *ends]).join(binned, names)
+        border = border.filter(reduce(Column.__and__, [(F.col(f"x{d}") >= F.col(f"l{d}")) & (F.col(f"x{d}") <= F.col(f"u{d}")) for d in range(dim)]))
+        border = border.select(*by, *[F.col(f"y{d}").alias(f"f{e}{d}") for d in range(dim) for e in "lu"], F.lit(1).cast("long").alias("points"))
+        return whole.select(border.columns).unionByName(border).groupBy(*by).agg(*self._hull(), F.sum("points").alias("points"))
+
+    def _grown(self, rects: DataFrame, dim: int, times: str) -> DataFrame:
+        """rects doubled about their centres so many times, one after another."""
+        ends = rect_columns(dim)
+        step = lambda r, _: F.struct(*[((r[f"l{d}"] + r[f"u{d}"]) / 2 + (r[f"u{d}"] - r[f"l{d}"]) * (-1.0 if e == "l" else 1.0)).alias(f"{e}{d}") for d in range(dim) for e in "lu"])
+        grown = F.when(F.col(times) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(times), F.lit(1))), F.struct(*ends), step)).otherwise(F.struct(*ends))
+        return rects.withColumn("__g", grown).withColumns({x: F.col(f"__g.{x}") for x in ends}).drop("__g")
+
+    def _nearest(self, missing: DataFrame, dim: int) -> DataFrame:
+        """row, fl0, fu0 ... of rects without samples, doubled until they have some."""
+        pyramid, ends = self.tables()[1:]
+        deep, names, every = self.halvings, [f"b{d}" for d in range(dim)], range(dim)
+        wide = [F.col(f"u{d}") - F.col(f"l{d}") for d in every]
+        far = [F.greatest((F.col(f"l{d}") + F.col(f"u{d}")) / 2 - ends[f"min{d}"], F.lit(ends[f"max{d}"]) - (F.col(f"l{d}") + F.col(f"u{d}")) / 2, F.lit(0.0)) for d in every]
+        most = F.least(F.lit(64), _greatest([F.when(w > 0, F.ceil(F.log2(F.greatest(2 * f / w, F.lit(1.0)))) + 1).otherwise(64) for w, f in zip(wide, far, strict=True)])).cast("int")
+        tried = self._grown(missing.withColumn("m", F.explode(F.sequence(F.lit(1), most))), dim, "m")
+        # of the bins at least as wide as the rectangle the smallest, so it meets few of them
+        share = [w / self.domain.widths()[d] for d, w in enumerate(wide)]
+        tried = tried.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(deep), F.floor(-F.log2(_greatest(share))))).cast("int")).withColumn("h", _least(share) / 2)
+        own = tried
+        for d in every:
+            at = lambda e: F.call_function("shiftright", self._bin(F.col(f"{e}{d}"), d), F.lit(deep) - F.col("level"))  # noqa: B023, E731
+            own = own.withColumn(f"b{d}", F.explode(F.sequence(at("l"), at("u"))))
+        near = own.join(pyramid.select("level", *names), ["level", *names], "left_semi")
+        # from the first one on that meets a bin with samples to the one that surely holds this bin; samples outside the domain lie in its outer bins, so these are tried to the end
+        outer = any(ends[f"min{d}"] < self.domain.lo[d] or ends[f"max{d}"] > self.domain.hi[d] for d in every)
+        sure = F.when(F.col("h") > 0, F.col("m") + F.ceil(F.log2(1 + F.pow(F.lit(2.0), -F.col("level")) / F.col("h"))) + 1).otherwise(64)
+        window = near.groupBy("row").agg(F.min(F.struct("m", sure.alias("to"))).alias("w"))
+        upto = F.least(F.col("most"), F.lit(64) if outer else F.col("w.to"))
+        asked = missing.withColumn("most", most).join(window, "row").withColumn("m", F.explode(F.sequence(F.col("w.m"), upto.cast("int"))))
+        found = self.hulls(self._grown(asked, dim, "m"), dim, ["row", "m"])
+        values = [f"f{e}{d}" for d in every for e in "lu"]
+        found = found.groupBy("row").agg(F.min(F.struct("m", *values, "points")).alias("x"))
+        lost = F.raise_error(F.lit("a rectangle is too far from all samples")).cast("double")
+        return missing.select("row").join(found, "row", "left").select("row", *[F.coalesce(f"x.{v}", lost).alias(v) for v in values], "x.points")
 
     def image(self, rects: DataFrame, dim: int) -> DataFrame:
         from dynspark.plans.cutting import cut
@@ -190,23 +289,14 @@ class DataMap:
         found = cut(self.hulls(own, dim))
         if self.domain_padding:
             found = cut(self.hulls(padded(own.join(found, "row", "left_semi")), dim))
-        missing = own.join(found, "row", "left_anti")
-        if self.empty == "terminate" and not missing.isEmpty():
-            raise ValueError("a rectangle holds no sample")
-        if self.empty == "interp":
-            if self.count == 0:
-                raise ValueError("there are no samples to interpolate from")
-            for _ in range(64):
-                missing = cut(missing)
-                if missing.isEmpty():
-                    break
-                grown = {name: (F.col(f"l{name[1:]}") + F.col(f"u{name[1:]}")) / 2 + (F.col(f"u{name[1:]}") - F.col(f"l{name[1:]}")) * (-1.0 if name[0] == "l" else 1.0) for name in names}
-                missing = missing.withColumns(grown)
-                more = cut(self.hulls(missing, dim))
-                found = found.unionByName(more)
-                missing = missing.join(more, "row", "left_anti")
-            else:
-                raise ValueError("a rectangle is too far from all samples")
+        if self.empty != "outside":
+            missing = cut(own.join(found, "row", "left_anti"))
+            if not missing.isEmpty():
+                if self.empty == "terminate":
+                    raise ValueError("a rectangle holds no sample")
+                if self.count == 0:
+                    raise ValueError("there are no samples to interpolate from")
+                found = found.unionByName(self._nearest(missing, dim))
         out = numbered.join(found.drop("points"), "row", "left")
         ends = {}
         for d in range(dim):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dynspark.functions import intervals as iv
-from dynspark.functions.boxes import Domain, meet, rects_of, with_cells, with_rects
+from dynspark.functions.boxes import Domain, added, centroid, meet, rect_columns, rects_of, scaled, with_cells, with_rects
 from dynspark.functions.keys import child, halvings, is_upper, key_of, parent
 from dynspark.operators import cells as cubical
 from dynspark.operators import cover as covers
@@ -489,30 +489,30 @@ _FACES_APART = " AND ".join(
 )
 
 
+def _skew() -> dict[str, Column]:
+    """A prism about a box: matrix and centre."""
+    wide = [F.col(f"u{d}") - F.col(f"l{d}") for d in range(2)]
+    return {"a00": wide[0] / 2, "a01": wide[1] / 4, "a10": -wide[0] / 4, "a11": wide[1] * 0.7} | {f"m{d}": (F.col(f"l{d}") + F.col(f"u{d}")) / 2 for d in range(2)}
+
+
 @query(f"""SELECT src, dst FROM (SELECT *, abs(a00 * a11 - a01 * a10) AS half FROM ({sql_cover(_BOUNDED, 8, UNIT, 'src, m0, m1, a00, a01, a10, a11')}) JOIN ({_ALL8}) USING (dst)) WHERE {_FACES_APART}""")
 def q55_prism_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes that skew prisms about boxes meet."""
     boxes = rects(occupied(p1(spark, sf_dir), 8, UNIT).drop("points"), 8, UNIT)
-    wide = lambda d: F.col(f"u{d}") - F.col(f"l{d}")
-    shape = {"a00": wide(0) / 2, "a01": wide(1) / 4, "a10": -wide(0) / 4, "a11": wide(1) * 0.7}
-    prisms = boxes.select(F.col("key").alias("src"), *[((F.col(f"l{d}") + F.col(f"u{d}")) / 2).alias(f"c{d}") for d in range(2)], *[c.alias(name) for name, c in shape.items()])
+    prisms = boxes.withColumns(_skew()).select(F.col("key").alias("src"), *[F.col(c).alias(c.replace("m", "c")) for c in _skew()])
     return covers.prism_cover(prisms, 8, UNIT, ["src"])
 
 
 @query(f"""WITH b AS (SELECT c0, c1 FROM ({BOX1}))
 SELECT a.c0 + 64 * a.c1 AS src, b.c0 + 64 * b.c1 AS dst FROM b a JOIN b ON abs(a.c0 - b.c0) <= 1 AND abs(a.c1 - b.c1) <= 1""")
 def q22_param_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = occupied(p1(spark, sf_dir), 12, UNIT).select((F.col("c0") + F.col("c1") * 64).alias("id"))
-    pairs = grid.adjacent(spark, [64, 64])
-    return pairs.join(boxes.withColumnRenamed("id", "src"), "src", "left_semi").join(boxes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    return grid.adjacent_cells(occupied(p1(spark, sf_dir), 12, UNIT), [64, 64])
 
 
 @query(f"""WITH b AS (SELECT c0, c1 FROM ({BOX1}))
 SELECT DISTINCT axis, c0 + CASE WHEN axis = 1 THEN s ELSE 0 END AS c0, c1 + CASE WHEN axis = 0 THEN s ELSE 0 END AS c1 FROM b, (VALUES (0), (1)) x(axis), (VALUES (0), (1)) y(s)""")
 def q23_edge_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = cubical.cells(occupied(p1(spark, sf_dir), 12, UNIT), 2).filter("dim = 1")
-    own = faces.select(F.when(F.pmod("e0", F.lit(2)) == 1, 0).otherwise(1).alias("axis"), F.shiftright("e0", 1).alias("c0"), F.shiftright("e1", 1).alias("c1"))
-    return own.join(grid.lattice_edges(spark, [64, 64]), ["axis", "c0", "c1"], "left_semi")
+    return grid.edges_of(occupied(p1(spark, sf_dir), 12, UNIT), 2)
 
 
 _FACES = f"SELECT DISTINCT 2 * c0 + i AS e0, 2 * c1 + j AS e1 FROM ({BOX1}), (VALUES (0), (1), (2)) x(i), (VALUES (0), (1), (2)) y(j)"
@@ -582,17 +582,15 @@ def q35_lattice_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
   0e0 + CAST(c1 AS DOUBLE) / 16 * (1.2e0 - 0e0) AS l1, 0e0 + (CAST(c1 AS DOUBLE) + 1e0) / 16 * (1.2e0 - 0e0) AS u1
   FROM (SELECT range AS c0 FROM range(16)), (SELECT range AS c1 FROM range(16))) p USING (c0, c1)""")
 def q36_lattice_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid.lattice_rects(grid.lattice(spark, [16, 16]), [16, 16], UNIT)
-    boxes = occupied(p1(spark, sf_dir), 8, UNIT).select((F.col("c0") + 16 * F.col("c1")).alias("id"))
-    return cells.join(boxes, "id").select("id", "l0", "u0", "l1", "u1")
+    cells = occupied(p1(spark, sf_dir), 8, UNIT).withColumn("id", grid.lattice_id([F.col("c0"), F.col("c1")], [16, 16]))
+    return grid.lattice_rects(cells, [16, 16], UNIT).select("id", "l0", "u0", "l1", "u1")
 
 
 @query(f"""SELECT c0 + 64 * c1 AS id, (c0 + s.range - 1) // 4 + 16 * ((c1 + t.range - 1) // 4) AS patch FROM ({BOX1}), range(3) s, range(3) t
 WHERE c0 + s.range >= 1 AND c0 + s.range - 1 < 64 AND c1 + t.range >= 1 AND c1 + t.range - 1 < 64 GROUP BY ALL""")
 def q37_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlapping patches of a lattice of 64 x 64 that each occupied cell is in."""
-    boxes = occupied(p1(spark, sf_dir), 12, UNIT).select((F.col("c0") + 64 * F.col("c1")).alias("id"))
-    return grid.patches(spark, [64, 64]).join(boxes, "id", "left_semi").select("id", F.col("patch").cast("long").alias("patch"))
+    return grid.patches_of(occupied(p1(spark, sf_dir), 12, UNIT), [64, 64]).select("id", F.col("patch").cast("long").alias("patch"))
 
 
 @query("""SELECT id, count(*) AS points FROM (SELECT CAST(least(floor(value / 500e0 * 40e0), 39) AS BIGINT) + 40 * CAST(least(floor(CAST(user_id AS DOUBLE) % 30e0 / 30e0 * 25e0), 24) AS BIGINT) AS id
@@ -743,6 +741,115 @@ def q49_corners_and_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("key", centre[0].alias("m0"), centre[1].alias("m1"), points).select("key", "p.corner", "p.x0", "p.x1", "m0", "m1")
 
 
+# --- complexes and edge grids -----------------------------------------------------------------------------------------
+
+_X_PARTS = ((6, "l_tax < 0.02"), (8, "l_discount > 0.02"))
+_A_PARTS = ((8, "l_quantity > 46"), (10, "l_quantity < 3"))
+
+
+def _grouped(spark: SparkSession, sf_dir: str, parts: tuple[tuple[int, str], ...]) -> DataFrame:
+    """g, depth, key of boxes at several depths, for each group g of lines."""
+    rows = _table(spark, sf_dir, "lineitem")
+    points = rows.select((F.col("l_linenumber") % 3).alias("g"), "*").select("g", ((F.col("l_quantity") - 1.0) * 1.2 / 49.0).alias("x0"), (F.col("l_extendedprice") * 1.2 / 110000.0).alias("x1"), "l_tax", "l_discount", "l_quantity")
+    out = []
+    for depth, where in parts:
+        cells = points.filter(where).select("g", *[c.alias(f"c{d}") for d, c in enumerate(cell_of(depth, UNIT))]).distinct()
+        out.append(cells.select("g", F.lit(depth).alias("depth"), key_of([F.col("c0"), F.col("c1")], depth).alias("key")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _sql_grouped(parts: tuple[tuple[int, str], ...]) -> str:
+    """g and cubes c0, c1 at depth 8."""
+    out = []
+    for depth, where in parts:
+        n = 1 << halvings(depth, 2)[0]
+        place = ", ".join(f"CAST(least(greatest(floor((x{d} - 0.0) / 1.2 * {float(n)}e0), 0), {n - 1}) AS BIGINT) AS c{d}" for d in range(2))
+        points = SQL_P1.replace("SELECT ", "SELECT l_linenumber % 3 AS g, ", 1)
+        cubes = f"SELECT DISTINCT g, {place} FROM ({points} WHERE {where})"
+        more = 8 - depth
+        out.append(f"SELECT g, c0 * 2 + i.range AS c0, c1 * 2 + j.range AS c1 FROM ({cubes}), range(2) i, range(2) j" if more > 0 else f"SELECT g, c0 >> {-more // 2} AS c0, c1 >> {-more // 2} AS c1 FROM ({cubes})")
+    return " UNION ".join(out)
+
+
+_WRAPPED_FACES = """SELECT DISTINCT g, {e0} AS e0, {e1} AS e1 FROM {cubes} JOIN span USING (g), (VALUES (0), (1), (2)) x(i), (VALUES (0), (1), (2)) y(j)"""
+_E = [f"CASE WHEN a{d} = 0 AND b{d} = 15 THEN (2 * (c{d} - a{d}) + {k}) % 32 ELSE 2 * (c{d} - a{d}) + {k} END" for d, k in ((0, "i"), (1, "j"))]
+
+
+@query(f"""WITH x AS MATERIALIZED ({_sql_grouped(_X_PARTS)}), a AS MATERIALIZED ({_sql_grouped(_A_PARTS)}),
+span AS MATERIALIZED (SELECT g, min(c0) AS a0, max(c0) AS b0, min(c1) AS a1, max(c1) AS b1 FROM x GROUP BY g),
+face AS ({_WRAPPED_FACES.format(e0=_E[0], e1=_E[1], cubes="x")}), gone AS ({_WRAPPED_FACES.format(e0=_E[0], e1=_E[1], cubes="a")})
+SELECT g, e0, e1, CAST(((e0 % 2) + 2) % 2 + ((e1 % 2) + 2) % 2 AS INTEGER) AS dim FROM (SELECT * FROM face EXCEPT SELECT * FROM gone)""")
+def q56_relative_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relative cells of boxes of two depths without boxes of two others, on a torus, for each of three groups of lines."""
+    found = cubical.relative_complex(_grouped(spark, sf_dir, _X_PARTS), _grouped(spark, sf_dir, _A_PARTS), 8, TORUS, ["g"])
+    return found.select("g", *[F.col(f"e{d}").cast("long").alias(f"e{d}") for d in range(2)], F.col("dim").cast("int").alias("dim"))
+
+
+@query(f"""WITH c AS (SELECT 2 * c0 + 1 AS e0, 2 * c1 + 1 AS e1, points % 5 AS coef FROM ({BOX1_8})),
+d AS (SELECT (e0 + 1) % 32 AS e0, e1, coef FROM c UNION ALL SELECT e0 - 1, e1, -coef FROM c UNION ALL SELECT e0, (e1 + 1) % 32, -coef FROM c UNION ALL SELECT e0, e1 - 1, coef FROM c)
+SELECT e0, e1, CAST(((sum(coef) % 5) + 5) % 5 AS INTEGER) AS coef FROM d GROUP BY e0, e1 HAVING sum(coef) % 5 <> 0""")
+def q57_torus_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary of a chain on a torus of 16 x 16 cubes."""
+    boxes = occupied(p1(spark, sf_dir), 8, UNIT)
+    chain = boxes.select((F.col("c0") * 2 + 1).alias("e0"), (F.col("c1") * 2 + 1).alias("e1"), (F.col("points") % 5).alias("coef"))
+    return cubical.boundary(chain, 2, sizes=[16, 16])
+
+
+_RANGE = ", ".join(f"CAST(ceil({n}e0 * (l{d} - 0e0) / (1.2e0 - 0e0) - 1e0) AS BIGINT) AS a{d}, CAST(least(floor({n}e0 * (u{d} - 0e0) / (1.2e0 - 0e0) + 1e0), {n + 1}) AS BIGINT) - 1 AS b{d}" for d, n in enumerate(_LATTICE))
+_EDGE_ENDS = ", ".join(f"0e0 + CAST(c{d} AS DOUBLE) / {n} * (1.2e0 - 0e0) AS l{d}, 0e0 + (CASE WHEN axis = {d} THEN CAST(c{d} AS DOUBLE) + 1e0 ELSE CAST(c{d} AS DOUBLE) END) / {n} * (1.2e0 - 0e0) AS u{d}" for d, n in enumerate(_LATTICE))
+
+
+@query(f"""WITH r AS (SELECT key, {_RANGE} FROM ({_SHIFT})),
+met AS (SELECT key, axis, p.range AS c0, q.range AS c1, CAST(p.range = a0 AS INTEGER) AS z0, CAST(q.range = a1 AS INTEGER) AS z1 FROM r, range(38) p, range(24) q, (VALUES (0), (1)) x(axis)
+  WHERE p.range BETWEEN greatest(a0, 0) AND b0 AND q.range BETWEEN greatest(a1, 0) AND b1)
+SELECT key, CASE WHEN axis = 0 THEN c0 + 37 * c1 ELSE {37 * 24} + c0 + 38 * c1 END AS id, axis, {_EDGE_ENDS} FROM met
+WHERE (z0 + z1 = 0 OR (z0 + z1 = 1 AND CASE WHEN axis = 0 THEN z0 ELSE z1 END = 1)) AND CASE WHEN axis = 0 THEN c0 < 37 ELSE c1 < 23 END""")
+def q58_edge_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a lattice of 37 x 23 cells that boxes meet: their numbers, and from these their places."""
+    boxes = rects(occupied(p1(spark, sf_dir), 8, UNIT), 8, UNIT).select("key", "l0", "u0", "l1", "u1")
+    ids = grid.edge_cover(boxes, _LATTICE, UNIT).select("key", grid.edge_id(_LATTICE).alias("id"))
+    return grid.edge_rects(ids.withColumns(grid.edge_place(_LATTICE)), _LATTICE, UNIT).select("key", "id", "axis", "l0", "u0", "l1", "u1")
+
+
+@query(f"""WITH f AS ({_FACES}) SELECT e0, e1, {', '.join(f"0e0 + (1.2e0 / 64e0) * CAST(e{d} >> 1 AS DOUBLE) AS l{d}, 0e0 + (1.2e0 / 64e0) * CAST(e{d} >> 1 AS DOUBLE) + CASE WHEN e{d} % 2 = 1 THEN 1.2e0 / 64e0 ELSE 0e0 END AS u{d}" for d in range(2))} FROM f""")
+def q59_cell_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cubical.cells(occupied(p1(spark, sf_dir), 12, UNIT), 2)
+    return cubical.geometry(cells, [64, 64], UNIT).select("e0", "e1", "l0", "u0", "l1", "u1")
+
+
+_STEP64 = "(1.2e0 / 64e0)"
+_AROUND = ", ".join(f"greatest(CAST(ceil(64e0 * (fl{d} - 0e0) / (1.2e0 - 0e0)) AS BIGINT) - 1, 0) AS a{d}, least(CAST(floor(64e0 * (fu{d} - 0e0) / (1.2e0 - 0e0)) AS BIGINT), 63) AS b{d}" for d in range(2))
+_PRISM64 = f"""SELECT src, c0, c1 FROM (SELECT *, abs(a00 * a11 - a01 * a10) AS half, {', '.join(f'0e0 + CAST(c{d} AS DOUBLE) * {_STEP64} AS l{d}, 0e0 + CAST(c{d} + 1 AS DOUBLE) * {_STEP64} AS u{d}' for d in range(2))}
+  FROM (SELECT src, m0, m1, a00, a01, a10, a11, {_AROUND} FROM ({_BOUNDED})), (SELECT range AS c0 FROM range(64)), (SELECT range AS c1 FROM range(64)) WHERE c0 BETWEEN a0 AND b0 AND c1 BETWEEN a1 AND b1) WHERE {_FACES_APART}"""
+_RECT64 = f"SELECT key AS src, c0, c1 FROM (SELECT key, {_CUBED.replace('fl0', 'l0').replace('fl1', 'l1').replace('fu', 'u')} FROM ({_SHIFT})), (SELECT range AS c0 FROM range(64)), (SELECT range AS c1 FROM range(64)) WHERE c0 BETWEEN a0 AND b0 AND c1 BETWEEN a1 AND b1"
+
+
+@query(f"""WITH p AS MATERIALIZED ({_PRISM64}), r AS MATERIALIZED ({_RECT64}), top AS (SELECT c0, c1 FROM ({BOX1}))
+SELECT 'prism' AS kind, src, c0, c1 FROM p JOIN top USING (c0, c1) UNION ALL SELECT 'list', src, c0, c1 FROM (SELECT * FROM p UNION SELECT * FROM r) JOIN top USING (c0, c1)
+UNION ALL SELECT 'pair', src, c0, c1 FROM (SELECT * FROM p INTERSECT SELECT * FROM r) JOIN top USING (c0, c1)""")
+def q60_cubical_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubes of a complex that prisms meet; of lists of a prism and a rectangle, those that either meets; of pairs, those that both meet."""
+    cubes = occupied(p1(spark, sf_dir), 12, UNIT).select("c0", "c1")
+    boxes = rects(occupied(p1(spark, sf_dir), 8, UNIT).drop("points"), 8, UNIT).drop("c0", "c1").withColumnRenamed("key", "src")
+    prisms = cubical.prism_cover(boxes.withColumns(_skew()), [64, 64], UNIT, ["src"], cubes)
+    plain = cubical.cover(boxes.select("src", *[F.col(f"{e}{d}").alias(f"f{e}{d}") for d in range(2) for e in "lu"]), [64, 64], UNIT, ["src"], cubes)
+    kinds = {"prism": prisms, "list": covers.union_cover([prisms, plain]), "pair": covers.intersection_cover([prisms, plain])}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "src", "c0", "c1") for kind, df in kinds.items()])
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT key, l0, u0, l1, u1 FROM ({sql_rects(sql_occupied(SQL_P2, 8, VALUES), 8, VALUES)})),
+moved AS (SELECT key, {', '.join(f'(l{d} + u{d}) / 2e0 * 0.5e0 + l{d} AS p{d}, (l{d} + u{d}) / 2e0 * 0.5e0 + u{d} AS q{d}' for d in range(2))} FROM b)
+SELECT b.key, p0 AS l0, q0 AS u0, p1 AS l1, q1 AS u1, CAST(b.l0 + 1e-12 AS FLOAT) = CAST(b.l0 AS FLOAT) AND CAST(b.u0 AS FLOAT) = CAST(q0 AS FLOAT) AS same FROM b JOIN moved USING (key)""")
+def q61_rect_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of each box's centre added to the box; equality in single precision."""
+    boxes = rects(occupied(p2(spark, sf_dir), 8, VALUES), 8, VALUES).select("key", *[F.col(x).alias(x) for x in rect_columns(2)])
+    held = boxes.withColumns({f"o{x}": F.col(x) for x in rect_columns(2)})
+    moved = held.withColumns(centroid(2)).withColumns(scaled(0.5, 2)).withColumns(added(2))
+    nearly = moved.withColumns({"__a": F.col("ol0") + 1e-12, "__b": F.col("u0")})
+    same = (F.col("__a").cast("float") == F.col("ol0").cast("float")) & (F.col("ou0").cast("float") == F.col("__b").cast("float"))
+    return nearly.select("key", *rect_columns(2), same.alias("same"))
+
+
 # --- whole Morse graphs -----------------------------------------------------------------------------------------------
 
 

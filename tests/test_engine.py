@@ -153,6 +153,33 @@ def test_recurrence(spark, way):
     assert len(pairs) == len(set(pairs)) and len(got) == len(set(got))
 
 
+def test_recurrence_of_a_larger_digraph_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_WORDS", 1)
+    rng = np.random.default_rng(21)
+    edges = {(k, k) for k in range(0, 300, 2)} | {(k, int(k + rng.integers(1, 6))) for k in range(400) for _ in range(2)} | {(300 + k, 300 + (k + 1) % 40) for k in range(40)}
+    edges |= {(500 + k, 501 + k) for k in range(30)} | {(1 << 40, 7), (399, 1 << 41)}
+    members, reach = graph.recurrence(spark.createDataFrame([(5, a, b) for a, b in edges], "node long, src long, dst long"), 120)
+    want, wanted = brute_recurrence(edges)
+    assert len({c for c, _ in want}) > 128  # three words, a block each
+    assert {r[1:] for r in rows(members.select("node", "comp", "key"))} == want
+    got = rows(reach.select("comp", "other"))
+    assert set(got) == wanted and len(got) == len(wanted)
+
+
+def test_sizes_of_cuts_don_t_multiply(spark):
+    import time
+
+    from dynspark.plans.cutting import cut
+
+    df = cut(spark.range(20).selectExpr("id AS a", "id + 1 AS b"))
+    for _ in range(60):
+        began = time.time()
+        df = cut(df.join(df.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("a", "b").distinct())
+        assert time.time() - began < 20
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size).bit_length() < 40 and df.count() == 20
+
+
 def test_recurrence_of_a_cycle_and_a_way(spark):
     edges = spark.range(20).selectExpr("0L AS node", "id AS src", "CASE WHEN id = 13 THEN 0 ELSE id + 1 END AS dst").union(spark.createDataFrame([(0, 5, 14), (0, 20, 20)], "node long, src long, dst long"))
     members, reach = graph.recurrence(edges, 12)
@@ -187,6 +214,41 @@ def test_join_and_subset_of_mixed_grids(spark):
     assert ranks == {(4, 0): 0, (4, 1): 1, (2, 1): 2, (2, 2): 3}
 
 
+def mixed(rng, n, deepest=7):
+    return {(int(d), int(rng.integers(0, 1 << d))) for d in rng.integers(1, deepest + 1, n)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sweeps_of_mixed_grids(spark, seed):
+    rng = np.random.default_rng(seed)
+    boxes, other = mixed(rng, 40), mixed(rng, 12)
+    below = lambda a, b: b[0] >= a[0] and b[1] >> (b[0] - a[0]) == a[1]
+    frame = lambda x: spark.createDataFrame(sorted(x) + sorted(x)[:3], "depth int, key long").repartition(3)
+    leaves = sorted((b for b in boxes if not any(below(b, o) for o in boxes if o != b)), key=lambda b: b[1] << (62 - b[0]))
+    assert rows(grid.join_grids(frame(boxes))) == sorted(leaves)
+    assert rows(grid.joined_and_ranked(frame(boxes)).select("depth", "key", "ge")) == sorted((*b, k) for k, b in enumerate(leaves))
+    got = grid.subset(spark.createDataFrame([(*b, "x") for b in sorted(boxes)], "depth int, key long, more string"), frame(other))
+    assert got.columns == ["depth", "key", "more"]
+    assert rows(got.select("depth", "key")) == sorted(b for b in boxes if any(below(o, b) or below(b, o) for o in other))
+    assert grid.subset(frame(boxes), frame(other).limit(0)).count() == 0 and grid.join_grids(frame(boxes).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("periodic", [(), (True, False)])
+def test_cover_of_a_mixed_grid(spark, periodic):
+    rng = np.random.default_rng(8)
+    leaves = grid.join_grids(spark.createDataFrame(sorted(mixed(rng, 60, 8)), "depth int, key long"))
+    domain = Domain((0.0, 0.0), (1.2, 1.2), periodic)
+    low = rng.uniform(-0.3, 1.3, (50, 2))
+    high = low + rng.uniform(0, 0.7, (50, 2))
+    images = spark.createDataFrame([(k, *map(float, (a[0], b[0], a[1], b[1]))) for k, (a, b) in enumerate(zip(low, high, strict=True))], "src long, fl0 double, fu0 double, fl1 double, fu1 double")
+    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())
+    got = rows(covers.cover_mixed(images, leaves, depths, domain, ["src"]).select("src", "depth", "dst"))
+    want = []
+    for d in depths:
+        want += rows(covers.cover(images, d, domain, ["src"]).join(leaves.filter(F.col("depth") == d).select(F.col("key").alias("dst")), "dst").select("src", F.lit(d), "dst"))
+    assert got == sorted(want) and len(got) > 50
+
+
 def test_sampled_map_against_a_scan(spark):
     rng = np.random.default_rng(3)
     x = rng.uniform(0, 1.2, (1500, 2))
@@ -220,6 +282,48 @@ def test_sampled_map_against_a_scan(spark):
         maps.DataMap(samples.limit(5), UNIT, empty="terminate").image(boxes, 2)
 
 
+def test_a_rectangle_over_all_samples_costs_one_row(spark):
+    rng = np.random.default_rng(4)
+    samples = spark.createDataFrame([tuple(map(float, p)) for p in rng.uniform(0.1, 1.1, (3000, 4))], "x0 double, x1 double, y0 double, y1 double")
+    table = maps.DataMap(samples, UNIT)
+    rects = spark.createDataFrame([(0, 0.0, 1.2, 0.0, 1.2), (1, 0.0, 1.2, 0.3, 0.9), (2, 0.35, 0.8, 0.2, 0.7), (3, 0.5, 0.5, 0.1, 1.1), (4, 2.0, 3.0, 0.0, 1.0)], "row long, l0 double, u0 double, l1 double, u1 double")
+    assert table.halvings == 4
+    asked, bins = [], table._bins
+    table._bins = lambda *a: asked.append(bins(*a)) or asked[-1]
+    got = {r["row"]: tuple(r)[1:] for r in table.hulls(rects, 2).collect()}
+    whole, border = ({r["row"]: r["count"] for r in df.groupBy("row").count().collect()} for df in asked)
+    assert whole[0] == 1 and 0 not in border and whole[1] + border[1] < 16 * 16 / 3 and 4 not in got
+    rows_ = np.array([tuple(r) for r in samples.collect()])
+    for r in rects.collect():
+        own = rows_[(rows_[:, 0] >= r["l0"]) & (rows_[:, 0] <= r["u0"]) & (rows_[:, 1] >= r["l1"]) & (rows_[:, 1] <= r["u1"])]
+        if len(own):
+            assert got[r["row"]] == (own[:, 2].min(), own[:, 2].max(), own[:, 3].min(), own[:, 3].max(), len(own))
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_doublings_against_a_loop(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = np.r_[rng.uniform(0.9, 1.0, (300, dim)), rng.uniform(-0.3, 1.5, (4, dim)) if dim == 2 else rng.uniform(0, 0.05, (40, dim))]
+    samples = spark.createDataFrame([tuple(map(float, np.r_[p, p * 2])) for p in x], ", ".join(f"{n}{d} double" for n in "xy" for d in range(dim)))
+    domain = Domain((0.0,) * dim, (1.2,) * dim)
+    low = rng.uniform(0, 1.1, (60, dim))
+    high = low + rng.uniform(0.001, 0.08, (60, dim)) * rng.choice([0.05, 1.0], (60, dim))
+    rects = spark.createDataFrame([tuple(map(float, np.stack([a, b], 1).reshape(-1))) for a, b in zip(low, high, strict=True)], ", ".join(f"{e}{d} double" for d in range(dim) for e in "lu"))
+    for r in maps.DataMap(samples, domain).image(rects, dim).collect():
+        a, b = np.array([r[f"l{d}"] for d in range(dim)]), np.array([r[f"u{d}"] for d in range(dim)])
+        while not (inside := ((x >= a) & (x <= b)).all(1)).any():
+            a, b = (a + b) / 2 - (b - a), (a + b) / 2 + (b - a)
+        assert [(r[f"fl{d}"], r[f"fu{d}"]) for d in range(dim)] == [((x[inside, d] * 2).min(), (x[inside, d] * 2).max()) for d in range(dim)]
+
+
+def test_doublings_of_flat_and_lost_rectangles(spark):
+    samples = spark.createDataFrame([(0.5, 0.25, 1.0, 2.0)], "x0 double, x1 double, y0 double, y1 double")
+    flat = spark.createDataFrame([(0.5, 0.5, 0.0, 0.01)], "l0 double, u0 double, l1 double, u1 double")
+    assert tuple(maps.DataMap(samples, UNIT).image(flat, 2).first())[4:] == (1.0, 1.0, 2.0, 2.0)
+    with pytest.raises(Exception, match="too far"):
+        maps.DataMap(samples, UNIT).image(flat.withColumns({"l0": F.lit(0.4), "u0": F.lit(0.4)}), 2).collect()
+
+
 def test_tabulated_map(spark):
     f = lambda x: [c * (1.2 - c) for c in x]
     boxes = with_rects(grid.uniform(spark, 6), 6, UNIT)
@@ -295,3 +399,70 @@ def test_no_cartesian_product_in_a_cover(spark):
 
     plan = morse.transitions(morse.uniform_model(UNIT, PRODUCT, 8), with_cells(boxes, 8, 2), 8)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+# --- complexes and edge grids -----------------------------------------------------------------------------------------
+
+
+def chain(spark, terms):
+    return spark.createDataFrame(terms, "e0 long, e1 long, coef long")
+
+
+def test_boundaries_on_a_torus_vanish_twice(spark):
+    rng = np.random.default_rng(6)
+    squares = chain(spark, [(2 * a + 1, 2 * b + 1, int(rng.integers(1, 5))) for a in range(3) for b in range(4)])
+    once = cubical.boundary(squares, 2, sizes=[3, 4])
+    assert once.count() and cubical.boundary(once, 2, sizes=[3, 4]).count() == 0
+    assert all(0 <= r["e0"] < 6 and 0 <= r["e1"] < 8 for r in once.collect())
+    whole = chain(spark, [(2 * a + 1, 2 * b + 1, 1) for a in range(3) for b in range(4)])
+    assert cubical.boundary(whole, 2, sizes=[3, 4]).count() == 0  # a torus has no boundary
+    assert cubical.boundary(whole, 2, sizes=[0, 4]).filter("e0 not in (0, 6)").count() == 0  # a cylinder has two circles
+    every = cubical.cells(spark.createDataFrame([(a, b) for a in range(3) for b in range(4)], "c0 long, c1 long"), 2, [3, 4])
+    points = chain(spark, [(0, 0, 1), (2, 4, 3)])
+    up = cubical.coboundary(points, every, 2, sizes=[3, 4])
+    assert up.count() == 8 and cubical.coboundary(up, every, 2, sizes=[3, 4]).count() == 0
+
+
+def test_relative_cells_wrap_where_the_set_spans_a_circle(spark):
+    torus = Domain((0.0, 0.0), (1.0, 1.0), (True, False))
+    box = lambda d, c0, c1: spark.range(1).select(key_of([F.lit(c0), F.lit(c1)], d).alias("k")).first()["k"]
+    ring = [("ring", 4, box(4, a, 1)) for a in range(4)]
+    arc = [("arc", 4, box(4, a, 2)) for a in (1, 2)] + [("arc", 2, box(2, 1, 0))]
+    x = spark.createDataFrame(ring + arc, "g string, depth int, key long")
+    none = x.limit(0)
+    counts = lambda df: {(r["g"], r["dim"]): r["count"] for r in df.groupBy("g", "dim").count().collect()}
+    got = cubical.relative_complex(x, none, 4, torus, ["g"])
+    assert {k: n for k, n in counts(got).items() if k[0] == "ring"} == {("ring", 0): 8, ("ring", 1): 12, ("ring", 2): 4}
+    assert sum((-1) ** k[1] * n for k, n in counts(got).items() if k[0] == "arc") == 1 and counts(got)["arc", 2] == 6
+    assert got.filter("g = 'arc'").agg(F.min("e0"), F.min("e1")).first() == (0, 0)
+    less = cubical.relative_complex(x, spark.createDataFrame([("ring", 6, box(6, 0, 2))], "g string, depth int, key long"), 4, torus, ["g"])
+    assert {k: n for k, n in counts(less).items() if k[0] == "ring"} == {("ring", 0): 4, ("ring", 1): 8, ("ring", 2): 3}
+
+
+def test_edge_numbers_and_places(spark):
+    sizes = [3, 2, 4]
+    every = grid.lattice_edges(spark, sizes).withColumn("id", grid.edge_id(sizes))
+    ids = sorted(r["id"] for r in every.collect())
+    assert ids == list(range(len(ids))) and len(ids) == 3 * 3 * 5 + 4 * 2 * 5 + 4 * 3 * 4
+    back = every.select("id", "axis", *[F.col(f"c{d}").alias(f"k{d}") for d in range(3)]).withColumns({f"p_{n}": c for n, c in grid.edge_place(sizes).items()})
+    assert back.filter("p_axis != axis or p_c0 != k0 or p_c1 != k1 or p_c2 != k2").count() == 0
+    assert spark.createDataFrame([(0, 3, 0, 0), (1, 3, 2, 0), (2, -1, 0, 0)], "axis int, c0 long, c1 long, c2 long").filter(grid.edge_id(sizes).isNotNull()).count() == 0
+
+
+def test_lattice_neighbours_and_cells(spark):
+    given = spark.createDataFrame([(0, 0), (1, 0), (4, 3), (3, 3)], "c0 long, c1 long")
+    for periodic in ((), (True, True)):
+        whole = rows(grid.adjacent(spark, [5, 4], periodic))
+        ids = {0, 1, 19, 18}
+        assert rows(grid.adjacent_cells(given, [5, 4], periodic)) == sorted(p for p in whole if p[0] in ids and p[1] in ids)
+    assert rows(grid.patches_of(given, [5, 4], 2).select("patch", "id")) == sorted(p for p in rows(grid.patches(spark, [5, 4], 2).select("patch", "id")) if p[1] in ids)
+    assert grid.adjacent(spark, [2, 2], (True, True)).count() == 16
+
+
+def test_rectangles_are_compared_in_single_precision(spark):
+    from dynspark.functions import boxes
+
+    df = spark.createDataFrame([(0.1, 0.2, 0.1 + 1e-12, 0.2), (0.1, 0.2, 0.1 + 1e-6, 0.2)], "l0 double, u0 double, ol0 double, ou0 double")
+    assert [r[0] for r in df.select(boxes.same_rect(1)).collect()] == [True, False]
+    assert df.select(boxes.rect_hash(1)).distinct().count() == 1
+    assert tuple(df.limit(1).withColumns(boxes.added(1)).withColumns(boxes.scaled(-2.0, 1)).withColumns(boxes.centroid(1)).select("l0", "u0").first()) == pytest.approx((-0.6, -0.6))
