@@ -862,6 +862,66 @@ def q26_morse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("long")
     return sets.unionByName(g.edges().select(F.col("u").cast("long"), F.col("v").cast("long"), none.alias("size"), none.alias("least")))
 
+# A refinement of two levels: all boxes at depth 8, then the halves of those that recur. The map is known from P4's points and their images.
+
+
+SQL_P5 = f"SELECT x0, x1, x0 / (2e0 - x0) AS y0, x1 / (2e0 - x1) AS y1 FROM ({SQL_P4})"
+
+
+def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4(spark, sf_dir).withColumns({f"y{d}": y for d, y in enumerate(product_map([F.col("x0"), F.col("x1")]))})
+
+
+def _sql_interpolated(boxes: str) -> str:
+    """key, fl0 ... of boxes (key, l0, u0 ...): hulls of P5's values, boxes doubled until they hold some."""
+    return f"""(WITH RECURSIVE tried(turn, key, l0, u0, l1, u1, hit) AS (
+  SELECT 0, key, l0, u0, l1, u1, EXISTS (SELECT 1 FROM p WHERE {_INSIDE}) FROM ({boxes})
+  UNION ALL SELECT turn + 1, key, l0, u0, l1, u1, EXISTS (SELECT 1 FROM p WHERE {_INSIDE}) FROM (SELECT turn, key, {_GROWN} FROM tried WHERE NOT hit AND turn < 20))
+SELECT key AS src, min(y0) AS fl0, max(y0) AS fu0, min(y1) AS fl1, max(y1) AS fu1 FROM (SELECT * FROM tried WHERE hit) t JOIN p ON {_INSIDE} GROUP BY key)"""
+
+
+_B8 = sql_rects("SELECT key, c0, c1 FROM b8", 8, UNIT)
+_B9 = sql_rects("SELECT key, c0, c1 FROM b9", 9, UNIT)
+SQL_REFINED = f"""WITH RECURSIVE p AS MATERIALIZED ({SQL_P5}),
+b8 AS MATERIALIZED (SELECT {sql_key(['a.range', 'b.range'], 8)} AS key, a.range AS c0, b.range AS c1 FROM range(16) a, range(16) b),
+e8 AS MATERIALIZED ({sql_cover(f"SELECT * FROM {_sql_interpolated(f'SELECT key, l0, u0, l1, u1 FROM ({_B8})')}", 8, UNIT, "src")}),
+closure8(a, b) AS (SELECT src, dst FROM e8 UNION SELECT a, dst FROM closure8 JOIN e8 ON b = src),
+members8 AS MATERIALIZED (SELECT x.a AS key, min(x.b) AS comp FROM closure8 x JOIN closure8 y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+b9 AS MATERIALIZED (SELECT comp AS node, members8.key * 2 + h.range AS key, c0 * 2 + h.range AS c0, c1 FROM members8 JOIN b8 USING (key), range(2) h),
+all9 AS MATERIALIZED ({sql_cover(f"SELECT * FROM {_sql_interpolated(f'SELECT key, l0, u0, l1, u1 FROM ({_B9})')}", 9, UNIT, "src")}),
+e9 AS MATERIALIZED (SELECT s.node, src, dst FROM all9 JOIN b9 s ON src = s.key JOIN b9 d ON dst = d.key AND s.node = d.node),
+closure9(node, a, b) AS (SELECT node, src, dst FROM e9 UNION SELECT closure9.node, a, dst FROM closure9 JOIN e9 ON b = src AND closure9.node = e9.node),
+members9 AS MATERIALIZED (SELECT x.node, x.a AS key, min(x.b) AS comp FROM closure9 x JOIN closure9 y ON x.a = y.b AND x.b = y.a AND x.node = y.node GROUP BY x.node, x.a),
+sets AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(key)) - 1 AS v, node, comp, count(*) AS size, min(key) AS least FROM members9 GROUP BY node, comp),
+pairs AS MATERIALIZED (
+  SELECT s.v AS u, t.v AS v FROM sets s JOIN sets t ON s.node = t.node AND s.v <> t.v JOIN closure9 c ON c.node = s.node AND c.a = s.least AND c.b = t.least
+  UNION SELECT s.v, t.v FROM sets s JOIN sets t ON s.node <> t.node JOIN closure8 c ON c.a = s.node AND c.b = t.node),
+reduced AS (SELECT * FROM pairs EXCEPT SELECT x.u, y.v FROM pairs x JOIN pairs y ON x.v = y.u)
+"""
+
+
+def refined(spark: SparkSession, sf_dir: str) -> morse.MorseGraph:
+    return morse.morse_graph(spark, morse.Model(UNIT, maps.DataMap(p5(spark, sf_dir), UNIT), 9, 9, 8))
+
+
+@query(SQL_REFINED + "SELECT v AS u, CAST(NULL AS BIGINT) AS v, size, least FROM sets UNION ALL SELECT u, v, NULL, NULL FROM reduced")
+def q62_morse_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Morse graph of a sampled map by two levels: its vertices and reduced edges (v null: a vertex)."""
+    g = refined(spark, sf_dir)
+    none = F.lit(None).cast("long")
+    sets = g.vertices.select(F.col("v").cast("long").alias("u"), none.alias("v"), F.col("size").cast("long").alias("size"), "least")
+    return sets.unionByName(g.edges().select(F.col("u").cast("long"), F.col("v").cast("long"), none.alias("size"), none.alias("least")))
+
+
+@query(SQL_REFINED + """, leaf AS (SELECT 9 AS depth, key FROM b9 UNION ALL SELECT 8, key FROM b8 WHERE key NOT IN (SELECT key FROM members8))
+SELECT depth, key, row_number() OVER (ORDER BY key << (62 - depth)) - 1 AS ge, v FROM leaf LEFT JOIN (SELECT 9 AS depth, members9.key, v FROM members9 JOIN sets USING (node, comp)) USING (depth, key)""")
+def q63_phase_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final grid of the same refinement, its ranks, and the set that a box is in."""
+    g = refined(spark, sf_dir)
+    named = g.morse_sets().select("ge", F.col("v").cast("long").alias("v"))
+    return g.phase.join(named, "ge", "left").select("depth", "key", "ge", "v")
+
+
 
 @query(SQL_RECURRENCE + f"""SELECT l0, l1, u0, u1, CAST(comp AS DOUBLE) AS v FROM members JOIN ({_SHIFT}) USING (key)""")
 def q28_morse_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
