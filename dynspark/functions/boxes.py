@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dynspark.functions.keys import coordinates, halvings
+from dynspark.functions.keys import halvings
 
 
 @dataclass(frozen=True)
@@ -47,15 +47,20 @@ def bounds(c: Column, t: int, lo: float, hi: float) -> tuple[Column, Column]:
 
 
 def rects_of(cells: DataFrame, t: list[int], domain: Domain) -> DataFrame:
-    """cells (c0, c1 ... of 2^t[d] parts of each axis) with l0, u0 ..."""
+    """cells (c0, c1 ... of 2^t[d] parts of each axis) with l0, u0 ..., as bounds() has them."""
     ends = {}
-    for d in range(domain.dim):
-        ends[f"l{d}"], ends[f"u{d}"] = bounds(F.col(f"c{d}"), t[d], domain.lo[d], domain.hi[d])
+    for d in range(domain.dim):  # one expression each: built out of columns they would take longer than to run on few boxes
+        n, lo, hi = f"{float(1 << t[d])!r}D", f"{domain.lo[d]!r}D", f"{domain.hi[d]!r}D"
+        left, right = f"(cast(c{d} as double) / {n})", f"(({n} - 1D - cast(c{d} as double)) / {n})"
+        ends[f"l{d}"], ends[f"u{d}"] = F.expr(f"{left} * {hi} + (1D - {left}) * {lo}"), F.expr(f"{right} * {lo} + (1D - {right}) * {hi}")
     return cells.withColumns(ends)
 
 
 def with_cells(boxes: DataFrame, depth: int, dim: int, key: str = "key") -> DataFrame:
-    return boxes.withColumns({f"c{d}": c for d, c in enumerate(coordinates(F.col(key), depth, dim))})
+    """boxes with c0, c1 ... of their keys at depth."""
+    t = halvings(depth, dim)
+    bit = lambda i, d: f"shiftleft(shiftright(`{key}`, {depth - 1 - i}) & 1L, {t[d] - 1 - i // dim})"
+    return boxes.withColumns({f"c{d}": F.expr(" | ".join(bit(i, d) for i in range(d, depth, dim)) or "0L") for d in range(dim)})
 
 
 def with_rects(boxes: DataFrame, depth: int, domain: Domain, key: str = "key") -> DataFrame:

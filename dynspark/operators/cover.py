@@ -17,21 +17,18 @@ from dynspark.functions.keys import halvings, key_of
 WIDTH, SLACK = 60, 1 << 10
 
 
-def _fixed(lo: Column, hi: Column, low: float, high: float) -> tuple[Column, Column, Column]:
-    """Both ends in fixed point with the slack, and whether [lo, hi] meets the axis at all."""
-    a, b = (lo - low) / (high - low), (hi - low) / (high - low)
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    fixed = lambda x: (F.lit(float(1 << WIDTH)) * clip(x)).cast("long")
-    return F.greatest(fixed(a) - SLACK, F.lit(0)), F.least(fixed(b) + SLACK, F.lit(1 << WIDTH)), (b >= 0.0) & (a <= 1.0)
+def _fixed(lo: str, hi: str, low: float, high: float) -> tuple[str, str, str]:
+    """Both ends in fixed point with the slack, and whether [lo, hi] meets the axis at all, in SQL."""
+    a, b = (f"((`{x}` - {low!r}D) / {high - low!r}D)" for x in (lo, hi))
+    fixed = lambda x: f"cast({float(1 << WIDTH)!r}D * greatest(0D, least(1D, {x})) as bigint)"
+    return f"greatest({fixed(a)} - {SLACK}L, 0L)", f"least({fixed(b)} + {SLACK}L, {1 << WIDTH}L)", f"({b} >= 0D and {a} <= 1D)"
 
 
-def axis_range(lo: Column, hi: Column, low: float, high: float, t: int) -> tuple[Column, Column, Column]:
-    """First and last coordinate among 2^t that [lo, hi] meets, and whether it meets the axis at all."""
+def axis_range(lo: str, hi: str, low: float, high: float, t: int) -> tuple[str, str, str]:
+    """First and last coordinate among 2^t that [lo, hi] (names of columns) meets, and whether it meets the axis at all, in SQL."""
     left, right, meets = _fixed(lo, hi, low, high)
     s = WIDTH - t
-    first = F.greatest(F.shiftright(left - 1, s), F.lit(0))  # ceil(left / 2^s) - 1
-    last = F.least(F.shiftright(right, s), F.lit((1 << t) - 1))
-    return first.cast("long"), last.cast("long"), meets
+    return f"greatest(shiftright({left} - 1L, {s}), 0L)", f"least(shiftright({right}, {s}), {(1 << t) - 1}L)", meets  # the first: ceil(left / 2^s) - 1
 
 
 def wrapped(images: DataFrame, domain: Domain, strict: bool) -> DataFrame:
@@ -55,8 +52,8 @@ def cover_cells(images: DataFrame, depth: int, domain: Domain, keep: list[str],
     t, dim = halvings(depth, domain.dim), domain.dim
     ranges = {}
     for d in range(dim):
-        a, b, meets = axis_range(F.col(f"fl{d}"), F.col(f"fu{d}"), domain.lo[d], domain.hi[d], t[d])
-        ranges[f"__r{d}"] = F.when(meets, F.sequence(a, F.greatest(a, b)))  # a touching rectangle has a <= b; null: outside
+        a, b, meets = axis_range(f"fl{d}", f"fu{d}", domain.lo[d], domain.hi[d], t[d])
+        ranges[f"__r{d}"] = F.expr(f"case when {meets} then sequence({a}, greatest({a}, {b})) end")  # a touching rectangle has a <= b; null: outside
     out = wrapped(images, domain, strict).select(*keep, *[c.alias(name) for name, c in ranges.items()])
     for d in range(dim):  # outer: of explode() Catalyst infers a filter on the whole range, which it then moves down to the scan
         out = out.withColumn(f"c{d}", F.explode_outer(f"__r{d}")).drop(f"__r{d}")
@@ -110,13 +107,13 @@ def cover_mixed(images: DataFrame, boxes: DataFrame, depths: list[int], domain:
 
 def _on_axis(d: int, deepest: int, domain: Domain) -> Column:
     """The node (depth, key) is among those of its depth that the rectangle meets along axis d."""
-    depth, dim = F.col("depth"), domain.dim
-    halved = F.floor((depth - d + dim - 1) / dim)  # of axis d, at the node's depth
-    bit = lambda i: F.call_function("shiftright", F.col("key"), F.greatest(depth - 1 - i, F.lit(0))).bitwiseAND(F.lit(1).cast("long"))
-    place = reduce(Column.__add__, [F.when(depth > i, F.call_function("shiftleft", bit(i), (halved - 1 - i // dim).cast("int"))).otherwise(F.lit(0).cast("long")) for i in range(d, deepest, dim)])
-    left, right, _ = _fixed(F.col(f"fl{d}"), F.col(f"fu{d}"), domain.lo[d], domain.hi[d])
-    s = (F.lit(WIDTH) - halved).cast("int")
-    return (place >= F.call_function("shiftright", left - 1, s)) & (place <= F.call_function("shiftright", right, s))
+    dim = domain.dim
+    halved = f"(depth - {d} + {dim - 1}) div {dim}"  # of axis d, at the node's depth
+    bit = lambda i: f"case when depth > {i} then shiftleft(shiftright(key, greatest(depth - {1 + i}, 0)) & 1L, cast({halved} - {1 + i // dim} as int)) else 0L end"
+    place = " + ".join(bit(i) for i in range(d, deepest, dim)) or "0L"
+    left, right, _ = _fixed(f"fl{d}", f"fu{d}", domain.lo[d], domain.hi[d])
+    s = f"cast({WIDTH} - {halved} as int)"
+    return F.expr(f"({place}) between shiftright({left} - 1L, {s}) and shiftright({right}, {s})")
 
 
 def within(covered: DataFrame, boxes: DataFrame, on: list[str] | None = None) -> DataFrame:

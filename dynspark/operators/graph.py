@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -297,16 +297,18 @@ def recurrence(edges: DataFrame, part_edges: int = GROUP_EDGES) -> tuple[DataFra
 
 def recurrence_of_many(edges: DataFrame, group_edges: int = GROUP_EDGES, group_components: int = GROUP_COMPONENTS) -> tuple[DataFrame, DataFrame]:
     """The same, with graphs of at most so many edges in a task each, and what so many components at most reach."""
-    edges = cut(edges.select("node", "src", "dst"))
-    counts = edges.groupBy("node").count()
-    most = counts.agg(F.max("count")).first()[0] or 0
-    large = cut(counts.filter(F.col("count") > group_edges).select("node")) if most > group_edges else None
+    seen, found = Observation(), Observation()
+    edges = cut(edges.select("node", "src", "dst").observe(seen, F.count(F.lit(1)).alias("edges")))
+    large = None
+    if seen.get["edges"] > group_edges:
+        large = cut(edges.groupBy("node").count().filter(F.col("count") > group_edges).select("node"))
     small = edges.join(large, "node", "left_anti") if large else edges
-    both = cut(small.groupBy("node").applyInArrow(lambda key, t: _one(key, t, group_components), "kind int, node long, comp long, other long"))
+    both = small.groupBy("node").applyInArrow(lambda key, t: _one(key, t, group_components), "kind int, node long, comp long, other long")
+    both = cut(both.observe(found, F.count(F.when(F.col("kind") == 2, 1)).alias("open")))
     members = both.filter("kind = 0").select("node", "comp", F.col("other").alias("key"))
     reach = both.filter("kind = 1").select("node", "comp", "other")
-    open_ = both.filter("kind = 2").select("node")
-    if not open_.isEmpty():
+    if found.get["open"]:
+        open_ = both.filter("kind = 2").select("node")
         reach = reach.unionByName(reached(edges.join(open_, "node", "left_semi"), members.join(open_, "node", "left_semi"), group_edges))
     if large:
         own, further = recurrence(edges.join(large, "node", "left_semi"), group_edges)
