@@ -7,6 +7,7 @@ those that points lie in, so all work follows the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,7 +22,7 @@ from dynspark.operators import cells as cubical
 from dynspark.operators import cover as covers
 from dynspark.operators import graph, grid, maps
 from dynspark.plans import morse
-from dynspark.plans.cutting import cut
+from dynspark.plans.cutting import cut, shared_dir
 from dynspark.sources import files
 
 UNIT = Domain((0.0, 0.0), (1.2, 1.2))
@@ -937,7 +938,7 @@ def q29_index_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SQL_ORDER + """SELECT u || ' -> ' || v || ';' AS line FROM reduced
-UNION ALL SELECT n_nationkey || ' [label="' || n_name || '", style=filled, fillcolor="' || ['#1f77b4', '#e6550d', '#31a354', '#756bb1', '#636363', '#e377c2', '#bcbd22', '#17becf'][n_nationkey % 8 + 1] || '"];' FROM nation""")
+UNION ALL SELECT n_nationkey || ' [label="' || n_name || '", style=filled, fillcolor="' || '0.' || lpad(CAST(n_nationkey * 382 % 1000 AS VARCHAR), 3, '0') || ' 0.500 0.900' || '"];' FROM nation""")
 def q30_dot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("v"), F.col("n_name").alias("label"))
     return files.dot_lines(vertices, graph.transitive_reduction(nations_order(spark, sf_dir)))
@@ -963,6 +964,52 @@ def q31_relative_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = with_cells(graph.index_pair(edges, members), 8, 2)
     return cubical.euler_characteristic(cubical.relative(pair, 2, ["comp"]), ["comp"])
 
+@query(SQL_REFINED + """, leaf AS (SELECT key FROM b9 UNION ALL SELECT key FROM b8 WHERE key NOT IN (SELECT key FROM members8))
+SELECT (SELECT count(*) FROM leaf) AS boxes, (SELECT count(*) FROM sets) AS sets, (SELECT count(*) FROM members9) AS boxes_in_sets, (SELECT count(*) FROM pairs) AS pairs""")
+def q64_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.statistics(refined(spark, sf_dir), 0.0).drop("seconds")
+
+
+@query(SQL_RECURRENCE + f"""SELECT l0, u0, l1, u1, comp AS v FROM members JOIN ({_SHIFT}) USING (key)""")
+def q65_sets_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Morse sets written as text and read again."""
+    members = recurrent1(spark, sf_dir)[1].select("key", F.col("comp").alias("v"))
+    path = f"{shared_dir(spark)}/sets-{uuid.uuid4().hex}"
+    files.write_sets(with_rects(members, 8, UNIT), path, 2)
+    return files.read_sets(spark, path, 2).select("l0", "u0", "l1", "u1", "v")
+
+
+@query(f"SELECT key, true AS inside, true AS again FROM ({BOX1})")
+def q66_random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hull of random points of a box lies in it, and the same points come again."""
+    boxes = rects(occupied(p1(spark, sf_dir), 12, UNIT), 12, UNIT)
+    drawn = maps.ExpressionMap(lambda x: x, "random", points=7, seed=3).image(boxes, 2)
+    once = F.struct(*[f"f{e}{d}" for d in range(2) for e in "lu"])
+    held = drawn.withColumn("__once", once)
+    twice = maps.ExpressionMap(lambda x: x, "random", points=7, seed=3).image(held, 2)
+    inside = reduce(Column.__and__, [(F.col(f"l{d}") <= F.col(f"fl{d}")) & (F.col(f"fl{d}") < F.col(f"fu{d}")) & (F.col(f"fu{d}") <= F.col(f"u{d}")) for d in range(2)])
+    return twice.select("key", inside.alias("inside"), (F.col("__once") == once).alias("again"))
+
+
+@query("""WITH h AS (SELECT l_orderkey AS k, min(l_tax) + 0.5e0 AS a, max(l_tax) + 0.5e0 + max(l_discount) AS b FROM lineitem GROUP BY l_orderkey)
+SELECT k, round(1e0 / tan(b), 6) AS lo, round(1e0 / tan(a), 6) AS hi FROM h""")
+def q67_interval_cot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cotangent of intervals between two of its poles."""
+    h = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg((F.min("l_tax") + 0.5).alias("a"), (F.max("l_tax") + 0.5 + F.max("l_discount")).alias("b"))
+    x = iv.cot(iv.Interval(F.col("a"), F.col("b")))
+    return h.select("k", F.round(x.lo, 6).alias("lo"), F.round(x.hi, 6).alias("hi"))
+
+
+@query(f"SELECT 'cube' AS kind, c0 - (SELECT min(c0) FROM ({BOX1})) AS a, c1 - (SELECT min(c1) FROM ({BOX1})) AS b FROM ({BOX1}) UNION ALL SELECT 'tile', key, key // 4 FROM ({BOX1})")
+def q68_cubes_and_tiles_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubes and tiles written as lines and read again; cubes count from the least corner."""
+    boxes, folder = occupied(p1(spark, sf_dir), 12, UNIT), f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    boxes.select(F.format_string("(%d,%d)", "c0", "c1")).write.text(f"{folder}/cubes")
+    boxes.select(F.format_string("%d %d", F.col("key"), F.shiftright("key", 2))).write.text(f"{folder}/tiles")
+    cubes = files.cubes_from_text(spark, f"{folder}/cubes", 2).select(F.lit("cube").alias("kind"), F.col("c0").alias("a"), F.col("c1").alias("b"))
+    return cubes.unionByName(files.read_tiles(spark, f"{folder}/tiles").select(F.lit("tile").alias("kind"), F.col("index").alias("a"), F.col("tile").alias("b")))
+
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q10_morse_sets(spark, sf_dir)

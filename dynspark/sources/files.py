@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from dynspark.functions.boxes import Domain
 from dynspark.plans.morse import BoxMap, Model, MorseGraph
 
-#: Colours of vertices, in turn.
-COLORS = ("#1f77b4", "#e6550d", "#31a354", "#756bb1", "#636363", "#e377c2", "#bcbd22", "#17becf")
-
 
 def read_samples(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """x0 ... y0 ... from text: numbers between white space, D of x and D of y a line. Empty lines and # comments don't count."""
@@ -68,8 +65,7 @@ def adjacency_lines(edges: DataFrame) -> DataFrame:
 
 def dot_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """line: a DOT statement for each vertex (v, label) and edge (u, v)."""
-    palette = F.array(*[F.lit(c) for c in COLORS])
-    color = F.element_at(palette, (F.pmod(F.col("v"), F.lit(len(COLORS))) + 1).cast("int"))
+    color = F.concat(F.lit("0."), F.lpad(F.pmod(F.col("v") * 382, F.lit(1000)).cast("string"), 3, "0"), F.lit(" 0.500 0.900"))  # hues a golden section apart
     nodes = vertices.select(F.concat(F.col("v").cast("string"), F.lit(' [label="'), F.col("label"), F.lit('", style=filled, fillcolor="'), color, F.lit('"];')).alias("line"))
     return nodes.unionByName(edges.select(F.concat(F.col("u").cast("string"), F.lit(" -> "), F.col("v").cast("string"), F.lit(";")).alias("line")))
 
