@@ -1009,6 +1009,51 @@ def q68_cubes_and_tiles_from_text(spark: SparkSession, sf_dir: str) -> DataFrame
     cubes = files.cubes_from_text(spark, f"{folder}/cubes", 2).select(F.lit("cube").alias("kind"), F.col("c0").alias("a"), F.col("c1").alias("b"))
     return cubes.unionByName(files.read_tiles(spark, f"{folder}/tiles").select(F.lit("tile").alias("kind"), F.col("index").alias("a"), F.col("tile").alias("b")))
 
+@query(f"SELECT x0, x1, y0, y1 FROM ({SQL_P2})")
+def q69_samples_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written as lines of numbers and read again."""
+    path = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    p2(spark, sf_dir).select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x0", "x1", "y0", "y1")])).write.text(path)
+    return files.read_samples(spark, path, 2)
+
+
+@query(SQL_REFINED + "SELECT 'set' AS kind, v, size AS a, least AS b FROM sets UNION ALL SELECT 'pair', NULL, u, v FROM pairs")
+def q70_saved_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Morse graph saved as tables and loaded again: its sets and all pairs of their order."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    files.save(refined(spark, sf_dir), path)
+    g = files.load(spark, path)
+    as_long = lambda *names: [F.col(x).cast("long").alias(y) for x, y in names]
+    sets = g.vertices.select(F.lit("set").alias("kind"), *as_long(("v", "v"), ("size", "a"), ("least", "b")))
+    return sets.unionByName(g.edges_unreduced.select(F.lit("pair").alias("kind"), F.lit(None).cast("long").alias("v"), *as_long(("u", "a"), ("v", "b"))))
+
+
+_ROLES = "SELECT v, v NOT IN (SELECT u FROM pairs) AS attractor, v NOT IN (SELECT v FROM pairs) AS repeller FROM sets"
+
+
+@query(SQL_REFINED + f"""SELECT v, attractor, repeller, l0, u0, l1, u1 FROM ({_ROLES}) JOIN sets USING (v) JOIN members9 USING (node, comp)
+JOIN ({sql_rects("SELECT node, key, c0, c1 FROM b9", 9, UNIT)}) r ON r.node = members9.node AND r.key = members9.key""")
+def q71_boxes_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of each set of the refinement, and whether it is an attractor or a repeller."""
+    g = refined(spark, sf_dir)
+    role = lambda df, name: df.select("v", F.lit(True).alias(name))
+    out = g.boxes().join(role(g.attractors(), "attractor"), "v", "left").join(role(g.repellers(), "repeller"), "v", "left")
+    no = lambda name: F.coalesce(name, F.lit(False)).alias(name)
+    return out.select(F.col("v").cast("long").alias("v"), no("attractor"), no("repeller"), *rect_columns(2))
+
+
+_FACES8 = f"SELECT DISTINCT 2 * c0 + i AS e0, 2 * c1 + j AS e1 FROM ({BOX1_8}), (VALUES (0), (1), (2)) x(i), (VALUES (0), (1), (2)) y(j)"
+
+
+@query(f"""WITH f AS MATERIALIZED ({_FACES8}), c AS (SELECT e0, e1, (e0 // 2 + 2 * (e1 // 2)) % 5 AS coef FROM f WHERE e0 % 2 = 0 AND e1 % 2 = 0),
+d AS (SELECT f.e0, f.e1, b.coef - a.coef AS coef FROM f JOIN c a ON a.e0 = f.e0 - f.e0 % 2 AND a.e1 = f.e1 - f.e1 % 2 JOIN c b ON b.e0 = f.e0 + f.e0 % 2 AND b.e1 = f.e1 + f.e1 % 2 WHERE f.e0 % 2 + f.e1 % 2 = 1)
+SELECT e0, e1, CAST((coef % 5 + 5) % 5 AS INTEGER) AS coef FROM d WHERE coef % 5 <> 0""")
+def q72_coboundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coboundary of a chain on the corners of boxes."""
+    faces = cubical.cells(occupied(p1(spark, sf_dir), 8, UNIT), 2)
+    corners = faces.filter("dim = 0").select("e0", "e1", F.expr("(e0 div 2 + 2 * (e1 div 2)) % 5").alias("coef"))
+    return cubical.coboundary(corners.filter("coef != 0"), faces.drop("dim"), 2)
+
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
