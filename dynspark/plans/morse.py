@@ -89,7 +89,7 @@ class MorseGraph:
 
     def morse_sets(self) -> DataFrame:
         """v, depth, key, ge: the boxes of the phase grid in each set. Leaves that were refined below a set's box count for it."""
-        out = []
+        out = [self.phase.limit(0).select(F.lit(0).alias("v"), "depth", "key", "ge")]
         for depth in sorted(r["depth"] for r in self.phase.select("depth").distinct().collect()):
             if depth >= self.model.min:
                 own = self.phase.filter(F.col("depth") == depth)

@@ -466,3 +466,9 @@ def test_rectangles_are_compared_in_single_precision(spark):
     assert [r[0] for r in df.select(boxes.same_rect(1)).collect()] == [True, False]
     assert df.select(boxes.rect_hash(1)).distinct().count() == 1
     assert tuple(df.limit(1).withColumns(boxes.added(1)).withColumns(boxes.scaled(-2.0, 1)).withColumns(boxes.centroid(1)).select("l0", "u0").first()) == pytest.approx((-0.6, -0.6))
+
+
+def test_morse_graph_of_a_map_that_leaves(spark):
+    g = morse.morse_graph(spark, morse.Model(UNIT, maps.ExpressionMap(lambda x: [c + 5.0 for c in x]), 4, 6, 2))
+    assert g.signature() == {"sizes": [], "min_box": [], "edges": [], "phase_size": 4}
+    assert g.num_vertices() == g.edges().count() == g.map_graph().count() == g.boxes().count() == 0
