@@ -3,9 +3,11 @@
 Each document's ids and an end token are cut into sequences of SEQUENCE ids, the last one padded. All sequences are
 numbered (partition by partition, from the counts of each partition, a number a task), and a keyed Feistel permutation
 of the numbers, walked until it lands inside their range, gives each its global slot: a bijection that needs no sort and
-no table. Shard k holds the slots from k x SHARD on, so a range of slots is a partition (repartitionById); a
-task fills its shard in place, whatever order its parts come in, and writes it under another name first, so that a lost or repeated task
-does no harm. A slot's place in the files is arithmetic: reading can begin or go on at any slot.
+no table. Shard k holds the slots from k x SHARD on, and a range of slots is a partition (repartitionById): a group of
+neighbouring shards, of which there are more the more shards there are (group()), so that mappers x partitions grows with the square root
+of the data. A task sorts its group by shard, fills one shard at a time in place, whatever order its parts come in,
+and writes it under another name first, so that a lost or repeated task does no harm. A slot's place in the files is
+arithmetic: reading can begin or go on at any slot.
 
 Between the tasks that encode and those that write, sequences for one shard travel together, compressed. The encoded
 chunks are persisted between counting and placing, in memory as far as there is, else on disk, and given up when the
@@ -13,13 +15,16 @@ shards are written; a lost part is made again from the input.
 
 A null or empty text makes one sequence that is an end token alone. Null ids are kept. Repeated rows are sequences of
 their own. An empty table gives no shard and an empty result. Slots follow from how the table is partitioned: runs over the
-same files agree.
+same files agree. A table that comes out differently when a lost part is computed again (after a shuffle whose order isn't
+fixed) is an error if a partition's count changes: write such a table first.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -65,6 +70,11 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def group(shards: int) -> int:
+    """Shards that one task writes: 1 up to 63 shards, 250 (of 16 MB) at a million, which makes 4,000 tasks."""
+    return max(1, isqrt(shards // 16))
+
+
 def packed(data: bytes) -> bytes:
     return pa.compress(data, codec="zstd", asbytes=True)
 
@@ -153,29 +163,32 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
         if at - first.get(partition, 0) != counts.get(partition, 0):
             raise RuntimeError("the partition isn't what was counted; persist or write the table first")
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, out, heads = None, None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if k is None:
-                    k = r["shard"]
-                    out = np.zeros((min(shard, total - k * shard), length), dtype)
-                h = np.frombuffer(unpacked(r["head"], HEAD.itemsize * r["n"]), HEAD)
-                tokens = np.frombuffer(unpacked(r["tokens"], r["bytes"]), dtype)
-                rows = np.zeros((len(h), length), dtype)
-                rows[np.arange(length) < h["n"][:, None]] = tokens
-                out[h["slot"] - k * shard] = rows
-                heads.append(h)
-        if k is None:
-            return
-        put(layout.file(k), out.tobytes())
+    def filled(k: int, parts: Iterator[dict]) -> pa.RecordBatch:
+        out, heads = np.zeros((min(shard, total - k * shard), length), dtype), []
+        for r in parts:
+            h = np.frombuffer(unpacked(r["head"], HEAD.itemsize * r["n"]), HEAD)
+            tokens = np.frombuffer(unpacked(r["tokens"], r["bytes"]), dtype)
+            rows = np.zeros((len(h), length), dtype)
+            rows[np.arange(length) < h["n"][:, None]] = tokens
+            out[h["slot"] - k * shard] = rows
+            heads.append(h)
         every = np.concatenate(heads)
+        if len(every) != len(out):
+            raise RuntimeError(f"shard {k} has {len(every)} sequences for {len(out)} slots; persist or write the table first")
+        put(layout.file(k), out.tobytes())
         ids = pa.array(every["id"].copy(), pa.int64(), mask=every["id"] == NO_ID)
         columns = [ids, every["part"].copy(), every["n"].copy(), every["slot"].copy(), np.full(len(every), k, np.int32), (every["slot"] - k * shard) * length * dtype.itemsize]
-        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["doc_id", "part", "n_tokens", "slot", "shard", "offset"])
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["doc_id", "part", "n_tokens", "slot", "shard", "offset"])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted by shard
+        rows = chain.from_iterable(b.to_pylist() for b in batches)
+        for k, parts in groupby(rows, lambda r: r["shard"]):
+            yield filled(k, parts)
 
     dealt = chunks.select("n", "ids", "counts", "bytes", "tokens").mapInArrow(placed, "shard int, n long, head binary, bytes long, tokens binary")
-    dealt = dealt.repartitionById(shards, F.col("shard"))
+    near = group(shards)
+    dealt = dealt.repartitionById(-(-shards // near), F.floor(F.col("shard") / near).cast("int")).sortWithinPartitions("shard")
     try:
         dealt.mapInArrow(written, "doc_id long, part int, n_tokens int, slot long, shard int, offset long").write.parquet(f"{folder}/manifest")
     finally:

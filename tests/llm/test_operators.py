@@ -196,14 +196,17 @@ def test_feistel_network_is_a_permutation(n):
     assert n < 100 or token_output.permuted(np.arange(n), n, 1).tolist() != token_output.permuted(np.arange(n), n, 2).tolist()
 
 
-def test_token_shards(spark, library, tmp_path):
-    rows, layout = token_output.write(docs_of(spark), str(tmp_path), length=64, shard=50)
+@pytest.mark.parametrize(("length", "shard", "moved"), [(64, 50, False), (64, 50, True), (16, 3, False)])
+def test_token_shards(spark, library, tmp_path, length, shard, moved):
+    docs = docs_of(spark).repartition(5, "doc_id") if moved else docs_of(spark)
+    rows, layout = token_output.write(docs, str(tmp_path), length=length, shard=shard)
     rows = rows.collect()
+    assert shard == 50 or token_output.group(-(-layout.sequences // shard)) > 1
     assert sorted(r["slot"] for r in rows) == list(range(layout.sequences))
     every, end = token_output.read(layout, 0, layout.sequences), 49407
     by = {}
     for r in sorted(rows, key=lambda r: r["part"]):
-        assert r["offset"] == r["slot"] % 50 * 128 and r["shard"] == r["slot"] // 50
+        assert r["offset"] == r["slot"] % shard * 2 * length and r["shard"] == r["slot"] // shard
         by.setdefault(r["doc_id"], []).append(every[r["slot"]][: r["n_tokens"]])
     for i, t in ((1, ""), (3, LONG), (None, "x"), (8, LONG + "end")):
         assert np.concatenate(by[i]).tolist() == [*library.encode(t, add_special_tokens=False).ids, end]
@@ -211,6 +214,11 @@ def test_token_shards(spark, library, tmp_path):
     assert token_output.write(docs_of(spark).limit(0), str(tmp_path / "none"))[0].count() == 0
 
 
+def test_token_shards_are_written_by_few_tasks():
+    assert [token_output.group(n) for n in (0, 1, 63, 64)] == [1, 1, 1, 2]
+    assert all(-(-n // token_output.group(n)) <= 20_000 for n in (10**6, 3 * 10**6, 10**7))
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------------
 
 
