@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dynspark.functions.boxes import Domain
-from dynspark.functions.keys import coordinates, halvings
+from dynspark.functions.keys import DEEPEST, coordinates, halvings
 from dynspark.operators.cover import meets_prism
+from dynspark.operators.grid import ranked
+from dynspark.plans.cutting import cut
 
 P = 5
 
@@ -78,6 +80,75 @@ def coboundary(chains: DataFrame, all_cells: DataFrame, dim: int, p: int = P, si
     return combined(out, dim, None, p)
 
 
+def _spread(some: DataFrame, dim: int, odd: int, sizes: list[int] | None, keep: list[str]) -> DataFrame:
+    """Cells e0 ... with those beside them along each axis in which e is odd (1) or even (0), each once."""
+    out = some
+    for d in range(dim):
+        e = F.col(f"e{d}")
+        beside = F.array(e - 1, e, e + 1)
+        if sizes and sizes[d]:
+            beside = F.transform(beside, lambda x: F.pmod(x, F.lit(2 * sizes[d])))  # noqa: B023
+        out = out.withColumn(f"e{d}", F.explode(F.when(F.pmod(e, F.lit(2)) == odd, beside).otherwise(F.array(e))))
+    return out.select(*keep, *[f"e{d}" for d in range(dim)]).distinct().withColumn("dim", extent(dim))
+
+
+def closure(some: DataFrame, dim: int, sizes: list[int] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The faces of cells of any dimension, themselves too, each once (for each value of keep); sizes as in boundary()."""
+    return _spread(some, dim, 1, sizes, keep or [])
+
+
+def star(some: DataFrame, all_cells: DataFrame, dim: int, sizes: list[int] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The cells of all_cells that have one of some as a face, those of some that are in it too; a cell has 3^dim of them at most, which are made and looked up."""
+    return _spread(some, dim, 0, sizes, keep or []).join(all_cells.select(*[f"e{d}" for d in range(dim)]), [f"e{d}" for d in range(dim)], "left_semi")
+
+
+def projected(chains: DataFrame, some: DataFrame, dim: int) -> DataFrame:
+    """The terms of chains on the cells of a subcomplex. A chain of the subcomplex is one of the whole complex as it is; its boundary in the
+    subcomplex is projected(boundary(...))."""
+    return chains.join(some.select(*[f"e{d}" for d in range(dim)]), [f"e{d}" for d in range(dim)], "left_semi")
+
+
+def address(sizes: list[int]) -> Column:
+    """The number of a cell e0 ... of a complex with so many cubes along each axis: the place of its lower corner in a lattice with a layer more on either side,
+    axis 0 fastest, then a bit for each axis in which it extends, axis 0 the lowest. An error if that takes more than 62 bits."""
+    if sum((n + 2).bit_length() for n in sizes) + len(sizes) > 62:
+        raise ValueError("the addresses of the complex take more than 62 bits")
+    out, jump = F.lit(0).cast("long"), 1 << len(sizes)
+    for d, n in enumerate(sizes):
+        e = F.col(f"e{d}").cast("long")
+        out, jump = out + (F.call_function("shiftright", e, F.lit(1)) + 1) * jump + F.pmod(e, F.lit(2)) * (1 << d), jump * (n + 2)
+    return out
+
+
+def cell_at(sizes: list[int], name: str = "address") -> dict[str, Column]:
+    """e0 ... of the cell with an address."""
+    out, jump = {}, 1 << len(sizes)
+    for d, n in enumerate(sizes):
+        place = F.pmod(F.floor(F.expr(f"{name} div {jump}")), F.lit(n + 2).cast("long")) - 1
+        out[f"e{d}"], jump = place * 2 + F.call_function("shiftright", F.col(name), F.lit(d)).bitwiseAND(F.lit(1).cast("long")), jump * (n + 2)
+    return out
+
+
+def numbered(all_cells: DataFrame, sizes: list[int]) -> DataFrame:
+    """all_cells (e0 ..., dim) with address and index, the cell's place among those of its dimension in order of addresses, by a range sort."""
+    rows = ranked(all_cells.withColumn("key", address(sizes)).withColumn("depth", F.lit(DEEPEST)), ["dim"])
+    first = rows.groupBy("dim").agg(F.min("ge").alias("__first"))  # a row a dimension
+    rows = rows.join(F.broadcast(first), "dim").withColumn("index", F.col("ge") - F.col("__first"))
+    return rows.select(*all_cells.columns, F.col("key").alias("address"), "index")
+
+
+def boundary_matrix(all_cells: DataFrame, sizes: list[int], circles: tuple[bool, ...] = (), p: int = P) -> DataFrame:
+    """dim, row, column, value: the entries other than zero of the boundary maps of a complex or subcomplex (e0 ..., dim); columns are the indices of
+    its cells of that dimension, rows those of one less, faces that aren't cells of it are left out."""
+    every = range(len(sizes))
+    wraps = [n if circles and circles[d] else 0 for d, n in enumerate(sizes)]
+    cells_ = cut(numbered(all_cells, sizes))
+    names = [f"e{d}" for d in every]
+    columns = cells_.select("dim", F.col("index").alias("column"), *names, F.lit(1).alias("coef"))
+    rows = cells_.select((F.col("dim") + 1).alias("dim"), F.col("index").alias("row"), *names)
+    return boundary(columns, len(sizes), ["dim", "column"], p, wraps).join(rows, ["dim", *names]).select("dim", "row", "column", F.col("coef").alias("value"))
+
+
 def face_counts(all_cells: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return all_cells.groupBy(*(keep or []), "dim").agg(F.count(F.lit(1)).alias("n"))
 

@@ -346,6 +346,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node", "key").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def edited(edges: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """node, src, dst of digraphs without the edges removed and with those added, each once; an edge that is both is there."""
+    names = ["node", "src", "dst"]
+    out = edges.select(*names)
+    out = out if removed is None else out.join(removed.select(*names), names, "left_anti")
+    out = out if added is None else out.unionByName(added.select(*names))
+    return out.distinct()
+
+
 def index_pair(edges: DataFrame, members: DataFrame) -> DataFrame:
     """node, comp, key, exit: for each component S the boxes of X = F(S), exit those outside S."""
     image = edges.join(members.withColumnRenamed("key", "src"), ["node", "src"]).select("node", "comp", F.col("dst").alias("key")).distinct()

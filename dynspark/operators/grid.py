@@ -292,6 +292,14 @@ def adjacent_cells(cells: DataFrame, sizes: list[int], periodic: tuple[bool, ...
     return pairs.join(cells.select(ids("c").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def pair_patches(cells: DataFrame, sizes: list[int], periodic: tuple[bool, ...] = ()) -> DataFrame:
+    """u, v: the smallest patches of given cells c0, c1 ..., one for each two neighbours (u < v), and one (v null) for a cell without any."""
+    pairs = adjacent_cells(cells, sizes, periodic)
+    most = pairs.groupBy("src").agg(F.max("dst").alias("most"), F.min("dst").alias("least"))
+    alone = most.filter("most = src and least = src").select(F.col("src").alias("u"), F.lit(None).cast("long").alias("v"))
+    return pairs.filter("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(alone)
+
+
 def patches_of(cells: DataFrame, sizes: list[int], width: int = 4) -> DataFrame:
     """patch, id of given cells c0, c1 ...: overlapping blocks of a lattice, width cells wide and a cell more on each side; every pair of neighbours is in one."""
     out, blocks, every = cells, [], range(len(sizes))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dynspark.functions import fields
 from dynspark.functions import intervals as iv
 from dynspark.functions.boxes import Domain, added, centroid, meet, rect_columns, rects_of, scaled, with_cells, with_rects
 from dynspark.functions.keys import child, halvings, is_upper, key_of, parent
@@ -1055,6 +1056,82 @@ def q72_coboundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubical.coboundary(corners.filter("coef != 0"), faces.drop("dim"), 2)
 
 
+#: Even ends of q73's cells: the squares of boxes that hold more points than the average.
+_CROWDED = f"SELECT 2 * c0 + 1 AS e0, 2 * c1 + 1 AS e1 FROM ({BOX1_8}) WHERE points > (SELECT avg(points) FROM ({BOX1_8}))"
+_NEAR = "SELECT DISTINCT {e}0 + i AS e0, {e}1 + j AS e1 FROM {cells} c, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j) WHERE (({e}0 % 2 = {odd}) OR i = 0) AND (({e}1 % 2 = {odd}) OR j = 0)"
+
+
+def crowded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The faces of all of P1's boxes at depth 8, and the squares of those that hold more points than the average."""
+    boxes = cut(occupied(p1(spark, sf_dir), 8, UNIT))
+    mean = boxes.agg(F.avg("points").alias("mean"))
+    some = boxes.join(F.broadcast(mean), F.col("points") > F.col("mean"))
+    return cubical.cells(boxes, 2), some.select((F.col("c0") * 2 + 1).alias("e0"), (F.col("c1") * 2 + 1).alias("e1"))
+
+
+@query(f"""WITH f AS MATERIALIZED ({_FACES8}), s AS MATERIALIZED ({_CROWDED}), c AS MATERIALIZED ({_NEAR.format(e="e", cells="s", odd=1)}), t AS ({_NEAR.format(e="e", cells="c", odd=0)})
+SELECT 'closure' AS kind, e0, e1, e0 % 2 + e1 % 2 AS dim FROM c UNION ALL SELECT 'star', e0, e1, e0 % 2 + e1 % 2 FROM t JOIN f USING (e0, e1)""")
+def q73_closure_and_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of the squares of crowded boxes, and its star among the faces of all boxes."""
+    faces, some = crowded(spark, sf_dir)
+    closed = cubical.closure(some, 2)
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), "e0", "e1", F.col("dim").cast("long").alias("dim"))
+    return kind(closed, "closure").unionByName(kind(cubical.star(closed, faces, 2), "star"))
+
+
+@query(f"""WITH s AS ({_CROWDED}), c AS MATERIALIZED ({_NEAR.format(e="e", cells="s", odd=1)}),
+n AS MATERIALIZED (SELECT e0, e1, e0 % 2 + e1 % 2 AS dim, ((e1 // 2 + 1) * 18 + e0 // 2 + 1) * 4 + 2 * (e1 % 2) + e0 % 2 AS address FROM c),
+i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY address) - 1 AS nth FROM n)
+SELECT b.dim, a.nth AS row, b.nth AS column, CAST(((CASE WHEN b.e0 <> a.e0 THEN b.e0 - a.e0 ELSE (b.e1 - a.e1) * CASE WHEN b.e0 % 2 = 1 THEN -1 ELSE 1 END END) * -1 + 5) % 5 AS INTEGER) AS value
+FROM i b JOIN i a ON a.dim = b.dim - 1 AND abs(a.e0 - b.e0) + abs(a.e1 - b.e1) = 1""")
+def q74_boundary_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary maps, modulo 5, of the subcomplex of crowded boxes, as entries of sparse matrices."""
+    found = cubical.boundary_matrix(cubical.closure(crowded(spark, sf_dir)[1], 2), [16, 16])
+    return found.select(F.col("dim").cast("long").alias("dim"), "row", "column", "value")
+
+
+@query(f"""WITH f AS MATERIALIZED ({_FACES8}), s AS MATERIALIZED ({_CROWDED}), c AS ({_NEAR.format(e="e", cells="s", odd=1)}),
+b AS (SELECT 2 * c0 + 1 AS e0, 2 * c1 + 1 AS e1, points % 5 AS coef FROM ({BOX1_8})),
+d AS (SELECT e0 + 1 AS e0, e1, coef FROM b UNION ALL SELECT e0 - 1, e1, -coef FROM b UNION ALL SELECT e0, e1 + 1, -coef FROM b UNION ALL SELECT e0, e1 - 1, coef FROM b),
+t AS (SELECT e0, e1, ((sum(coef) % 5) + 5) % 5 AS coef FROM d GROUP BY e0, e1)
+SELECT ((e1 // 2 + 1) * 18 + e0 // 2 + 1) * 4 + 2 * (e1 % 2) + e0 % 2 AS address, CAST(coef AS INTEGER) AS coef FROM t JOIN c USING (e0, e1) WHERE coef <> 0""")
+def q75_projected_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary of a chain on all boxes, projected to the subcomplex of crowded ones, by the addresses of its cells."""
+    some = cubical.closure(crowded(spark, sf_dir)[1], 2)
+    chain = occupied(p1(spark, sf_dir), 8, UNIT).select((F.col("c0") * 2 + 1).alias("e0"), (F.col("c1") * 2 + 1).alias("e1"), (F.col("points") % 5).alias("coef"))
+    return cubical.projected(cubical.boundary(chain, 2), some, 2).select(cubical.address([16, 16]).alias("address"), "coef")
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT c0, c1, c0 + 64 * c1 AS id FROM ({BOX1})), p AS (SELECT a.id AS u, b.id AS v FROM b a JOIN b ON abs(a.c0 - b.c0) <= 1 AND abs(a.c1 - b.c1) <= 1 AND a.id <> b.id)
+SELECT u, v FROM p WHERE u < v UNION ALL SELECT id, NULL FROM b WHERE id NOT IN (SELECT u FROM p)""")
+def q76_pair_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch for each two neighbours among the occupied cells of a lattice of 64 x 64."""
+    return grid.pair_patches(occupied(p1(spark, sf_dir), 12, UNIT), [64, 64])
+
+
+_PRIME = 101
+
+
+@query(f"""WITH t AS (SELECT DISTINCT l_partkey AS x, -l_suppkey AS y FROM lineitem), r AS (SELECT x, y, x % {_PRIME} AS a, (y % {_PRIME} + {_PRIME}) % {_PRIME} AS b FROM t),
+i AS (SELECT p.range AS b, q.range AS inv FROM range({_PRIME}) p, range({_PRIME}) q WHERE (p.range * q.range) % {_PRIME} = 1)
+SELECT x, y, (a + b) % {_PRIME} AS plus, (a - b + {_PRIME}) % {_PRIME} AS minus, (a * b) % {_PRIME} AS times, inv AS inverse, (a * inv) % {_PRIME} AS ratio,
+  CASE WHEN 2 * a > {_PRIME} THEN a - {_PRIME} ELSE a END AS balanced FROM r LEFT JOIN i USING (b)""")
+def q77_field_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, products and quotients modulo 101 of the keys of all order lines."""
+    x, y = F.col("x"), F.col("y")
+    pairs = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("x"), (-F.col("l_suppkey")).cast("long").alias("y")).distinct()
+    return pairs.select("x", "y", fields.plus(x, y, _PRIME).alias("plus"), fields.minus(x, y, _PRIME).alias("minus"), fields.times(x, y, _PRIME).alias("times"), fields.inverse(y, _PRIME).alias("inverse"),
+                        fields.over(x, y, _PRIME).alias("ratio"), fields.balanced(x, _PRIME).alias("balanced"))
+
+
+@query(SQL_RECURRENCE.replace(f"e AS MATERIALIZED ({sql_edges1(8, True)})", f"""g AS MATERIALIZED ({sql_edges1(8, True)}),
+e AS MATERIALIZED (SELECT src, dst FROM g WHERE src <> dst UNION SELECT dst, src FROM g WHERE dst = src + 1)""") + "SELECT comp, key FROM members")
+def q78_edited_digraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recurrent components of a map graph whose loops are taken away and whose edges to the next box get one back."""
+    edges = cut(edges1(spark, sf_dir, 8, True).withColumn("node", F.lit(0).cast("long")))
+    back = edges.filter("dst = src + 1").select("node", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.components(graph.edited(edges, back, edges.filter("src = dst"))).select("comp", "key")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q10_morse_sets(spark, sf_dir)

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dynspark.functions import fields
 from dynspark.functions import intervals as iv
 from dynspark.functions.boxes import Domain, with_rects
 from dynspark.functions.keys import coordinates, halvings, key_of
@@ -472,3 +473,70 @@ def test_morse_graph_of_a_map_that_leaves(spark):
     g = morse.morse_graph(spark, morse.Model(UNIT, maps.ExpressionMap(lambda x: [c + 5.0 for c in x]), 4, 6, 2))
     assert g.signature() == {"sizes": [], "min_box": [], "edges": [], "phase_size": 4}
     assert g.num_vertices() == g.edges().count() == g.map_graph().count() == g.boxes().count() == 0
+
+
+def test_closures_and_stars(spark):
+    """Against sets of faces made by hand, on a lattice of 3 x 4 squares, the first axis a circle."""
+    every = cubical.cells(grid.lattice(spark, [3, 4]), 2, [3, 0])
+    some = spark.createDataFrame([(5, 1), (5, 1), (0, 4), (1, 2)], "e0 long, e1 long")
+    beside = lambda e, n, odd: [(e + k) % n if n else e + k for k in ((-1, 0, 1) if e % 2 == odd else (0,))]
+    plain = lambda df: sorted((r["e0"], r["e1"], r["dim"]) for r in df.collect())
+    there = {(r["e0"], r["e1"]) for r in every.collect()}
+    for odd, got in ((1, cubical.closure(some, 2, [3, 0])), (0, cubical.star(some, every, 2, [3, 0]))):
+        want = {(a, b) for x, y in [(5, 1), (0, 4), (1, 2)] for a in beside(x, 6, odd) for b in beside(y, 0, odd)} & there
+        assert plain(got) == sorted((a, b, a % 2 + b % 2) for a, b in want)
+    assert cubical.closure(some.limit(0), 2).count() == cubical.star(some.limit(0), every, 2).count() == 0
+
+
+@pytest.mark.parametrize("circles", [(), (True, True, False)])
+def test_boundary_matrices_multiply_to_zero(spark, circles):
+    sizes = [3, 2, 2]
+    every = cubical.cells(grid.lattice(spark, sizes), 3, [n if circles and circles[d] else 0 for d, n in enumerate(sizes)])
+    counts = {r["dim"]: r["n"] for r in cubical.face_counts(every).collect()}
+    found = {}
+    for r in cubical.boundary_matrix(every, sizes, circles).collect():
+        found.setdefault(r["dim"], np.zeros((counts[r["dim"] - 1], counts[r["dim"]]), int))[r["row"], r["column"]] = r["value"]
+    assert sorted(found) == [1, 2, 3] and all(m.any() for m in found.values())
+    assert not (found[1] @ found[2] % 5).any() and not (found[2] @ found[3] % 5).any()
+    numbers = cubical.numbered(every, sizes)
+    back = numbers.withColumns({f"b{x[1:]}": c for x, c in cubical.cell_at(sizes).items()})
+    assert back.filter("e0 != b0 or e1 != b1 or e2 != b2").count() == 0 and numbers.select("address").distinct().count() == sum(counts.values())
+    with pytest.raises(ValueError):
+        cubical.address([1 << 30, 1 << 30])
+
+
+def test_boundaries_in_a_subcomplex(spark):
+    """Without one of its ends the boundary of an edge is the other end."""
+    chain = spark.createDataFrame([(1, 0, 2)], "e0 long, e1 long, coef int")
+    some = spark.createDataFrame([(2, 0), (1, 0)], "e0 long, e1 long")
+    assert [tuple(r) for r in cubical.projected(cubical.boundary(chain, 2), some, 2).collect()] == [(2, 0, 2)]
+
+
+@pytest.mark.parametrize("p", [2, 5, 101, 2147483647])
+def test_arithmetic_modulo_a_prime(spark, p):
+    numbers = [0, 1, -1, 2, p - 1, p, p + 1, -3 * p - 2, 123456789012, None]
+    rows = spark.createDataFrame([(x, y) for x in numbers for y in numbers], "x long, y long")
+    x, y = F.col("x"), F.col("y")
+    for r in rows.select("x", "y", fields.plus(x, y, p).alias("plus"), fields.minus(x, y, p).alias("minus"), fields.times(x, y, p).alias("times"), fields.over(x, y, p).alias("over"), fields.balanced(x, p).alias("b")).collect():
+        if r["x"] is None or r["y"] is None:
+            assert r["plus"] is r["minus"] is r["times"] is r["over"] is None and (r["x"] is not None or r["b"] is None)
+            continue
+        assert (r["plus"], r["minus"], r["times"]) == ((r["x"] + r["y"]) % p, (r["x"] - r["y"]) % p, r["x"] * r["y"] % p)
+        assert r["over"] == (r["x"] * pow(r["y"], -1, p) % p if r["y"] % p else None)
+        assert (r["b"] - r["x"]) % p == 0 and -p < 2 * r["b"] <= p
+
+
+def test_edges_are_added_and_taken_away(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (0, 1, 2), (0, 2, 2), (1, 1, 2)], "node long, src long, dst long")
+    back, loops = edges.select("node", F.col("dst").alias("src"), F.col("src").alias("dst")), edges.filter("src = dst")
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pairs(graph.edited(edges)) == [(0, 1, 2), (0, 2, 2), (1, 1, 2)]
+    assert pairs(graph.edited(edges, None, loops)) == [(0, 1, 2), (1, 1, 2)]
+    assert pairs(graph.edited(edges, back.filter("node = 0"), loops)) == [(0, 1, 2), (0, 2, 1), (0, 2, 2), (1, 1, 2)]
+    assert pairs(graph.components(graph.edited(edges, back.filter("src != dst"), loops)).select("node", "comp", "key")) == [(0, 1, 1), (0, 1, 2), (1, 1, 1), (1, 1, 2)]
+
+
+def test_patches_of_pairs(spark):
+    cells = spark.createDataFrame([(0, 0), (1, 1), (3, 3), (0, 3)], "c0 long, c1 long")
+    assert sorted(map(tuple, grid.pair_patches(cells, [4, 4]).collect()), key=str) == [(0, 5), (12, None), (15, None)]
+    assert sorted(map(tuple, grid.pair_patches(cells, [4, 4], (True, True)).collect())) == [(0, 5), (0, 12), (0, 15), (12, 15)]
