@@ -884,7 +884,11 @@ SELECT key AS src, min(y0) AS fl0, max(y0) AS fu0, min(y1) AS fl1, max(y1) AS fu
 
 _B8 = sql_rects("SELECT key, c0, c1 FROM b8", 8, UNIT)
 _B9 = sql_rects("SELECT key, c0, c1 FROM b9", 9, UNIT)
-SQL_REFINED = f"""WITH RECURSIVE p AS MATERIALIZED ({SQL_P5}),
+
+
+def sql_refined(points: str, further: str = "", kept: str = "members9") -> str:
+    """Tables of a refinement from depth 8 to 9 for a sampled map; further: tables of deeper levels; kept: those members at depth 9 whose sets persist."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({points}),
 b8 AS MATERIALIZED (SELECT {sql_key(['a.range', 'b.range'], 8)} AS key, a.range AS c0, b.range AS c1 FROM range(16) a, range(16) b),
 e8 AS MATERIALIZED ({sql_cover(f"SELECT * FROM {_sql_interpolated(f'SELECT key, l0, u0, l1, u1 FROM ({_B8})')}", 8, UNIT, "src")}),
 closure8(a, b) AS (SELECT src, dst FROM e8 UNION SELECT a, dst FROM closure8 JOIN e8 ON b = src),
@@ -894,7 +898,7 @@ all9 AS MATERIALIZED ({sql_cover(f"SELECT * FROM {_sql_interpolated(f'SELECT key
 e9 AS MATERIALIZED (SELECT s.node, src, dst FROM all9 JOIN b9 s ON src = s.key JOIN b9 d ON dst = d.key AND s.node = d.node),
 closure9(node, a, b) AS (SELECT node, src, dst FROM e9 UNION SELECT closure9.node, a, dst FROM closure9 JOIN e9 ON b = src AND closure9.node = e9.node),
 members9 AS MATERIALIZED (SELECT x.node, x.a AS key, min(x.b) AS comp FROM closure9 x JOIN closure9 y ON x.a = y.b AND x.b = y.a AND x.node = y.node GROUP BY x.node, x.a),
-sets AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(key)) - 1 AS v, node, comp, count(*) AS size, min(key) AS least FROM members9 GROUP BY node, comp),
+{further}sets AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(key)) - 1 AS v, node, comp, count(*) AS size, min(key) AS least FROM {kept} GROUP BY node, comp),
 pairs AS MATERIALIZED (
   SELECT s.v AS u, t.v AS v FROM sets s JOIN sets t ON s.node = t.node AND s.v <> t.v JOIN closure9 c ON c.node = s.node AND c.a = s.least AND c.b = t.least
   UNION SELECT s.v, t.v FROM sets s JOIN sets t ON s.node <> t.node JOIN closure8 c ON c.a = s.node AND c.b = t.node),
@@ -902,6 +906,9 @@ reduced AS (SELECT * FROM pairs EXCEPT SELECT x.u, y.v FROM pairs x JOIN pairs y
 """
 
 
+SQL_REFINED = sql_refined(SQL_P5)
+
+
 def refined(spark: SparkSession, sf_dir: str) -> morse.MorseGraph:
     return morse.morse_graph(spark, morse.Model(UNIT, maps.DataMap(p5(spark, sf_dir), UNIT), 9, 9, 8))
 
@@ -1056,7 +1063,34 @@ def q72_coboundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubical.coboundary(corners.filter("coef != 0"), faces.drop("dim"), 2)
 
 
-#: Even ends of q73's cells: the squares of boxes that hold more points than the average.
+#: A level more: the sets of depth 9 without recurrent boxes at depth 10 aren't sets, and their boxes of depth 10 are in the final grid. The map pulls the first axis
+#: together and drifts along the second, ever slower: fast drift recurs in wide boxes alone.
+SQL_DRIFT = f"SELECT x0, x1, x0 * 0.5e0 + 0.3e0 AS y0, x1 + (1.2e0 - x1) * 0.08e0 AS y1 FROM ({SQL_P4})"
+_B10 = sql_rects("SELECT DISTINCT key, c0, c1 FROM b10", 10, UNIT)
+_DEEPER = f"""b10 AS MATERIALIZED (SELECT comp AS node, key * 2 + h.range AS key, c0, c1 * 2 + h.range AS c1 FROM members9 JOIN b9 USING (node, key), range(2) h),
+all10 AS MATERIALIZED ({sql_cover(f"SELECT * FROM {_sql_interpolated(f'SELECT key, l0, u0, l1, u1 FROM ({_B10})')}", 10, UNIT, "src")}),
+e10 AS MATERIALIZED (SELECT s.node, src, dst FROM all10 JOIN b10 s ON src = s.key JOIN b10 d ON dst = d.key AND s.node = d.node),
+closure10(node, a, b) AS (SELECT node, src, dst FROM e10 UNION SELECT closure10.node, a, dst FROM closure10 JOIN e10 ON b = src AND closure10.node = e10.node),
+alive AS MATERIALIZED (SELECT DISTINCT node AS comp FROM closure10 WHERE a = b),
+kept AS MATERIALIZED (SELECT * FROM members9 WHERE comp IN (SELECT comp FROM alive)),
+"""
+SQL_PERSISTENT = sql_refined(SQL_DRIFT, _DEEPER, "kept")
+
+
+@query(SQL_PERSISTENT + """, leaf AS (SELECT 10 AS depth, key FROM b10 WHERE node NOT IN (SELECT comp FROM alive)
+UNION ALL SELECT 9, key FROM b9 WHERE key NOT IN (SELECT key FROM members9 WHERE comp NOT IN (SELECT comp FROM alive)) UNION ALL SELECT 8, key FROM b8 WHERE key NOT IN (SELECT key FROM members8))
+SELECT 'set' AS kind, v AS a, size AS b, least AS c FROM sets UNION ALL SELECT 'edge', u, v, NULL FROM reduced
+UNION ALL SELECT 'leaf', depth, key, v FROM leaf LEFT JOIN (SELECT 9 AS depth, kept.key, v FROM kept JOIN sets USING (node, comp)) USING (depth, key)""")
+def q79_persistent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Morse graph of a sampled map by three levels, the last of which tells which sets persist: sets, reduced edges, and the final grid with the sets of its boxes."""
+    drift = p4(spark, sf_dir).withColumns({"y0": F.col("x0") * 0.5 + 0.3, "y1": F.col("x1") + (1.2 - F.col("x1")) * 0.08})
+    g = morse.morse_graph(spark, morse.Model(UNIT, maps.DataMap(drift, UNIT), 9, 10, 8))
+    row = lambda df, kind, *abc: df.select(F.lit(kind).alias("kind"), *[F.expr(x).cast("long").alias(n) for x, n in zip(abc, "abc", strict=True)])
+    leaves = g.phase.join(g.morse_sets().select("ge", "v"), "ge", "left")
+    return row(g.vertices, "set", "v", "size", "least").unionByName(row(g.edges(), "edge", "u", "v", "null")).unionByName(row(leaves, "leaf", "depth", "key", "v"))
+
+
+#: The squares of boxes that hold more points than the average.
 _CROWDED = f"SELECT 2 * c0 + 1 AS e0, 2 * c1 + 1 AS e1 FROM ({BOX1_8}) WHERE points > (SELECT avg(points) FROM ({BOX1_8}))"
 _NEAR = "SELECT DISTINCT {e}0 + i AS e0, {e}1 + j AS e1 FROM {cells} c, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j) WHERE (({e}0 % 2 = {odd}) OR i = 0) AND (({e}1 % 2 = {odd}) OR j = 0)"
 
