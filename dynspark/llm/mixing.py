@@ -36,23 +36,28 @@ def size_class(size: Column) -> Column:
 
 
 def targets(by_source: DataFrame) -> DataFrame:
-    """by_source: key, source, source_size, a row for each source. Adds the source's target in words."""
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = by_source.withColumn("nth", F.row_number().over(order) - 1)
-    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("nth") % len(WEIGHTS) + 1).cast("int")).cast("long"))
-    w = w.withColumn("total", F.sum("source_size").over(every))
-    # in order of the level at which a source is full
-    fill = Window.orderBy((F.col("source_size").cast("double") / F.col("weight")).asc(), F.col("nth").asc())
-    w = w.withColumn("place", F.row_number().over(fill))
-    w = w.withColumn("before", F.coalesce(F.sum(F.col("source_size") * CAP).over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = w.withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    w = w.withColumn("level", (F.col("total") - F.col("before")) / F.col("open"))
-    w = w.withColumn("fits", F.col("level") * F.col("weight") <= F.col("source_size") * CAP)
-    w = w.withColumn("first", F.min(F.when(F.col("fits"), F.col("place"))).over(every))
-    w = w.withColumn("at", F.max(F.when(F.col("place") == F.col("first"), F.col("level"))).over(every))
-    target = F.when(F.col("place") >= F.col("first"), F.col("at") * F.col("weight")).otherwise((F.col("source_size") * CAP).cast("double"))
-    return w.select("key", "source_size", target.alias("target"))
+    """by_source: key, source, source_size, a row for each source. Adds the source's target in words.
+
+    Sources are numbered by a range sort and the counts of its partitions. A source is full if its share by weight is above CAP
+    times its size; what full sources leave raises the level of the others, so more may be full, until none is: a row of sums each time.
+    """
+    ordered = cut(by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) + F.col("first") - 1
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("nth") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    w = cut(ordered.join(F.broadcast(parts), "part").withColumn("nth", nth).withColumn("weight", weight).select("key", "source_size", "weight"))
+    total = w.agg(F.sum("source_size")).first()[0]
+    level, before_ = None, -1
+    while True:
+        share = F.lit(level) * F.col("weight")
+        full = F.lit(False) if level is None else share > F.col("source_size") * CAP
+        n, held, open_ = w.agg(F.count(F.when(full, 1)), F.coalesce(F.sum(F.when(full, F.col("source_size") * CAP)), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == before_ or not open_:
+            break
+        before_, level = n, float(total - held) / float(open_)
+    target = F.when(full, (F.col("source_size") * CAP).cast("double")).otherwise(share)
+    return w.select("key", "source_size", target.cast("double").alias("target"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:

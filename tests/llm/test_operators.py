@@ -60,6 +60,22 @@ def test_mixture_is_near_its_targets(spark, documents):
         assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= 2 * max(r["size"] for r in own)
 
 
+@pytest.mark.parametrize("sizes", [[0, 0, 0], [5], [10**6, 1, 2, 3, 4, 5, 6], [3**k for k in range(25)], [(k * k) % 97 * 1000 + k for k in range(300)]])
+def test_targets_of_many_sources(spark, sizes):
+    """Against filling the sources one after another, in order of the level at which they are full; the last source has no name."""
+    names = sorted(f"s{k:03d}/\u00e9{k % 7}" for k in range(len(sizes) - 1)) + [None]
+    by_source = spark.createDataFrame([(f"n{k}", x, s) for k, (x, s) in enumerate(zip(names, sizes, strict=True))], "key string, source string, source_size long")
+    weights = [mixing.WEIGHTS[k % 3] for k in range(len(sizes))]
+    left, open_, want = sum(sizes), sum(weights), {}
+    for k in sorted(range(len(sizes)), key=lambda k: sizes[k] / weights[k]):
+        if left / open_ * weights[k] <= 3 * sizes[k]:
+            break
+        want[k], left, open_ = 3.0 * sizes[k], left - 3 * sizes[k], open_ - weights[k]
+    got = {int(r["key"][1:]): r["target"] for r in mixing.targets(by_source.repartition(3)).collect()}
+    assert got == {k: want.get(k, left / open_ * weights[k]) for k in range(len(sizes))}
+    assert sum(got.values()) == pytest.approx(sum(sizes))
+
+
 def test_mixture_rows_follow_copies_and_agree(spark):
     docs = docs_of(spark)
     want = {}
