@@ -212,17 +212,19 @@ class DataMap:
         return F.filter(F.array(*out), full)
 
     def _bins(self, rects: DataFrame, pieces: Column, keep: list[str]) -> DataFrame:
-        """keep, level, b0 ... of the bins in pieces (ranges by axis)."""
+        """keep, level, b0 ... of the bins in pieces (ranges by axis). For joins by a shuffle alone: Spark takes them for as small as rects and would send them all through the driver."""
         out = rects.select(*keep, F.explode(pieces).alias("p"))
         for d in range(self.domain.dim):
             out = out.withColumn(f"b{d}", F.explode(F.sequence(F.col(f"p.a{d}"), F.col(f"p.b{d}"))))
-        return out.select(*keep, F.col("p.level").alias("level"), *[f"b{d}" for d in range(self.domain.dim)])
+        return out.select(*keep, F.col("p.level").alias("level"), *[f"b{d}" for d in range(self.domain.dim)]).hint("merge")
 
     def hulls(self, rects: DataFrame, dim: int, by: list[str] | None = None) -> DataFrame:
         """by (row), fl0, fu0 ..., points for those rects (by, l0, u0 ...) that hold samples."""
         by, binned, pyramid = by or ["row"], *self.tables()[:2]
         deep, names, ends = self.halvings, [f"b{d}" for d in range(dim)], rect_columns(dim)
-        rects = rects.select(*by, *ends).withColumns({f"{e}{d}": x.cast("int") for d in range(dim) for e, x in zip(("__a", "__b"), self._inner(d), strict=True)})
+        # a small table has one partition, and a rectangle may have thousands of bins along its border
+        rects = rects.select(*by, *ends).repartition(rects.sparkSession.sparkContext.defaultParallelism, *by)
+        rects = rects.withColumns({f"{e}{d}": x.cast("int") for d in range(dim) for e, x in zip(("__a", "__b"), self._inner(d), strict=True)})
         shift = lambda name, x, s: F.call_function(name, x, s.cast("int"))
 
         def held(level: Column) -> list[tuple[Column, Column]]:
@@ -266,7 +268,7 @@ class DataMap:
         for d in every:
             at = lambda e: F.call_function("shiftright", self._bin(F.col(f"{e}{d}"), d), F.lit(deep) - F.col("level"))  # noqa: B023, E731
             own = own.withColumn(f"b{d}", F.explode(F.sequence(at("l"), at("u"))))
-        near = own.join(pyramid.select("level", *names), ["level", *names], "left_semi")
+        near = own.hint("merge").join(pyramid.select("level", *names), ["level", *names], "left_semi")
         # from the first one on that meets a bin with samples to the one that surely holds this bin; samples outside the domain lie in its outer bins, so these are tried to the end
         outer = any(ends[f"min{d}"] < self.domain.lo[d] or ends[f"max{d}"] > self.domain.hi[d] for d in every)
         sure = F.when(F.col("h") > 0, F.col("m") + F.ceil(F.log2(1 + F.pow(F.lit(2.0), -F.col("level")) / F.col("h"))) + 1).otherwise(64)

@@ -283,6 +283,14 @@ def test_sampled_map_against_a_scan(spark):
         maps.DataMap(samples.limit(5), UNIT, empty="terminate").image(boxes, 2)
 
 
+def test_bins_of_few_rectangles_do_not_go_through_the_driver(spark):
+    """A table of few rectangles looks small, but each may have thousands of bins."""
+    samples = spark.range(3000).select((F.rand(1) * 1.2).alias("x0"), (F.rand(2) * 1.2).alias("x1")).withColumns({"y0": F.col("x0"), "y1": F.col("x1")})
+    found = maps.DataMap(samples, UNIT).hulls(with_rects(grid.uniform(spark, 4), 4, UNIT).withColumnRenamed("key", "row"), 2)
+    assert found.count() == 16
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_rectangle_over_all_samples_costs_one_row(spark):
     rng = np.random.default_rng(4)
     samples = spark.createDataFrame([tuple(map(float, p)) for p in rng.uniform(0.1, 1.1, (3000, 4))], "x0 double, x1 double, y0 double, y1 double")
