@@ -29,7 +29,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8 one stays."""
+    """Of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8 one stays: candidates by SimHash and its
+    covering code (op4's search), and by shingles for pairs whose fingerprints differ in more bits; each is decided by its shingles."""
     return shingle_dedup.drop(docs)
 
 

@@ -1,9 +1,11 @@
-"""Near-duplicate detection by the Jaccard similarity of shingle sets: pairs at or above 4/5, found by SimHash with a probability, decided exactly.
+"""Near-duplicate detection by the Jaccard similarity of shingle sets: pairs at or above 4/5, found by SimHash, decided exactly.
 
 A text is the set of its shingles of SHINGLE words (words and lower case as in simhash), each a 64-bit hash. A pair links
 if the sets have at least 4/5 of their union in common. Texts with equal sets are one node, named by a hash of the set.
-At that similarity fingerprints of 64 bits differ in 4 to 17, far more than a covering code carries; so pairs are sought otherwise:
+At that similarity fingerprints of 64 bits differ in 4 to 17, more than a covering code carries at bearable cost; so pairs are sought in two ways:
 
+0. SimHash and covering code, as in simhash.py: nodes whose fingerprints of 64 bits differ in at most 3 are candidates. The next
+   two steps are for the pairs that differ in more.
 1. Prefix filter. In any order of all shingles, two sets of that similarity share one among the first n // 5 + 1 of
    each, n being a set's size. The order here is: rare ones by hash, then those that are frequent in a sample of the
    texts by how frequent they are, so that repeated lines make no long lists. The sample changes costs, never links.
@@ -32,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dynspark.llm import simhash
 from dynspark.llm.common import cut, mixed, spans, survivors, text_or_empty
 from dynspark.llm.components import components
 from dynspark.llm.embedding_dedup import Joined, candidates, in_blocks, pairs_of, too_large
@@ -228,6 +231,14 @@ def compared(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(node[us], pa.int64()), "v": pa.array(node[vs], pa.int64())})
 
 
+def close(rows: DataFrame) -> DataFrame:
+    """rows: nodes(). u, v that connect the nodes whose SimHash fingerprints (fp0) the covering code links, or are the same."""
+    own = cut(rows.select("node", F.col("fp0").alias("fp")).distinct())
+    named = cut(own.join(simhash.joined(own, simhash.BITS), "fp", "left").select("node", F.coalesce("component", "fp").alias("group")))
+    first = named.groupBy("group").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return named.join(first, "group").filter("node != v").select(F.col("node").alias("u"), "v")
+
+
 def links(rows: DataFrame, texts: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFrame:
     """rows: nodes(). texts: digest, text of all rows. u, v: links between nodes that are alike; they connect all that are."""
 
@@ -242,7 +253,7 @@ def links(rows: DataFrame, texts: DataFrame, most: int = BITS, block: int = BLOC
         sketch = F.concat(F.unhex(F.lpad(F.hex("fp0"), 16, "0")), F.unhex(F.lpad(F.hex("fp1"), 16, "0")))
         own = in_blocks(listed.join(long.select("token"), "token", "left_semi").select("token", "node", sketch.alias("sketch")), "token", long)
         near = near.unionByName(own.groupBy("token", "i", "j").applyInArrow(lambda key, t: candidates(key, t, most), "u long, v long"))
-    found = cut(components(near))
+    found = cut(components(near.unionByName(close(rows))))
     picked = cut(rows.join(found, "node").groupBy("node").agg(F.min("digest").alias("digest"), F.first("component").alias("component")))
     n = picked.count()
     one = texts.join(F.broadcast(picked.select("node", "digest")) if n <= BROADCAST_ROWS else picked.select("node", "digest"), "digest")

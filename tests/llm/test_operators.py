@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dynspark.llm import bpe, byte_cnn, chat, embedding_dedup, exact_dedup, html_extract, mixing, shingle_dedup, simhash, substring_dedup, token_output
 from dynspark.llm.components import components
@@ -353,6 +354,25 @@ def test_near_copies_of_given_documents(spark):
     assert {r["doc_id"] for r in shingle_dedup.drop(docs).collect()} == set(union_find(made, alike_pairs(made)).values())
 
 
+def test_pipeline_finds_near_copies_by_the_covering_code(spark, monkeypatch):
+    """Without the lists of shingles, copies whose fingerprints differ in at most three bits go all the same, and only those that are alike."""
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 600)) for _ in range(12)]
+    made = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t + " end") for k, t in enumerate(texts)]
+    bits = lambda t: shingle_dedup.simhash128(shingle_dedup.shingles(t))[0] & (1 << 64) - 1
+    near = {100 + k for k, t in enumerate(texts) if (bits(t) ^ bits(t + " end")).bit_count() <= simhash.BITS}
+    assert near
+    lists = shingle_dedup.lists
+    monkeypatch.setattr(shingle_dedup, "lists", lambda rows: lists(rows).limit(0))
+    got = {r["doc_id"] for r in pipeline.near_copies(spark, spark.createDataFrame(made, "doc_id long, text string"), SMALL).collect()}
+    assert got == {k for k, _ in made} - near
+    monkeypatch.setattr(shingle_dedup, "close", lambda rows: rows.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy()).alias("v")))
+    got = {r["doc_id"] for r in pipeline.near_copies(spark, spark.createDataFrame(made, "doc_id long, text string"), SMALL).collect()}
+    assert got == set(range(12))
+
+
 def test_near_copies_in_batches_and_with_frequent_shingles(spark, monkeypatch):
     made = edited_texts()
     docs = docs_of(spark, [(i, t, "en", "a", len(t)) for i, t in made.items()])
