@@ -9,7 +9,7 @@ from math import log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dynspark.functions.boxes import Domain, rect_columns
@@ -144,17 +144,19 @@ def rk4(field: Callable[[np.ndarray], np.ndarray], time: float, steps: int) -> C
 # --- sampled maps -----------------------------------------------------------------------------------------------------
 
 
-#: Halvings of each axis at most, and samples in a finest bin, about.
-MOST_HALVINGS, IN_BIN = 20, 8
+#: Halvings of each axis at most, samples in a finest bin, about, and levels above it that are made of the finest bins themselves.
+MOST_HALVINGS, IN_BIN, LOWEST = 20, 8, 3
+#: Bins of rectangles that may be broadcast, about 100 bytes each.
+BROADCAST_ROWS = 300_000
 
 
 class DataMap:
     """A map known from samples x0 ... y0 ...: the hull of the values whose x lies in a rectangle.
 
     Samples lie in dyadic bins, about IN_BIN in a finest one, and a pyramid has the hull and number of the samples of each bin of each
-    size. A rectangle is taken apart: bins that it holds wholly, as large ones as there are, answer from the pyramid, and only the
-    finest bins along its border are looked up among the samples, with an exact filter. Both are equi-joins, and hulls are min/max aggregates
-    with map-side combine. A rectangle over all samples costs one row. Bins are compared by their numbers alone, and
+    size. A rectangle is taken apart: bins that it holds wholly, as large ones as there are, answer from the pyramid. So do the finest bins along
+    its border, where all their samples are inside or all outside, as with boxes of a grid; only the others are looked up among
+    the samples, with an exact filter. Both are equi-joins, and hulls are min/max aggregates with map-side combine. A rectangle over all samples costs one row. Bins are compared by their numbers alone, and
     a bin strictly between those of both ends is inside whatever rounding did.
 
     empty says what a rectangle without samples gets: "interp" doubles it about its centre until it has some, "outside" a rectangle one to two
@@ -177,20 +179,35 @@ class DataMap:
         return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((x - self.domain.lo[d]) / self.domain.widths()[d] * n))).cast("int")
 
     def tables(self) -> tuple[DataFrame, DataFrame, dict[str, float]]:
-        """Samples with their bins b0 ...; the pyramid (level, b0 ..., fl0, fu0 ..., points); the least and largest x along each axis. Made once."""
+        """Samples with their bins b0 ...; the pyramid (level, b0 ..., fl0, fu0 ..., least and largest x as xl0, xu0 ..., points); the least and largest x along each axis. Made once."""
         if self._tables is None:
             from dynspark.plans.cutting import cut
 
             every = range(self.domain.dim)
             names = [f"b{d}" for d in every]
-            binned = cut(self.samples.withColumns({f"b{d}": self._bin(F.col(f"x{d}"), d) for d in every}))
-            ends = binned.agg(*[f(f"x{d}").alias(f"{n}{d}") for d in every for n, f in (("min", F.min), ("max", F.max))]).first().asDict()
-            finest = binned.groupBy(*names).agg(*[x for d in every for x in (F.min(f"y{d}").alias(f"fl{d}"), F.max(f"y{d}").alias(f"fu{d}"))], F.count(F.lit(1)).alias("points"))
-            up = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.halvings))))
-            up = up.withColumns({b: F.call_function("shiftright", F.col(b), F.lit(self.halvings) - F.col("level")) for b in names})
-            self._tables = binned, cut(up.groupBy("level", *names).agg(*self._hull(), F.sum("points").alias("points"))), ends
+            placed = self.samples.filter(reduce(Column.__and__, [F.col(f"x{d}").isNotNull() for d in every]))  # least() and min() pass over nulls
+            binned = cut(placed.withColumns({f"b{d}": self._bin(F.col(f"x{d}"), d) for d in every}))
+            hull = [x for d in every for x in (F.min(f"y{d}").alias(f"fl{d}"), F.max(f"y{d}").alias(f"fu{d}"), F.min(f"x{d}").alias(f"xl{d}"), F.max(f"x{d}").alias(f"xu{d}"))]
+            finest = cut(binned.groupBy(*names).agg(*hull, F.count(F.lit(1)).alias("points")).withColumn("level", F.lit(self.halvings)))
+            # the largest bins from bins of a middle size, of which there are few: each finest one counts in LOWEST levels, however many there are
+            middle = max(0, self.halvings - LOWEST)
+            low = cut(self._upwards(finest, middle, self.halvings - 1) if self.halvings else finest.limit(0))
+            pyramid = finest.unionByName(low)
+            if middle:
+                pyramid = pyramid.unionByName(cut(self._upwards(low.filter(F.col("level") == middle), 0, middle - 1)))
+            ends = pyramid.filter("level = 0").select(*[F.col(f"x{e}{d}").alias(f"{n}{d}") for d in every for e, n in (("l", "min"), ("u", "max"))]).first()
+            self._tables = binned, pyramid, ends.asDict() if ends else {f"{n}{d}": None for d in every for n in ("min", "max")}
         return self._tables
 
+    def _upwards(self, bins: DataFrame, first: int, last: int) -> DataFrame:
+        """The pyramid's levels first to last from bins of a finer one."""
+        every = range(self.domain.dim)
+        up = bins.withColumn("__level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        up = up.withColumns({f"b{d}": F.call_function("shiftright", F.col(f"b{d}"), F.col("level") - F.col("__level")) for d in every})
+        more = [x for d in every for x in (F.min(f"xl{d}").alias(f"xl{d}"), F.max(f"xu{d}").alias(f"xu{d}"))]
+        up = up.groupBy("__level", *[f"b{d}" for d in every]).agg(*self._hull(), *more, F.sum("points").alias("points"))
+        return up.withColumnRenamed("__level", "level").select(*bins.columns)
+
     def _hull(self) -> list[Column]:
         return [x for d in range(self.domain.dim) for x in (F.min(f"fl{d}").alias(f"fl{d}"), F.max(f"fu{d}").alias(f"fu{d}"))]
 
@@ -212,14 +229,16 @@ class DataMap:
         return F.filter(F.array(*out), full)
 
     def _bins(self, rects: DataFrame, pieces: Column, keep: list[str]) -> DataFrame:
-        """keep, level, b0 ... of the bins in pieces (ranges by axis). For joins by a shuffle alone: Spark takes them for as small as rects and would send them all through the driver."""
+        """keep, level, b0 ... of the bins in pieces (ranges by axis)."""
         out = rects.select(*keep, F.explode(pieces).alias("p"))
         for d in range(self.domain.dim):
             out = out.withColumn(f"b{d}", F.explode(F.sequence(F.col(f"p.a{d}"), F.col(f"p.b{d}"))))
-        return out.select(*keep, F.col("p.level").alias("level"), *[f"b{d}" for d in range(self.domain.dim)]).hint("merge")
+        return out.select(*keep, F.col("p.level").alias("level"), *[f"b{d}" for d in range(self.domain.dim)])
 
     def hulls(self, rects: DataFrame, dim: int, by: list[str] | None = None) -> DataFrame:
         """by (row), fl0, fu0 ..., points for those rects (by, l0, u0 ...) that hold samples."""
+        from dynspark.plans.cutting import cut
+
         by, binned, pyramid = by or ["row"], *self.tables()[:2]
         deep, names, ends = self.halvings, [f"b{d}" for d in range(dim)], rect_columns(dim)
         # a small table has one partition, and a rectangle may have thousands of bins along its border
@@ -238,13 +257,26 @@ class DataMap:
             never = [(F.lit(1), F.lit(0))] * dim
             return self._without(level, held(level), [(F.when(level > 0, a).otherwise(x), F.when(level > 0, b).otherwise(y)) for (a, b), (x, y) in zip(before, never, strict=True)])
 
-        whole = self._bins(rects, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(deep)), of_level)), by).join(pyramid, ["level", *names])
+        whole = self._bins(rects, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(deep)), of_level)), [*by, *ends])
         met = [(F.greatest(F.col(f"__a{d}"), F.lit(0)), F.least(F.col(f"__b{d}"), F.lit((1 << deep) - 1))) for d in range(dim)]
         inside = [(F.col(f"__a{d}") + 1, F.col(f"__b{d}") - 1) for d in range(dim)]
-        border = self._bins(rects, self._without(F.lit(deep), met, inside), [*by, *ends]).join(binned, names)
-        border = border.filter(reduce(Column.__and__, [(F.col(f"x{d}") >= F.col(f"l{d}")) & (F.col(f"x{d}") <= F.col(f"u{d}")) for d in range(dim)]))
-        border = border.select(*by, *[F.col(f"y{d}").alias(f"f{e}{d}") for d in range(dim) for e in "lu"], F.lit(1).cast("long").alias("points"))
-        return whole.select(border.columns).unionByName(border).groupBy(*by).agg(*self._hull(), F.sum("points").alias("points"))
+        border = self._bins(rects, self._without(F.lit(deep), met, inside), [*by, *ends])
+        # counted, as Spark takes the bins for as small a table as rects and would send any number of them through the driver
+        bins, many = whole.withColumn("held", F.lit(True)).unionByName(border.withColumn("held", F.lit(False))), Observation()
+        bins = cut(bins.observe(many, F.count(F.lit(1)).alias("bins")))
+        asked = (F.broadcast(bins) if many.get["bins"] <= BROADCAST_ROWS else bins.hint("merge")).join(pyramid, ["level", *names])
+        all_in = reduce(Column.__and__, [(F.col(f"xl{d}") >= F.col(f"l{d}")) & (F.col(f"xu{d}") <= F.col(f"u{d}")) for d in range(dim)])
+        some_in = reduce(Column.__and__, [(F.col(f"xu{d}") >= F.col(f"l{d}")) & (F.col(f"xl{d}") <= F.col(f"u{d}")) for d in range(dim)])
+        hull, seen = [f"f{e}{d}" for d in range(dim) for e in "lu"], Observation()
+        asked = asked.filter(F.col("held") | some_in).withColumn("held", F.col("held") | all_in).select(*by, *ends, *names, *hull, "points", "held")
+        asked = cut(asked.observe(seen, F.count(F.when(~F.col("held"), 1)).alias("open")))
+        found = asked.filter("held").select(*by, *hull, "points")
+        if seen.get["open"]:
+            border = asked.filter("not held").select(*by, *ends, *names)
+            border = (F.broadcast(border) if seen.get["open"] <= BROADCAST_ROWS else border.hint("merge")).join(binned, names)
+            border = border.filter(reduce(Column.__and__, [(F.col(f"x{d}") >= F.col(f"l{d}")) & (F.col(f"x{d}") <= F.col(f"u{d}")) for d in range(dim)]))
+            found = found.unionByName(border.select(*by, *[F.col(f"y{h[2:]}").alias(h) for h in hull], F.lit(1).cast("long").alias("points")))
+        return found.groupBy(*by).agg(*self._hull(), F.sum("points").alias("points"))
 
     def _grown(self, rects: DataFrame, dim: int, times: str) -> DataFrame:
         """rects doubled about their centres so many times, one after another."""

@@ -291,6 +291,22 @@ def test_bins_of_few_rectangles_do_not_go_through_the_driver(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_boxes_of_a_grid_need_no_samples(spark):
+    """Bins along the border whose samples are all inside or all outside answer from the pyramid; the largest bins come from a middle level."""
+    samples = spark.range(6000).select((F.rand(1) * 1.2).alias("x0"), (F.rand(2) * 1.2).alias("x1")).withColumns({"y0": F.col("x0") * 2, "y1": F.col("x1")})
+    samples = spark.createDataFrame([*map(tuple, samples.collect()), (None, 0.1, 9.0, 9.0)], "x0 double, x1 double, y0 double, y1 double")
+    table, boxes = maps.DataMap(samples, UNIT), with_rects(grid.uniform(spark, 4), 4, UNIT).withColumnRenamed("key", "row")
+    assert table.halvings > maps.LOWEST
+    binned, pyramid, ends = table.tables()
+    assert pyramid.groupBy("level").agg(F.sum("points").alias("n")).select("n").distinct().collect() == [(6000,)]
+    table._tables = binned.withColumn("x0", F.raise_error(F.lit("samples are read")).cast("double")), pyramid, ends
+    got = {r["row"]: tuple(r)[1:] for r in table.hulls(boxes, 2).collect()}
+    points = np.array([tuple(r) for r in samples.collect() if r["x0"] is not None])
+    for r in boxes.collect():
+        own = points[(points[:, 0] >= r["l0"]) & (points[:, 0] <= r["u0"]) & (points[:, 1] >= r["l1"]) & (points[:, 1] <= r["u1"])]
+        assert got[r["row"]] == (own[:, 2].min(), own[:, 2].max(), own[:, 3].min(), own[:, 3].max(), len(own))
+
+
 def test_a_rectangle_over_all_samples_costs_one_row(spark):
     rng = np.random.default_rng(4)
     samples = spark.createDataFrame([tuple(map(float, p)) for p in rng.uniform(0.1, 1.1, (3000, 4))], "x0 double, x1 double, y0 double, y1 double")
