@@ -43,10 +43,12 @@ CAPITALS_17 = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7C
 LOWER_17 = {a + k: low + k for a, b, low in CAPITALS_17 for k in range(b - a + 1)}
 #: Letters after an apostrophe that belong to it (fixed values).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Characters of a block; bits of the number of slots in each half of the table.
-BLOCK_CHARS, SLOT_BITS = 1 << 20, 19
+#: Characters of a block, bytes of a slice: of a worker's arrays for them some are 8 times as long or more; bits of the number of slots in each half of the table.
+BLOCK_CHARS, SLICE_BYTES, SLOT_BITS = 1 << 18, 1 << 18, 18
 #: Cells of the segment trees that are merged at once; pieces of a width that are merged together at least.
 CELLS, COMPANY = 1 << 18, 16
+#: Tokens that are spelled at once.
+STEP = 1 << 15
 INFINITE = np.int64(1) << 62
 
 
@@ -413,7 +415,7 @@ class Vocabulary:
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the tokens of all texts, joined by one space in each; where each text begins and the last ends."""
         sizes = self.spelled_lengths[ids]
-        text = np.concatenate([np.zeros(0, np.uint8), *(self.spelled[spans(self.spelled_starts[ids[k : k + BLOCK_CHARS]], sizes[k : k + BLOCK_CHARS])] for k in range(0, len(ids), BLOCK_CHARS))])
+        text = np.concatenate([np.zeros(0, np.uint8), *(self.spelled[spans(self.spelled_starts[ids[k : k + STEP]], sizes[k : k + STEP])] for k in range(0, len(ids), STEP))])
         ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
         last = np.ones(len(text), bool)
         last[ends[counts > 0] - 1] = False
@@ -435,7 +437,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 * BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Batches in parts of few rows and, but for single rows, of few bytes in the last column, which is text."""
     for batch in batches:
         ends = np.cumsum(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False))
@@ -450,7 +452,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 *
 def encoded(batches: Iterator[pa.RecordBatch], path: str, ids_col: str = "ids") -> Iterator[pa.RecordBatch]:
     """Batches with ids_col, lists of ids, in place of the last column, the text."""
     bpe = vocabulary(path)
-    for b in slices(batches):
+    for b in slices(batches, size=SLICE_BYTES):
         ids, counts = bpe.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids.astype(np.int32)))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], ids_col])

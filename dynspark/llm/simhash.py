@@ -38,6 +38,8 @@ from dynspark.llm.components import components
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Homes of an anchor that one task compares with at a time; parts that a hot anchor's visitors are dealt into at most.
 SLICE, PARTS = 4096, 16
+#: Contents times words of a code that are compared at once, 8 bytes each.
+AT_ONCE = 1 << 20
 #: Rows of a table of hot anchors that may be broadcast.
 BROADCAST_ROWS = 100_000
 UPPER = bytes(range(65, 91))
@@ -99,7 +101,7 @@ class Block:
         """row, anchor number, excess for each anchor within radius + bits of a row's content."""
         rows, anchors, excess = [], [], []
         content = self.content(fps)
-        step = max(1, (1 << 23) // len(self.words))
+        step = max(1, AT_ONCE // len(self.words))
         for k in range(0, len(content), step):
             d = np.bitwise_count(content[k : k + step, None] ^ self.words[None, :]).astype(np.int16)
             r, a = np.nonzero(d <= self.radius + bits)
@@ -111,7 +113,7 @@ class Block:
 
     def home(self, fps: np.ndarray) -> np.ndarray:
         content, out = self.content(fps), np.zeros(len(fps), np.int64)
-        step = max(1, (1 << 23) // len(self.words))
+        step = max(1, AT_ONCE // len(self.words))
         for k in range(0, len(content), step):
             out[k : k + step] = np.bitwise_count(content[k : k + step, None] ^ self.words[None, :]).argmin(1)
         return out

@@ -1,9 +1,11 @@
 """The corpus operators against brute force, exact round trips and held-out labels, and on the odd cases."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -197,6 +199,30 @@ def test_table_of_pieces_stays_small(library):
     assert len(v.known.ids) == 32
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_arrays_stay_small_whatever_a_batch_holds(library):
+    path = bpe.default_path()
+    bpe.vocabulary(path)
+    words = ["".join(w) for w in np.random.default_rng(8).choice(list("abcdefghéü"), (3000, 6))]
+    some = [" ".join(np.random.default_rng(k).choice(words, 400)) for k in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array(some * 10 + [" ".join(some * 10)])], ["doc_id", "text"])
+    got = []
+    assert peak_mb(lambda: got.extend((b.column(1).value_lengths().to_pylist(), b.column(2)[0].as_py()) for b in bpe.decoded(bpe.encoded(iter([rows]), path), path))) < 80
+    counts = [n for part, _ in got for n in part]
+    assert counts == [len(library.encode(t, add_special_tokens=False).ids) for t in some] * 10 + [sum(counts[:1000])]
+    fps = np.random.default_rng(9).integers(0, 1 << 62, 4096)
+    golay = simhash.code(1)[0]
+    assert peak_mb(lambda: golay.home(fps)) < 20
+
+
 def test_encode_and_decode_frames(spark, library):
     docs = docs_of(spark)
     out = bpe.decode(bpe.encode(docs))
